@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import op02_token_counts, op04_chat_formatting, op05_quality_rules
+from . import op02_token_counts, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -75,14 +74,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        n_lines, n_letters, n_upper, fail_bits FROM f
 """
 
-_ = F  # expressions of later queries
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
+    return op06_minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), links AS MATERIALIZED (
+  SELECT x.a, x.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS c FROM s l JOIN s r ON l.g = r.g AND l.doc_id <> r.doc_id GROUP BY 1, 2) x
+  JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.a = d.doc_id
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
-    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules}
+    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by registered name, where SQL can express the query."""
-    return {"op4_chat_formatting": OP4_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_dedup": OP6_SQL}
