@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_token_counts, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup
+from . import op02_token_counts, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op08_packing
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -98,9 +98,14 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.a = d.doc_id
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens."""
+    return op08_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
-    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup}
+    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
