@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op02_token_counts, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op08_packing
-from .common import table
+from . import op10_id_files as op10_id_files_
+from .common import fresh_path, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: The conversation that quotes the control strings.
@@ -103,9 +104,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document written in compressed files and read back."""
+    path = fresh_path(spark, "ids")
+    op10_id_files_.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE))
+    return op10_id_files_.read_ids(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
-    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op8_packing": op8_packing}
+    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op8_packing": op8_packing, "op10_id_files": op10_id_files}
 
 
 def oracle_sql() -> dict[str, str]:
