@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text
 
-Q = 7
+Q = 8
 SEGMENT, STRIDE = 80, 40
 #: Edits allowed per character of a segment.
-EDIT_RATE = 0.1
+EDIT_RATE = 0.08
 #: Characters of benchmark text handled in one pass over the documents: the size bound of what is broadcast.
 BLOCK_CHARS = 8 << 20
 MATCH = "doc_id long, item_id long, start long, end long, edits long"
@@ -68,7 +68,8 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
 
 def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, begin, end) of the best place for the whole segment on diagonals low..high of text, or None if over budget."""
-    width, m, n = high - low + 1, len(segment), len(text)
+    width, m, n, shift = high - low + 1, len(segment), len(text), max(0, low)
+    segment, text = segment.tolist(), text[shift : max(shift, high + m + 1)].tolist()
     far = budget + 1
     cost = [0 if 0 <= low + d <= n else far for d in range(width)]  # row 0: begin anywhere in the band
     begin = [low + d for d in range(width)]
@@ -77,8 +78,8 @@ def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int,
         for d in range(width):
             j = i + low + d  # text[j] is compared with segment[i]; cell (i + 1, j + 1)
             best, b = far, 0
-            if 0 <= j < n and cost[d] + (text[j] != c) < best:
-                best, b = cost[d] + (text[j] != c), begin[d]
+            if 0 <= j < n and cost[d] + (text[j - shift] != c) < best:
+                best, b = cost[d] + (text[j - shift] != c), begin[d]
             if d + 1 < width and cost[d + 1] + 1 < best:  # a segment character that the text lacks
                 best, b = cost[d + 1] + 1, begin[d + 1]
             if d and 0 <= j < n and left + 1 < best:  # a text character that the segment lacks

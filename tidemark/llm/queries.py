@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_token_counts, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op08_packing
+from . import op01_substring_dedup, op02_token_counts, op03_license_scan, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op07_warc, op08_packing, op09_decontamination
 from . import op10_id_files as op10_id_files_
 from .common import fresh_path, table
 
@@ -16,6 +16,11 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 QUOTING = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller id holds too, or nearly."""
+    return op01_substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return op02_token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -111,9 +116,24 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_id_files_.read_ids(spark, path)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of documents that hold a licence notice."""
+    return op03_license_scan.licences(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response record."""
+    return op07_warc.derivatives(op07_warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of documents that hold a passage of a benchmark item."""
+    return op09_decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
-    return {"op2_token_counts": op2_token_counts, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op8_packing": op8_packing, "op10_id_files": op10_id_files}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_token_counts": op2_token_counts, "op3_license_scan": op3_license_scan, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_id_files": op10_id_files}
 
 
 def oracle_sql() -> dict[str, str]:
