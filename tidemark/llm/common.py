@@ -39,3 +39,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only doc_id (long) and text (string, null kept): other columns, of whatever name, never reach an operator."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Rows of a table of ids (or of a few numbers each) up to which it is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, marked for broadcast if it has few rows (`rows`, or counted here: give a written table)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, if_small, written
 
 Q = 8
 SEGMENT, STRIDE = 80, 40
@@ -213,5 +213,5 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with their own columns."""
-    found = benchmark_matches(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    found = written(benchmark_matches(docs, benchmark).select("doc_id").distinct(), "found")
+    return docs.join(if_small(found), "doc_id", "left_anti").select(docs.columns)
