@@ -11,13 +11,14 @@
    number of candidates is linear in the number of classes.
 4. Candidates are confirmed on full sets, and the confirmed links' components
    are taken.
-5. What a star can't see is handled exactly: two members of one bucket that are
-   in different components still after that. Distance is a metric, so a pair
-   can only be a link if its members' known distances to the centre differ by
-   no more than the threshold allows. Buckets left with few components offer
-   those pairs; from crowded ones (texts around one common passage) the members
-   are joined on the rarest part of their sets, which no link can avoid.
-   Steps 4 and 5 repeat until no bucket holds an unseen pair.
+5. What a star can't see is handled exactly. For two members a, b of one bucket
+   with centre c, write M for what c has and they lack and D for what they have
+   and c lacks. They share |c| - |Ma| - |Mb| + |Ma & Mb| + |Da & Db| shingles, so
+   a link needs a number of common differences that follows from the sizes and
+   the counts of step 4. Members of different components are joined on their
+   differences from the centre, rarest first, on as many as that number can't
+   do without: copies edited each in its own way meet nowhere.
+   Steps 4 and 5 repeat until no unseen pair is left.
 """
 
 from __future__ import annotations
@@ -30,15 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, if_small, written
 from .components import components
 from .shingles import mix, odd_numbers, shingle_hashes, words_of
 
 BANDS = 32
 #: The chance that a link exactly at the threshold meets in no band stays below this.
 MISS = 1e-7
-#: Components in one bucket up to which their pairs are offered directly.
-CROWD = 24
 
 
 def rows_per_band(threshold: float) -> int:
@@ -111,32 +110,13 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, na, nb, common for pairs (a, b): the sizes of both full sets and of what they share."""
-    sets = written(shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k), "sets")
     left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
-def rare_prefix_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of members(node, component) in different components that may be links, without their buckets.
-
-    Sets are ordered by how many members hold a shingle, rarest first. Two sets
-    with the similarity asked for share one of the first |A| - ceil(t |A|) + 1,
-    so a passage that all members share brings no pair by itself.
-    """
-    sets = shingle_sets(docs, members.select("node"), k).join(members.select("node", "component"), "node")
-    each = written(sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "crowd")
-    ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "s", "left")
-    first = ranked.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("x"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = first.select("node", "component", "n", F.explode(F.slice("x", F.lit(1), length)).alias("x")).filter("x.df > 1").select("node", "component", "n", F.col("x.s").alias("s"))
-    other = prefix.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), "s")
-    met = prefix.join(other, "s").filter((F.col("component") < F.col("cb")) & _sizes_allow(F.col("n"), F.col("nb"), percent))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -161,17 +141,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds:
     centres = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("best"))
     centres = centres.select("bucket", (-F.col("best.minus")).alias("centre"), F.col("best.n").alias("n_centre"))
     spokes = written(members.join(centres, "bucket").filter(F.col("node") != F.col("centre")), "spokes")
-    fits = _sizes_allow(F.col("n"), F.col("n_centre"), percent)
-    pairs = written(spokes.filter(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    pairs = written(spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    sets = written(shingle_sets(docs, weight.select("node"), k), "sets")
     same_id = real.join(classes.select("set_id", "node"), "set_id").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     seen = None
     for _ in range(max_rounds):
-        found = written(verified(docs, pairs, k), "verified")
+        found = written(verified(sets, pairs), "verified")
         seen = found if seen is None else written(seen.unionByName(found), "seen")
         links = seen.filter(_similar(F.col("common"), F.col("na"), F.col("nb"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
         reached = written(components(links), "components")
-        pairs = written(_unseen(docs, spokes, members, centres, reached, seen, k, percent), "pairs")
+        pairs = written(_unseen(sets, spokes, reached, seen, percent), "pairs")
         if pairs.isEmpty():
             break
     else:
@@ -187,32 +167,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds:
     return full.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _unseen(docs: DataFrame, spokes: DataFrame, members: DataFrame, centres: DataFrame, reached: DataFrame, seen: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that share a bucket, are in different components, may be links and haven't been verified."""
-    placed = members.select("bucket", "node", "n").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high AND size > 2").select("bucket")
-    placed = placed.join(torn, "bucket")
-    # distance to the bucket's centre, where it is known: unknown only if the sizes rule a link out
-    known = seen.select(F.col("a"), F.col("b"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    either = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    placed = placed.join(centres, "bucket").filter("node <> centre")
-    placed = written(placed.join(either.select(F.col("a").alias("node"), F.col("b").alias("centre"), "d"), ["node", "centre"], "left"), "placed")
-    kinds = placed.select("bucket", "component").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    few = placed.join(kinds.filter(F.col("kinds") <= CROWD), "bucket")
-    groups = few.select("bucket", "component").distinct()
-    two = groups.select("bucket", F.col("component").alias("ca")).join(groups.select("bucket", F.col("component").alias("cb")), "bucket").filter("ca < cb")
-    left = two.join(few.select("bucket", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da")), ["bucket", "ca"])
-    both = left.join(few.select("bucket", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db")), ["bucket", "cb"])
-    slack = 1 - percent / 100 + 1e-9
-    near = _sizes_allow(F.col("na"), F.col("nb"), percent) & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= slack))
-    offered = both.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowd = written(placed.join(kinds.filter(F.col("kinds") > CROWD), "bucket", "left_semi").select("node", "component").distinct(), "crowd")
-    if not crowd.isEmpty():
-        offered = offered.unionByName(rare_prefix_pairs(docs, crowd, k, percent))
-    return offered.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs around one centre that are in different components, may be links and haven't been verified."""
+    q = percent / (100 + percent)
+    placed = spokes.select("node", "centre").distinct().join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    torn = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre")
+    known = seen.select(F.col("a").alias("node"), F.col("b").alias("centre"), F.col("na").alias("n"), F.col("nb").alias("n_centre"), "common")
+    known = known.unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.col("nb").alias("n"), F.col("na").alias("n_centre"), "common"))
+    placed = placed.join(torn, "centre").join(known, ["node", "centre"])
+    lacks, adds = F.col("n_centre") - F.col("common"), F.col("n") - F.col("common")
+    short = q * (F.col("n") + F.col("n_centre")) - F.col("common")  # shingles a link with the centre is short of
+    # Common differences that any link to another component needs at least; one of the two is not linked to the centre.
+    need = F.greatest(F.lit(1), F.ceil(F.when(short <= 0, q * adds + (1 - q) * lacks).otherwise(short / (1 - q)) - 1e-9))
+    placed = placed.select("centre", "node", "component", "n", "n_centre", lacks.alias("lacks"), adds.alias("adds"), short.alias("short"), (lacks + adds - need + 1).cast("int").alias("most"))
+    placed = written(placed.filter("most > 0"), "placed")
+    pairs = placed.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
+    sides = [F.transform(F.array_except(x, y), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))) for kind, x, y in ((0, "of_centre", "shingles"), (1, "shingles", "of_centre"))]
+    each = written(pairs.select("centre", "node", F.explode(F.concat(*sides)).alias("x")).select("centre", "node", "x.*"), "differences")
+    held = each.groupBy("centre", "kind", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # A member's own differences come first in its order and take up places, though no other member can meet them.
+    alone = F.col("most") - (F.col("lacks") + F.col("adds") - F.size("x")).cast("int")
+    listed = each.join(held, ["centre", "kind", "s"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("df", "kind", "s"))).alias("x"))
+    prefix = listed.join(placed, ["centre", "node"]).withColumn("take", alone).filter("take > 0").select("centre", "node", "component", "n", "n_centre", "lacks", "adds", "short", F.explode(F.slice("x", F.lit(1), F.col("take"))).alias("x"))
+    prefix = written(prefix.select("centre", "x.kind", "x.s", "node", "component", "n", "n_centre", "lacks", "adds", "short"), "prefix")
+    mixed = prefix.groupBy("centre", "kind", "s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre", "kind", "s")
+    prefix = prefix.join(mixed, ["centre", "kind", "s"])
+    other = prefix.select("centre", "kind", "s", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "lacks", "adds", "short")])
+    needed = F.col("short") + F.col("short_b") + F.col("n_centre") * (1 - 2 * q)
+    can = F.least("lacks", "lacks_b") + F.least("adds", "adds_b") >= needed - 1e-9
+    met = prefix.join(other, ["centre", "kind", "s"]).filter((F.col("component") < F.col("component_b")) & _sizes_allow(F.col("n"), F.col("n_b"), percent) & can)
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which each group keeps the one with the smallest doc_id, with their own columns."""
-    gone = near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = written(near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return docs.join(if_small(gone), "doc_id", "left_anti").select(docs.columns)
