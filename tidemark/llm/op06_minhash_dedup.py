@@ -188,13 +188,13 @@ def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFr
     # A member's own differences come first in its order and take up places, though no other member can meet them.
     alone = F.col("most") - (F.col("lacks") + F.col("adds") - F.size("x")).cast("int")
     listed = each.join(held, ["centre", "kind", "s"]).groupBy("centre", "node").agg(F.sort_array(F.collect_list(F.struct("df", "kind", "s"))).alias("x"))
-    prefix = listed.join(placed, ["centre", "node"]).withColumn("take", alone).filter("take > 0").select("centre", "node", "component", "n", "n_centre", "lacks", "adds", "short", F.explode(F.slice("x", F.lit(1), F.col("take"))).alias("x"))
-    prefix = written(prefix.select("centre", "x.kind", "x.s", "node", "component", "n", "n_centre", "lacks", "adds", "short"), "prefix")
+    prefix = listed.join(placed, ["centre", "node"]).withColumn("take", alone).filter("take > 0").select("centre", "node", "component", "n", "n_centre", "lacks", "adds", "short", F.size("x").alias("of"), F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("at", "x"))
+    prefix = written(prefix.select("centre", "x.kind", "x.s", "node", "component", "n", "n_centre", "lacks", "adds", "short", (F.col("of") - F.col("at")).alias("left")), "prefix")
     mixed = prefix.groupBy("centre", "kind", "s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre", "kind", "s")
     prefix = prefix.join(mixed, ["centre", "kind", "s"])
-    other = prefix.select("centre", "kind", "s", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "lacks", "adds", "short")])
+    other = prefix.select("centre", "kind", "s", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "lacks", "adds", "short", "left")])
     needed = F.col("short") + F.col("short_b") + F.col("n_centre") * (1 - 2 * q)
-    can = F.least("lacks", "lacks_b") + F.least("adds", "adds_b") >= needed - 1e-9
+    can = F.least(F.least("lacks", "lacks_b") + F.least("adds", "adds_b"), "left", "left_b") >= needed - 1e-9  # at their first meeting, what is left of either list bounds the rest
     met = prefix.join(other, ["centre", "kind", "s"]).filter((F.col("component") < F.col("component_b")) & _sizes_allow(F.col("n"), F.col("n_b"), percent) & can)
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
 
