@@ -53,7 +53,7 @@ def extract_objects(objects: DataFrame, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.string()], strict=True)], ["path", "bytes", "error"])
 
     safe = F.coalesce(is_valid_path(F.col("path")), F.lit(False))
-    return objects.select("path", F.col("content").cast("binary"), safe).mapInArrow(run, fields)
+    return objects.select("path", F.col("content").cast("binary"), safe.alias("safe")).mapInArrow(run, fields)
 
 
 def write_listing_json(df: DataFrame, path: str) -> None:
