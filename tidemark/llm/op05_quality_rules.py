@@ -82,26 +82,30 @@ def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     return bits
 
 
-def quality_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the measurements, fail_bits (and the columns `keep`, unchanged): one row per input row, no shuffle.
-
-    Words are runs of anything but the bytes 0x20 and 0x09-0x0D; lines are cut
-    at \\n and count if they hold a word. A null or empty text has no words and
-    no lines. Repeated rows stay repeated, a null doc_id is kept, an empty
-    table gives an empty ledger; columns not named in `keep` are left out, so
-    they may bear any name. `keep` may not name a measurement.
-    """
-    held = docs.select(F.struct(*[F.col(c) for c in keep]).alias("held") if keep else F.lit(None).cast("string").alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    out = "held " + held.schema["held"].dataType.simpleString() + ", doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
+def _measured(docs: DataFrame, rules: tuple[Rule, ...], held: list[str]) -> DataFrame:
+    """held (a struct of columns, unchanged), doc_id, the measurements, fail_bits."""
+    rows = docs.select(F.struct(*held).alias("held") if held else F.lit(None).cast("string").alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    out = "held " + rows.schema["held"].dataType.simpleString() + ", doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t or b"") for t in batch.column(2).to_pylist()]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(MEASURES)
+            found = [measure(t or b"") for t in batch.column(2).to_pylist()]
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["held", "doc_id", *MEASURES])
 
-    ledger = held.mapInArrow(run, out).withColumn("fail_bits", fail_bits(rules))
-    return ledger.select(*[F.col(f"held.{c}").alias(c) for c in keep if c != "doc_id"], "doc_id", *MEASURES, "fail_bits")
+    return rows.mapInArrow(run, out).withColumn("fail_bits", fail_bits(rules))
+
+
+def quality_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the measurements, fail_bits: one row per input row, no shuffle.
+
+    Words are runs of anything but the bytes 0x20 and 0x09-0x0D; lines are cut
+    at \\n and count if they hold a word. A null or empty text has no words and
+    no lines. Repeated rows stay repeated, a null doc_id is kept, an empty
+    table gives an empty ledger; other columns are left out, so they may bear
+    any name.
+    """
+    return _measured(docs, rules, []).drop("held")
 
 
 def rejected(policy: str | int, bits: str = "fail_bits") -> Column:
@@ -142,5 +146,5 @@ def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents a policy keeps, with their own columns."""
-    ledger = quality_ledger(docs.select([c for c in docs.columns if c not in MEASURES]), keep=tuple(c for c in docs.columns if c not in MEASURES))
-    return ledger.filter(~rejected("base") & ~rejected(policy)).select(*[c for c in docs.columns if c not in MEASURES])
+    ledger = _measured(docs, RULES, docs.columns)
+    return ledger.filter(~rejected("base") & ~rejected(policy)).select("held.*")
