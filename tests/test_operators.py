@@ -236,3 +236,11 @@ def test_empty_tables(spark, rows):
     assert ledger.fold_outcomes(none).count() == ledger.run_totals(none).count() == 0
     assert history.build_history(rows([], "path string, ord int, at int, content string")).count() == 0
     assert F is not None
+
+
+def test_tokens_give_the_union(rows):
+    schema = "path string, seq bigint, at bigint, status string, hash string, size bigint, updated_at bigint, error string, transient boolean, immutable boolean"
+    one = rows([("a", 1, 1, "done", "h", 1, None, None, False, True), ("b", 2, 2, "done", "g", 1, None, None, False, False), ("c", 3, 3, "forbidden", None, None, None, "no", False, True)], schema)
+    two = rows([("a", 1, 4, "forbidden", None, None, None, "no", False, True), ("b", 2, 5, "forbidden", None, None, None, "no", False, False), ("c", 3, 6, "done", "i", 1, None, None, False, True)], schema)
+    out = ledger.union_tokens(one, two)
+    assert got(out, "path", "status", "signature.hash") == [("a", "done", "h"), ("b", "forbidden", "g"), ("c", "done", "i")]

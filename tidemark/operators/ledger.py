@@ -102,6 +102,21 @@ def fold_outcomes(outcomes: DataFrame, previous: DataFrame | None = None) -> Dat
     )
 
 
+def union_tokens(*runs: DataFrame) -> DataFrame:
+    """The ledger of several identities' outcomes on one archive, in run order.
+
+    Outcomes have fold_outcomes' columns. Immutable objects (`immutable`) that an earlier
+    run settled aren't read again, so a later refusal can't replace them; of a mutable one
+    the status may regress while its last good signature stays.
+    """
+    rows = runs[0].withColumn("run", F.lit(0))
+    for i, r in enumerate(runs[1:], 1):
+        rows = rows.unionByName(r.withColumn("run", F.lit(i)))
+    earlier = rows.filter(F.col("immutable") & status_settled(F.col("status"))).groupBy("path").agg(F.min("run").alias("settled_in"))
+    kept = rows.join(earlier, "path", "left").filter("settled_in IS NULL OR run <= settled_in")
+    return fold_outcomes(kept.withColumn("seq", F.struct("run", "seq")).drop("run", "settled_in", "immutable"))
+
+
 def fold_gates(events: DataFrame) -> DataFrame:
     """path, status, attempts of reference gates from events (path, seq, event: open, clear, absent or fail).
 

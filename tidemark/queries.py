@@ -578,6 +578,63 @@ def rep07_all_workspaces(spark, d):
     return reports.all_workspaces(ws, t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).select("c_custkey", "name", "project")
 
 
+@query(f"SELECT url AS key FROM pages WHERE page_id % 9 = 0 AND page_id % 2 = 0")
+def jn10_mirror_leftovers(spark, d):
+    url = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("projects/p/workspaces/w/bundles/"), F.col("page_id"), F.lit(".zip"))).otherwise(F.concat(F.lit("plain/"), F.col("page_id")))
+    p = t(spark, d, "pages").select("page_id", "url", url.alias("key"))
+    index = p.filter("page_id % 2 = 1").select(F.concat("key", F.lit(".sidecar.ndjson")).alias("path"))
+    return reconcile.mirror_leftovers(p, index).join(p, "key").select(F.col("url").alias("key"))
+
+
+@query("SELECT 'config-versions/' || page_id || '.tar.gz' AS path, CASE WHEN page_id % 3 = 0 THEN 'write' WHEN page_id % 3 = 1 THEN 'keep' ELSE 'conflict' END AS action FROM pages WHERE page_id % 5 <> 0")
+def jn11_reconcile_stubs(spark, d):
+    i = F.col("page_id")
+    inv = t(spark, d, "pages").select(F.concat(F.lit("config-versions/"), i, F.lit(".tar.gz")).alias("key"), F.octet_length("html").alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), "page_id")
+    plan = reconcile.stub_plan(inv, inv.filter(i % 5 == 0).select(F.col("key").alias("path")))
+    stubs = inv.filter(i % 3 != 0).select(F.col("key").alias("path"), F.lit(1).alias("version"), "size", F.when(i % 3 == 2, "other").otherwise(F.col("sha256")).alias("sha256"))
+    return reconcile.reconcile_stubs(plan, stubs)
+
+
+@query(f"SELECT o.path FROM ({OBJECTS}) o JOIN ({ENTRIES}) e USING (path) WHERE e.status = 'done' AND o.doc_id % 3 <> 0")
+def jn15_sealed_elsewhere(spark, d):
+    fresh = _local(spark, d).select("path", F.col("sha256").alias("hash"), "size", "doc_id")
+    led = entries(spark, d).select("path", "status").join(fresh.select("path", F.struct("hash", "size").alias("signature")), "path")
+    return reconcile.sealed_elsewhere(fresh, led, fresh.filter("doc_id % 3 = 0")).select("path")
+
+
+@query("SELECT l_suppkey AS bundle, CASE WHEN bool_and(l_partkey % 97 <> 0) THEN 'reclaim' ELSE 'keep' END AS action, count(*) FILTER (l_partkey % 97 = 0) AS unproven FROM lineitem GROUP BY 1")
+def jn17_orphan_bundles(spark, d):
+    m = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("bundle"), F.col("l_partkey").alias("name"), F.md5(F.col("l_partkey").cast("string").cast("binary")).alias("sha256"))
+    return reconcile.orphan_bundles(m, m.filter("name % 97 <> 0").select("name", "sha256"))
+
+
+@query("SELECT user_id AS path, CASE event_type WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'reference-cleared' WHEN 'click' THEN 'reference-absent' END AS status FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('error', 'signup', 'click') GROUP BY 1)")
+def cdc06_fold_gates(spark, d):
+    e = F.col("event_type")
+    rows = t(spark, d, "events").filter(e.isin("error", "signup", "click")).select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.when(e == "error", "fail").when(e == "signup", "clear").otherwise("absent").alias("event"))
+    return ledger.fold_gates(rows).select("path", "status")
+
+
+@query("SELECT 'p' || user_id || '@' || strftime(ts, '%Y%m%dT%H%M%S') AS path, event_id, CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-10' THEN 'absent' WHEN event_type = 'error' THEN 'errored' ELSE 'done' END AS status FROM events")
+def cdc11_superseded_revisions(spark, d):
+    base = F.concat(F.lit("p"), F.col("user_id"))
+    e = t(spark, d, "events").select(F.concat(base, F.lit("@"), F.date_format("ts", "yyyyMMdd'T'HHmmss")).alias("path"), "event_id", F.when(F.col("event_type") == "error", "errored").otherwise("done").alias("status"))
+    return ledger.superseded_revisions(e, t(spark, d, "events").select(base.alias("path"), F.lit("20240110T000000").alias("stamp")).distinct())
+
+
+@query(f"""SELECT path, arg_max(status, seq) AS status, count(*) AS attempts FROM (SELECT * FROM ({OUTCOMES}) WHERE seq < 4000 OR path NOT IN (SELECT path FROM ({OUTCOMES}) WHERE seq < 4000 AND status IN ('done', 'absent') AND CAST(split_part(path, '/', 2) AS BIGINT) % 2 = 0)) GROUP BY path""")
+def set02_union_tokens(spark, d):
+    rows = outcomes(spark, d).withColumn("immutable", F.split_part("path", F.lit("/"), F.lit(2)).cast("long") % 2 == 0)
+    return ledger.union_tokens(rows.filter("seq < 4000"), rows.filter("seq >= 4000")).select("path", "status", "attempts")
+
+
+@query("SELECT o_orderkey AS stem, (o_orderkey % 1000 + 1) || '.0 KiB' AS size FROM orders")
+def rep06_states_report(spark, d):
+    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.lit("json").alias("suffix"))
+    states = t(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_orderkey").alias("serial"), ((F.col("o_orderkey") % 1000 + 1) * 1024).alias("size"))
+    return reports.states_report(states, files).select("stem", "size")
+
+
 def queries() -> dict[str, Query]:
     """By name."""
     return dict(_QUERIES)
