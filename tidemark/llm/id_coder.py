@@ -27,12 +27,23 @@ LOW_CONTEXTS = 1024
 _HEAD = struct.Struct("<4sBBxxQII")  # magic, version, digits, ids, ids per block, blocks
 _U64 = np.uint64
 _TOP, _BOTTOM, _LOW32 = _U64(1 << 48), _U64(1 << 32), _U64((1 << 32) - 1)
-_16, _15, _32 = _U64(16), _U64(15), _U64(32)
-#: Where a digit's distribution is drawn: its cumulative counts at a total of 32768, at least 1 for each digit.
-_TARGET = np.array([[i if i <= s else 32768 - 16 + i for i in range(17)] for s in range(16)], np.int32)
+#: Where a digit's distribution is drawn: its cumulative counts below a total of 16384, at least 1 for each digit.
+_TOTAL_BITS = 14
+_TARGET = np.array([[i if i <= s else (1 << _TOTAL_BITS) - 16 + i for i in range(16)] for s in range(16)], np.int16)
+#: Adds the eight bytes of a word into its highest.
+_SUM_BYTES, _56 = _U64(0x0101010101010101), _U64(56)
+_16, _14, _32 = _U64(16), _U64(_TOTAL_BITS), _U64(32)
 _RATE = (5, 5, 4, 4, 4)
 
 
+def _share(cdf: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's digit begins in its distribution, and how much of it it has."""
+    flat, at = cdf.ravel(), np.arange(0, cdf.size, 16) + symbol
+    start = flat.take(at)
+    end = np.where(symbol == 15, 1 << _TOTAL_BITS, flat.take(at + 1, mode="clip"))
+    return start.astype(_U64), (end - start).astype(_U64)
+
+
 class _Encoder:
     def __init__(self, lanes: int, capacity: int):
         self.low, self.range = np.zeros(lanes, _U64), np.full(lanes, _TOP)
@@ -56,9 +67,9 @@ class _Encoder:
         return bit
 
     def digit(self, lanes, cdf, symbol):
-        r, rows = self.range[lanes] >> _15, np.arange(len(lanes))
-        start = cdf[rows, symbol].astype(_U64)
-        self._shift(lanes, self.low[lanes] + r * start, r * (cdf[rows, symbol + 1].astype(_U64) - start))
+        r = self.range[lanes] >> _14
+        start, size = _share(cdf, symbol)
+        self._shift(lanes, self.low[lanes] + r * start, r * size)
         return symbol
 
     def finish(self) -> list[np.ndarray]:
@@ -97,11 +108,12 @@ class _Decoder:
         return bit
 
     def digit(self, lanes, cdf, _):
-        r, code, rows = self.range[lanes] >> _15, self.code[lanes], np.arange(len(lanes))
-        value = np.minimum(code // r, _U64(32767)).astype(np.uint16)
-        symbol = (cdf[:, 1:16] <= value[:, None]).sum(axis=1)
-        start = cdf[rows, symbol].astype(_U64)
-        self._shift(lanes, code - r * start, r * (cdf[rows, symbol + 1].astype(_U64) - start))
+        r, code = self.range[lanes] >> _14, self.code[lanes]
+        value = np.minimum(code // r, _U64((1 << _TOTAL_BITS) - 1)).astype(np.int16)
+        below = (cdf <= value[:, None]).view(_U64)
+        symbol = ((((below[:, 0] + below[:, 1]) * _SUM_BYTES) >> _56) - _U64(1)).astype(np.int64)
+        start, size = _share(cdf, symbol)
+        self._shift(lanes, code - r * start, r * size)
         return symbol
 
 
@@ -114,7 +126,7 @@ class _Model:
         self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]  # and how often it came again: 0..3
         self.by_high, self.by_low = (np.full(lanes * 16, 16384, np.int32) for _ in range(2))
         self.weight = np.full(lanes * 2, 32768, np.int32)
-        flat = (np.arange(17) * 2048).astype(np.uint16)
+        flat = (np.arange(16) << _TOTAL_BITS - 4).astype(np.int16)
         self.cdf = [np.tile(flat, (lanes * c, 1)) for c in ([1, 16, 256, LOW_CONTEXTS, LOW_CONTEXTS][:digits])]
 
     def _flag(self, coder, kind, lanes, high, low, bit):
@@ -151,10 +163,10 @@ class _Model:
                 table = self.cdf[i]
                 contexts = len(table) // (len(self.weight) // 2)
                 context = l0 * contexts + (value if i < 3 else ((value * 40503) >> 3) & (contexts - 1))
-                cdf = table[context]
+                cdf = table.take(context, axis=0)
                 digit = coder.digit(l0, cdf, (ids[rest] >> 4 * (self.digits - 1 - i)) & 15 if coding else None)
-                now = cdf.astype(np.int32)
-                table[context] = now + ((_TARGET[digit] - now) >> _RATE[i])
+                cdf += (_TARGET.take(digit, axis=0) - cdf) >> _RATE[i]
+                table[context] = cdf
                 value = value << 4 | digit
             out[rest] = value
         for k, slot, guess, trust in ((0, one, guess1, trust1), (1, two, guess2, trust2)):
