@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
+from .shingles import forget
 from .tokenizing import slices, unit_encoder
 
 WINDOWS = 32
@@ -112,6 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # an earlier stage's words: a worker that is used again keeps them
         encoder = unit_encoder(tokenizer_path, True)
         part, done, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         rows: list[tuple] = []

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words a Python worker remembers the hash of before it starts afresh: bounds its memory, not the result.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 _known: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -28,6 +28,11 @@ def words_of(text: bytes, lower: bool = True) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
+def forget() -> None:
+    """Give back the memory of remembered words, for a stage that needs it for something else."""
+    _known.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash per word."""
     if len(_known) > MAX_WORDS:
