@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .tokenizing import MAX_UNITS, white_space_units
+from .tokenizing import trimmed, white_space_units
 
 #: Characters of a text in one chunk.
 CHUNK_CHARS = 1 << 18
@@ -182,9 +182,8 @@ class TextCounter:
 
     def text(self, text: str) -> int:
         """Tokens of a text that begins and ends at white space or at its ends."""
-        known, total = self.known, 0
-        if len(known) > MAX_UNITS:
-            known.clear()
+        self.known = known = trimmed(self.known)
+        total = 0
         for u in white_space_units(text):
             n = known.get(u)
             if n is None:

@@ -8,20 +8,28 @@ for new ones.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import islice
 
-import numpy as np
+import public_tokenizers
 
 #: Units remembered by a Python worker before it starts afresh: bounds its memory, not the result.
-MAX_UNITS = 400_000
+MAX_UNITS = 900_000
+#: Those it keeps then: the ones met first, which are the frequent ones.
+KEPT_UNITS = 400_000
 #: What str.split() takes for white space and the tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = "\t-\r\x85\xa0  -     　"
 _SPACE = re.compile(f"[ {_WHITE}]+")
 _RUN = re.compile(f"[ ][{_WHITE}\x1c-\x1f]|[{_WHITE}\x1c-\x1f]{{2}}")
 
+#: A word of Latin letters, perhaps with one mark after it: two pre-tokens under either tokenizer's pattern.
+_LATIN_WORD = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0236]+)([.,;:!?]?)")
+
 
 def white_space_units(text: str) -> list[str]:
     """The parts of a text between white space, for tokenizers that drop it."""
@@ -41,34 +49,75 @@ def spaced_units(text: str) -> list[str]:
     return ([first] if first else []) + [" " + x for x in rest]
 
 
+def trimmed(known: dict) -> dict:
+    """A memory that has grown too large, cut back to what came first."""
+    return dict(islice(known.items(), KEPT_UNITS)) if len(known) > MAX_UNITS else known
+
+
 class UnitEncoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Units not met before are cut into the tokenizer's pre-tokens; the library is asked for pre-tokens not met before.
+    """
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.units = white_space_units if drops_space else spaced_units
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        normalizer = self.tokenizer.normalizer
+        self.normalize = normalizer.normalize_str if normalizer else str
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        found = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"] or [public_tokenizers.PATTERN] * (steps[0]["type"] == "ByteLevel" and not steps[0]["add_prefix_space"])
+        self.cut = regex.compile(found[0]).findall if found else None
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for i in range(0, len(texts), 4096):
+            part = texts[i : i + 4096]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[u] = array("I", e.ids).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Make the ids of new units known."""
+        self.pieces = trimmed(self.pieces)
+        if self.cut is None or any(x in "".join(new) for x in self.special):
+            whole = [u for u in new if self.cut is None or any(x in u for x in self.special)]
+            self._ask(whole, self.known)
+            new = list({*new} - {*whole})
+        lower = self.units is white_space_units
+        cut = []
+        for u in new:
+            m = _LATIN_WORD.fullmatch(u)
+            if m:  # the commonest shape; its letters have no other normal form
+                word, mark = m.groups()
+                word = word.lower() if lower else word
+                cut.append((word, mark) if mark else (word,))
+            else:
+                cut.append(self.cut(u.lower() if lower and u.isascii() else self.normalize(u)))
+        self._ask(list(set().union(*cut) - self.pieces.keys()), self.pieces)
+        piece, join = self.pieces.__getitem__, b"".join
+        self.known.update(zip(new, [piece(parts[0]) if len(parts) == 1 else join(map(piece, parts)) for parts in cut], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object per text."""
-        if len(self.known) > MAX_UNITS:
-            self.known.clear()
-        known, cut = self.known, [self.units(t) for t in texts]
-        new = list({u for us in cut for u in us if u not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join([known[u] for u in us]) for us in cut]
-        if any(len(u) > 1000 for u in new):  # whole texts with runs of white space are not worth keeping
-            for u in new:
-                if len(u) > 1000:
-                    del known[u]
+        self.known = trimmed(self.known)
+        cut = [self.units(t) for t in texts]
+        new = list(set().union(*cut) - self.known.keys())
+        self._learn(new)
+        known = self.known.__getitem__
+        out = [b"".join(map(known, us)) for us in cut]
+        for u in new:
+            if len(u) > 200:  # whole texts with runs of white space are not worth keeping
+                del self.known[u]
         return out
 
 
