@@ -18,9 +18,9 @@ from itertools import islice
 import public_tokenizers
 
 #: Units remembered by a Python worker before it starts afresh: bounds its memory, not the result.
-MAX_UNITS = 900_000
+MAX_UNITS = 500_000
 #: Those it keeps then: the ones met first, which are the frequent ones.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 300_000
 #: What str.split() takes for white space and the tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = "\t-\r\x85\xa0  -     　"
