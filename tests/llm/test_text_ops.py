@@ -185,6 +185,18 @@ def test_passages_link_past_a_chance_first_document(rows):
     assert found == {2, 3, 4}
 
 
+def test_passages_of_frequent_lines_are_compared_with_every_document(rows):
+    lines = [prose(100 + i, 14) for i in range(4)]
+    texts = [prose(300 + i, 60) + [w for j, line in enumerate(lines) for w in prose(10000 + 10 * i + j, 20) + line] for i in range(40)]
+    for pair in range(12):
+        shared = [w for j, line in enumerate(lines) for w in prose(7000 + 10 * pair + j, 1) + line]
+        texts += [prose(5000 + 2 * pair + i, 70) + shared + prose(6000 + 2 * pair + i, 70) for i in range(2)]
+    docs = rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for limits in ({"group": 4}, {}):  # split by further minima; as registered
+        found = op01_substring_dedup.repeated_passages(docs, **limits).collect()
+        assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(40, 64, 2)}
+
+
 def test_packing_places_every_id_once(rows, edge):
     tokenizer, rng = Tokenizer.from_file(WORD), random.Random(8)
     docs = edge.select("doc_id", "text", "n_tokens").unionByName(rows([(100 + i, " ".join(prose(i, rng.choice([5, 60, 700, 2500]))), "x") for i in range(60)], "doc_id bigint, text string, n_tokens string")).filter("doc_id IS NULL OR doc_id <> 4").repartition(5)
