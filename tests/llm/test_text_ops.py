@@ -197,6 +197,16 @@ def test_passages_of_frequent_lines_are_compared_with_every_document(rows):
         assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(40, 64, 2)}
 
 
+def test_a_document_whose_passage_is_found_stays_a_source(rows):
+    texts = []
+    for i in range(0, 120, 10):
+        p, q = prose(3000 + i, 60), prose(3001 + i, 25)
+        texts += [p + prose(3002 + i, 60), prose(3003 + i, 60) + p + q + prose(3004 + i, 60), prose(3005 + i, 60) + p[30:] + q + prose(3006 + i, 60)]
+    found = op01_substring_dedup.repeated_passages(rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    want = {x for i in range(0, 36, 3) for x in ((i + 1, 60, 120, i), (i + 2, 60, 115, i + 1))}
+    assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == want
+
+
 def test_packing_places_every_id_once(rows, edge):
     tokenizer, rng = Tokenizer.from_file(WORD), random.Random(8)
     docs = edge.select("doc_id", "text", "n_tokens").unionByName(rows([(100 + i, " ".join(prose(i, rng.choice([5, 60, 700, 2500]))), "x") for i in range(60)], "doc_id bigint, text string, n_tokens string")).filter("doc_id IS NULL OR doc_id <> 4").repartition(5)
