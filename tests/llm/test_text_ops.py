@@ -207,6 +207,14 @@ def test_a_document_whose_passage_is_found_stays_a_source(rows):
     assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == want
 
 
+def test_a_run_that_spoils_a_passage_is_left_out():
+    own = np.arange(10**6, 10**6 + 200, dtype=np.int32)
+    p, line = np.arange(96, dtype=np.int32), np.arange(500, 510, dtype=np.int32)
+    for shift in (0, 10, 20, 26, 30):
+        found = op01_substring_dedup.shared_passages(np.r_[p, own[:4], line], np.r_[p, own[50 : 54 + shift], line], 0, 5, 46, 80)
+        assert len(found) == 1 and found[0][0] == found[0][2] == 0 and found[0][1] >= 96 and found[0][4] >= 0.8, shift
+
+
 def test_packing_places_every_id_once(rows, edge):
     tokenizer, rng = Tokenizer.from_file(WORD), random.Random(8)
     docs = edge.select("doc_id", "text", "n_tokens").unionByName(rows([(100 + i, " ".join(prose(i, rng.choice([5, 60, 700, 2500]))), "x") for i in range(60)], "doc_id bigint, text string, n_tokens string")).filter("doc_id IS NULL OR doc_id <> 4").repartition(5)
