@@ -215,6 +215,18 @@ def test_a_run_that_spoils_a_passage_is_left_out():
         assert len(found) == 1 and found[0][0] == found[0][2] == 0 and found[0][1] >= 96 and found[0][4] >= 0.8, shift
 
 
+def test_every_place_of_a_source_is_linked(rows):
+    texts = []
+    for i in range(0, 120, 10):
+        line = prose(4000 + i, 30)
+        p = prose(4001 + i, 12) + line + prose(4002 + i, 12)
+        texts += [prose(4003 + i, 60) + line + prose(4004 + i, 200) + p, prose(4005 + i, 60) + p + prose(4006 + i, 60)]
+    docs = rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for limits in ({}, {"group": 1, "pairs": 0}):  # as registered; by links to smallest documents alone
+        found = op01_substring_dedup.repeated_passages(docs, **limits).collect()
+        assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == {(i + 1, 60, 114, i) for i in range(0, 24, 2)}
+
+
 def test_packing_places_every_id_once(rows, edge):
     tokenizer, rng = Tokenizer.from_file(WORD), random.Random(8)
     docs = edge.select("doc_id", "text", "n_tokens").unionByName(rows([(100 + i, " ".join(prose(i, rng.choice([5, 60, 700, 2500]))), "x") for i in range(60)], "doc_id bigint, text string, n_tokens string")).filter("doc_id IS NULL OR doc_id <> 4").repartition(5)
