@@ -31,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .tokenizing import trimmed, white_space_units
+from .tokenizing import white_space_units
 
 #: Characters of a text in one chunk.
 CHUNK_CHARS = 1 << 18
 #: Transducer states a worker keeps before compiling afresh: bounds its memory, not the result.
 MAX_STATES = 250_000
 
+#: Units whose counts a worker remembers before it starts afresh: bounds its memory, not the result.
+MAX_UNITS = 200_000
+
 _SPACES = re.compile(r"[ \t\n\r]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -182,7 +185,9 @@ class TextCounter:
 
     def text(self, text: str) -> int:
         """Tokens of a text that begins and ends at white space or at its ends."""
-        self.known = known = trimmed(self.known)
+        known = self.known
+        if len(known) > MAX_UNITS:
+            known.clear()
         total = 0
         for u in white_space_units(text):
             n = known.get(u)

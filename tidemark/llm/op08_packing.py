@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .shingles import forget
-from .tokenizing import slices, unit_encoder
+from .tokenizing import text_encoder, text_slices
 
 WINDOWS = 32
 #: Room for fewer tokens than this is padded rather than filled by cutting a piece.
@@ -113,8 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()  # an earlier stage's words: a worker that is used again keeps them
-        encoder = unit_encoder(tokenizer_path, True)
+        encoder = text_encoder(tokenizer_path, True)
         part, done, end = TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         rows: list[tuple] = []
 
@@ -125,13 +123,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
         packer = Packer(size, windows, close)
         for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()), strict=True))
-            for some in slices(pairs, 256, weight=lambda p: len(p[1])):
-                for (doc, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
-                    packer.document(doc, ids + end)
-                if len(rows) > 4096:
-                    yield _batch(rows)
-                    rows.clear()
+            for some in text_slices(batch, 1):
+                found = encoder.encode(some.column(1))
+                flat, starts, ends = found.flat.astype("<u4"), found.starts.tolist(), (found.starts + found.lengths).tolist()
+                for doc, a, b in zip(some.column(0).to_pylist(), starts, ends, strict=True):
+                    packer.document(doc, flat[a:b].tobytes() + end)
+                    if len(rows) > 4096:
+                        yield _batch(rows)
+                        rows.clear()
         for w in packer.open:
             rows.extend((*r, p[2], part // FAN_IN + 1) for r, p in zip(_rows(w, part << 32 | done), w.pieces, strict=True))
             done += 1

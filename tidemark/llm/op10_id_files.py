@@ -20,19 +20,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .id_coder import decode, encode
-from .tokenizing import slices, unit_encoder
+from .id_coder import BLOCK_IDS, decode, encode
+from .tokenizing import text_encoder, text_slices
 
-#: Ids in a chunk (a document longer than that has a chunk to itself), and blocks it is cut into at most.
-CHUNK_IDS, LANES = 1 << 22, 1024
-BLOCK_IDS = (512, 4096)
+#: Ids in a chunk, which is one block of the coder (a longer document has a chunk of several blocks to itself).
+CHUNK_IDS = BLOCK_IDS
 CHUNK = "file long, chunk long, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
-def _chunk(file: int, chunk: int, start: int, docs: list, parts: list[bytes]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(parts), "<u4")
-    block = int(min(max(-(-len(ids) // LANES), BLOCK_IDS[0]), BLOCK_IDS[1]))
-    values = [[file], [chunk], [start], [len(ids)], [docs], [[len(p) // 4 for p in parts]], [encode(ids, block)]]
+def _chunk(file: int, chunk: int, start: int, docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+    ids = np.concatenate(parts)
+    values = [[file], [chunk], [start], [len(ids)], [docs], [[len(p) for p in parts]], [encode(ids)]]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in CHUNK.split(", ")])
 
@@ -46,20 +44,21 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, end = unit_encoder(tokenizer_path, drops_space), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        encoder, file, end = text_encoder(tokenizer_path, drops_space), TaskContext.get().partitionId(), np.array([end_id], np.int32)
         chunk = start = held = 0
         names: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()), strict=True))
-            for some in slices(pairs, 256, weight=lambda p: len(p[1])):
-                for (doc, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
-                    if held and held + len(ids) // 4 + 1 > CHUNK_IDS:
+            for some in text_slices(batch, 1):
+                found = encoder.encode(some.column(1))
+                for i, doc in enumerate(some.column(0).to_pylist()):
+                    ids = np.concatenate([found.of(i), end])
+                    if held and held + len(ids) > CHUNK_IDS:
                         yield _chunk(file, chunk, start, names, parts)
                         chunk, start, held, names, parts = chunk + 1, start + held, 0, [], []
                     names.append(doc)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+                    parts.append(ids)
+                    held += len(ids)
         if held:
             yield _chunk(file, chunk, start, names, parts)
 
