@@ -196,7 +196,7 @@ def test_passages_of_frequent_lines_are_compared_with_every_document(rows):
         shared = [w for j, line in enumerate(lines) for w in prose(7000 + 10 * pair + j, 1) + line]
         texts += [prose(5000 + 2 * pair + i, 70) + shared + prose(6000 + 2 * pair + i, 70) for i in range(2)]
     docs = rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    for limits in ({"group": 4}, {}):  # split by further minima; as registered
+    for limits in ({"group": 4}, {}):  # few documents linked pair by pair; as registered
         found = op01_substring_dedup.repeated_passages(docs, **limits).collect()
         assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(40, 64, 2)}
 
@@ -226,7 +226,7 @@ def test_every_place_of_a_source_is_linked(rows):
         p = prose(4001 + i, 12) + line + prose(4002 + i, 12)
         texts += [prose(4003 + i, 60) + line + prose(4004 + i, 200) + p, prose(4005 + i, 60) + p + prose(4006 + i, 60)]
     docs = rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    for limits in ({}, {"group": 1, "pairs": 0}):  # as registered; by links to smallest documents alone
+    for limits in ({}, {"group": 1}):  # as registered; by links to smallest and neighbouring documents alone
         found = op01_substring_dedup.repeated_passages(docs, **limits).collect()
         assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == {(i + 1, 60, 114, i) for i in range(0, 24, 2)}
 

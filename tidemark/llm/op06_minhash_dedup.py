@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, if_small, written
 from .components import components
-from .shingles import mix, odd_numbers, shingle_hashes, words_of
+from .shingles import mix, odd_numbers, row_shingles
+from .tokenizing import text_slices
 
 BANDS = 32
+#: Bytes of text hashed at a time.
+HASHED_BYTES = 2 << 20
 #: The chance that a link exactly at the threshold meets in no band stays below this.
 MISS = 1e-7
 
@@ -76,13 +79,15 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(rows)
         for batch in batches:
-            sizes, ids, bands = [], [], []
-            for text in batch.column(1).to_pylist():
-                unique = np.unique(shingle_hashes(words_of(text or b""), k))
-                sizes.append(len(unique))
-                ids.append(xxhash.xxh3_128_digest(unique.tobytes()) if len(unique) else None)
-                bands.append(signer.bands(unique) if len(unique) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+            for part in text_slices(batch, 1, HASHED_BYTES):
+                flat, at = row_shingles(part.column(1), k)
+                sizes, ids, bands = [], [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    unique = np.unique(flat[a:b])
+                    sizes.append(len(unique))
+                    ids.append(xxhash.xxh3_128_digest(unique.tobytes()) if len(unique) else None)
+                    bands.append(signer.bands(unique) if len(unique) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
 
     rows_in = id_and_text(docs).select("doc_id", F.col("text").cast("binary"))
     return rows_in.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
@@ -93,9 +98,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):  # sets are as large as their texts: hand them on in small batches
-                part = batch.slice(i, 256)
-                sets = [np.unique(shingle_hashes(words_of(t or b""), k)).view(np.int64) for t in part.column(1).to_pylist()]
+            for part in text_slices(batch, 1, HASHED_BYTES):  # sets are as large as their texts: hand them on in small batches
+                flat, at = row_shingles(part.column(1), k)
+                sets = [np.unique(flat[a:b]).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     wanted = id_and_text(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
