@@ -12,11 +12,13 @@ from which a vocabulary token can still reach beyond this place: how far back
 they are, which token ended there, and how many tokens fewer they had. Token
 length bounds them.
 
-A long text is cut into chunks. A chunk's state map is constant once its first
-white space has brought every entry state to the same one, so it is kept as
-(head, count, tail): what comes before the first white space, the tokens
-between, and what follows the last. Maps compose associatively; the maps of a
-text's chunks are composed pairwise in a parallel prefix scan.
+A text is cut into chunks, at white space where there is any nearby. A chunk's
+state map tells for each entry state the state it ends in and the tokens it
+emits. White space leads every state back to the first, so a chunk that begins
+after it needs one entry; a chunk cut from an unbroken run of letters has the
+states that reading the symbols before it can lead to, and others are added
+when they are met. Maps compose associatively; a prefix scan composes the maps
+of a text's chunks, and its last element counts the text.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .tokenizing import white_space_units
+from .tokenizing import text_slices, white_space_units
 
-#: Characters of a text in one chunk.
-CHUNK_CHARS = 1 << 18
+#: Characters of a text in one chunk, and symbols in one of an unbroken run.
+CHUNK_CHARS = 2048
+#: Symbols before a chunk that are read to guess the states it can be entered in.
+LOOK_BACK = 64
 #: Transducer states a worker keeps before compiling afresh: bounds its memory, not the result.
 MAX_STATES = 250_000
 
@@ -132,18 +136,63 @@ class CountTransducer:
         self.to[state][symbol] = to, more
         return to, more
 
-    def count(self, word: bytes) -> int:
-        """Tokens of one pre-token."""
+    def symbols(self, word: bytes) -> list[int]:
+        """The symbols of one pre-token."""
+        return [*word[:-1], word[-1] + self.end] if word else []
+
+    def read(self, state: int, symbols: list[int]) -> tuple[int, int]:
+        """The state after some symbols and the tokens they emit; a word's end leads back to the first state."""
+        total, to = 0, self.to
+        for symbol in symbols:
+            state, more = to[state].get(symbol) or self._compile(state, symbol)
+            total += more
+            if symbol > 255:
+                state = 0
+        return state, total
+
+    def fresh(self) -> None:
+        """Compile afresh if there are too many states; the numbers of states are good until then."""
         if len(self.states) > MAX_STATES:
             self._restart()
-        if not word:
-            return 0
-        state, total, to = 0, 0, self.to
-        for symbol in (*word[:-1], word[-1] + self.end):
-            step = to[state].get(symbol) or self._compile(state, symbol)
-            state = step[0]
-            total += step[1]
-        return total
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one pre-token."""
+        return self.read(0, self.symbols(word))[1]
+
+
+class StateMap:
+    """entry state -> (exit state, tokens) of one chunk; a composed map asks its parts for entries it hasn't got."""
+
+    __slots__ = ("ask", "found")
+
+    def __init__(self, found: dict[int, tuple[int, int]], ask):
+        self.found, self.ask = found, ask
+
+    def __getitem__(self, state: int) -> tuple[int, int]:
+        got = self.found.get(state)
+        if got is None:
+            got = self.found[state] = self.ask(state)
+        return got
+
+
+def compose(a: StateMap, b: StateMap) -> StateMap:
+    """The map of two neighbouring chunks."""
+
+    def ask(state: int) -> tuple[int, int]:
+        middle, first = a[state]
+        last, second = b[middle]
+        return last, first + second
+
+    return StateMap({state: ask(state) for state in a.found}, ask)
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """Inclusive prefix compositions, doubling the distance in each round."""
+    out, step = list(maps), 1
+    while step < len(out):
+        out = [compose(out[i - step], out[i]) if i >= step else out[i] for i in range(len(out))]
+        step *= 2
+    return out
 
 
 class TextCounter:
@@ -167,21 +216,19 @@ class TextCounter:
         self.transducer = CountTransducer(spec["model"])
         self.known: dict[str, int] = {}
 
-    def unit(self, text: str) -> int:
-        """Tokens of a text without white space; a special string counts as one."""
-        total = 0
-        if self.special and self.special.search(text):
-            total = len(self.special.findall(text))
-            parts = self.special.split(text)
+    def words_of(self, unit: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text without white space, and how many special strings stand in it, a token each."""
+        if self.special and self.special.search(unit):
+            parts, special = self.special.split(unit), len(self.special.findall(unit))
         else:
-            parts = [text]
+            parts, special = [unit], 0
+        words: list[str] = []
         for part in parts:
             if part.isascii() and self.plain:
-                words = _ASCII_WORDS.findall(part.lower())
+                words += _ASCII_WORDS.findall(part.lower())
             else:
-                words = self.words.findall(self.normalize(part))
-            total += sum(self.transducer.count(w.encode()) for w in words)
-        return total
+                words += self.words.findall(self.normalize(part))
+        return words, special
 
     def text(self, text: str) -> int:
         """Tokens of a text that begins and ends at white space or at its ends."""
@@ -192,42 +239,51 @@ class TextCounter:
         for u in white_space_units(text):
             n = known.get(u)
             if n is None:
-                n = self.unit(u)
+                words, n = self.words_of(u)
+                n += sum(self.transducer.count(w.encode()) for w in words)
                 if len(u) <= 200:
                     known[u] = n
             total += n
         return total
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, count, tail); a chunk without white space is all head, and its tail is None."""
-        first = _SPACES.search(chunk)
-        if not first:
-            return chunk, 0, None
-        last = max(chunk.rfind(c) for c in " \t\n\r")
-        return chunk[: first.start()], self.text(chunk[first.start() : last + 1]), chunk[last + 1 :]
-
-    def compose(self, a: tuple, b: tuple) -> tuple[str, int, str | None]:
-        """The map of two neighbouring chunks."""
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.text(a[2] + b[0]) + b[1], b[2]
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix compositions, doubling the distance in each round."""
-        out, step = list(maps), 1
-        while step < len(out):
-            out = [self.compose(out[i - step], out[i]) if i >= step else out[i] for i in range(len(out))]
-            step *= 2
+    def _run_maps(self, run: str, size: int) -> list[StateMap]:
+        """The maps of a long unbroken run: its symbols, `size` to a chunk."""
+        found = [self.words_of(u) for u in white_space_units(run)]
+        special = sum(n for _, n in found)
+        symbols = [x for words, _ in found for w in words for x in self.transducer.symbols(w.encode())]
+        maps = [StateMap({0: (0, special)}, lambda _: (0, special))]
+        for at in range(0, len(symbols), size):
+            part = symbols[at : at + size]
+            entry = self.transducer.read(0, symbols[max(0, at - LOOK_BACK) : at])[0]
+            ask = lambda state, part=part: self.transducer.read(state, part)
+            maps.append(StateMap({state: ask(state) for state in {entry} | ({0} if not at else set())}, ask))
+        return maps
+
+    def maps(self, text: str, size: int = CHUNK_CHARS) -> list[StateMap]:
+        """The maps of a text's chunks of about `size` characters."""
+        out, at = [], 0
+        while at < len(text):
+            cut = at + size
+            if cut >= len(text):
+                cut = len(text)
+            elif not _SPACES.match(text, cut):
+                last = max(text.rfind(c, at, cut) for c in " \t\n\r")
+                after = _SPACES.search(text, cut) if last <= at else None
+                cut = last if last > at else after.start() if after else len(text)
+            part = text[at:cut]
+            if len(part) > 2 * size:  # nothing but one unbroken run, perhaps after one white space
+                out += self._run_maps(part, size)
+            else:
+                n = self.text(part)
+                out.append(StateMap({0: (0, n)}, lambda _, n=n: (0, n)))
+            at = cut
         return out
 
-    def total(self, maps: list[tuple]) -> int:
-        """Tokens of a text from its chunks' maps: the scan's last element, reduced as a tree."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        return self.text(head) + count + (self.text(tail) if tail else 0)
+    def total(self, text: str, size: int = CHUNK_CHARS) -> int:
+        """Tokens of a whole text, by the scan of its chunks' maps."""
+        self.transducer.fresh()
+        prefixes = scan(self.maps(text, size))
+        return prefixes[-1][0][1] if prefixes else 0
 
 
 @lru_cache(maxsize=2)
@@ -242,21 +298,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
     n_bytes counts UTF-8 bytes; over_limit is n_tokens > limit. A null text
     counts as empty; a null doc_id is kept; repeated rows stay repeated; other
     columns are left out; an empty table gives an empty result. A text of any
-    length is read whole, chunk by chunk.
+    length is read whole, chunk by chunk, by the task that has its row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(tokenizer_path)
         for batch in batches:
-            counts = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                if len(text) <= chunk_chars:
-                    counts.append(counter.text(text))
-                else:
-                    maps = [counter.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
-                    counts.append(counter.total(maps))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for part in text_slices(batch, 1):
+                counts = [counter.total(text or "", chunk_chars) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_and_text(docs).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
