@@ -95,26 +95,28 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     return out.select("conv_id", "formatted", F.size("source").cast("long").alias("n_turns"), "loss_spans", "n_escaped", F.coalesce(parse(F.col("formatted")) == F.col("source"), F.lit(False)).alias("round_trip"))
 
 
-def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed again from `formatted` alone.
+def loss_text(formatted: DataFrame) -> DataFrame:
+    """The rows with loss_text: what stands under the loss spans, unescaped, in order."""
+    cut = F.transform("loss_spans", lambda s: unescape_text(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    return formatted.withColumn("loss_text", F.array_join(cut, ""))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, round_trip of format_conversations' output.
 
-    A conversation the grammar doesn't hold for has null digests.
+    Turns are parsed again from `formatted`, and the loss columns are those of
+    the text under its loss spans. A conversation the grammar doesn't hold for
+    has null turns; one without loss spans has an empty loss text. Repeated
+    rows stay repeated, a null conv_id is kept, an empty table gives no rows.
     """
-    parsed = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.col("round_trip"))
+    parsed = loss_text(formatted).withColumn("turns", parse(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
     return parsed.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "round_trip",
     )
-
-
-def loss_text(formatted: DataFrame) -> DataFrame:
-    """conv_id, loss_text: what stands under the loss spans, unescaped."""
-    cut = F.transform("loss_spans", lambda s: unescape_text(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select("conv_id", F.array_join(cut, "").alias("loss_text"))
