@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
+from .tokenizing import text_slices
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"]
 _SYMBOLS = b"#*$%&|<>"
@@ -89,9 +90,10 @@ def _measured(docs: DataFrame, rules: tuple[Rule, ...], held: list[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t or b"") for t in batch.column(2).to_pylist()]
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["held", "doc_id", *MEASURES])
+            for part in text_slices(batch, 2):
+                found = [measure(t or b"") for t in part.column(2).to_pylist()]
+                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["held", "doc_id", *MEASURES])
 
     return rows.mapInArrow(run, out).withColumn("fail_bits", fail_bits(rules))
 
@@ -134,17 +136,27 @@ def ablations(ledger: DataFrame, policy: str | int = "v1", rules: tuple[Rule, ..
     return patterns.select("bits", "n", per_rule).groupBy(F.col("r.rule").alias("rule")).agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("failed"), F.coalesce(F.sum(F.when(hit & (F.bit_count("bits") == 1), F.col("n"))), F.lit(0)).alias("only_this"))
 
 
-def common_failures(ledger: DataFrame, by: str) -> DataFrame:
-    """Per value of `by`: the bits that some document and that every document of it fails."""
-    return ledger.groupBy(by).agg(F.bit_or("fail_bits").alias("some_fail"), F.bit_and("fail_bits").alias("all_fail"))
+def rescued_by(policy: str | int, bits: str = "fail_bits") -> Column:
+    """The bit of the rule without which a policy would keep a ledger row that it rejects; 0 if there is none."""
+    mask = F.lit(POLICIES[policy] if isinstance(policy, str) else policy)
+    hit = F.col(bits).bitwiseAND(mask)
+    return F.when(F.bit_count(hit) == 1, hit).otherwise(F.lit(0).cast("long"))
 
 
 def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """doc_id, the measurements, base_failed, kept, fail_bits. Base failures are rejected whatever the policy."""
-    return quality_ledger(docs).withColumn("base_failed", rejected("base")).withColumn("kept", ~rejected("base") & ~rejected(policy))
+    """doc_id, the measurements, base_failed, kept, fail_bits, rescued_by. Base failures are rejected whatever the policy.
+
+    Nulls, repeated rows, empty tables and other columns are treated as in quality_ledger.
+    """
+    ledger = quality_ledger(docs).withColumn("base_failed", rejected("base")).withColumn("kept", ~rejected("base") & ~rejected(policy))
+    return ledger.withColumn("rescued_by", rescued_by(policy))
 
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents a policy keeps, with their own columns."""
+    """The documents a policy keeps, with their own columns, of whatever name.
+
+    A null or empty text has too few words and goes; repeated rows and null ids
+    are judged each for itself; an empty table stays empty.
+    """
     ledger = _measured(docs, RULES, docs.columns)
     return ledger.filter(~rejected("base") & ~rejected(policy)).select("held.*")

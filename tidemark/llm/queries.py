@@ -51,7 +51,7 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_cha
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, base failures and the verdict of policy v1 for every document."""
-    return op05_quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_letters", "n_upper", "fail_bits")
+    return op05_quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_letters", "n_upper", "fail_bits", "rescued_by")
 
 
 OP5_SQL = r"""
@@ -77,7 +77,7 @@ WITH d AS (
          + 32 * (10 * n_upper > 4 * n_letters)::INT AS BIGINT) AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
-       n_lines, n_letters, n_upper, fail_bits FROM f
+       n_lines, n_letters, n_upper, fail_bits, CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END AS rescued_by FROM f
 """
 
 
