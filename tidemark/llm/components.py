@@ -21,21 +21,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (u, v): component is the smallest node reachable.
 
-    The number of rounds grows with the logarithm of a component's length; each
-    round's table is written, so lost executors don't repeat earlier rounds.
+    Rounds go on until one changes nothing; their number grows with the
+    logarithm of a component's length. Each round's table is written, so lost executors don't repeat earlier rounds.
     Self-links are ignored; an empty table gives an empty result.
     """
     e = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         e = written(_small_star(_large_star(e)), "links")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -122,7 +122,7 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased;
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds:
     same_id = real.join(classes.select("set_id", "node"), "set_id").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     seen = None
-    for _ in range(max_rounds):
+    while True:  # each round verifies pairs not seen before, of which there are only so many
         found = written(verified(sets, pairs), "verified")
         seen = found if seen is None else written(seen.unionByName(found), "seen")
         links = seen.filter(_similar(F.col("common"), F.col("na"), F.col("nb"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -159,8 +159,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds:
         pairs = written(_unseen(sets, spokes, reached, seen, percent), "pairs")
         if pairs.isEmpty():
             break
-    else:
-        raise RuntimeError("candidate rounds did not settle")
     # Rows that repeat a doc_id with another text join their classes; a copy's link to its class changes nothing else.
     repeated = real.select("doc_id", "set_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     if not repeated.isEmpty():
@@ -205,6 +203,10 @@ def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group keeps the one with the smallest doc_id, with their own columns."""
+    """The documents of which each group keeps the one with the smallest doc_id, with their own columns.
+
+    Documents without doc_id or without words are in no group and stay, as do
+    all rows of a kept doc_id; an empty table stays empty.
+    """
     gone = written(near_duplicates(docs, k, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
     return docs.join(if_small(gone), "doc_id", "left_anti").select(docs.columns)
