@@ -12,8 +12,10 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +90,9 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 def derivatives(records: DataFrame) -> DataFrame:
     """The metadata and the conversion record (RECORD) of every response record; other kinds are passed over.
 
-    A block without HTTP headers is all payload. A block that is null counts as empty.
+    A block without HTTP headers is all payload. A block that is null counts as
+    empty, as does a null target. Repeated records give repeated ones; other
+    columns are left out; an empty table gives no rows; no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,30 +140,63 @@ def serialized(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC files, one per partition, through Spark's text writer."""
+    """Write records as WARC files, one per partition, through Spark's text writer.
+
+    A file is one gzip stream, where most tools write a member per record, and
+    a line feed follows each record; readers that skip line ends read it.
+    """
     serialized(records).write.option("lineSep", "\n").option("compression", compression).text(path)
 
 
+def inflated(data: bytes) -> bytes:
+    """What the gzip members of a file hold, as far as they can be read; data that isn't gzip as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def parsed(data: bytes) -> Iterator[tuple]:
+    """The records of a file's bytes, in the order of RECORD without page_id. A record whose header or length is damaged is passed over, as is one that the file's end cuts off."""
+    at = 0
+    while (at := data.find(b"WARC/1.", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, mark, v in (x.partition(":") for x in lines) if mark}
+        size = head.get("content-length", "")
+        if not size.isdecimal() or "warc-type" not in head or end + 4 + int(size) > len(data):
+            at += len(b"WARC/1.")
+            continue
+        block = data[end + 4 : end + 4 + int(size)]
+        named = (head.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type"))
+        yield *named, int(size), head.get("warc-block-digest"), head.get("warc-payload-digest"), block.decode("utf-8", "replace")
+        at = end + 4 + int(size)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD without page_id) of WARC files; line ends between records are skipped. A file must fit a cell."""
-    import gzip
+    """Records (RECORD without page_id) of WARC files, plain or gzip.
 
+    Line ends between records are skipped, and so are damaged and cut-off
+    records. A file must fit a cell; records are handed on in small batches.
+    """
     names = _FIELDS[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, rows = 0, []
-                while (at := data.find(b"WARC/1.", at)) >= 0:
-                    end = data.index(b"\r\n\r\n", at)
-                    head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-                    size = int(head["Content-Length"])
-                    block = data[end + 4 : end + 4 + size].decode("utf-8", "replace")
-                    rows.append((head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), head.get("WARC-Date"), head.get("Content-Type"), size, head.get("WARC-Block-Digest"), head.get("WARC-Payload-Digest"), block))
-                    at = end + 4 + size
-                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "content_length" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
+            for data in batch.column(0):
+                records = parsed(inflated(data.as_py()))
+                while rows := list(islice(records, 256)):
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "content_length" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, RECORD.replace("page_id long, ", ""))
