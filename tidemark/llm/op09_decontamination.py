@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from .common import id_and_text, if_small, written
 
 Q = 8
-SEGMENT, STRIDE = 80, 40
+#: An excerpt of SEGMENT + STRIDE - 1 characters or more holds a whole segment wherever it begins in its item.
+SEGMENT, STRIDE = 80, 20
 #: Edits allowed per character of a segment.
 EDIT_RATE = 0.08
 #: Characters of benchmark text handled in one pass over the documents: the size bound of what is broadcast.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 1 << 20
+#: Meetings of a text's q-grams with the block's that are held at once; a text that has more is looked at in parts.
+MEETINGS = 1 << 20
 MATCH = "doc_id long, item_id long, start long, end long, edits long"
 _BITS = 21
 
@@ -135,13 +138,32 @@ class SegmentIndex:
         points, at = normalize(text)
         keys = grams(points, self.q)
         where = np.flatnonzero(self.maybe[self._slot(keys)])
-        if not len(where):
-            return []
         low, high = np.searchsorted(self.keys, keys[where], "left"), np.searchsorted(self.keys, keys[where], "right")
-        times = high - low
+        upto = np.concatenate([[0], np.cumsum(high - low)])
+        found, parts = [], [(0, len(where))]
+        while parts:
+            a, b = parts.pop()
+            if upto[a] == upto[b]:
+                continue
+            if upto[b] - upto[a] > MEETINGS and where[b - 1] - where[a] > 4 * SEGMENT:
+                # Two halves that overlap by more than a segment with its edits.
+                middle = (where[a] + where[b - 1]) // 2
+                parts += [(a, int(np.searchsorted(where, middle + SEGMENT))), (int(np.searchsorted(where, middle - SEGMENT)), b)]
+                continue
+            found += self._near(points, at, where[a:b], low[a:b], (high - low)[a:b])
+        found.sort()
+        merged: list[tuple[int, int, int, int]] = []
+        for item, a, b, edits in found:
+            if merged and merged[-1][0] == item and a <= merged[-1][2]:
+                old = merged[-1]
+                merged[-1] = (item, old[1], max(b, old[2]), max(edits, old[3]))
+            else:
+                merged.append((item, a, b, edits))
+        return merged
+
+    def _near(self, points: np.ndarray, at: np.ndarray, where: np.ndarray, low: np.ndarray, times: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Regions that hold a segment, from the q-grams at some places; low and times: the block's equal ones."""
         total = int(times.sum())
-        if not total:
-            return []
         each = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
         segment = self.owner[each]
         diagonal = np.repeat(where, times) - self.offset[each] + SEGMENT  # never negative
@@ -165,15 +187,7 @@ class SegmentIndex:
             hit = banded_alignment(self.segments[s], points, begin - 1, first + 2 * width, int(self.budget[s]))
             if hit:
                 found.append((self.item[s], int(at[max(0, hit[1])]), int(at[min(hit[2], len(at)) - 1]) + 1, hit[0]))
-        found.sort()
-        merged: list[tuple[int, int, int, int]] = []
-        for item, a, b, edits in found:
-            if merged and merged[-1][0] == item and a <= merged[-1][2]:
-                old = merged[-1]
-                merged[-1] = (item, old[1], max(b, old[2]), max(edits, old[3]))
-            else:
-                merged.append((item, a, b, edits))
-        return merged
+        return found
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -212,6 +226,10 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with their own columns."""
+    """The documents in which no benchmark item is found, with their own columns.
+
+    Documents without doc_id or text stay, as do all rows of a doc_id in none
+    of which an item is found; an empty table stays empty.
+    """
     found = written(benchmark_matches(docs, benchmark).select("doc_id").distinct(), "found")
     return docs.join(if_small(found), "doc_id", "left_anti").select(docs.columns)
