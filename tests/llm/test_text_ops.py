@@ -49,12 +49,17 @@ def test_units_encode_as_the_library_does():
 def test_transducer_counts_as_the_library_does_however_chunked():
     counter, tokenizer, rng = op02_token_counts.TextCounter(WORD), Tokenizer.from_file(WORD), random.Random(3)
     texts = [t or "" for _, t in EDGE] + ["".join(rng.choice([*"abcdefgh' \n1é", "tion", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(rng.choice([*"abcdefgh", "tion", "the", "\u00e9"]) for _ in range(rng.randint(30, 400))) + rng.choice(["", " x"]) for _ in range(150)]  # unbroken runs
     for text, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert counter.text(text) == len(e.ids)
         size = rng.randint(1, 9) if len(text) < 1000 else 997
-        maps = [counter.chunk_map(text[i : i + size]) for i in range(0, len(text), size)] or [counter.chunk_map("")]
-        head, n, tail = counter.scan(maps)[-1]
-        assert counter.total(maps) == len(e.ids) == counter.text(head) + n + (counter.text(tail) if tail else 0)
+        maps = counter.maps(text, size)
+        assert counter.total(text, size) == counter.total(text) == len(e.ids)
+        if maps:  # composed in any order, and entered in any state that a map knows
+            whole = maps[0]
+            for m in maps[1:]:
+                whole = op02_token_counts.compose(whole, m)
+            assert whole[0] == op02_token_counts.scan(maps)[-1][0]
 
 
 def test_token_counts_of_edge_rows(edge):
