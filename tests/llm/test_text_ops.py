@@ -349,6 +349,21 @@ def test_warc_records(spark, rows, tmp_path):
     assert op07_warc.derivatives(op07_warc.responses(pages.limit(0))).count() == 0
 
 
+def test_licences_recall_and_precision_on_wordings_not_learned(rows):
+    L = op03_license_scan
+    assert not {t for ts in L.HELD_OUT.values() for t in ts} & {t for ts in L.NOTICES.values() for t in ts} and not {*L.ORDINARY_HELD_OUT} & {*L.ORDINARY}
+    texts = [(t, f) for f, ts in L.HELD_OUT.items() for t in ts] + [(t, None) for t in L.ORDINARY_HELD_OUT]
+    long = "\n".join(" ".join(prose(i, 40)) for i in range(300)) + "\n" + texts[0][0]
+    docs = rows([(i, t) for i, (t, _) in enumerate(texts)] + [(900 + i, " ".join(prose(i, 30)) + "\n" + " ".join(prose(70 + i, 30))) for i in range(60)] + [(5000, long), (5001, texts[2][0]), (5001, texts[2][0])], "doc_id bigint, text string")
+    found = L.scan(docs, L.fit(docs)).collect()
+    family = {r.doc_id: r.family for r in found if r.doc_id < 900}
+    right = sum(family.get(i) == f for i, (_, f) in enumerate(texts) if f)
+    wanted = sum(f is not None for _, f in texts)
+    assert right >= 0.9 * wanted and right >= 0.9 * len(family)
+    assert [r.paragraph for r in found if r.doc_id == 5000] == [300] and sum(r.doc_id == 5001 for r in found) == 2
+    assert not [r for r in found if 900 <= r.doc_id < 5000]
+
+
 def test_licences_on_held_out_notices(rows):
     plain = [(i, "\n".join(" ".join(prose(i * 10 + j, 25)) for j in range(4))) for i in range(60)]
     held_out = {100: ("text\nDistributed under the MIT License, see LICENSE.", "MIT"), 101: ("This file is licensed under the Apache License, Version 2.0, January 2004", "Apache"), 102: ("x y z\n\nThis article is licensed under CC BY-NC 3.0.", "CC-BY-NC"), 103: ("Software licensed under the GNU General Public License v2.", "GPL")}
