@@ -26,6 +26,8 @@ COMMON = 0.005
 #: Share of a notice's word pairs that confirms its family.
 CONFIRM = 0.6
 UNKNOWN = "unknown"
+#: Paragraphs of the sample that may be grants, so no examples of "unknown"; others may speak of licences.
+GRANT = "(licen[sc]ed|released|distributed|published|available|provided) (under|as)|under (the|a|an) .*licen[sc]e|spdx|copyright|public domain|permission is hereby"
 
 # Short licence notices by family, as they are commonly written.
 NOTICES = {
@@ -47,9 +49,11 @@ NOTICES = {
     ],
     "GPL": [
         "Released under the GNU General Public License.",
+        "Distributed under the GNU General Public License, version 2 or version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "Licensed under the GNU General Public License, see COPYING.",
         "Licensed under the GPL.",
     ],
     "LGPL": [
@@ -60,6 +64,7 @@ NOTICES = {
     ],
     "AGPL": [
         "Licensed under the GNU Affero General Public License, version 3.",
+        "Distributed under the terms of the GNU Affero General Public License.",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "Released under the AGPL.",
     ],
@@ -186,7 +191,7 @@ def sample_paragraphs(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Dat
     ids = [r[0] for r in docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()]
     rows = docs.filter(F.col("doc_id").isin(ids)) if ids else docs.limit(0)
     paragraphs = rows.select(F.explode(F.split("text", "\n")).alias("text"))
-    return paragraphs.filter(~F.lower("text").rlike("licen[sc]e[ds]? (under|as)|under the .*licen[sc]e|spdx|public domain"))
+    return paragraphs.filter(~F.lower("text").rlike(GRANT))
 
 
 def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LicenceModel:
@@ -207,7 +212,7 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> LicenceModel:
     counter = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
     counter.setBinary(True)
     rows = counter.transform(rows).select("label", "features", "part")
-    model = LogisticRegression(family="multinomial", regParam=5e-4, elasticNetParam=1.0, maxIter=40, standardization=False).fit(rows.filter("part = 0"))
+    model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, standardization=False).fit(rows.filter("part = 0"))
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = {g: tuple(float(x) for x in matrix[:, i]) for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 0}
 
