@@ -29,12 +29,29 @@ def test_paths(rows):
     assert each(rows, "p string", [(c,) for c in cases], lambda: fp.artifact_class(F.col("p"))) == list(cases.values())
 
 
+def test_names_of_an_archives_own_files(rows):
+    w = "projects/p/workspaces/w/"
+    cases = {w + "bundles/a.zip": True, w + "rollups/x.ndjson": True, "projects/p/stacks/s/bundles/a.zip": False, "projects/p/workspaces/bundles/x.json": False, ".remote.json": True, w + ".identity.json": True, w + ".ledger/log.ndjson": True, w + ".atomicfile-12.tmp": True, w + "notes.tmp": False, "config-versions/a.tar.gz.remote.json": False}
+    assert each(rows, "p string", [(c,) for c in cases], lambda: fp.is_machinery(F.col("p"))) == list(cases.values())
+    cases = {"config-versions/a.tar.gz.remote.json": "config-versions/a.tar.gz", "x/a.tar.gz.remote.json": None, "config-versions/a.json.remote.json": None, "config-versions/a.tar.gz": None}
+    assert each(rows, "p string", [(c,) for c in cases], lambda: fp.stub_target(F.col("p"))) == list(cases.values())
+    cases = {"pol-1.sentinel": "pol-1", "x y.rego": "x y", "pol.tf": "pol", "a.b.policy": "a.b", "pol-1.20240101T000000Z.rego": None, "pol-1.json": None, "pol-1": None}
+    assert each(rows, "p string", [(c,) for c in cases], lambda: fp.policy_source_id(F.col("p"))) == list(cases.values())
+    cases = {w + "state-versions/20240102T030405Z-sv-1.tfstate.json": "20240102T030405Z-sv-1", w + "state-versions/20240102T030405.5Z-a.b.meta.json": "20240102T030405.5Z-a.b", w + "runs/r/plan.log": "plan", "readme": "readme"}
+    assert each(rows, "p string", [(c,) for c in cases], lambda: fp.parse_path(F.col("p"))["stem"]) == list(cases.values())
+
+
+def test_report_cells(rows):
+    assert each(rows, "b boolean", [(True,), (False,), (None,)], lambda: fc.bool_cell(F.col("b"))) == ["true", "false", ""]
+    assert each(rows, "t string", [("2024-01-02 03:04:59",), (None,)], lambda: fc.fmt_time(F.col("t").cast("timestamp"))) == ["2024-01-02 03:04", ""]
+
+
 def test_statuses_are_complete(rows):
     got = each(rows, "s string", [(s,) for s in fs.STATUSES], lambda: F.struct(fs.status_settled(F.col("s")), fs.status_gate(F.col("s")), fs.status_valid(F.col("s"))))
     assert [tuple(g) for g in got] == [(*v, True) for v in fs.STATUSES.values()]
     cases = [("run", "applied", True), ("run", "planned", False), ("state_version", "", True), ("state_version", "pending", False), ("other", "applied", False), ("run", None, False)]
     assert each(rows, "k string, s string", [c[:2] for c in cases], lambda: fs.is_terminal(F.col("k"), F.col("s"))) == [c[2] for c in cases]
-    cases = [(404, None, None, "terminal"), (None, None, "timeout", "transient"), (429, None, None, "transient"), (403, None, None, "forbidden"), (None, "Forbidden", None, "forbidden"), (None, "error HTTP response: 404", None, "terminal"), (500, None, None, "unknown")]
+    cases = [(404, None, None, "terminal"), (None, None, "timeout", "transient"), (429, None, None, "transient"), (403, None, None, "forbidden"), (None, "Forbidden", None, "forbidden"), (500, "403 Forbidden \nfor this token", None, "forbidden"), (500, "path forbidden-experiments failed", None, "unknown"), (None, "error HTTP response: 4040", None, "unknown"), (None, "error HTTP response: 404", None, "terminal"), (500, None, None, "unknown")]
     assert each(rows, "h int, m string, c string", [c[:3] for c in cases], lambda: fs.classify_error(F.col("h"), F.col("m"), F.col("c"))) == [c[3] for c in cases]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, history, ledger, listing, reconcile, refs, sealing, walk
+from tidemark.plans import reports
 from tidemark.sources import readers, writers
 from tidemark.streaming import feeds
 
@@ -51,8 +52,8 @@ def test_fold_equals_a_sequential_fold_and_can_be_split(spark, rows):
 
 
 def test_gates_count_real_transitions_only(rows):
-    events = [("g", 1, "open"), ("g", 2, "open"), ("g", 3, "clear"), ("g", 4, "clear"), ("g", 5, "open"), ("h", 1, "open"), ("h", 2, "fail"), ("h", 3, "open"), ("h", 4, "absent")]
-    assert got(ledger.fold_gates(rows(events, "path string, seq int, event string")), "path", "status", "attempts") == [("g", "pending", 3), ("h", "reference-absent", 3)]
+    events = [("g", 1, "open"), ("g", 2, "open"), ("g", 3, "clear"), ("g", 4, "clear"), ("g", 5, "open"), ("h", 1, "open"), ("h", 2, "fail"), ("h", 3, "open"), ("h", 4, "absent"), ("i", 1, "clear"), ("j", 1, "clear"), ("j", 2, "absent"), ("j", 3, "clear")]
+    assert got(ledger.fold_gates(rows(events, "path string, seq int, event string")), "path", "status", "attempts") == [("g", "pending", 3), ("h", "reference-absent", 3), ("j", "reference-cleared", 2)]
 
 
 def test_replay_stops_at_the_tear(rows):
@@ -136,10 +137,12 @@ def test_audit_boundary(rows):
 
 def test_prune_guards(spark, rows):
     led, none = rows([("k1", "done")], "path string, status string"), rows([], "shard string")
+
     def plan(keys, local, **more):
         return reconcile.prune_plan(rows([(k,) for k in keys], "key string"), rows([(k,) for k in local], "path string"), led, none, limit=3, **more)
+
     many = [f"x{i}" for i in range(4)]
-    assert got(plan(["k1", *many], ["l"]), "action").count(("refuse",)) == 4  # over the limit and over the matches
+    assert got(plan(["k1", *many], ["l"]), "action") == [("refuse",)] * 5  # over the limit and over the matches; known alone reshapes nothing
     assert got(plan(many, []), "action") == [("refuse",)] * 4
     assert got(plan(many[:3], []), "action") == [("prune",)] * 3  # at the limit
     matched = [f"m{i}" for i in range(4)]
@@ -149,15 +152,109 @@ def test_prune_guards(spark, rows):
     assert got(lost, "class", "action") == [("shard-lost", "refuse")]
 
 
+def test_prune_keeps_what_lives_in_the_mirror_alone(rows):
+    w = "projects/p/workspaces/w"
+    keys = [f"{w}/bundles/logs.gen0001.zip", f"{w}/bundles/logs.gen0001.zip.sidecar.ndjson", "config-versions/cv.tar.gz", f"{w}/.ledger/log.ndjson", f"{w}/.ledger/snapshot.json", f"{w}/runs/r/plan.log", f"{w}/runs/r/new.log", "projects/old/workspaces/v/x.json", "projects/old"]
+    led = rows([(f"{w}/runs/r/plan.log",), ("projects/old/workspaces/v/x.json",), ("projects/old",), ("config-versions/cv.tar.gz",)], "path string")
+    local = rows([(f"{w}/rollups/runs.ndjson",)], "path string")
+    plan = reconcile.prune_plan(rows([(k,) for k in keys], "key string"), local, led, rows([(w,)], "shard string"), rows([("projects/old",), ("",)], "former string"))
+    assert dict(got(plan, "key", "class")) == {
+        f"{w}/.ledger/log.ndjson": "ineligible",
+        f"{w}/.ledger/snapshot.json": "shard-lost",
+        f"{w}/runs/r/plan.log": "reshaped",
+        f"{w}/runs/r/new.log": "shard-lost",
+        "projects/old/workspaces/v/x.json": "reshaped",
+        "projects/old": "unbacked",
+    }
+
+
 def test_sync_ladder(rows):
     b = "projects/p/workspaces/w/bundles/"
-    local = rows([(b + "logs.gen0001.zip",), (b + "logs.gen0001.zip.sidecar.ndjson",), (b + "logs.gen0002.zip",), ("config-versions/a.tar.gz",), ("config-versions/b.tar.gz",), ("x/.lock",), ("plain.json",)], "path string")
-    led = rows([("config-versions/a.tar.gz", "done", "sig")], "path string, status string, signature string")
-    assert dict(got(reconcile.classify_sync(local, led), "path", "action")) == {b + "logs.gen0001.zip": "evict", b + "logs.gen0001.zip.sidecar.ndjson": "sync", b + "logs.gen0002.zip": "suspect", "config-versions/a.tar.gz": "evict", "config-versions/b.tar.gz": "suspect", "x/.lock": "skip", "plain.json": "sync"}
+    tarball = "config-versions/{}.tar.gz".format
+    local = [(b + "logs.gen0001.zip", 1), (b + "logs.gen0001.zip.sidecar.ndjson", 1), (b + "logs.gen0002.zip", 1), *((tarball(x), 999) for x in "abcd"), (tarball("a") + ".remote.json", 9), ("x/.ledger/lock", 0), ("x/.ledger/snapshot.json", 5), ("x/.atomicfile-1.tmp", 0), ("plain.json", 2)]
+    sig = "path string, status string, signature struct<hash:string,size:bigint>"
+    led = rows([(tarball("a"), "done", ("h", 999)), (tarball("b"), "done", ("h", 1)), (tarball("c"), "errored", ("h", 999))], sig)
+    assert dict(got(reconcile.classify_sync(rows(local, "path string, size bigint"), led), "path", "action")) == {
+        b + "logs.gen0001.zip": "evict",
+        b + "logs.gen0001.zip.sidecar.ndjson": "sync",
+        b + "logs.gen0002.zip": "skip",
+        tarball("a"): "evict",
+        tarball("b"): "suspect",
+        tarball("c"): "skip",
+        tarball("d"): "skip",
+        tarball("a") + ".remote.json": "skip",
+        "x/.ledger/lock": "skip",
+        "x/.ledger/snapshot.json": "sync",
+        "x/.atomicfile-1.tmp": "skip",
+        "plain.json": "sync",
+    }
+
+
+def test_snapshots_are_ordered_by_run_and_count(rows):
+    schema = "org string, shard string, last_run_at int, run_count int"
+    cases = {"newer": ((1, 1), (2, 1), "", "replace"), "older": ((2, 1), (1, 1), "", "skip"), "equal": ((1, 1), (1, 1), "", "refuse"), "fewer": ((1, 5), (2, 4), "", "refuse"), "shard": ((1, 1), (2, 2), "projects/p/workspaces/w", "refuse")}
+    local = rows([(k, s, *a) for k, (a, _, s, _) in cases.items()], schema)
+    mirror = rows([(k, s, *b) for k, (_, b, s, _) in cases.items()] + [("none", "", 1, 1)], schema)
+    assert dict(got(reconcile.snapshot_conflict(local, mirror), "org", "action")) == {k: c[3] for k, c in cases.items()} | {"none": "create"}
+
+
+def test_an_absence_is_asked_for_once_more(rows):
+    runs = {"once": [404], "twice": [404, 404], "found": [404, 200], "back": [404, 200, 404], "never": [200, 404, 404], "failed": [404, 500]}
+    data = [(1, p, i, c) for p, cs in runs.items() for i, c in enumerate(cs)] + [(2, "twice", 0, 200)]
+    out = {(r.run_id, r.path): (r.http_status, r.retries, r.confirmed) for r in ledger.confirm_absent(rows(data, "run_id int, path string, attempt int, http_status int")).collect()}
+    assert out == {(1, "once"): (404, 0, False), (1, "twice"): (404, 1, True), (1, "found"): (200, 1, False), (1, "back"): (200, 1, False), (1, "never"): (200, 0, False), (1, "failed"): (500, 1, False), (2, "twice"): (200, 0, False)}
+
+
+def test_migrations(rows):
+    led = rows([("policies/pol-1.rego", "done", None), ("policies/pol-2.sentinel", "done", 5), ("policies/pol-3.tf", "absent", None), ("policies/pol-1.20240101T000000Z.rego", "done", None), ("x/pol-1.rego", "done", None), ("policies/pol-9.rego", "done", None), ("audit/20240101T000000.000000000Z-p000000001.json", "absent", None)], "path string, status string, updated_at int")
+    policies = rows([("pol-1", 7), ("pol-2", 8), ("pol-3", 9), (None, 1)], "id string, updated_at int")
+    assert got(ledger.migrate_entries(led, policies), "path", "status", "updated_at") == sorted([("policies/pol-1.rego", "done", 7), ("policies/pol-2.sentinel", "done", 5), ("policies/pol-3.tf", "absent", None), ("policies/pol-1.20240101T000000Z.rego", "done", None), ("x/pol-1.rego", "done", None), ("policies/pol-9.rego", "done", None), ("audit/20240101T000000.000000000Z-p000000001.json", "errored", None)], key=str)
+
+
+def test_compaction_keeps_untouched_paths_of_touched_shards(rows):
+    snapshot = rows([("s", "a", "done"), ("s", "b", "absent"), ("t", "c", "done")], "shard string, path string, status string")
+    log = rows([("s", "a", "errored", 2), ("s", "a", "forbidden", 1), ("s", "d", "done", 3)], "shard string, path string, status string, ord long")
+    assert got(ledger.compact(snapshot, log), "path", "status") == [("a", "errored"), ("b", "absent"), ("d", "done")]
+
+
+def test_seal_plan_takes_states_and_final_runs(rows):
+    w = "projects/p/workspaces/w"
+    leaves = ["runs/r1/run.json", "runs/r2/run.json", "runs/r1/plan.log", "runs/r1/comments.json", "state-versions/20240102T030405Z-sv-1.json", "state-versions/20240102T030405Z-sv-1.meta.json", "variables.json"]
+    objects = rows([(f"{w}/{x}",) for x in leaves], "path string")
+    led = objects.withColumn("status", F.lit("done"))
+    cols = rows([(w, "runs", True), (w, "state-versions", True)], "shard string, kind string, complete boolean")
+    plan = sealing.seal_plan(objects, led, cols, rows([("r1", "applied"), ("r2", "planning")], "run_id string, status string"))
+    assert dict(got(plan, "path", "target")) == {f"{w}/{x}": t for x, t in zip(leaves, ["runs.ndjson", None, "logs", "comments.ndjson", "state", "state-versions.ndjson", None], strict=True) if t}
+
+
+def test_superseded_contents_go_to_history(rows):
+    fresh, current = (rows(x, "path string, content string") for x in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "old")]))
+    changes = history.capture_mutable(fresh, current)
+    assert got(changes, "path", "action") == [("a", "unchanged"), ("b", "changed"), ("c", "new")] and got(history.superseded(changes, current), "path", "content") == [("b", "old")]
+
+
+def test_reports_of_sets_and_stacks(rows):
+    doc = "path string, content string"
+    sets = rows([("policy-sets/ps-1/policy-set.json", '{"data":{"id":"ps-1","attributes":{"name":"one","kind":"opa","global":false,"policy-count":3}}}'), ("policy-sets/ps-2/policy-set.json", "{oops")], doc)
+    params = rows([("policy-sets/ps-1/parameters.json", '{"data":[{"id":"a","attributes":{"key":"k","value":"v","sensitive":true,"hcl":true}},{"id":"b","attributes":{"key":"j","value":"w"}}]}')], doc)
+    out = {r.set_id: r for r in reports.policy_sets_report(sets, params).collect()}
+    assert (out["ps-1"].title, out["ps-1"].kind, out["ps-1"]["global"], out["ps-1"].policies) == ("one", "opa", "false", 3)
+    assert [(v.key, v.value, v.hcl) for v in out["ps-1"].variables] == [("j", "w", ""), ("k", "(sensitive)", "true")]
+    assert (out["ps-2"].title, out["ps-2"].id, out["ps-2"].kind, out["ps-2"]["global"], out["ps-2"].policies, out["ps-2"].variables) == ("ps-2", "", "", "", None, [])
+    stacks = rows([("projects/p/stacks/s/stack.json", '{"data":{"id":"st","attributes":{"name":"S","created-at":"2024-01-02T03:04:05Z"}}}'), ("projects/p/stacks/t/stack.json", "{oops")], doc)
+    deployments = rows([("projects/p/stacks/s/deployments/a/deployment.json", '{"data":{"id":"d","attributes":{"created-at":"2024-02-03T04:05:06Z"}}}'), ("projects/p/stacks/s/deployments/b/deployment.json", "x")], doc)
+    out = {r.path: r for r in reports.stack_report(stacks, deployments).collect()}
+    s, t = (out[f"projects/p/stacks/{x}/stack.json"] for x in "st")
+    assert (s.title, s.id, s.created, s.n_deployments, [tuple(x) for x in s.deployments]) == ("S", "st", "2024-01-02 03:04", 2, [("a", "2024-02-03 04:05"), ("b", "")]) and (t.title, t.id, t.n_deployments) == ("t", "", 0)
+    teams = reports.teams_report(rows([("teams/t-1/team.json", '{"data":{"id":"t-1","attributes":{"name":"n","users-count":2}}}'), ("teams/t-2/team.json", "{")], doc))
+    assert got(teams, "id", "name", "users") == [("t-1", "n", 2), ("t-2", "", None)]
 
 
 def test_alias_rewrites_stack(rows):
     out = reconcile.alias_rewrites(rows([("projects/c/x",), ("projects/cc/x",)], "path string"), rows([("projects/c", "projects/b"), ("projects/b", "projects/a")], "current string, former string"))
+    deep = [(f"projects/n{i}", f"projects/n{i + 1}") for i in range(12)]
+    chain = reconcile.alias_rewrites(rows([("projects/n0/x",)], "path string"), rows(deep, "current string, former string"))
+    assert got(chain, "spelling", "depth") == sorted(((f"projects/n{i}/x", i) for i in range(13)), key=str)
     assert got(out, "path", "spelling", "depth") == [("projects/c/x", "projects/a/x", 2), ("projects/c/x", "projects/b/x", 1), ("projects/c/x", "projects/c/x", 0), ("projects/cc/x", "projects/cc/x", 0)]
 
 
@@ -186,10 +283,13 @@ def test_sources_and_sinks(spark, rows, tmp_path):
     root = tmp_path / "org"
     (root / "projects/p/workspaces/w/runs/r").mkdir(parents=True)
     (root / "projects/p/workspaces/w/runs/r/run.json").write_text("{}")
-    (root / "x.tar.gz.evicted.json").write_text("{}")
+    (root / "config-versions").mkdir()
+    (root / "config-versions/x.tar.gz.remote.json").write_text("{}")
+    (root / "projects/p/workspaces/w/.identity.json").write_text("{}")
+    (root / ".remote.json").write_text("{}")
     (root / ".ledger").mkdir()
     (root / ".ledger/s.json").write_text(json.dumps({"entries": {"a": {"status": "done", "attempts": 2, "signature": {"hash": "h", "size": 1}}}, "completed": {"runs": True}, "watermarks": {"runs": "2024-01-01T00:00:00Z"}}))
-    assert got(readers.read_loose(spark, str(root)), "path", "form") == [("projects/p/workspaces/w/runs/r/run.json", "loose"), ("x.tar.gz.evicted.json", "stub")]
+    assert got(readers.read_loose(spark, str(root)), "path", "form") == [("config-versions/x.tar.gz.remote.json", "stub"), ("projects/p/workspaces/w/runs/r/run.json", "loose")]
     entries, cols = readers.read_ledger(spark, str(root / ".ledger/*.json"))
     assert got(entries, "path", "status", "attempts") == [("a", "done", 2)] and got(cols, "prefix", "complete", "settled") == [("runs", True, False)]
     (root / "roll.ndjson").write_text('{"path":"a","sha256":"1","content":"x"}\n{"path":"","content":"y"}\n{torn\n{"path":"a","sha256":"2","content":"z"}\n')
@@ -221,7 +321,7 @@ def test_streams(spark, rows, tmp_path):
     stream = spark.readStream.schema("id string, ts timestamp").parquet(str(tmp_path / "in"))
     q = feeds.audit_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c1")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert got(spark.read.parquet(str(tmp_path / "out")), "id") == [("a",), ("b",)]
+    assert got(spark.read.parquet(str(tmp_path / "out")), "id") == [("a",), ("b",), (None,)]
     rows([("p", 1, "x"), ("q", 1, "y")], "path string, ord int, content string").write.parquet(str(tmp_path / "cap"))
     for more in ([], [("p", 2, "z"), ("q", 2, "y")]):
         if more:

@@ -63,6 +63,18 @@ def attr_int(attributes: Column, key: str) -> Column:
     return F.when(number, v.try_cast("double").cast("long")).otherwise(0)
 
 
+def attr_bool_ok(attributes: Column, key: str) -> Column:
+    """The attribute if it is a boolean, else null."""
+    v = _attr(attributes, key)
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", v.try_cast("boolean"))
+
+
+def attr_int_ok(attributes: Column, key: str) -> Column:
+    """The attribute if it is a number, cut to an integer through a double, else null."""
+    v = _attr(attributes, key)
+    return F.when(F.schema_of_variant(v).rlike(r"\A(?:BIGINT|DOUBLE|DECIMAL)"), v.try_cast("double").cast("long"))
+
+
 def attr_time(attributes: Column, key: str) -> Column:
     """The attribute if it is a string that holds a time, else null."""
     text = attr_string(attributes, key)
@@ -75,13 +87,13 @@ def redact_variable(sensitive: Column, value: Column) -> Column:
 
 
 def fmt_time(at: Column) -> Column:
-    """A time as a report cell; '' if unknown."""
-    return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss 'UTC'"), F.lit(""))
+    """A time as a report cell, to the minute; '' if unknown."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(""))
 
 
 def bool_cell(value: Column) -> Column:
-    """`yes` or `no`."""
-    return F.when(F.coalesce(value, F.lit(False)), "yes").otherwise("no")
+    """`true` or `false`; '' if unknown."""
+    return F.coalesce(value.cast("string"), F.lit(""))
 
 
 def human_bytes(n: Column) -> Column:

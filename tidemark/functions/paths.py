@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What is cut from a leaf to give its stem.
+_SUFFIX = r"(?:\.tfstate\.json|\.meta\.json|\.history\.ndjson|\.tar\.gz|\.json|\.ndjson|\.log)$"
 _BUNDLE = r"\.gen(\d+)\.zip(?:\.sidecar\.ndjson)?$"
 
 
@@ -21,18 +23,19 @@ def leaf(path: Column) -> Column:
 def parse_path(path: Column) -> Column:
     """STRUCT<project, workspace, stack, kind, run_id, leaf, stem>; fields that a path doesn't have are null."""
     s = segments(path)
-    scoped = (F.size(s) >= 4) & (s[0] == "projects")
-    ws, st = scoped & (s[2] == "workspaces"), scoped & (s[2] == "stacks")
-    kind = F.when(ws | st, F.get(s, F.lit(4))).otherwise(s[0])
-    run = F.when(ws & (F.get(s, F.lit(4)) == "runs") & (F.size(s) >= 6), F.get(s, F.lit(5)))
+    part = lambda i: F.get(s, F.lit(i))
+    scoped = (F.size(s) >= 4) & (part(0) == "projects")
+    ws, st = scoped & (part(2) == "workspaces"), scoped & (part(2) == "stacks")
+    kind = F.when(ws | st, part(4)).otherwise(part(0))
+    run = F.when(ws & (part(4) == "runs") & (F.size(s) >= 6), part(5))
     return F.struct(
-        F.when(scoped, s[1]).alias("project"),
-        F.when(ws, s[3]).alias("workspace"),
-        F.when(st, s[3]).alias("stack"),
+        F.when(scoped, part(1)).alias("project"),
+        F.when(ws, part(3)).alias("workspace"),
+        F.when(st, part(3)).alias("stack"),
         kind.alias("kind"),
         run.alias("run_id"),
         leaf(path).alias("leaf"),
-        F.split_part(leaf(path), F.lit("."), F.lit(1)).alias("stem"),
+        F.regexp_replace(leaf(path), _SUFFIX, "").alias("stem"),
     )
 
 
@@ -71,8 +74,8 @@ def history_path(path: Column) -> Column:
 
 
 def state_stem(created_at: Column, state_id: Column) -> Column:
-    """A stem that sorts by time: UTC stamp to the microsecond, then the id."""
-    return F.concat(F.date_format(created_at, "yyyyMMdd'T'HHmmss.SSSSSS"), F.lit("Z-"), sanitize_segment(state_id))
+    """A stem that sorts by time: UTC stamp to the second, then the id."""
+    return F.concat(F.date_format(created_at, "yyyyMMdd'T'HHmmss"), F.lit("Z-"), sanitize_segment(state_id))
 
 
 def audit_page_name(since: Column, page: Column) -> Column:
@@ -91,34 +94,58 @@ def bundle_generation(name: Column, prefix: str) -> Column:
     return F.when(number == "", 0).otherwise(number.cast("int"))
 
 
-def is_machinery(path: Column) -> Column:
-    """Ledger files, locks and markers: no objects of the archive."""
-    return F.exists(segments(path), lambda s: s.isin(".ledger", ".lock", ".mirror")) | leaf(path).rlike(r"\.tmp$")
+# Names of an archive's own files.
+LEDGER_DIR, MARKER, IDENTITY, STUB_SUFFIX, SIDECAR_SUFFIX = ".ledger", ".remote.json", ".identity.json", ".remote.json", ".sidecar.ndjson"
+LEDGER_LOCK, LEDGER_LOG = "lock", "log.ndjson"
+_TEMP = r"\A\.atomicfile-.*\.tmp\z"
+_WORKSPACE = r"\Aprojects/[^/]*/workspaces/[^/]*/"
+
+
+def is_temp(name: Column) -> Column:
+    """A leaf that a crash left half written."""
+    return name.rlike(_TEMP)
+
+
+def in_sealed_form(path: Column) -> Column:
+    """Anything in the `bundles` or `rollups` folder of a workspace."""
+    return path.rlike(_WORKSPACE + "(?:bundles|rollups)/")
 
 
 def is_bundle_zip(path: Column) -> Column:
-    """A sealed bundle in a `bundles` folder of a workspace or stack."""
-    return path.rlike(r"\Aprojects/[^/]+/(?:workspaces|stacks)/[^/]+/bundles/[^/]+\.zip\z")
+    """A sealed bundle: a zip right in the `bundles` folder of a workspace."""
+    return path.rlike(_WORKSPACE + r"bundles/[^/]*\.zip\z")
 
 
 def is_bundle_sidecar(path: Column) -> Column:
     """The member index of a bundle."""
-    return path.rlike(r"\Aprojects/[^/]+/(?:workspaces|stacks)/[^/]+/bundles/[^/]+\.zip\.sidecar\.ndjson\z")
-
-
-def in_sealed_form(path: Column) -> Column:
-    """A bundle, its index, or a roll-up."""
-    return is_bundle_zip(path) | is_bundle_sidecar(path) | path.rlike(r"\Aprojects/[^/]+/(?:workspaces|stacks)/[^/]+/rollups/[^/]+\.ndjson\z")
+    return path.rlike(_WORKSPACE + r"bundles/[^/]*\.zip\.sidecar\.ndjson\z")
 
 
 def is_config_tarball(path: Column) -> Column:
     """An uploaded configuration."""
-    return path.rlike(r"\Aconfig-versions/[^/]+\.tar\.gz\z")
+    return F.startswith(path, F.lit("config-versions/")) & F.endswith(path, F.lit(".tar.gz"))
 
 
 def stub_target(path: Column) -> Column:
-    """What an eviction stub stands for, or null."""
-    return F.when(F.endswith(path, F.lit(".evicted.json")), F.regexp_replace(path, r"\.evicted\.json$", ""))
+    """The tarball that an eviction stub stands for, or null; such a name anywhere else is an object."""
+    target = F.regexp_replace(path, r"\.remote\.json$", "")
+    return F.when(F.endswith(path, F.lit(STUB_SUFFIX)) & is_config_tarball(target), target)
+
+
+def in_ledger(path: Column) -> Column:
+    """A file right in a ledger's folder."""
+    return F.coalesce(F.get(segments(path), F.size(segments(path)) - 2) == LEDGER_DIR, F.lit(False))
+
+
+def is_machinery(path: Column) -> Column:
+    """The archive's own files: ledgers, sealed forms, markers, identities, half-written files. (Stubs aren't: each stands for its object.)"""
+    name = leaf(path)
+    return in_sealed_form(path) | F.array_contains(segments(path), LEDGER_DIR) | name.isin(MARKER, IDENTITY) | is_temp(name)
+
+
+def under_workspace(path: Column) -> Column:
+    """Within a workspace."""
+    return path.rlike(_WORKSPACE)
 
 
 # Run-child files and the roll-up each goes to.
@@ -178,5 +205,5 @@ def artifact_desc(name: Column) -> Column:
 
 def policy_source_id(name: Column) -> Column:
     """The id of a policy source file without a revision stamp, or null."""
-    found = F.regexp_extract(name, r"\A(pol-[A-Za-z0-9]+)\.(?:sentinel|rego)\z", 1)
-    return F.when(found != "", found)
+    own = F.regexp_replace(name, r"\.(?:sentinel|rego|tf|policy)$", "")
+    return F.when(name.rlike(r"\.(?:sentinel|rego|tf|policy)\z") & ~own.rlike(r"\.[0-9]{8}T[0-9]{6}Z\z"), own)

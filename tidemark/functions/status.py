@@ -52,11 +52,13 @@ def is_terminal(kind: Column, status: Column) -> Column:
 def classify_error(http_status: Column, message: Column, cause: Column) -> Column:
     """transient, terminal, forbidden or unknown, of a failed attempt; causes are not_found, canceled, timeout, reset, rate_limited."""
     text = F.coalesce(message, F.lit(""))
-    raw = F.regexp_extract(text, r"\Aerror HTTP response: ([0-9]+)", 1)
+    raw = F.regexp_extract(text, r"\Aerror HTTP response:\s+([0-9]+)(?:\s|\z)", 1)
+    # A whole line says so: a path or a detail that merely holds the word doesn't.
+    refused = F.exists(F.split(F.lower(text), "\n"), lambda x: F.trim(x, F.lit(" \t\r")).isin("forbidden", "403 forbidden"))
     return (
         F.when((http_status == 404) | (cause == "not_found"), "terminal")
         .when(cause.isin("canceled", "timeout", "reset", "rate_limited") | (http_status == 429), "transient")
-        .when((http_status == 403) | F.contains(F.lower(text), F.lit("forbidden")), "forbidden")
+        .when((http_status == 403) | refused, "forbidden")
         .when(raw == "404", "terminal")
         .when(raw == "403", "forbidden")
         .otherwise("unknown")

@@ -19,6 +19,12 @@ def capture_mutable(fresh: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("path", action.alias("action"), F.when(action == "changed", F.col("old_hash")).alias("old_hash"))
 
 
+def superseded(changes: DataFrame, current: DataFrame) -> DataFrame:
+    """path, content, old_hash of what a capture replaces: what goes to the objects' history. Contents are joined for changed paths only."""
+    changed = changes.filter("action = 'changed'").select("path", "old_hash")
+    return current.select("path", "content").join(changed, "path")
+
+
 def capture_immutable(fresh: DataFrame, ledger: DataFrame) -> DataFrame:
     """path, status of fresh (path, content) whose entry isn't settled: an empty blob doesn't apply."""
     settled = ledger.filter(status_settled(F.col("status"))).select("path")
@@ -27,9 +33,9 @@ def capture_immutable(fresh: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def newest_per_path(df: DataFrame, key: str = "path", order: str = "ord") -> DataFrame:
-    """The last row of each path, all columns."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    """The last row of each path, all columns; tasks combine before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(*[F.col(c) if c == key else F.col(f"__last.{c}").alias(c) for c in df.columns])
 
 
 def build_history(observations: DataFrame) -> DataFrame:

@@ -45,9 +45,16 @@ def done_under(ledger: DataFrame, prefix: str) -> DataFrame:
 
 
 def confirm_absent(attempts: DataFrame) -> DataFrame:
-    """run_id, path, http_status of the last attempt, retries, confirmed: a 404 counts if the last two or more attempts say so."""
-    last = attempts.groupBy("run_id", "path").agg(F.max_by("http_status", "attempt").alias("http_status"), (F.count(F.lit(1)) - 1).alias("retries"), F.count_if(F.col("http_status") == 404).alias("n404"))
-    return last.select("run_id", "path", "http_status", "retries", ((F.col("http_status") == 404) & (F.col("n404") > 1)).alias("confirmed"))
+    """run_id, path, http_status, retries, confirmed: a first 404 is asked once more in its run, and that answer decides.
+
+    Attempts (run_id, path, attempt, http_status) after the deciding one are other reads.
+    """
+    order = Window.partitionBy("run_id", "path").orderBy("attempt")
+    two = attempts.withColumn("k", F.row_number().over(order)).filter("k <= 2").groupBy("run_id", "path")
+    per = two.agg(F.max(F.when(F.col("k") == 1, F.col("http_status"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("http_status"))).alias("second"))
+    again = F.coalesce((F.col("first") == 404) & F.col("second").isNotNull(), F.lit(False))
+    decided = F.when(again, F.col("second")).otherwise(F.col("first"))
+    return per.select("run_id", "path", decided.alias("http_status"), again.cast("long").alias("retries"), F.coalesce(again & (F.col("second") == 404), F.lit(False)).alias("confirmed"))
 
 
 def map_outcome(http_status: Column, message: Column, cause: Column, wrote: Column) -> Column:
@@ -121,10 +128,12 @@ def fold_gates(events: DataFrame) -> DataFrame:
     """path, status, attempts of reference gates from events (path, seq, event: open, clear, absent or fail).
 
     An event that leaves the state as it is counts for nothing; opening a gate
-    that failed leaves it failed.
+    that failed leaves it failed, and clearing one that isn't there makes none.
     """
     goal = F.when(F.col("event") == "open", "pending").when(F.col("event") == "clear", "reference-cleared").when(F.col("event") == "absent", "reference-absent").otherwise("errored")
     order = Window.partitionBy("path").orderBy("seq")
+    there = F.max(F.col("event") != "clear").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    events = events.withColumn("there", there).filter("there").drop("there")
     closed = F.when(F.col("event") != "open", F.col("goal"))
     # The last event that isn't an opening; an opening after a failure changes nothing, so it doesn't end it.
     rows = events.withColumn("goal", goal).withColumn("before", F.last(closed, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -187,12 +196,20 @@ def compact(snapshot: DataFrame, log: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "path").agg(*[F.max_by(c, "ord").alias(c) for c in cols if c not in ("shard", "path")]).select(cols)
 
 
-def migrate_entries(ledger: DataFrame) -> DataFrame:
-    """Audit page slots recorded absent become errored, so they are read again."""
-    from tidemark.functions.paths import is_page_name, leaf
+def migrate_entries(ledger: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Audit page slots recorded absent become errored, so they are read again; done sources of policies (id, updated_at) take over a time they lack."""
+    from tidemark.functions.paths import is_page_name, leaf, policy_source_id
 
     slot = is_page_name(leaf(F.col("path"))) & (F.col("status") == "absent")
-    return ledger.withColumn("status", F.when(slot, "errored").otherwise(F.col("status")))
+    rows = ledger.withColumn("status", F.when(slot, "errored").otherwise(F.col("status")))
+    if policies is None:
+        return rows
+    source = F.when(F.startswith("path", F.lit("policies/")) & (F.col("status") == "done") & F.col("updated_at").isNull(), policy_source_id(leaf(F.col("path"))))
+    known = policies.filter("id IS NOT NULL").groupBy(F.col("id").alias("policy")).agg(F.max("updated_at").alias("policy_at"))
+    # Only the few rows that lack a time meet the policies.
+    bare = rows.withColumn("policy", source)
+    filled = bare.filter("policy IS NOT NULL").join(known, "policy", "left").withColumn("updated_at", F.col("policy_at"))
+    return bare.filter("policy IS NULL").select(ledger.columns).unionByName(filled.select(ledger.columns))
 
 
 def revision_key(listed: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import in_sealed_form, is_bundle_sidecar, is_bundle_zip, is_config_tarball, is_machinery, leaf, stub_target
+from tidemark.functions.paths import LEDGER_LOCK, LEDGER_LOG, in_ledger, in_sealed_form, is_bundle_sidecar, is_bundle_zip, is_config_tarball, is_temp, leaf, segments, shard_key, stub_target, under_workspace
+from tidemark.sources.scratch import written
 
 
 def sync_eligible(path: Column) -> Column:
-    """What a mirror may hold."""
-    return ~(is_machinery(path) | F.coalesce(stub_target(path).isNotNull(), F.lit(False)))
-
-
-def restorable(path: Column) -> Column:
-    """What a restore brings back: everything eligible but uploaded configurations, which get stubs."""
-    return sync_eligible(path) & ~is_config_tarball(path)
+    """What a mirror may hold: no half-written file, no stub, and of a ledger's folder neither lock nor log."""
+    ledger_own = in_ledger(path) & leaf(path).isin(LEDGER_LOCK, LEDGER_LOG)
+    return ~(is_temp(leaf(path)) | stub_target(path).isNotNull() | ledger_own)
 
 
 def evicted_surface(path: Column) -> Column:
-    """What may live in the mirror alone."""
+    """What may live in the mirror alone: bundles and uploaded configurations."""
     return is_bundle_zip(path) | is_config_tarball(path)
 
 
+def restorable(path: Column) -> Column:
+    """What a restore brings back: everything eligible that doesn't live in the mirror alone."""
+    return sync_eligible(path) & ~evicted_surface(path)
+
+
 def eager_scope(path: Column) -> Column:
-    """What is uploaded as soon as it is written."""
-    return in_sealed_form(path) | is_config_tarball(path)
+    """What is uploaded as soon as it is written: nothing of a workspace, which waits for its seal, and nothing that is evicted."""
+    return ~under_workspace(path) & ~evicted_surface(path)
+
+
+def seal_boundary_skip(path: Column) -> Column:
+    """Eligible files that the upload at a workspace's seal leaves to the closing sweep."""
+    return in_ledger(path) | is_bundle_zip(path)
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -41,41 +48,56 @@ def upload_needed(local: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def classify_sync(local: DataFrame, ledger: DataFrame) -> DataFrame:
-    """path, action of local files: skip what isn't eligible, evict proven bundles and tarballs, suspect unproven ones, sync the rest."""
+    """path, action of local files (path, size).
+
+    skip: not eligible, a bundle without its index, a tarball without a done
+    entry (path, status, signature); evict: a bundle with its index, a tarball
+    of the recorded size; suspect: a tarball of another size; sync: the rest.
+    """
     sidecars = local.filter(is_bundle_sidecar(F.col("path"))).select(F.regexp_replace("path", r"\.sidecar\.ndjson$", "").alias("path"), F.lit(True).alias("sidecar"))
-    proof = ledger.filter("status = 'done' AND signature IS NOT NULL").select("path", F.lit(True).alias("proof"))
-    rows = local.join(sidecars, "path", "left").join(proof, "path", "left")
+    proof = ledger.filter("status = 'done' AND signature IS NOT NULL").filter(is_config_tarball(F.col("path"))).select("path", F.col("signature.size").alias("recorded"))
+    rows = local.select("path", "size").join(sidecars, "path", "left").join(proof, "path", "left")
     p = F.col("path")
-    action = (
-        F.when(~sync_eligible(p), "skip")
-        .when(is_bundle_zip(p), F.when(F.col("sidecar"), "evict").otherwise("suspect"))
-        .when(is_config_tarball(p), F.when(F.col("proof"), "evict").otherwise("suspect"))
-        .otherwise("sync")
-    )
+    tarball = F.when(F.col("recorded").isNull(), "skip").when(F.col("recorded") == F.col("size"), "evict").otherwise("suspect")
+    action = F.when(~sync_eligible(p), "skip").when(is_bundle_zip(p), F.when(F.col("sidecar"), "evict").otherwise("skip")).when(is_config_tarball(p), tarball).otherwise("sync")
     return rows.select("path", action.alias("action"))
 
 
-def prune_plan(inventory: DataFrame, local: DataFrame, ledger: DataFrame, lost_shards: DataFrame, resumed: bool = True, restoring: bool = False, limit: int = 100) -> DataFrame:
-    """key, class, action of mirror keys without a local file.
+def prune_plan(inventory: DataFrame, local: DataFrame, ledger: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None, resumed: bool = True, restoring: bool = False, limit: int = 100) -> DataFrame:
+    """key, class, action of mirror keys that no eligible local file backs.
 
-    Classes: shard-lost (its shard's records are gone), ineligible, reshaped (a ledger
-    entry backs it: it lives on in another form), unbacked. Nothing is pruned during a
-    restore or by a run that didn't resume; unbacked keys are refused if they are more than
-    `limit` and more than the keys that match; keys of lost shards always are.
+    Bundles, their indexes and tarballs live in the mirror and are never
+    pruned. Classes: ineligible (a mirror mustn't hold it), reshaped (known to
+    the ledger, in a workspace that a local sealed form shows to be sealed, or
+    below a former name in aliases(former)), shard-lost (its shard's records
+    are gone), unbacked. Nothing is pruned during a restore or by a run that
+    didn't resume; unbacked keys are refused if they are more than `limit` and
+    more than the keys that match; keys of lost shards always are.
     """
-    from tidemark.functions.paths import shard_key
-
     k = F.col("key")
-    stale = inventory.join(local.select(F.col("path").alias("key")), "key", "left_anti").withColumn("shard", shard_key(k))
-    rows = stale.join(ledger.select(F.col("path").alias("key"), F.lit(True).alias("backed")).distinct(), "key", "left")
+    kept = local.filter(sync_eligible(F.col("path"))).select(F.col("path").alias("key"))
+    here = local.select(F.col("path").alias("key"))
+    stale = inventory.select("key").filter(~evicted_surface(k) & ~is_bundle_sidecar(k)).join(here, "key", "left_anti").withColumn("shard", shard_key(k))
+    sealed = local.filter(in_sealed_form(F.col("path"))).select(shard_key(F.col("path")).alias("shard")).distinct().withColumn("sealed", F.lit(True))
+    rows = stale.join(ledger.select(F.col("path").alias("key"), F.lit(True).alias("known")).distinct(), "key", "left").join(sealed, "shard", "left")
     rows = rows.join(lost_shards.select("shard", F.lit(True).alias("lost")).distinct(), "shard", "left")
-    kind = F.when(F.col("lost"), "shard-lost").when(~sync_eligible(k), "ineligible").when(F.col("backed"), "reshaped").otherwise("unbacked")
+    moved = F.lit(False)
+    if aliases is not None:
+        # A former name meets the keys strictly below it by equality with a key's own ancestors.
+        ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments(k)) - 1, F.lit(1))), lambda i: F.array_join(F.slice(segments(k), F.lit(1), i), "/"))
+        below = stale.select("key", F.explode(ancestors).alias("former")).filter("former <> key").join(aliases.select("former").filter("former <> ''").distinct(), "former", "left_semi")
+        rows = rows.join(below.select("key", F.lit(True).alias("moved")).distinct(), "key", "left")
+        moved = F.coalesce("moved", F.lit(False))
+    reshaped = F.coalesce("known", F.lit(False)) & (F.coalesce("sealed", F.lit(False)) | moved)
+    kind = F.when(~sync_eligible(k), "ineligible").when(reshaped, "reshaped").when(F.col("lost"), "shard-lost").otherwise("unbacked")
     rows = rows.select("key", kind.alias("class"))
-    # Two numbers decide for all rows.
-    unbacked = rows.filter("class = 'unbacked'").count()
-    matched = inventory.join(local.select(F.col("path").alias("key")), "key", "left_semi").count()
-    refuse = F.lit(restoring or not resumed) | (F.col("class") == "shard-lost") | ((F.col("class") == "unbacked") & F.lit(unbacked > limit and unbacked > matched))
-    return rows.withColumn("action", F.when(refuse, "refuse").otherwise("prune"))
+    # Two numbers decide for all rows; they stay in the plan, which broadcasts their one row.
+    unbacked = rows.agg(F.count_if(F.col("class") == "unbacked").alias("unbacked"))
+    matched = inventory.select("key").join(kept, "key", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    guarded = rows.crossJoin(F.broadcast(unbacked)).crossJoin(F.broadcast(matched))
+    many = (F.col("unbacked") > limit) & (F.col("unbacked") > F.col("matched"))
+    refuse = F.lit(restoring or not resumed) | (F.col("class") == "shard-lost") | ((F.col("class") == "unbacked") & many)
+    return guarded.select("key", "class", F.when(refuse, "refuse").otherwise("prune").alias("action"))
 
 
 def evicted_obligations(index: DataFrame, local: DataFrame) -> DataFrame:
@@ -90,20 +112,22 @@ def verify_evicted(obligations: DataFrame, inventory: DataFrame) -> DataFrame:
     return obligations.join(there, "path", "left").select("path", state.alias("state"))
 
 
-def alias_rewrites(paths: DataFrame, aliases: DataFrame, max_depth: int = 8) -> DataFrame:
+def alias_rewrites(paths: DataFrame, aliases: DataFrame) -> DataFrame:
     """path, spelling, depth: every former spelling of a path under renames of directories (current, former).
 
-    aliases is a short list of prefixes; each round meets it by equality with a path's own ancestors.
+    aliases is a short list of prefixes; each round meets it by equality with a
+    path's own ancestors. Rounds go on until one finds no new spelling, at most
+    as many as there are renames.
     """
-    if aliases.filter("current = former").count():
-        aliases = aliases.filter("current <> former")
+    aliases = aliases.filter("current <> former").distinct()
     found = paths.select("path", F.col("path").alias("spelling"), F.lit(0).alias("depth"))
     last = found
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, aliases.count() + 1):
         parts = F.split("spelling", "/")
         each = last.select("path", "spelling", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("current"))
         renamed = F.concat(F.col("former"), F.substring("spelling", F.length("current") + 1, F.length("spelling")))
-        last = each.join(aliases, "current").select("path", renamed.alias("spelling"), F.lit(depth).alias("depth")).distinct().join(found.select("path", "spelling"), ["path", "spelling"], "left_anti")
+        new = each.join(aliases, "current").select("path", renamed.alias("spelling"), F.lit(depth).alias("depth")).distinct()
+        last = written(new.join(found.select("path", "spelling"), ["path", "spelling"], "left_anti"), "spellings")
         if last.isEmpty():
             break
         found = found.unionByName(last)
@@ -111,26 +135,35 @@ def alias_rewrites(paths: DataFrame, aliases: DataFrame, max_depth: int = 8) ->
 
 
 def restore_plan(inventory: DataFrame, local: DataFrame) -> DataFrame:
-    """path, action, reason: create what is missing, skip what is equal, replace what differs, refuse what can't be compared.
+    """path, action, reason of the mirror's restorable objects: create what is missing, skip what is equal, replace what differs.
 
-    Both sides have size, md5, sha256; SHA-256 decides before MD5, MD5 before size.
+    Both sides have size, md5, sha256; SHA-256 decides before MD5, MD5 before
+    size. Bundles and tarballs stay in the mirror; see mirror_leftovers and
+    stub_plan.
     """
     here = local.select(F.col("path").alias("key"), F.col("size").alias("s"), F.col("md5").alias("m"), F.col("sha256").alias("h"))
-    both = inventory.join(here, "key", "left")
+    both = inventory.filter(restorable(F.col("key"))).join(here, "key", "left")
     pair = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     action = F.when(F.col("s").isNull(), "create").when(F.col("s") != F.col("size"), "replace").when(pair("sha256", "h"), F.when(F.col("sha256") == F.col("h"), "skip").otherwise("replace"))
     action = action.when(pair("md5", "m"), F.when(F.col("md5") == F.col("m"), "skip").otherwise("replace")).otherwise("skip")
     reason = F.when(F.col("s").isNull(), "missing").when(F.col("s") != F.col("size"), "size").when(pair("sha256", "h"), "sha256").when(pair("md5", "m"), "md5").otherwise("size only")
-    ok = restorable(F.col("key"))
-    return both.select(F.col("key").alias("path"), F.when(ok, action).otherwise("refuse").alias("action"), F.when(ok, reason).otherwise("not restorable").alias("reason"))
+    return both.select(F.col("key").alias("path"), action.alias("action"), reason.alias("reason"))
 
 
 def snapshot_conflict(local: DataFrame, mirror: DataFrame) -> DataFrame:
-    """shard, action: take the mirror's snapshot only if its run is newer and it counts no fewer runs (shard, last_run_at, run_count)."""
-    m = mirror.select("shard", F.col("last_run_at").alias("at"), F.col("run_count").alias("n"))
-    same = (F.col("at") == F.col("last_run_at")) & (F.col("n") == F.col("run_count"))
-    action = F.when(F.col("last_run_at").isNull(), "create").when(same, "skip").when((F.col("at") > F.col("last_run_at")) & (F.col("n") >= F.col("run_count")), "replace").otherwise("refuse")
-    return m.join(local, "shard", "left").select("shard", action.alias("action"))
+    """org, shard, action of snapshots (org, shard, last_run_at, run_count) that differ on both sides.
+
+    Only an organisation's own (shard '') can be ordered: one is newer if its
+    run is later and it counts no fewer runs. A newer mirror's replaces, a newer
+    local one is kept (skip), all else is refused. Where nothing is local, the
+    mirror's is created.
+    """
+    m = mirror.select("org", "shard", F.col("last_run_at").alias("at"), F.col("run_count").alias("n"))
+    here = local.select("org", "shard", "last_run_at", "run_count", F.lit(True).alias("here"))
+    newer = (F.col("at") > F.col("last_run_at")) & (F.col("n") >= F.col("run_count"))
+    older = (F.col("last_run_at") > F.col("at")) & (F.col("run_count") >= F.col("n"))
+    action = F.when(F.col("here").isNull(), "create").when(F.col("shard") != "", "refuse").when(newer, "replace").when(older, "skip").otherwise("refuse")
+    return m.join(here, ["org", "shard"], "left").select("org", "shard", action.alias("action"))
 
 
 def mirror_leftovers(inventory: DataFrame, local: DataFrame) -> DataFrame:
@@ -138,7 +171,7 @@ def mirror_leftovers(inventory: DataFrame, local: DataFrame) -> DataFrame:
     k = F.col("key")
     indexes = inventory.select(k.alias("path")).unionByName(local.select("path")).filter(is_bundle_sidecar(F.col("path"))).select(F.regexp_replace("path", r"\.sidecar\.ndjson$", "").alias("key")).distinct()
     bare = inventory.filter(is_bundle_zip(k)).join(indexes, "key", "left_anti").select("key")
-    return inventory.filter(~restorable(k) & ~is_config_tarball(k)).select("key").unionByName(bare)
+    return inventory.filter(~restorable(k) & ~evicted_surface(k)).select("key").unionByName(bare)
 
 
 def stub_plan(inventory: DataFrame, local: DataFrame) -> DataFrame:
@@ -205,13 +238,8 @@ def eviction_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame) ->
     return confirm_copy(local.join(able, "path", "left_semi"), inventory).select("path", (F.col("state") == "ok").alias("safe_to_drop"))
 
 
-def sync_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame, lost_shards: DataFrame) -> DataFrame:
+def sync_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """path, action of a whole synchronisation: upload, evict, suspect, skip, keep; and prune or refuse for the mirror's own keys."""
     kinds = classify_sync(local, ledger).join(upload_needed(local, inventory), "path")
     action = F.when(F.col("action").isin("skip", "suspect"), F.col("action")).when(F.col("reason") != "equal", "upload").when(F.col("action") == "evict", "evict").otherwise("keep")
-    return kinds.select("path", action.alias("action")).unionByName(prune_plan(inventory, local, ledger, lost_shards).select(F.col("key").alias("path"), "action"))
-
-
-def bundle_name(path: Column) -> Column:
-    """A bundle's leaf."""
-    return leaf(path)
+    return kinds.select("path", action.alias("action")).unionByName(prune_plan(inventory, local, ledger, lost_shards, aliases).select(F.col("key").alias("path"), "action"))

@@ -20,10 +20,13 @@ def seal_plan(objects: DataFrame, ledger: DataFrame, collections: DataFrame, run
     complete = collections.filter("complete").select("shard", "kind")
     p = parse_path(F.col("path"))
     rows = objects.select("path").join(done, "path", "left_semi").select("path", shard_key(F.col("path")).alias("shard"), p["kind"].alias("kind"), p["run_id"].alias("run_id"), artifact_class(F.col("path")).alias("class"), leaf(F.col("path")).alias("leaf"))
-    rows = rows.join(complete, ["shard", "kind"], "left_semi").join(runs.select("run_id", F.col("status").alias("run_status")), "run_id", "left")
-    own = (F.col("leaf") == "run.json") & is_terminal(F.lit("run"), F.col("run_status"))
-    target = F.when(F.col("class") == "heavy", "logs").when(F.col("class") == "state_blob", "state").when(F.col("class").endswith(".ndjson"), F.col("class")).when(own, "runs.ndjson")
-    return rows.select("path", "shard", target.alias("target")).filter("target IS NOT NULL")
+    rows = rows.join(complete, ["shard", "kind"], "left_semi")
+    own = (F.col("leaf") == "run.json") & F.col("run_id").isNotNull()
+    # Only runs' own documents meet the runs; all else is told by its path.
+    final = runs.filter(is_terminal(F.lit("run"), F.col("status"))).select("run_id")
+    ended = rows.filter(own).join(final, "run_id", "left_semi").select("path", "shard", F.lit("runs.ndjson").alias("target"))
+    target = F.when(F.col("class") == "heavy", "logs").when(F.col("class") == "state_blob", "state").when(F.col("class") == "state_meta", "state-versions.ndjson").when(F.col("class").endswith(".ndjson"), F.col("class"))
+    return rows.filter(~own).select("path", "shard", target.alias("target")).filter("target IS NOT NULL").unionByName(ended)
 
 
 def next_generation(names: DataFrame, prefix: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.content import attr_bool, attr_string, bool_cell, decode_jsonapi, fmt_time, human_bytes, is_prerelease, redact_variable, semver_key
+from tidemark.functions.content import attr_bool, attr_bool_ok, attr_int_ok, attr_string, attr_time, bool_cell, decode_jsonapi, fmt_time, human_bytes, is_prerelease, redact_variable, semver_key
 from tidemark.functions.paths import artifact_rank
 from tidemark.operators.refs import resolve_project
 
@@ -49,14 +49,19 @@ def workspace_weights(workspaces: DataFrame, runs: DataFrame, states: DataFrame,
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """module, latest of (module, version, ok, pos): the newest ok release, else the newest ok prerelease, else the first unparseable."""
+    """module, latest of (module, version, ok, pos): the newest release, else the newest prerelease, else the first unparseable.
+
+    Only ok and concrete versions (not empty, not `latest`) take part; a module
+    without any has none.
+    """
     key = semver_key(F.col("version"))
-    release = F.col("ok") & key.isNotNull() & ~is_prerelease(F.col("version"))
-    pre = F.col("ok") & is_prerelease(F.col("version"))
+    able = F.coalesce(F.col("ok") & ~F.col("version").isin("", "latest"), F.lit(False))
+    release = able & key.isNotNull() & ~is_prerelease(F.col("version"))
+    pre = able & is_prerelease(F.col("version"))
     per = versions.groupBy("module").agg(
         F.max_by("version", F.when(release, F.struct(key, F.col("version")))).alias("a"),
         F.max_by("version", F.when(pre, F.struct(key, F.col("version")))).alias("b"),
-        F.min_by("version", F.when(key.isNull(), F.col("pos"))).alias("c"),
+        F.min_by("version", F.when(able & key.isNull(), F.col("pos"))).alias("c"),
     )
     return per.select("module", F.coalesce("a", "b", "c").alias("latest"))
 
@@ -75,25 +80,75 @@ def run_rates(runs: DataFrame) -> DataFrame:
 
 
 def teams_report(teams: DataFrame) -> DataFrame:
-    """id, name, visibility, users of team documents (path, content); a damaged one keeps the id its path gives."""
+    """id, name, visibility, users of team documents (path, content), id being that of their folder; a damaged one keeps it."""
     rows = decode_jsonapi(teams.select("path", "content"))
     a = F.col("attributes")
-    good = rows.select("path", "id", attr_string(a, "name").alias("name"), attr_string(a, "visibility").alias("visibility"), F.try_variant_get(a, "$['users-count']", "long").alias("users"))
-    every = teams.select("path", F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("own"))
-    return every.join(good, "path", "left").select(F.coalesce("id", "own").alias("id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("visibility", F.lit("")).alias("visibility"), "users")
+    good = rows.filter("pos = 0").select("path", attr_string(a, "name").alias("name"), attr_string(a, "visibility").alias("visibility"), attr_int_ok(a, "users-count").alias("users"))
+    every = teams.select("path", F.regexp_extract("path", r"\Ateams/([^/]+)/", 1).alias("id"))
+    return every.join(good, "path", "left").select("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("visibility", F.lit("")).alias("visibility"), "users")
+
+
+def variables_report(variables: DataFrame) -> DataFrame:
+    """path, key, value, category, hcl of documents of variables or parameters (path, content); sensitive values are withheld."""
+    a = F.col("attributes")
+    return decode_jsonapi(variables.select("path", "content")).select(
+        "path", attr_string(a, "key").alias("key"), redact_variable(attr_bool(a, "sensitive"), attr_string(a, "value")).alias("value"), attr_string(a, "category").alias("category"), bool_cell(attr_bool_ok(a, "hcl")).alias("hcl")
+    )
+
+
+def _sets(sets: DataFrame, folder: str, leaf: str) -> DataFrame:
+    """set_id, id, attributes of set documents (path, content): set_id is the folder's name, and a damaged document keeps it."""
+    own = F.regexp_extract("path", rf"\A{folder}/([^/]+)/{leaf}\z", 1)
+    every = sets.select("path", own.alias("set_id")).filter("set_id <> ''")
+    return every.join(decode_jsonapi(sets.select("path", "content")).filter("pos = 0").select("path", "id", "attributes"), "path", "left")
+
+
+def _of_sets(rows: DataFrame, variables: DataFrame, folder: str) -> DataFrame:
+    """The sets with an array of their variables, in order of key."""
+    own = F.regexp_extract("path", rf"\A{folder}/([^/]+)/", 1)
+    per = variables_report(variables).groupBy(own.alias("set_id")).agg(F.sort_array(F.collect_list(F.struct("key", "value", "category", "hcl"))).alias("variables"))
+    return rows.join(per, "set_id", "left").withColumn("variables", F.coalesce("variables", F.array().cast("array<struct<key:string,value:string,category:string,hcl:string>>")))
+
+
+def variable_sets_report(sets: DataFrame, variables: DataFrame) -> DataFrame:
+    """set_id, title, id, description, global, variables of variable sets: their documents and their variables' (path, content)."""
+    a = F.col("attributes")
+    rows = _sets(sets, "variable-sets", "variable-set.json").select(
+        "set_id", F.coalesce(F.nullif(attr_string(a, "name"), F.lit("")), "set_id").alias("title"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce(attr_string(a, "description"), F.lit("")).alias("description"), bool_cell(attr_bool_ok(a, "global")).alias("global")
+    )
+    return _of_sets(rows, variables, "variable-sets")
 
 
-def variable_sets_report(variables: DataFrame) -> DataFrame:
-    """path, key, value, category of variable documents (path, content); sensitive values are withheld."""
+def policy_sets_report(sets: DataFrame, parameters: DataFrame) -> DataFrame:
+    """set_id, title, id, kind, global, policies, variables of policy sets: their documents and their parameters' (path, content)."""
     a = F.col("attributes")
-    return decode_jsonapi(variables.select("path", "content")).select("path", attr_string(a, "key").alias("key"), redact_variable(attr_bool(a, "sensitive"), attr_string(a, "value")).alias("value"), attr_string(a, "category").alias("category"))
+    rows = _sets(sets, "policy-sets", "policy-set.json").select(
+        "set_id", F.coalesce(F.nullif(attr_string(a, "name"), F.lit("")), "set_id").alias("title"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce(attr_string(a, "kind"), F.lit("")).alias("kind"), bool_cell(attr_bool_ok(a, "global")).alias("global"), attr_int_ok(a, "policy-count").alias("policies")
+    )
+    return _of_sets(rows, parameters, "policy-sets")
 
 
 def workspace_overview(workspaces: DataFrame) -> DataFrame:
-    """path, id and the settings of workspace documents (path, content) that a report shows."""
+    """path, id and the settings of workspace documents (path, content) that a report shows; unknown ones are ''."""
+    a = F.col("attributes")
+    text = [attr_string(a, c).alias(c.replace("-", "_")) for c in ("description", "terraform-version", "execution-mode")]
+    rows = decode_jsonapi(workspaces.select("path", "content"))
+    return rows.select("path", "id", *text, bool_cell(attr_bool_ok(a, "auto-apply")).alias("auto_apply"), attr_int_ok(a, "resource-count").alias("resource_count"), fmt_time(attr_time(a, "created-at")).alias("created"), F.coalesce(F.try_variant_get(a, "$['vcs-repo'].identifier", "string"), F.lit("")).alias("repository"))
+
+
+def stack_report(stacks: DataFrame, deployments: DataFrame) -> DataFrame:
+    """path, title, id, description, created, updated, n_deployments, deployments (name, created) of stack documents and their deployments' (path, content)."""
     a = F.col("attributes")
-    text = {c: attr_string(a, c).alias(c.replace("-", "_")) for c in ("name", "terraform-version", "execution-mode", "working-directory")}
-    return decode_jsonapi(workspaces.select("path", "content")).select("path", "id", *text.values(), bool_cell(attr_bool(a, "locked")).alias("locked"), F.coalesce(F.try_variant_get(a, "$['vcs-repo'].identifier", "string"), F.lit("")).alias("repository"))
+    folder = F.regexp_extract("path", r"\A(projects/[^/]+/stacks/[^/]+)/", 1)
+    made = decode_jsonapi(deployments.select("path", "content")).filter("pos = 0").select("path", fmt_time(attr_time(a, "created-at")).alias("created"))
+    each = deployments.select("path", folder.alias("folder"), F.regexp_extract("path", r"/deployments/([^/]+)/", 1).alias("name")).join(made, "path", "left")
+    per = each.groupBy("folder").agg(F.sort_array(F.collect_set(F.struct("name", F.coalesce("created", F.lit("")).alias("created")))).alias("deployments"))
+    own = decode_jsonapi(stacks.select("path", "content")).filter("pos = 0").select("path", "id", attr_string(a, "name").alias("name"), attr_string(a, "description").alias("description"), fmt_time(attr_time(a, "created-at")).alias("created"), fmt_time(attr_time(a, "updated-at")).alias("updated"))
+    rows = stacks.select("path", folder.alias("folder")).join(own, "path", "left").join(per, "folder", "left")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    title = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.element_at(F.split("folder", "/"), -1))
+    none = F.array().cast("array<struct<name:string,created:string>>")
+    return rows.select("path", title.alias("title"), blank("id"), blank("description"), blank("created"), blank("updated"), F.coalesce(F.size("deployments"), F.lit(0)).alias("n_deployments"), F.coalesce("deployments", none).alias("deployments"))
 
 
 def runs_report(runs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -112,6 +167,15 @@ def all_workspaces(workspaces: DataFrame, projects: DataFrame) -> DataFrame:
     return resolve_project(workspaces, projects).orderBy("project", "name")
 
 
+def org_info(orgs: DataFrame) -> DataFrame:
+    """path, id, title, email, created of organisation documents (path, content); a damaged one keeps its folder's name."""
+    a = F.col("attributes")
+    own = decode_jsonapi(orgs.select("path", "content")).filter("pos = 0").select("path", "id", attr_string(a, "name").alias("name"), attr_string(a, "email").alias("email"), fmt_time(attr_time(a, "created-at")).alias("created"))
+    rows = orgs.select("path").join(own, "path", "left")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select("path", blank("id"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.split_part("path", F.lit("/"), F.lit(1))).alias("title"), blank("email"), blank("created"))
+
+
 def org_overview(objects: DataFrame, depths: dict[str, tuple[str, int]], projects: DataFrame, workspaces: DataFrame, stacks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contents by label, counts by project) of an organisation."""
     return inventory_counts(objects, depths), project_counts(projects, workspaces, stacks)

@@ -114,7 +114,7 @@ def sc02_attributes(spark, d):
     return t(spark, d, "events").select("event_id", fc.attr_int(v, "k").alias("k"), fc.attr_string(v, "k").alias("text"), fc.attr_int(v, "none").alias("missing"), fc.attr_bool(v, "k").alias("flag"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S.%f') || 'Z-' || event_type AS stem, strftime(ts, '%Y%m%dT%H%M%S.%f') || '000Z-p' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '.json' AS page, true AS is_page FROM events")
+@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') || 'Z-' || event_type AS stem, strftime(ts, '%Y%m%dT%H%M%S.%f') || '000Z-p' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '.json' AS page, true AS is_page FROM events")
 def sc11_stems(spark, d):
     page = fp.audit_page_name(F.col("ts"), F.col("user_id"))
     return t(spark, d, "events").select("event_id", fp.state_stem(F.col("ts"), F.col("event_type")).alias("stem"), page.alias("page"), fp.is_page_name(page).alias("is_page"))
@@ -150,7 +150,9 @@ def sc17_terminal(spark, d):
 def sc18_classify_error(spark, d):
     k = F.col("user_id") % 5
     code = F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 429).otherwise(500)
-    return t(spark, d, "events").select("event_id", fs.classify_error(code, F.when(k == 3, "Forbidden by policy").otherwise("oops"), F.lit(None).cast("string")).alias("kind"))
+    # Only a line of its own refuses; a path that holds the word doesn't.
+    message = F.when(k == 3, " Forbidden\nfor this token").when(k == 4, "path forbidden-experiments failed").otherwise("oops")
+    return t(spark, d, "events").select("event_id", fs.classify_error(code, message, F.lit(None).cast("string")).alias("kind"))
 
 
 @query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN round(b / 1024.0, 1) < 1024 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%.1f MiB', b / 1048576.0) END AS size,
@@ -249,18 +251,6 @@ def jn03_upload_needed(spark, d):
     return reconcile.upload_needed(_local(spark, d), _inventory(spark, d))
 
 
-@query(f"SELECT path, 'sync' AS action FROM ({OBJECTS})")
-def jn04_classify_sync(spark, d):
-    return reconcile.classify_sync(_local(spark, d), entries(spark, d).withColumn("signature", F.lit("x")))
-
-
-@query(f"SELECT path AS key, CASE WHEN e.doc_id IS NOT NULL THEN 'reshaped' ELSE 'unbacked' END AS class, 'prune' AS action FROM ({OBJECTS}) o LEFT JOIN ({ENTRIES}) e USING (path) WHERE o.doc_id % 7 <> 0 AND o.doc_id % 10 = 1")
-def jn05_prune_plan(spark, d):
-    local = _local(spark, d).filter("doc_id % 10 <> 1")
-    none = spark.range(0).select(F.lit("").alias("shard"))
-    return reconcile.prune_plan(_inventory(spark, d), local, entries(spark, d), none)
-
-
 @query(f"SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'size_mismatch' ELSE 'ok' END AS state FROM ({OBJECTS}) WHERE doc_id % 5 <> 0")
 def jn06_verify_evicted(spark, d):
     rows = _local(spark, d)
@@ -269,17 +259,10 @@ def jn06_verify_evicted(spark, d):
 
 @query(f"""SELECT path, action, CASE action WHEN 'create' THEN 'missing' ELSE reason END AS reason FROM (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'create' WHEN doc_id % 11 = 0 THEN 'replace' WHEN doc_id % 3 = 0 THEN 'skip' WHEN doc_id % 13 = 0 THEN 'replace' ELSE 'skip' END AS action,
   CASE WHEN doc_id % 11 = 0 THEN 'size' WHEN doc_id % 3 = 0 THEN 'sha256' WHEN doc_id % 13 = 0 OR doc_id % 2 = 0 THEN 'md5' ELSE 'size only' END AS reason FROM ({OBJECTS}) WHERE doc_id % 7 <> 0)""")
-def jn08_restore_plan(spark, d):
+def jn08_restore_runs(spark, d):
     return reconcile.restore_plan(_inventory(spark, d), _local(spark, d).filter("doc_id % 5 <> 0"))
 
 
-@query("SELECT c_custkey AS shard, CASE WHEN c_custkey % 4 = 0 THEN 'create' WHEN c_custkey % 4 = 1 THEN 'replace' WHEN c_custkey % 4 = 2 THEN 'skip' ELSE 'refuse' END AS action FROM customer")
-def jn09_snapshot_conflict(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("shard"), F.col("c_custkey").alias("last_run_at"), F.col("c_nationkey").alias("run_count"))
-    m = c.withColumn("last_run_at", F.col("last_run_at") + F.when(F.col("shard") % 4 == 1, 1).when(F.col("shard") % 4 == 3, -1).otherwise(0))
-    return reconcile.snapshot_conflict(c.filter("shard % 4 <> 0"), m)
-
-
 @query(f"SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'mismatch' WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'ok' ELSE 'needs_read_back' END AS state FROM ({OBJECTS})")
 def jn23_confirm_copy(spark, d):
     return reconcile.confirm_copy(_local(spark, d), _inventory(spark, d))
@@ -321,11 +304,12 @@ def jn19_collect_users(spark, d):
     return refs.collect_users(a, b)
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'renamed_from' WHEN 2 THEN 'mismatch' ELSE 'ok' END AS claim FROM customer")
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'renamed_from' WHEN 2 THEN 'mismatch' ELSE CASE c_custkey % 8 WHEN 3 THEN 'renamed_back' ELSE 'ok' END END AS claim FROM customer")
 def jn20_claim_identities(spark, d):
     c, k = t(spark, d, "customer"), F.col("c_custkey")
     rows = c.select(F.col("c_nationkey").alias("parent"), F.col("c_name").alias("name"), k.alias("id"))
     bound = c.filter(k % 4 != 0).select(F.col("c_nationkey").alias("parent"), F.when(k % 4 == 1, F.concat("c_name", F.lit("-old"))).otherwise(F.col("c_name")).alias("name"), F.when(k % 4 == 2, -k).otherwise(k).alias("id"))
+    bound = bound.unionByName(c.filter(k % 8 == 3).select(F.col("c_nationkey").alias("parent"), F.concat("c_name", F.lit("-old")).alias("name"), k.alias("id")))
     return refs.claim_identities(rows, bound).select("id", "claim")
 
 
@@ -361,7 +345,9 @@ def cdc03_map_outcome(spark, d):
     return t(spark, d, "events").select("event_id", o["status"].alias("status"), o["transient"].alias("transient"))
 
 
-@query("SELECT event_id // 100 AS run_id, user_id AS path, arg_max(c, event_id) AS http_status, count(*) - 1 AS retries, arg_max(c, event_id) = 404 AND count(*) FILTER (c = 404) > 1 AS confirmed FROM (SELECT *, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS c FROM events) GROUP BY 1, 2")
+@query("""WITH e AS (SELECT event_id // 100 AS run_id, user_id AS path, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS c, row_number() OVER (PARTITION BY event_id // 100, user_id ORDER BY event_id) AS k FROM events),
+  p AS (SELECT run_id, path, max(c) FILTER (k = 1) AS a, max(c) FILTER (k = 2) AS b FROM e GROUP BY 1, 2)
+  SELECT run_id, path, CASE WHEN a = 404 AND b IS NOT NULL THEN b ELSE a END AS http_status, CASE WHEN a = 404 AND b IS NOT NULL THEN 1 ELSE 0 END AS retries, a = 404 AND b IS NOT NULL AND b = 404 AS confirmed FROM p""")
 def cdc04_confirm_absent(spark, d):
     e = t(spark, d, "events").select(F.floor(F.col("event_id") / 100).alias("run_id"), F.col("user_id").alias("path"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("http_status"))
     return ledger.confirm_absent(e)
@@ -379,12 +365,15 @@ def cdc05_fold_outcomes(spark, d):
     return o.select("path", "status", at("first_seen"), at("fetched_at"), at("updated_at"), at("last_error_at"), "last_error", F.col("signature.hash").alias("hash"), F.col("signature.size").alias("size"), "attempts", "transient")
 
 
-@query(f"SELECT path, arg_max(status, seq) AS status FROM (SELECT path, status, -1 AS seq FROM ({OUTCOMES}) WHERE seq < 100 AND path IN (SELECT path FROM ({OUTCOMES}) WHERE seq >= 100) QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1 UNION ALL SELECT path, status, seq FROM ({OUTCOMES}) WHERE seq >= 100) GROUP BY path")
+_BEFORE = "2024-01-12"
+
+
+@query(f"SELECT path, arg_max(status, seq) AS status FROM ({OUTCOMES}) GROUP BY path")
 def cdc08_compact(spark, d):
-    rows = outcomes(spark, d).select(F.substring_index("path", "/", 1).alias("shard"), "path", "status", "seq")
-    before = history.newest_per_path(rows.filter("seq < 100").withColumnRenamed("seq", "ord")).drop("ord")
-    log = rows.filter("seq >= 100").withColumnRenamed("seq", "ord")
-    return ledger.compact(before.join(log.select("path").distinct(), "path", "left_semi").select("shard", "path", "status"), log).select("path", "status")
+    rows = outcomes(spark, d).select(F.substring_index("path", "/", 1).alias("shard"), "path", "status", F.col("seq").alias("ord"), "at")
+    old = F.col("at") < F.lit(_BEFORE).cast("timestamp_ntz")
+    before = history.newest_per_path(rows.filter(old).drop("at")).drop("ord")
+    return ledger.compact(before, rows.filter(~old).drop("at")).select("path", "status")
 
 
 @query(f"SELECT path, CASE WHEN doc_id % 3 = 0 AND status = 'done' THEN path || '@20240201T000000' ELSE path END AS key FROM ({ENTRIES})")
@@ -418,7 +407,7 @@ def agg04_inventory_counts(spark, d):
 @query("SELECT n_name AS project, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS workspaces, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS stacks FROM nation")
 def agg05_project_counts(spark, d):
     n = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("project"))
-    own = lambda table, key: t(spark, d, table).join(F.broadcast(n), F.col(key) == F.col("n_nationkey")).select("project")
+    own = lambda table, key: t(spark, d, table).join(n, F.col(key) == F.col("n_nationkey")).select("project")
     return reports.project_counts(n, own("customer", "c_nationkey"), own("supplier", "s_nationkey"))
 
 
@@ -445,9 +434,14 @@ def agg09_tree_children(spark, d):
     return listing.tree_children(objects(spark, d).withColumn("offloaded", F.lit(False)), "projects")
 
 
-@query("SELECT p_brand AS module, '1.' || max(p_size) || '.0' AS latest FROM part GROUP BY 1")
+_KIND = "CASE p_partkey % 7 WHEN 0 THEN 'latest' WHEN 1 THEN 'junk' || p_partkey WHEN 2 THEN '1.' || p_size || '.0-rc1' ELSE '1.' || p_size || '.0' END"
+
+
+@query("""SELECT p_brand || '/' || p_partkey % 7 AS module, CASE p_partkey % 7 WHEN 1 THEN 'junk' || min(p_partkey) FILTER (p_partkey % 5 <> 0) WHEN 2 THEN '1.' || max(p_size) FILTER (p_partkey % 5 <> 0) || '.0-rc1'
+  WHEN 0 THEN NULL ELSE '1.' || max(p_size) FILTER (p_partkey % 5 <> 0) || '.0' END AS latest FROM part GROUP BY p_brand, p_partkey % 7""")
 def agg10_latest_versions(spark, d):
-    return reports.latest_versions(t(spark, d, "part").select(F.col("p_brand").alias("module"), F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")).alias("version"), F.lit(True).alias("ok"), F.col("p_partkey").alias("pos")))
+    rows = t(spark, d, "part").select(F.expr("p_brand || '/' || p_partkey % 7").alias("module"), F.expr(_KIND).alias("version"), (F.col("p_partkey") % 5 != 0).alias("ok"), F.col("p_partkey").alias("pos"))
+    return reports.latest_versions(rows)
 
 
 @query("SELECT o_custkey AS run_id, sum(o_totalprice) / 60 AS bytes_per_s, count(*) FILTER (o_orderstatus = 'F') / count(*) AS share, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 60.0 * count(*) FILTER (o_orderstatus <> 'F') / count(*) FILTER (o_orderstatus = 'F') END AS eta_s, max(o_orderkey) FILTER (o_orderstatus <> 'F') AS largest FROM orders GROUP BY 1")
@@ -560,16 +554,19 @@ def seal03_verify_members(spark, d):
 
 
 @query(f"SELECT path, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'upload' ELSE 'keep' END AS action FROM ({OBJECTS})")
-def seal05_sync_plan(spark, d):
+def seal05_sync_runs(spark, d):
     none = spark.range(0).select(F.lit("").alias("shard"))
-    return reconcile.sync_plan(_local(spark, d), entries(spark, d).withColumn("signature", F.lit("x")), _inventory(spark, d), none)
+    return reconcile.sync_plan(_local(spark, d), entries(spark, d).withColumn("signature", F.lit(None).cast("struct<hash:string,size:bigint>")), _inventory(spark, d), none)
 
 
-@query(f"SELECT o_orderkey AS run_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' UTC' AS created, count(DISTINCT {_LEAF_SQL}) FILTER (l_linenumber <> 2) AS n_artifacts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query(f"""WITH a AS (SELECT l_orderkey, string_agg(leaf, ', ' ORDER BY rank, leaf) AS artifacts, count(*) AS n FROM (
+    SELECT DISTINCT l_orderkey, {_LEAF_SQL} AS leaf, CASE l_linenumber WHEN 1 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 6 WHEN 6 THEN 7 ELSE 99 END AS rank FROM lineitem WHERE l_linenumber <> 2) GROUP BY 1)
+  SELECT o_orderkey AS run_id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS created, coalesce(artifacts, '') AS artifacts, coalesce(n, 0) AS n_artifacts, split_part(artifacts, ', ', 1) AS example
+  FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""")
 def rep05_runs_report(spark, d):
     found = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), _leaf().alias("leaf"))
     r = t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
-    return reports.runs_report(r, found).select("run_id", "created", F.col("n_artifacts").cast("long").alias("n_artifacts"))
+    return reports.runs_report(r, found).withColumn("n_artifacts", F.col("n_artifacts").cast("long"))
 
 
 @query("SELECT c_custkey, c_name AS name, n_name AS project FROM customer JOIN nation ON n_nationkey = c_nationkey")
@@ -579,7 +576,7 @@ def rep07_all_workspaces(spark, d):
 
 
 @query(f"SELECT url AS key FROM pages WHERE page_id % 9 = 0 AND page_id % 2 = 0")
-def jn10_mirror_leftovers(spark, d):
+def jn10_bare_bundles(spark, d):
     url = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("projects/p/workspaces/w/bundles/"), F.col("page_id"), F.lit(".zip"))).otherwise(F.concat(F.lit("plain/"), F.col("page_id")))
     p = t(spark, d, "pages").select("page_id", "url", url.alias("key"))
     index = p.filter("page_id % 2 = 1").select(F.concat("key", F.lit(".sidecar.ndjson")).alias("path"))
@@ -608,7 +605,8 @@ def jn17_orphan_bundles(spark, d):
     return reconcile.orphan_bundles(m, m.filter("name % 97 <> 0").select("name", "sha256"))
 
 
-@query("SELECT user_id AS path, CASE event_type WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'reference-cleared' WHEN 'click' THEN 'reference-absent' END AS status FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('error', 'signup', 'click') GROUP BY 1)")
+@query("""WITH e AS (SELECT * FROM events WHERE event_type IN ('error', 'signup', 'click')), f AS (SELECT user_id, min(event_id) AS first FROM e WHERE event_type <> 'signup' GROUP BY 1)
+  SELECT user_id AS path, CASE arg_max(event_type, event_id) WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'reference-cleared' WHEN 'click' THEN 'reference-absent' END AS status FROM e JOIN f USING (user_id) WHERE event_id >= first GROUP BY 1""")
 def cdc06_fold_gates(spark, d):
     e = F.col("event_type")
     rows = t(spark, d, "events").filter(e.isin("error", "signup", "click")).select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.when(e == "error", "fail").when(e == "signup", "clear").otherwise("absent").alias("event"))
@@ -628,18 +626,33 @@ def set02_union_tokens(spark, d):
     return ledger.union_tokens(rows.filter("seq < 4000"), rows.filter("seq >= 4000")).select("path", "status", "attempts")
 
 
-@query("SELECT o_orderkey AS stem, (o_orderkey % 1000 + 1) || '.0 KiB' AS size FROM orders")
+@query("""SELECT o_orderkey AS stem, o_orderkey % 97 AS serial, (o_orderkey % 1000 + 1) || '.0 KiB' AS size,
+  concat_ws(', ', CASE WHEN bool_or(l_linenumber % 2 = 1) THEN 'raw' END, CASE WHEN bool_or(l_linenumber % 2 = 0) THEN 'json' END) AS forms FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def rep06_states_report(spark, d):
-    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.lit("json").alias("suffix"))
-    states = t(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_orderkey").alias("serial"), ((F.col("o_orderkey") % 1000 + 1) * 1024).alias("size"))
-    return reports.states_report(states, files).select("stem", "size")
+    files = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.when(F.col("l_linenumber") % 2 == 1, "tfstate.json").otherwise("json").alias("suffix"))
+    states = t(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), (F.col("o_orderkey") % 97).alias("serial"), ((F.col("o_orderkey") % 1000 + 1) * 1024).alias("size"))
+    return reports.states_report(states, files).select("stem", "serial", "size", "forms")
+
+
+@query(f"SELECT path, content || 'x' AS content FROM ({OBJECTS}) WHERE doc_id % 7 <> 0 AND doc_id % 11 = 0")
+def cdc01_superseded(spark, d):
+    rows = objects(spark, d)
+    old = rows.filter("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    return history.superseded(history.capture_mutable(rows, old), old).select("path", "content")
+
+
+def _modules() -> None:
+    """Register what the other query modules hold."""
+    from tidemark import shape_queries, trip_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
     """By name."""
+    _modules()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
+    _modules()
     return dict(_SQL)

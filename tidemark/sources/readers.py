@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,10 @@ from tidemark.functions.paths import bundle_generation, is_machinery, leaf, shar
 ENTRY = "status string, firstSeen timestamp, fetchedAt timestamp, updatedAt timestamp, lastErrorAt timestamp, lastError string, signature struct<hash:string,size:bigint>, attempts int, transient boolean, derivedChildren array<string>"
 
 
-def _relative(root: str):
-    return F.regexp_replace(F.regexp_replace(F.col("path"), r"\A[a-z0-9]+:/+", "/"), r"\A\Q" + root.rstrip("/") + r"\E/", "")
+def _relative(root: str, column: str = "path"):
+    """A file's path below a root, whether or not either has a scheme."""
+    bare = re.sub(r"\A[a-z0-9]+:/+", "/", root).rstrip("/")
+    return F.regexp_replace(F.regexp_replace(F.col(column), r"\A[a-z0-9]+:/+", "/"), r"\A\Q" + bare + r"\E/", "")
 
 
 def read_loose(spark: SparkSession, root: str) -> DataFrame:
@@ -24,11 +27,18 @@ def read_loose(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("form", F.when(stub_target(F.col("path")).isNotNull(), "stub").otherwise("loose"))
 
 
-def _lines(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """JSON lines with `file` and `ord` (their order within a file); torn and malformed lines are dropped."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(glob)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
-    return rows.filter("_corrupt_record IS NULL").withColumn("ord", F.struct("__block", "__line")).drop("_corrupt_record", "__block", "__line")
+def _lines(spark: SparkSession, path: str, schema: str, names: str | None = None) -> DataFrame:
+    """JSON lines with `file` and `ord`; torn and malformed lines are dropped.
+
+    ord puts lines in the order of their files' modification, then of their
+    names, then of their place, so the newest line is defined across files.
+    """
+    reader = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
+    if names:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    m = F.col("_metadata")
+    rows = reader.json(path).select("*", m["file_path"].alias("file"), m["file_modification_time"].alias("__time"), m["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    return rows.filter("_corrupt_record IS NULL").withColumn("ord", F.struct("__time", "file", "__block", "__line")).drop("_corrupt_record", "__time", "__block", "__line")
 
 
 def read_rollups(spark: SparkSession, glob: str) -> DataFrame:
@@ -42,10 +52,14 @@ def read_sidecars(spark: SparkSession, glob: str, prefix: str = "logs") -> DataF
     return rows.filter("name <> '' AND bundle <> ''").withColumn("gen", bundle_generation(leaf(F.col("bundle")), prefix))
 
 
-def read_history(spark: SparkSession, glob: str) -> DataFrame:
-    """path, ord, fetched_at, sha256, content, deleted of history files; the object's path is undone from the file's."""
-    rows = _lines(spark, glob, "fetchedAt timestamp, sha256 string, content string, deleted boolean")
-    path = F.regexp_replace("file", r"\.history\.ndjson$", ".json")
+def read_history(spark: SparkSession, root: str, glob: str = "*.history.ndjson") -> DataFrame:
+    """path, ord, fetched_at, sha256, content, deleted of the history files below an archive's root.
+
+    path is that of the object, but for the `.json` that history_path cut: a
+    history's name doesn't tell whether there was one.
+    """
+    rows = _lines(spark, root, "fetchedAt timestamp, sha256 string, content string, deleted boolean", glob)
+    path = F.regexp_replace(_relative(root, "file"), r"\.history\.ndjson$", "")
     return rows.filter("fetchedAt IS NOT NULL").select(path.alias("path"), "ord", F.col("fetchedAt").alias("fetched_at"), "sha256", "content", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 

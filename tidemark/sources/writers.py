@@ -15,25 +15,28 @@ def write_generation(df: DataFrame, folder: str, prefix: str, generation: int) -
     """Write members (name, sha256, content, …) as a numbered generation that must not exist; its index comes last and commits it."""
     where = f"{folder}/{prefix}.gen{generation:04d}"
     df.write.mode("errorifexists").parquet(where)
-    spark = df.sparkSession
+    spark = df.sparkSession  # the index is of what was written; the input isn't computed again
     spark.read.parquet(where).drop("content").write.mode("errorifexists").parquet(f"{where}.index")
     return where
 
 
 def append_rollup(df: DataFrame, folder: str) -> None:
     """Append (path, sha256, content); bytes that aren't UTF-8 and a path given twice are refused before anything is written."""
-    bad = df.filter(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    twice = df.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if bad or twice:
-        raise ValueError("roll-up content must be UTF-8" if bad else "a path is given twice")
+    wrong = ~F.is_valid_utf8(F.col("content").cast("string"))
+    per = df.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bool_or(wrong).alias("bad"))
+    found = per.agg(F.bool_or("bad").alias("bad"), F.max("n").alias("n")).first()  # both questions in one pass
+    if found.bad or (found.n or 0) > 1:
+        raise ValueError("roll-up content must be UTF-8" if found.bad else "a path is given twice")
     df.select("path", "sha256", F.col("content").cast("string").alias("content")).write.mode("append").json(folder)
 
 
 def extract_objects(objects: DataFrame, target: str) -> DataFrame:
     """path, bytes, error: write each object's bytes (path, content) under a folder that all executors mount; a failure is a row."""
     import os
+    import re
 
     fields = "path string, bytes long, error string"
+    target = re.sub(r"\Afile:/+", "/", target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

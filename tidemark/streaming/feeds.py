@@ -6,28 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidemark.operators.history import capture_mutable
 
+def audit_stream(events: DataFrame, since=None, delay: str = "7 days", key: str = "id", time: str = "ts") -> DataFrame:
+    """The stream's events after a cursor, each id once; a repeat may come up to `delay` late. The checkpoint keeps the place.
 
-def audit_stream(events: DataFrame, delay: str = "7 days", key: str = "id", time: str = "ts") -> DataFrame:
-    """The stream's events, each id once; a repeat may come up to `delay` late. The checkpoint keeps the cursor."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp")).filter(F.col(key).isNotNull())
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    Events before `since` are left out, and so are those at it without an id;
+    later ones without an id are all kept.
+    """
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    if since is not None:
+        timed = timed.filter((F.col(time) > since) | ((F.col(time) == since) & F.col(key).isNotNull()))
+    timed = timed.withWatermark(time, delay)
+    return timed.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(timed.filter(F.col(key).isNull()))
+
+
+#: Parts that the state of a capture is kept in; a batch rewrites those it touches.
+BUCKETS = 64
 
 
-def capture_stream(stream: DataFrame, current_path: str, changes_path: str, checkpoint: str) -> DataStreamWriter:
+def capture_stream(stream: DataFrame, current_path: str, changes_path: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
     """Continuous change capture of (path, ord, content): each batch's changes are appended under its number, so a repeated batch writes the same.
 
-    Current contents are those of the newest snapshot before the batch; the batch adds the next one.
+    What is kept of the current objects is their hash, in buckets of paths. A
+    batch reads and rewrites the buckets that its paths fall into and notes for
+    every bucket which batch wrote it last.
     """
+    state = "path string, hash string"
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         fresh = df.groupBy("path").agg(F.max_by("content", "ord").alias("content"))
-        before = spark.read.parquet(f"{current_path}/batch={number - 1}") if number else fresh.limit(0)
-        changes = capture_mutable(fresh, before).filter("action <> 'unchanged'")
-        changes.write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
-        merged = before.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
-        merged.write.mode("overwrite").parquet(f"{current_path}/batch={number}")
+        fresh = fresh.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")).persist()
+        # At most one row per bucket on the driver.
+        written = {r.bucket: r.batch for r in spark.read.parquet(f"{current_path}/index={number - 1}").collect()} if number else {}
+        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+        parts = [f"{current_path}/batch={written[b]}/bucket={b}" for b in touched if b in written]
+        before = spark.read.schema(state).parquet(*parts) if parts else spark.createDataFrame([], state)
+        both = fresh.join(before.withColumnRenamed("hash", "old_hash"), "path", "left")
+        action = F.when(F.col("old_hash").isNull(), "new").when(F.col("hash") == F.col("old_hash"), "unchanged").otherwise("changed")
+        changes = both.select("path", action.alias("action"), F.when(action == "changed", F.col("old_hash")).alias("old_hash"))
+        changes.filter("action <> 'unchanged'").write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
+        kept = before.join(fresh.select("path"), "path", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+        kept.unionByName(fresh).write.mode("overwrite").partitionBy("bucket").parquet(f"{current_path}/batch={number}")
+        newest = written | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(newest.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{current_path}/index={number}")
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
