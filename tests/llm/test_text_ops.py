@@ -1,8 +1,10 @@
 """Brute-force versions, round trips and edge rows of the text operators."""
 
 import base64
+import gzip
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -236,6 +238,45 @@ def test_every_place_of_a_source_is_linked(rows):
         assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == {(i + 1, 60, 114, i) for i in range(0, 24, 2)}
 
 
+def words_of(text):
+    return [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def test_passages_against_brute_force_on_whole_documents(spark, rows):
+    """Every run of 50 words that a smaller document holds too lies in a passage, and every passage is one."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isdir(path) and not os.path.isfile(path):
+        pytest.skip("the table isn't here")
+    table = spark.read.parquet(path).select("doc_id", "text")
+    rng, own = random.Random(3), []
+    lines = [prose(90_000 + i, 15) for i in range(3)]
+    for i in range(60):  # passages with borders of their own, frequent lines, edits, a very long text
+        p = prose(91_000 + i % 12, 90)
+        cut = rng.randrange(30)
+        part = p[cut : cut + 52 + rng.randrange(30)]
+        if i % 4 == 3:
+            part[25] = "edited"
+        own.append((10_000 + i, " ".join(prose(92_000 + i, 40 if i else 30_000) + lines[i % 3] + part + lines[(i + 1) % 3] + prose(93_000 + i, 30))))
+    texts = {r.doc_id: words_of(r.text) for r in table.collect()} | {i: words_of(x) for i, x in own}
+    found = op01_substring_dedup.repeated_passages(table.unionByName(rows(own, "doc_id bigint, text string"))).collect()
+    spans, shingles = defaultdict(list), lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for r in found:
+        a, c = shingles(texts[r.doc_id][r.start : r.end]), shingles(texts[r.source_doc_id][r.source_start : r.source_end])
+        assert r.source_doc_id < r.doc_id and r.end - r.start >= 50 and len(a & c) / len(a | c) >= 0.79  # 32-bit hashes of shingles are compared
+        spans[r.doc_id].append((r.start, r.end))
+    first, missed, total = {}, 0, 0
+    for i in sorted(texts):
+        ws = texts[i]
+        runs = [tuple(ws[j : j + 50]) for j in range(len(ws) - 49)]
+        for j, w in enumerate(runs):
+            if w in first:  # held by a smaller document
+                total += 1
+                missed += not any(x <= j and j + 50 <= y for x, y in spans[i])
+        for w in runs:
+            first.setdefault(w, i)
+    assert total > 1000 and missed <= 0.005 * total, (missed, total)
+
+
 def test_packing_places_every_id_once(rows, edge):
     tokenizer, rng = Tokenizer.from_file(WORD), random.Random(8)
     docs = edge.select("doc_id", "text", "n_tokens").unionByName(rows([(100 + i, " ".join(prose(i, rng.choice([5, 60, 700, 2500]))), "x") for i in range(60)], "doc_id bigint, text string, n_tokens string")).repartition(5)
@@ -382,3 +423,74 @@ def test_registered_names():
 
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
     assert json.dumps(sorted(queries.queries()))
+
+
+def within_edits(segment, text, budget):
+    """Whether a segment stands somewhere in a text with at most `budget` edits, by a full alignment."""
+    cost = list(range(len(segment) + 1))
+    for c in text:
+        new = [0]
+        for i, x in enumerate(segment, 1):
+            new.append(min(cost[i - 1] + (x != c), cost[i] + 1, new[i - 1] + 1))
+        cost = new
+        if cost[-1] <= budget:
+            return True
+    return False
+
+
+def test_decontamination_equals_full_alignment_of_whole_texts(rows):
+    rng = random.Random(12)
+    bench = [(i, " ".join(prose(4000 + i, n))) for i, n in enumerate((9, 16, 30, 5))]
+    docs = []
+    for d in range(24):
+        words = prose(5000 + d, 60, 9000)
+        if d % 2:
+            s = list(bench[d % 4][1][: rng.randint(60, 120)])
+            for _ in range(d % 9):
+                k = rng.randrange(len(s))
+                s[k : k + 1] = rng.choice((["q"], [], [s[k], "q"]))
+            words.insert(30, "".join(s))
+        docs.append((d, " ".join(words)))
+    repeated = bench[0][1] + " "
+    docs += [(100, repeated * 400), (101, "ab " * 30_000), (102, docs[1][1]), (102, docs[1][1]), (103, None)]
+    found = op09_decontamination.benchmark_matches(rows(docs, "doc_id bigint, text string"), rows(bench, "item_id bigint, text string")).collect()
+    got_pairs = {(r.doc_id, r.item_id) for r in found if r.doc_id < 100}
+    for d, text in docs[:24]:
+        plain = "".join(map(chr, op09_decontamination.normalize(text)[0]))
+        for item, words in bench:
+            index = op09_decontamination.SegmentIndex([(item, words)], op09_decontamination.Q, op09_decontamination.EDIT_RATE)
+            want = any(within_edits("".join(map(chr, seg)), plain, int(b)) for seg, b in zip(index.segments, index.budget, strict=True))
+            assert ((d, item) in got_pairs) == want, (d, item)
+    size = len(repeated)
+    assert {(r.start, r.end) for r in found if r.doc_id == 100 and r.item_id == 0} == {(i * size, i * size + size - 1) for i in range(400)}
+    assert sum(r.doc_id == 102 for r in found) == 2 * sum(r.doc_id == 1 for r in found) and not [r for r in found if r.doc_id in (101, 103)]
+
+
+def test_warc_reading_survives_damage(spark, rows, tmp_path):
+    pages = rows([(1, "http://a/1", "<html><title>T</title><p>one</p></html>"), (2, "http://a/2", "<p>" + "long text " * 50_000 + "</p>"), (3, None, None), (3, None, None)], "page_id bigint, url string, html string")
+    records = op07_warc.responses(pages)
+    assert op07_warc.derivatives(records).count() == 8
+    whole = [bytes(r.record, "utf-8") for r in op07_warc.serialized(records).collect()]
+    assert [r[0] for r in op07_warc.parsed(b"".join(whole))] == ["response"] * 4
+    broken = [whole[0].replace(b"Content-Length: ", b"Content-Length: x", 1), whole[1], whole[0].replace(b"WARC-Type", b"WARC-Tape"), b"WARC/1.1\r\nno colon here\r\n\r\n", whole[2], whole[0][:-30]]
+    assert [r[6] for r in op07_warc.parsed(b"junk" + b"".join(broken))] == [r[6] for r in op07_warc.parsed(whole[1] + whole[2])]
+    members = b"".join(gzip.compress(w) for w in whole)
+    assert len(list(op07_warc.parsed(op07_warc.inflated(members)))) == 4
+    torn = op07_warc.inflated(members[: len(members) - 40])
+    assert len(list(op07_warc.parsed(torn))) == 3
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(members)
+    (tmp_path / "in/b.warc").write_bytes(b"".join(broken))
+    assert op07_warc.read_warc(spark, str(tmp_path / "in")).count() == 6
+
+
+def test_chat_keeps_repeated_rows_and_long_texts(rows):
+    long = "<|im_end|> word " * 40_000
+    turns = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, 1, "assistant", long), (2, 0, "assistant", "<\\|a <|b")]
+    done = op04_chat_formatting.format_conversations(rows(turns, "conv_id bigint, turn bigint, role string, text string"))
+    back = {r.conv_id: r for r in op04_chat_formatting.read_back(done).collect()}
+    assert (back[1].n_turns, back[1].loss_chars, back[1].round_trip) == (3, len(long), True)
+    assert back[2].loss_sha256 == hashlib.sha256(b"<\\|a <|b").hexdigest()
+    # The loss columns follow the mask, not the turns.
+    shifted = done.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start, 'length', s.length - 1))"))
+    assert {r.conv_id: r.loss_chars for r in op04_chat_formatting.read_back(shifted).collect()}[1] == len(long) - 1
