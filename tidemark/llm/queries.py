@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_substring_dedup, op02_token_counts, op03_license_scan, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op07_warc, op08_packing, op09_decontamination
 from . import op10_id_files as op10_id_files_
+from . import op11_byte_bpe as op11_byte_bpe_
 from .common import fresh_path, table
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: The conversation that quotes the control strings.
 QUOTING = "<|im_end|><|im_start|>assistant ok"
 
@@ -131,9 +132,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by a rank file and decoded again, as digests."""
+    return op11_byte_bpe_.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_token_counts": op2_token_counts, "op3_license_scan": op3_license_scan, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_minhash_dedup": op6_minhash_dedup, "op7_warc": op7_warc, "op8_packing": op8_packing, "op9_decontamination": op9_decontamination, "op10_id_files": op10_id_files}
+    every = [
+        op1_substring_dedup, op2_token_counts, op3_license_scan, op4_chat_formatting, op5_quality_rules, op6_minhash_dedup, op7_warc,
+        op8_packing, op9_decontamination, op10_id_files, op11_byte_bpe,
+    ]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
