@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, history, ledger, listing, reconcile, refs, sealing, walk
+from tidemark.operators import audit, gates, history, ledger, listing, reconcile, refs, scan, sealing, walk
 from tidemark.plans import reports
 from tidemark.sources import readers, writers
 from tidemark.streaming import feeds
@@ -53,7 +53,7 @@ def test_fold_equals_a_sequential_fold_and_can_be_split(spark, rows):
 
 def test_gates_count_real_transitions_only(rows):
     events = [("g", 1, "open"), ("g", 2, "open"), ("g", 3, "clear"), ("g", 4, "clear"), ("g", 5, "open"), ("h", 1, "open"), ("h", 2, "fail"), ("h", 3, "open"), ("h", 4, "absent"), ("i", 1, "clear"), ("j", 1, "clear"), ("j", 2, "absent"), ("j", 3, "clear")]
-    assert got(ledger.fold_gates(rows(events, "path string, seq int, event string")), "path", "status", "attempts") == [("g", "pending", 3), ("h", "reference-absent", 3), ("j", "reference-cleared", 2)]
+    assert got(gates.fold_gates(rows(events, "path string, seq int, event string")), "path", "status", "attempts") == [("g", "pending", 3), ("h", "reference-absent", 3), ("j", "reference-cleared", 2)]
 
 
 def test_replay_stops_at_the_tear(rows):
@@ -344,3 +344,69 @@ def test_tokens_give_the_union(rows):
     two = rows([("a", 1, 4, "forbidden", None, None, None, "no", False, True), ("b", 2, 5, "forbidden", None, None, None, "no", False, False), ("c", 3, 6, "done", "i", 1, None, None, False, True)], schema)
     out = ledger.union_tokens(one, two)
     assert got(out, "path", "status", "signature.hash") == [("a", "done", "h"), ("b", "forbidden", "g"), ("c", "done", "i")]
+
+
+def gate_model(events):
+    state, n = None, 0
+    for e in events:
+        goal = {"open": "pending", "clear": "reference-cleared", "absent": "reference-absent", "fail": "errored"}[e]
+        if (e == "clear" and state is None) or (e == "open" and state == "errored") or goal == state:
+            continue
+        state, n = goal, n + 1
+    return state, n
+
+
+def test_gates_equal_a_sequential_model_with_a_hot_path(rows):
+    rng = random.Random(21)
+    data = {f"g{k}": [rng.choice(["open", "clear", "absent", "fail"]) for _ in range(rng.randint(1, 9))] for k in range(80)}
+    data["hot"] = [rng.choice(["open", "clear", "fail", "open", "absent"]) for _ in range(900)]
+    data["late"] = ["clear"] * 40 + ["open"] * 40
+    table = rows([(p, i, e) for p, es in data.items() for i, e in enumerate(es)], "path string, seq int, event string").repartition(5)
+    out = gates.fold_gates(table)
+    want = {p: m for p, es in data.items() if (m := gate_model(es))[0]}
+    assert {r.path: (r.status, r.attempts) for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().toString()
+
+
+def test_history_of_a_hot_path_is_spread(rows):
+    rng = random.Random(8)
+    data = {f"p{k}": [rng.choice(["x", "y", None]) for _ in range(rng.randint(1, 8))] for k in range(20)}
+    data |= {"hot": [None] * 30 + [rng.choice(["x", "x", "x", "y", None]) for _ in range(700)], "still": ["x"] * 300, "revived": ["x"] * 90 + [None] * 150 + ["y"] * 200 + ["z"], "gone": [None] * 99}
+    table = rows([(p, i, i, c) for p, cs in data.items() for i, c in enumerate(cs)], "path string, ord int, at int, content string").repartition(5)
+    out = history.build_history(table)
+    assert got(out, "path", "fetched_at", "content") == sorted(((p, *v) for p, cs in data.items() for v in history_model(cs)), key=str)
+    parts = scan.cut(table, ["path"], [table["ord"]])
+    assert parts.filter("path = 'hot'").select(scan.PART).distinct().count() > 1
+
+
+def test_positions_go_on_from_part_to_part(rows):
+    data = [(k, i) for k, n in (("a", 3), ("hot", 500), (None, 4), ("z", 1)) for i in range(n)]
+    table = rows(data, "k string, at_time int").repartition(6)
+    within = scan.positions(table, ["k"], [table["at_time"]])
+    assert within.columns == ["k", "at_time", "at"] and all(r.at == r.at_time for r in within.collect()) and within.count() == len(data)
+    whole = scan.positions(table, [], [table["k"].asc_nulls_first(), table["at_time"]]).collect()
+    assert [r.at for r in sorted(whole, key=lambda r: (r.k or "", r.at_time))] == list(range(len(data)))
+    assert scan.positions(table.limit(0), ["k"], [table["at_time"]]).count() == 0
+
+
+def test_walk_of_a_hot_collection(rows):
+    rng = random.Random(12)
+    listed, flags, want, done = [], [], {}, set()
+    for c, n in enumerate([600, 3, 5, 400, 700]):
+        first = rng.randint(150, 350)
+        items = [(i, i > first - 100) for i in range(n)]  # the first rows aren't final in some
+        if c in (0, 3):
+            items = [(i, True) for i, _ in items]
+        done |= {(c, i) for i in range(first, n)}
+        listed += [(c, i, f"{c}/{i}", 5000 - i, term) for i, term in items]
+        flags.append((c, True, True, False))
+        want[c] = walk_model(items, {i for k, i in done if k == c}, True, None)
+    led = rows([(f"{c}/{i}", "done") for c, i in done], "path string, status string")
+    table = rows(listed, "collection int, id int, path string, created_at int, terminal boolean").repartition(5)
+    out = walk.incremental_walk(table, led, rows(flags, "collection int, complete boolean, settled boolean, unsettled boolean"))
+    found = {}
+    for r in out.orderBy("collection", "at").collect():
+        found.setdefault(r.collection, []).append(r.id)
+        assert r.at == r.id
+    assert found == want and len(want[0]) < 600
+    assert {r.collection: r["count"] for r in walk.within_history(table, 250).groupBy("collection").count().collect()} == {0: 250, 1: 3, 2: 5, 3: 250, 4: 250}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.status import status_settled
+from tidemark.operators import scan
 
 
 def capture_mutable(fresh: DataFrame, current: DataFrame) -> DataFrame:
@@ -46,18 +47,30 @@ def build_history(observations: DataFrame) -> DataFrame:
     ignored. An absent island is one tombstone, at its first time. A content island is one
     version: at its first time if it follows an absence, else at its last, and left out if
     it is the current one and follows no absence.
+
+    An island's row comes out where it begins or where it ends, so no task needs a whole
+    path: a part of one tells its first and last state, which its neighbours begin and end with.
     """
-    order = Window.partitionBy("path").orderBy("ord")
-    seen = F.max(F.col("content").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = observations.withColumn("seen", seen).filter("seen = 1").withColumn("sha", F.sha2(F.col("content").cast("binary"), 256))
-    rows = rows.withColumn("change", (~F.col("sha").eqNullSafe(F.lag("sha", 1).over(order)) | F.lag("ord").over(order).isNull()).cast("int"))
-    rows = rows.withColumn("island", F.sum("change").over(order))
-    islands = rows.groupBy("path", "island").agg(F.min_by("at", "ord").alias("first"), F.max_by("at", "ord").alias("last"), F.first("content").alias("content"), F.bool_or(F.col("content").isNull()).alias("deleted"))
-    by = Window.partitionBy("path").orderBy("island")
-    after_absence = F.coalesce(F.lag("deleted").over(by), F.lit(False))
-    rows = islands.withColumn("after", after_absence).withColumn("current", F.lead("island").over(by).isNull())
-    kept = rows.filter("deleted OR after OR NOT current")
-    return kept.select("path", F.when(F.col("deleted") | F.col("after"), F.col("first")).otherwise(F.col("last")).alias("fetched_at"), "content", "deleted")
+    by, row = ["path"], F.col(scan.ROW)
+    signed = observations.select("path", "ord", "at", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    rows = scan.cut(signed, by, [F.asc("ord")], "history")
+    state = F.struct("sha")  # without a row it is null, in an absence only its field
+    parts = rows.groupBy("path", scan.PART).agg(F.min_by(state, row).alias("first"), F.max_by(state, row).alias("last"), F.min(F.when(F.col("sha").isNotNull(), row)).alias("seen"))
+    along = Window.partitionBy("path").orderBy(scan.PART)
+    parts = parts.select("path", scan.PART, F.lag("last").over(along).alias("prior"), F.lead("first").over(along).alias("next"), F.min("seen").over(Window.partitionBy("path")).alias("seen"))
+    here = Window.partitionBy("path", scan.PART).orderBy(scan.ROW)
+    rows = scan.joined(rows, parts, by).filter(row >= F.col("seen"))
+    rows = rows.withColumn("before", F.when(row > F.col("seen"), F.coalesce(F.lag(state).over(here), "prior"))).withColumn("after", F.coalesce(F.lead(state).over(here), "next"))
+    begins = F.col("before").isNull() | ~F.col("before.sha").eqNullSafe(F.col("sha"))
+    rows = rows.withColumn("begins", begins).withColumn("revived", F.when(begins, F.col("before").isNotNull() & F.col("before.sha").isNull()))
+    # Whether the island that goes on into a part followed an absence.
+    open_ = rows.groupBy("path", scan.PART).agg(F.max_by("revived", F.when(F.col("begins"), row)).alias("revived"))
+    open_ = open_.select("path", scan.PART, F.last("revived", True).over(scan.earlier(by)).alias("open"))
+    rows = scan.joined(rows, open_, by).withColumn("kept", F.coalesce(F.last("revived", True).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "open"))
+    deleted = F.col("sha").isNull()
+    ends = F.col("after").isNotNull() & ~F.col("after.sha").eqNullSafe(F.col("sha"))
+    out = rows.filter((F.col("begins") & (deleted | F.col("revived"))) | (ends & ~deleted & ~F.col("kept")))
+    return out.select("path", F.col("at").alias("fetched_at"), "content", deleted.alias("deleted"))
 
 
 def history_as_of(versions: DataFrame, at) -> DataFrame:

@@ -124,24 +124,6 @@ def union_tokens(*runs: DataFrame) -> DataFrame:
     return fold_outcomes(kept.withColumn("seq", F.struct("run", "seq")).drop("run", "settled_in", "immutable"))
 
 
-def fold_gates(events: DataFrame) -> DataFrame:
-    """path, status, attempts of reference gates from events (path, seq, event: open, clear, absent or fail).
-
-    An event that leaves the state as it is counts for nothing; opening a gate
-    that failed leaves it failed, and clearing one that isn't there makes none.
-    """
-    goal = F.when(F.col("event") == "open", "pending").when(F.col("event") == "clear", "reference-cleared").when(F.col("event") == "absent", "reference-absent").otherwise("errored")
-    order = Window.partitionBy("path").orderBy("seq")
-    there = F.max(F.col("event") != "clear").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    events = events.withColumn("there", there).filter("there").drop("there")
-    closed = F.when(F.col("event") != "open", F.col("goal"))
-    # The last event that isn't an opening; an opening after a failure changes nothing, so it doesn't end it.
-    rows = events.withColumn("goal", goal).withColumn("before", F.last(closed, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.filter(~((F.col("event") == "open") & (F.col("before") == "errored")) | F.col("before").isNull())
-    rows = rows.withColumn("prior", F.lag("goal").over(order)).filter(F.col("prior").isNull() | (F.col("prior") != F.col("goal")))
-    return rows.groupBy("path").agg(F.max_by("goal", "seq").alias("status"), F.count(F.lit(1)).alias("attempts"))
-
-
 def tally(ledger: DataFrame) -> DataFrame:
     """status, n of objects (not gates)."""
     return ledger.filter(~status_gate(F.col("status"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.status import status_settled
+from tidemark.operators import scan
 
 
-def _positions(listing: DataFrame) -> DataFrame:
-    """One row per (collection, id), numbered newest first from 0; ties by id."""
-    order = Window.partitionBy("collection").orderBy(F.desc_nulls_last("created_at"), "id")
-    return listing.dropDuplicates(["collection", "id"]).withColumn("at", F.row_number().over(order) - 1)
+def _once(listing: DataFrame) -> DataFrame:
+    """One row per (collection, id)."""
+    return listing.dropDuplicates(["collection", "id"])
+
+
+def _cut(listing: DataFrame) -> DataFrame:
+    """Rows newest first, unknown times last, ties by id; a large collection lies in many parts."""
+    return scan.cut(listing, ["collection"], [F.desc_nulls_last("created_at"), F.asc("id")], "walk")
 
 
 def within_history(listing: DataFrame, count: int | None = None, oldest=None) -> DataFrame:
     """Rows among the first `count` of their collection, or not before `oldest`; repeated ids use one place. Without bounds, all."""
-    rows = _positions(listing)
-    if count is None and oldest is None:
-        return rows.drop("at")
-    keep = F.lit(False)
-    if count is not None:
-        keep = keep | (F.col("at") < count)
-    if oldest is not None:
-        keep = keep | F.coalesce(F.col("created_at") >= oldest, F.lit(False))
-    return rows.filter(keep).drop("at")
+    recent = F.lit(False) if oldest is None else F.coalesce(F.col("created_at") >= oldest, F.lit(False))
+    if count is None:
+        return _once(listing) if oldest is None else _once(listing).filter(recent)
+    rows = _cut(_once(listing))
+    return scan.joined(rows, scan.placed(rows, ["collection"]), ["collection"]).filter(recent | (scan.place() < count)).select(listing.columns)
 
 
 def incremental_walk(listing: DataFrame, ledger: DataFrame, collections: DataFrame, count: int | None = None) -> DataFrame:
@@ -34,16 +35,22 @@ def incremental_walk(listing: DataFrame, ledger: DataFrame, collections: DataFra
     complete and settled with nothing unsettled, with no row above it that isn't final.
     A bound on the count cuts first. listing has collection, id, path, created_at,
     terminal; collections has collection, complete, settled, unsettled.
+
+    A part of a collection tells its first row that isn't final and its first that
+    is done and final; of these few rows per collection one gives the stop.
     """
-    rows = _positions(listing).join(ledger.select("path", "status"), "path", "left").join(collections, "collection", "left")
-    order = Window.partitionBy("collection").orderBy("at")
-    live = F.max(F.when(F.col("terminal"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    allowed = F.coalesce(F.col("complete") & F.col("settled") & ~F.col("unsettled"), F.lit(False))
-    rows = rows.withColumn("frozen", F.coalesce(F.col("status") == "done", F.lit(False)) & F.col("terminal") & allowed & (live == 0))
-    rows = rows.withColumn("stop", F.min(F.when(F.col("frozen"), F.col("at"))).over(Window.partitionBy("collection")))
-    bound = F.lit(True) if count is None else F.col("at") < count
-    kept = rows.filter((F.col("stop").isNull() | (F.col("at") <= F.col("stop"))) & bound)
-    return kept.select("collection", "id", "path", "created_at", "terminal", "status", "at", F.coalesce(F.col("at") == F.col("stop"), F.lit(False)).alias("stops"))
+    by, row = ["collection"], F.col(scan.ROW)
+    rows = _cut(_once(listing).join(ledger.select("path", "status"), "path", "left"))
+    final = F.coalesce("terminal", F.lit(False))
+    done = final & F.coalesce(F.col("status") == "done", F.lit(False))
+    parts = scan.placed(rows, by, F.min(F.when(~final, row)).alias("live"), F.min(F.when(done, row)).alias("done"))
+    allowed = collections.filter("complete AND settled AND NOT unsettled").select("collection", F.lit(True).alias("allowed"))
+    live = F.least("live", F.min("live").over(scan.earlier(by)))
+    parts = parts.join(allowed, "collection", "left").withColumn("frozen", F.when(F.col("allowed") & (live.isNull() | (F.col("done") < live)), F.col("done")))
+    parts = parts.withColumn("stop", F.min("frozen").over(Window.partitionBy(*by))).drop("live", "done", "allowed", "frozen")
+    bound = F.lit(True) if count is None else scan.place() < count
+    kept = scan.joined(rows, parts, by).filter((F.col("stop").isNull() | (row <= F.col("stop"))) & bound)
+    return kept.select("collection", "id", "path", "created_at", "terminal", "status", scan.place().alias("at"), F.coalesce(row == F.col("stop"), F.lit(False)).alias("stops"))
 
 
 def collection_flags(walk: DataFrame, listing: DataFrame, folded: DataFrame, collections: DataFrame) -> DataFrame:

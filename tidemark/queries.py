@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import content as fc
 from tidemark.functions import paths as fp
 from tidemark.functions import status as fs
-from tidemark.operators import audit, history, ledger, listing, reconcile, refs, sealing, walk
+from tidemark.operators import audit, gates, history, ledger, listing, reconcile, refs, sealing, walk
 from tidemark.plans import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,7 +610,7 @@ def jn17_orphan_bundles(spark, d):
 def cdc06_fold_gates(spark, d):
     e = F.col("event_type")
     rows = t(spark, d, "events").filter(e.isin("error", "signup", "click")).select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), F.when(e == "error", "fail").when(e == "signup", "clear").otherwise("absent").alias("event"))
-    return ledger.fold_gates(rows).select("path", "status")
+    return gates.fold_gates(rows).select("path", "status")
 
 
 @query("SELECT 'p' || user_id || '@' || strftime(ts, '%Y%m%dT%H%M%S') AS path, event_id, CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-10' THEN 'absent' WHEN event_type = 'error' THEN 'errored' ELSE 'done' END AS status FROM events")
