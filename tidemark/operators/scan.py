@@ -16,8 +16,8 @@ from tidemark.sources.scratch import written
 PART, ROW = "__part", "__row"
 
 
-def cut(df: DataFrame, by: list[str], order: list[Column], tag: str = "scan") -> DataFrame:
-    """`df` in the order of (by, order), written, with PART and ROW.
+def cut(df: DataFrame, by: list[str], order: list[Column], tag: str = "scan", keep: list[str] | None = None) -> DataFrame:
+    """`df` (of its columns those in `keep`, if given) in the order of (by, order), written, with PART and ROW.
 
     There are as many parts as spark.sql.shuffle.partitions says. Rows alike in
     all of these lie in one part, in any order. Nulls in `by` are a key.
@@ -25,7 +25,7 @@ def cut(df: DataFrame, by: list[str], order: list[Column], tag: str = "scan") ->
     keys = [*map(F.col, by), *order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    return written(ranged.withColumn(PART, F.spark_partition_id()).withColumn(ROW, F.monotonically_increasing_id()), tag)
+    return written(ranged.select(*(keep or df.columns), F.spark_partition_id().alias(PART), F.monotonically_increasing_id().alias(ROW)), tag)
 
 
 def earlier(by: list[str]):
@@ -53,8 +53,8 @@ def place() -> Column:
     return F.col(ROW) - F.col("__first") + F.col("__before")
 
 
-def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "at", tag: str = "scan") -> DataFrame:
-    """`df` with the place of every row (long, from 0) within its key; without `by`, within the whole table."""
-    rows = cut(df, by, order, tag)
+def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "at", tag: str = "scan", keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with the place of every row (long, from 0) within its key; without `by`, within the whole table."""
+    rows = cut(df, by, order, tag, keep)
     at = joined(rows, placed(rows, by).drop("__n"), by)
-    return at.select(*df.columns, place().alias(name))
+    return at.select(*(keep or df.columns), place().alias(name))
