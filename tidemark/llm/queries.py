@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op01_substring_dedup, op02_token_counts, op03_license_scan, op04_chat_formatting, op05_quality_rules, op06_minhash_dedup, op07_warc, op08_packing, op09_decontamination
 from . import op10_id_files as op10_id_files_
 from . import op11_byte_bpe as op11_byte_bpe_
+from . import op12_prefix_trie as op12_prefix_trie_
 from . import op13_spelling_variants as op13_spelling_variants_
 from .common import fresh_path, table
 
@@ -138,6 +139,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_byte_bpe_.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, which share heads by hundreds."""
+    turns, ids = op12_prefix_trie_.with_shared_heads(op12_prefix_trie_.ordered_turns(table(spark, sf_dir, "conversations")))
+    return op12_prefix_trie_.prefix_trie(turns, ids)
+
+
 #: A word of every so many (document, word) pairs loses a code point.
 SLIP = 199
 
@@ -151,7 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By registered name."""
     every = [
         op1_substring_dedup, op2_token_counts, op3_license_scan, op4_chat_formatting, op5_quality_rules, op6_minhash_dedup, op7_warc,
-        op8_packing, op9_decontamination, op10_id_files, op11_byte_bpe, op13_spelling_variants,
+        op8_packing, op9_decontamination, op10_id_files, op11_byte_bpe, op12_prefix_trie, op13_spelling_variants,
     ]
     return {f.__name__: f for f in every}
 
