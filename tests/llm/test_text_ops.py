@@ -232,6 +232,19 @@ def test_every_place_of_a_source_is_linked(rows):
         assert {(r.doc_id, r.start, r.end, r.source_doc_id) for r in found} == {(i + 1, 60, 114, i) for i in range(0, 24, 2)}
 
 
+def test_cutting_keeps_the_words_of_rows_that_share_an_id(rows):
+    passage, other, third = prose(601, 60, 9000), prose(602, 150, 9000), prose(603, 80, 9000)
+    texts = [(1, " ".join(prose(604, 40, 9000) + passage)), (2, " ".join(passage + prose(605, 30, 9000))), (2, " ".join(other)), (2, " ".join(other)), (2, None), (3, " ".join(third + other[:70])), (None, " ".join(passage)), (4, " ".join(prose(606, 70, 9000)))]
+    table = rows([(i, t, n, "x") for n, (i, t) in enumerate(texts)], "doc_id bigint, text string, n_chars bigint, spans string")
+    out = op01_substring_dedup.cut_passages(table)
+    assert out.columns == table.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(i, t) for i, t in texts if i not in (2, 3)] + [(2, " " + " ".join(prose(605, 30, 9000))), (2, " ".join(other)), (2, " ".join(other)), (2, None), (3, " ".join(third))]
+    assert kept == sorted(want, key=str)
+    found = {(r.doc_id, r.start, r.end, r.source_doc_id) for r in op01_substring_dedup.repeated_passages(table).collect()}
+    assert found == {(2, 0, 60, 1), (3, 80, 150, 2)}
+
+
 def words_of(text):
     return [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
 
