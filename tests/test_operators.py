@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import random
 import zipfile
@@ -315,20 +316,78 @@ def test_seal_round_trip(spark, rows, tmp_path):
     assert got(sealing.seal_workspaces(plan, rows([("a", b"1"), ("b", b"2")], "path string, content binary"), str(tmp_path), 1), "path", "state") == [("a", "ok"), ("b", "ok")]
 
 
-def test_streams(spark, rows, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows([("a", t0), ("a", t0), ("b", t0 + dt.timedelta(hours=1)), (None, t0)], "id string, ts timestamp").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, ts timestamp").parquet(str(tmp_path / "in"))
-    q = feeds.audit_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c1")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert got(spark.read.parquet(str(tmp_path / "out")), "id") == [("a",), ("b",), (None,)]
-    rows([("p", 1, "x"), ("q", 1, "y")], "path string, ord int, content string").write.parquet(str(tmp_path / "cap"))
-    for more in ([], [("p", 2, "z"), ("q", 2, "y")]):
-        if more:
-            rows(more, "path string, ord int, content string").write.mode("append").parquet(str(tmp_path / "cap"))
-        s = spark.readStream.schema("path string, ord int, content string").parquet(str(tmp_path / "cap"))
-        feeds.capture_stream(s, str(tmp_path / "cur"), str(tmp_path / "chg"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
-    assert got(spark.read.parquet(str(tmp_path / "chg")), "batch", "path", "action") == [(0, "p", "new"), (0, "q", "new"), (1, "p", "changed")]
+def audit_model(batches, since):
+    """Batches one after the other: (served, cursor) of each, from (id, ts)."""
+    out, cursor, boundary = [], since, set()
+    for events in batches:
+        served, ids = [], set()
+        for i, ts in events:
+            if cursor is not None and (ts < cursor or (ts == cursor and (i is None or i in boundary))):
+                continue
+            if i is None or i not in ids:
+                served.append((i, ts))
+                ids.add(i)
+        newest = max([ts for _, ts in served] + ([cursor] if cursor is not None else []), default=None)
+        boundary = {i for i, ts in served if ts == newest} | (boundary if newest == cursor else set())
+        cursor = newest
+        out.append((sorted(served, key=str), cursor))
+    return out
+
+
+@pytest.mark.parametrize("since", [None, dt.datetime(2024, 1, 1, 0, 0, 20)])
+def test_audit_stream_equals_a_sequential_model(spark, rows, tmp_path, since):
+    rng, t0 = random.Random(31), dt.datetime(2024, 1, 1)
+    made = [(rng.choice([None, f"e{k}"]), t0 + dt.timedelta(seconds=k // 3)) for k in range(90)]
+    made = [(i if i is None else f"{i}-{ts:%S}", ts) for i, ts in made]
+    batches, at = [], 0
+    for size in (20, 1, 30, 0, 25, 14):
+        # What is new, repeats of any age, and the boundary again.
+        new = made[at : at + size]
+        batches.append(new + rng.sample(made[: at + size], min(8, at + size)) + new[-2:])
+        at += size
+    for n, events in enumerate(batches):
+        rows(events, "id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id string, ts timestamp").parquet(str(tmp_path / "in"))
+        feeds.audit_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), since).trigger(availableNow=True).start().awaitTermination(120)
+        want = audit_model(batches[: n + 1], since)[-1]
+        assert sorted(((r.id, r.ts) for r in spark.read.parquet(str(tmp_path / f"out/events/batch={n}")).collect()), key=str) == want[0]
+        assert tuple(spark.read.parquet(str(tmp_path / f"out/cursor/batch={n}")).first()) == (want[1], len(want[0]))
+
+
+def test_capture_keeps_a_hash_per_path(spark, rows, tmp_path):
+    schema = "path string, ord int, content string"
+    rng, current, sizes = random.Random(32), {f"k{i}": "known" for i in range(3)}, []
+    sign = lambda x: None if x is None else hashlib.sha256(x.encode()).hexdigest()
+    known = rows([(p, sign(c)) for p, c in current.items()], "path string, hash string")
+    places = [str(tmp_path / x) for x in ("in", "changes", "check")]
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(places[0])
+        feeds.capture_stream(stream, places[1], places[2], known).trigger(availableNow=True).start().awaitTermination(120)
+
+    def changes(n):
+        return sorted((tuple(r) for r in spark.read.parquet(f"{places[1]}/batch={n}").collect()), key=str)
+
+    for n, size in enumerate((400, 10, 10)):
+        seen = [(rng.choice(["k0", "k1", f"p{rng.randrange(size)}"]), o, rng.choice(["x", "y", None])) for o in range(size)]
+        rows(seen, schema).coalesce(1).write.mode("append").parquet(places[0])
+        run()
+        want = []
+        for p, c in {p: c for p, _, c in seen}.items():
+            if p not in current or current[p] != c:
+                want.append((p, "changed" if p in current else "new", sign(current.get(p)), sign(c)))
+            current[p] = c
+        assert changes(n) == sorted(want, key=str)
+        logs = [f for f in (tmp_path / "check/state").rglob("*") if f.is_file() and f.name.startswith(f"{n + 1}.") or f.name.startswith(f"{n + 1}_")]
+        sizes.append(sum(f.stat().st_size for f in logs))
+    assert 0 < sizes[2] < sizes[0]  # what a batch adds to the state follows the batch
+    # A crash after a batch's files and before its commit: the restart runs it again, to the same rows.
+    before = changes(2)
+    for f in (tmp_path / "check/commits").iterdir():
+        if f.name.strip(".").startswith("2"):
+            f.unlink()
+    run()
+    assert changes(2) == before and not (tmp_path / "changes/batch=3").exists()
 
 
 def test_empty_tables(spark, rows):

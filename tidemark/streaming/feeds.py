@@ -2,54 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.operators.audit import events_after
+
 
+def audit_stream(events: DataFrame, folder: str, checkpoint: str, since=None) -> DataStreamWriter:
+    """The stream's new events (id, ts, ...), each batch's under `folder`/events/batch=N, and its next cursor (cursor, n) under `folder`/cursor/batch=N.
 
-def audit_stream(events: DataFrame, since=None, delay: str = "7 days", key: str = "id", time: str = "ts") -> DataFrame:
-    """The stream's events after a cursor, each id once; a repeat may come up to `delay` late. The checkpoint keeps the place.
+    A batch continues at the cursor that the one before it left: what is older
+    is left out, and so is what was served at the very time of the cursor, which
+    its ids tell; events without an id are kept if they are later. Within a batch
+    an id is served once. However late a repeat comes, it is not served again.
 
-    Events before `since` are left out, and so are those at it without an id;
-    later ones without an id are all kept.
+    What is kept between batches is the cursor and the ids at it, which a later
+    cursor drops. A batch's files are written over when it is repeated, its
+    cursor last, so a restart goes on from what the last complete batch left.
+    Without `since` (a time or a column) the feed begins with its first event.
     """
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    if since is not None:
-        timed = timed.filter((F.col(time) > since) | ((F.col(time) == since) & F.col(key).isNotNull()))
-    timed = timed.withWatermark(time, delay)
-    return timed.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(timed.filter(F.col(key).isNull()))
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        at = lambda kind, n: f"{folder}/{kind}/batch={n}"
+        start, known = since, None
+        if number:
+            start, known = spark.read.parquet(at("cursor", number - 1)).first().cursor, spark.read.parquet(at("boundary", number - 1))
+        none = df.select("id").limit(0)
+        new = df if start is None else events_after(df, F.lit(start), none if known is None else known)
+        new.filter("id IS NOT NULL").dropDuplicates(["id"]).unionByName(new.filter("id IS NULL"), allowMissingColumns=False).write.mode("overwrite").parquet(at("events", number))
+        served = spark.read.schema(df.schema).parquet(at("events", number))
+        found = served.agg(F.max("ts").alias("cursor"), F.count(F.lit(1)).alias("n")).select(F.greatest("cursor", F.lit(start)).alias("cursor") if start is not None else "cursor", "n")
+        now = found.first().cursor
+        ids = served.filter((F.col("ts") == F.lit(now)) & F.col("id").isNotNull()).select("id") if now is not None else none
+        if known is not None and now == start:
+            ids = ids.unionByName(known)
+        ids.write.mode("overwrite").parquet(at("boundary", number))
+        found.coalesce(1).write.mode("overwrite").parquet(at("cursor", number))
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state needs a store that keeps more than memory holds and whose checkpoints hold what a batch changed: RocksDB with a change log, unless the session names a store."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    default = "HDFSBackedStateStoreProvider"
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", default).endswith(default):
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
 
 
-#: Parts that the state of a capture is kept in; a batch rewrites those it touches.
-BUCKETS = 64
+class _LastHash(StatefulProcessor):
+    """Keeps the hash of a path's newest content; a batch's newest observation is compared with it."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "hash string")
 
-def capture_stream(stream: DataFrame, current_path: str, changes_path: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
-    """Continuous change capture of (path, ord, content): each batch's changes are appended under its number, so a repeated batch writes the same.
+    def handleInitialState(self, key: Any, initialState: Any, timerValues: Any) -> None:
+        self.last.update((initialState.hash,))
 
-    What is kept of the current objects is their hash, in buckets of paths. A
-    batch reads and rewrites the buckets that its paths fall into and notes for
-    every bucket which batch wrote it last.
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest = max(((r.ord is not None, r.ord, r.hash is not None, r.hash) for r in rows), key=lambda x: (x[0], x[1] or 0, x[2], x[3] or ""))[3]
+        there = self.last.exists()
+        before = self.last.get()[0] if there else None
+        if there and before == newest:
+            return
+        self.last.update((newest,))
+        yield Row(path=key[0], action="changed" if there else "new", old_hash=before, hash=newest)
+
+    def close(self) -> None:
+        pass
+
+
+def capture_changes(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """path, action (new or changed), old_hash, hash: what each batch of (path, ord, content) changes.
+
+    The newest observation of a path in a batch (by ord, nulls first; ties by
+    hash) is compared with the hash that keyed state holds for it; only hashes
+    reach the state, one per path, and a batch reads and writes those of its own
+    paths. known(path, hash) are the objects that a new stream begins with. An
+    absent content (null) has a null hash.
     """
-    state = "path string, hash string"
+    keyed_state(stream.sparkSession)
+    signed = stream.select("path", F.col("ord").cast("long").alias("ord"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    first = None if known is None else known.select("path", "hash").groupBy("path")
+    return signed.groupBy("path").transformWithState(_LastHash(), "path string, action string, old_hash string, hash string", "Update", "None", first)
+
+
+def capture_stream(stream: DataFrame, changes_path: str, checkpoint: str, known: DataFrame | None = None) -> DataStreamWriter:
+    """capture_changes with each batch's rows under `changes_path`/batch=N; a batch that is repeated writes the same rows over its first ones."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        fresh = df.groupBy("path").agg(F.max_by("content", "ord").alias("content"))
-        fresh = fresh.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")).persist()
-        # At most one row per bucket on the driver.
-        written = {r.bucket: r.batch for r in spark.read.parquet(f"{current_path}/index={number - 1}").collect()} if number else {}
-        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
-        parts = [f"{current_path}/batch={written[b]}/bucket={b}" for b in touched if b in written]
-        before = spark.read.schema(state).parquet(*parts) if parts else spark.createDataFrame([], state)
-        both = fresh.join(before.withColumnRenamed("hash", "old_hash"), "path", "left")
-        action = F.when(F.col("old_hash").isNull(), "new").when(F.col("hash") == F.col("old_hash"), "unchanged").otherwise("changed")
-        changes = both.select("path", action.alias("action"), F.when(action == "changed", F.col("old_hash")).alias("old_hash"))
-        changes.filter("action <> 'unchanged'").write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
-        kept = before.join(fresh.select("path"), "path", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
-        kept.unionByName(fresh).write.mode("overwrite").partitionBy("bucket").parquet(f"{current_path}/batch={number}")
-        newest = written | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(newest.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{current_path}/index={number}")
-        fresh.unpersist()
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        df.write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
+
+    return capture_changes(stream, known).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)

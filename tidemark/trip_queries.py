@@ -147,9 +147,8 @@ def str02_audit_stream(spark, d):
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
     # An id stands for one time here, as it does in the feed: ids that span two days are told apart by the day.
     rows = stream.select(F.expr(_KEY).alias("key"), day.alias("ts")).select(F.concat("key", F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), "ts")
-    fed = feeds.audit_stream(rows, F.lit("2024-01-05").cast("timestamp"), "60 days")
-    fed.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(F.substring_index("id", "@", 1).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    feeds.audit_stream(rows, out, kept, F.lit("2024-01-05").cast("timestamp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/events").select(F.substring_index("id", "@", 1).alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 def _folder(spark: SparkSession, df: DataFrame, tag: str) -> str:
@@ -164,10 +163,10 @@ def _folder(spark: SparkSession, df: DataFrame, tag: str) -> str:
   UNION ALL SELECT 'c' || conv_id, 1, CASE WHEN a IS NULL THEN 'new' ELSE 'changed' END FROM h WHERE b IS NOT NULL AND a IS DISTINCT FROM b""")
 def str03_capture_stream(spark, d):
     """Two batches of observations; the second's changes are against what the first left."""
-    src, cur, out, kept = (fresh_path(spark, x) for x in ("observed", "current", "changes", "capture"))
+    src, out, kept = (fresh_path(spark, x) for x in ("observed", "changes", "capture"))
     rows = t(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("path"), F.col("turn").alias("ord"), F.col("role").alias("content"))
     for part in ("ord < 2", "ord >= 2"):
         rows.filter(part).write.mode("append").parquet(src)
         stream = spark.readStream.schema(rows.schema).parquet(src)
-        feeds.capture_stream(stream, cur, out, kept).trigger(availableNow=True).start().awaitTermination()
+        feeds.capture_stream(stream, out, kept).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("path", F.col("batch").cast("int").alias("batch"), "action")
