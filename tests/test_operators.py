@@ -169,6 +169,30 @@ def test_prune_keeps_what_lives_in_the_mirror_alone(rows):
     }
 
 
+def test_prune_takes_what_a_mirror_must_not_hold(rows):
+    """Whether or not a local file has its name; and a local file that is eligible guards its key."""
+    w = "projects/p/workspaces/w"
+    bad = [f"{w}/.ledger/lock", f"{w}/.ledger/log.ndjson", f"{w}/.atomicfile-1.tmp", "config-versions/cv.tar.gz.remote.json"]
+    keys, led = [*bad, f"{w}/run.json", f"{w}/bundles/logs.gen0001.zip.sidecar.ndjson"], rows([], "path string, status string")
+    for local in (keys, []):
+        plan = reconcile.prune_plan(rows([(k,) for k in keys], "key string"), rows([(k,) for k in local], "path string"), led, rows([], "shard string"))
+        assert got(plan, "key", "class", "action") == sorted([(k, "ineligible", "prune") for k in bad] + ([] if local else [(f"{w}/run.json", "unbacked", "prune")]))
+    held = rows([(k, 1, "m") for k in keys], "path string, size bigint, md5 string")
+    plan = reconcile.sync_plan(held, rows([], "path string, status string, signature struct<hash:string,size:bigint>"), held.withColumnRenamed("path", "key"), rows([], "shard string"))
+    assert got(plan, "path", "action") == sorted([(k, a) for k in bad for a in ("skip", "prune")] + [(keys[4], "keep"), (keys[5], "keep")])
+
+
+def test_a_sync_meets_its_tables_in_one_exchange(spark, rows):
+    sides = rows([("a", 1, "m")], "path string, size bigint, md5 string")
+    led = rows([("a", "done", ("h", 1))], "path string, status string, signature struct<hash:string,size:bigint>")
+    found = reconcile.facts(sides, led, sides.withColumnRenamed("path", "key"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in found.collect()] == [("a", (1, "m"), (1, "m"), True, None, None)]
+    # What decides about shards and former names has other keys.
+    plan = reconcile.sync_plan(sides, led, sides.withColumnRenamed("path", "key"), rows([("s",)], "shard string"), rows([("x",)], "former string"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(path") == 0
+
+
 def test_sync_ladder(rows):
     b = "projects/p/workspaces/w/bundles/"
     tarball = "config-versions/{}.tar.gz".format
@@ -259,6 +283,27 @@ def test_alias_rewrites_stack(rows):
     assert got(out, "path", "spelling", "depth") == [("projects/c/x", "projects/a/x", 2), ("projects/c/x", "projects/b/x", 1), ("projects/c/x", "projects/c/x", 0), ("projects/cc/x", "projects/cc/x", 0)]
 
 
+def test_renames_of_any_depth_and_cycles(rows):
+    chain = [(f"d{i}", f"d{i + 1}") for i in range(100)]
+    cycle = [("x/a", "x/b"), ("x/b", "x/c"), ("x/c", "x/a"), ("x", "y"), ("", "never"), ("x/a", "x/a")]
+    deeper = [("r/s", "q"), ("q/t", "r/s/u")]
+    aliases = rows(chain + cycle + deeper, "current string, former string")
+    paths = rows([(p,) for p in ("d0/f", "d99/f", "x/a/1", "x/b", "xx/a", "r/s/t/9", "plain", "d0")], "path string")
+    found = reconcile.alias_rewrites(paths, aliases)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.path, {})[r.spelling] = r.depth
+    assert by["d0/f"] == {f"d{i}/f": i for i in range(101)} and by["d0"] == {f"d{i}": i for i in range(101)} and by["d99/f"] == {"d99/f": 0, "d100/f": 1}
+    assert by["x/a/1"] == {"x/a/1": 0, "x/b/1": 1, "x/c/1": 2, "y/a/1": 1, "y/b/1": 2, "y/c/1": 3}
+    assert by["x/b"] == {"x/b": 0, "x/c": 1, "x/a": 2, "y/b": 1, "y/c": 2, "y/a": 3} and by["xx/a"] == {"xx/a": 0} and by["plain"] == {"plain": 0}
+    assert by["r/s/t/9"] == {"r/s/t/9": 0, "q/t/9": 1, "r/s/u/9": 2, "q/u/9": 3}
+    few = rows(cycle + deeper, "current string, former string")
+    assert got(reconcile.alias_rewrites(paths, few), "path", "spelling", "depth") == got(reconcile.alias_rewrites(paths, few, most=2), "path", "spelling", "depth")
+    # As large a plan for two renames as for a hundred.
+    size = lambda df: len(df._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert size(found) == size(reconcile.alias_rewrites(paths, rows(chain[:2], "current string, former string")))
+
+
 def test_orphan_bundles_and_stubs(rows):
     members = rows([("b1", "m", "1"), ("b1", "n", "2"), ("b2", "m", "9"), ("b3", None, None)], "bundle string, name string, sha256 string")
     assert got(reconcile.orphan_bundles(members, rows([("m", "1"), ("n", "2")], "name string, sha256 string")), "bundle", "action") == [("b1", "reclaim"), ("b2", "keep"), ("b3", "keep")]

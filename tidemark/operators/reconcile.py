@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,47 @@ def upload_needed(local: DataFrame, inventory: DataFrame) -> DataFrame:
     return local.join(there, "path", "left").select("path", reason.alias("reason"))
 
 
+def _side(df: DataFrame):
+    """STRUCT<size, md5> of a table's object; what it doesn't tell is null."""
+    cell = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    return F.struct(cell("size", "long"), cell("md5", "string"))
+
+
+def _zip_of(sidecar: Column) -> Column:
+    return F.regexp_replace(sidecar, r"\.sidecar\.ndjson$", "")
+
+
+#: What tables tell of a path: its local file, the mirror's object, whether the ledger knows it, the size that is proven there, whether its bundle's index is local.
+_FACTS = {"here": "struct<size:bigint,md5:string>", "there": "struct<size:bigint,md5:string>", "known": "boolean", "recorded": "bigint", "indexed": "boolean"}
+
+
+def facts(local: DataFrame, ledger: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """path and _FACTS: one row for each path of any table, from one exchange, which every task's rows are combined before.
+
+    local has path, size, md5; inventory key, size, md5; ledger path, status, signature. Absent columns count as null.
+    """
+
+    def told(df: DataFrame, path: str, **facts: Column) -> DataFrame:
+        return df.select(F.col(path).alias("path"), *[facts.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _FACTS.items()])
+
+    proof = F.lit(None)
+    if {"status", "signature"} <= {*ledger.columns}:
+        proof = F.when((F.col("status") == "done") & F.col("signature").isNotNull() & is_config_tarball(F.col("path")), F.col("signature.size"))
+    rows = told(local, "path", here=_side(local)).unionByName(told(ledger, "path", known=F.lit(True), recorded=proof))
+    indexes = local.filter(is_bundle_sidecar(F.col("path"))).select(_zip_of(F.col("path")).alias("path"))
+    rows = rows.unionByName(told(indexes, "path", indexed=F.lit(True)))
+    if inventory is not None:
+        rows = rows.unionByName(told(inventory, "key", there=_side(inventory)))
+    return rows.groupBy("path").agg(*[F.max(c).alias(c) for c in _FACTS])
+
+
+def _local_action() -> Column:
+    """What a sweep does with a local file, told from facts."""
+    p, size = F.col("path"), F.col("here.size")
+    tarball = F.when(F.col("recorded").isNull(), "skip").when(F.col("recorded") == size, "evict").otherwise("suspect")
+    return F.when(~sync_eligible(p), "skip").when(is_bundle_zip(p), F.when(F.col("indexed"), "evict").otherwise("skip")).when(is_config_tarball(p), tarball).otherwise("sync")
+
+
 def classify_sync(local: DataFrame, ledger: DataFrame) -> DataFrame:
     """path, action of local files (path, size).
 
@@ -54,52 +98,59 @@ def classify_sync(local: DataFrame, ledger: DataFrame) -> DataFrame:
     entry (path, status, signature); evict: a bundle with its index, a tarball
     of the recorded size; suspect: a tarball of another size; sync: the rest.
     """
-    sidecars = local.filter(is_bundle_sidecar(F.col("path"))).select(F.regexp_replace("path", r"\.sidecar\.ndjson$", "").alias("path"), F.lit(True).alias("sidecar"))
-    proof = ledger.filter("status = 'done' AND signature IS NOT NULL").filter(is_config_tarball(F.col("path"))).select("path", F.col("signature.size").alias("recorded"))
-    rows = local.select("path", "size").join(sidecars, "path", "left").join(proof, "path", "left")
-    p = F.col("path")
-    tarball = F.when(F.col("recorded").isNull(), "skip").when(F.col("recorded") == F.col("size"), "evict").otherwise("suspect")
-    action = F.when(~sync_eligible(p), "skip").when(is_bundle_zip(p), F.when(F.col("sidecar"), "evict").otherwise("skip")).when(is_config_tarball(p), tarball).otherwise("sync")
-    return rows.select("path", action.alias("action"))
-
+    return facts(local, ledger).filter("here IS NOT NULL").select("path", _local_action().alias("action"))
 
-def prune_plan(inventory: DataFrame, local: DataFrame, ledger: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None, resumed: bool = True, restoring: bool = False, limit: int = 100) -> DataFrame:
-    """key, class, action of mirror keys that no eligible local file backs.
 
-    Bundles, their indexes and tarballs live in the mirror and are never
-    pruned. Classes: ineligible (a mirror mustn't hold it), reshaped (known to
-    the ledger, in a workspace that a local sealed form shows to be sealed, or
-    below a former name in aliases(former)), shard-lost (its shard's records
-    are gone), unbacked. Nothing is pruned during a restore or by a run that
-    didn't resume; unbacked keys are refused if they are more than `limit` and
-    more than the keys that match; keys of lost shards always are.
-    """
+def _below(stale: DataFrame, former: DataFrame) -> DataFrame:
+    """Keys of stale(key) strictly below a name in former(former): by equality with a key's own ancestors."""
     k = F.col("key")
-    kept = local.filter(sync_eligible(F.col("path"))).select(F.col("path").alias("key"))
-    here = local.select(F.col("path").alias("key"))
-    stale = inventory.select("key").filter(~evicted_surface(k) & ~is_bundle_sidecar(k)).join(here, "key", "left_anti").withColumn("shard", shard_key(k))
-    sealed = local.filter(in_sealed_form(F.col("path"))).select(shard_key(F.col("path")).alias("shard")).distinct().withColumn("sealed", F.lit(True))
-    rows = stale.join(ledger.select(F.col("path").alias("key"), F.lit(True).alias("known")).distinct(), "key", "left").join(sealed, "shard", "left")
-    rows = rows.join(lost_shards.select("shard", F.lit(True).alias("lost")).distinct(), "shard", "left")
+    ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments(k)) - 1, F.lit(1))), lambda i: F.array_join(F.slice(segments(k), F.lit(1), i), "/"))
+    return stale.select("key", F.explode(ancestors).alias("former")).filter("former <> key").join(former, "former", "left_semi").select("key").distinct()
+
+
+def _pruned(found: DataFrame, local: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None, resumed: bool, restoring: bool, limit: int) -> DataFrame:
+    """prune_plan from facts, which are read several times: give a written table."""
+    p = F.col("path")
+    held = found.filter("there IS NOT NULL")
+    eligible = sync_eligible(p)
+    stale = held.filter(~evicted_surface(p) & ~is_bundle_sidecar(p) & (~eligible | F.col("here").isNull()))
+    stale = stale.select(p.alias("key"), F.coalesce("known", F.lit(False)).alias("known"), eligible.alias("eligible"), shard_key(p).alias("shard"))
+    sealed = local.filter(in_sealed_form(p)).select(shard_key(p).alias("shard"), F.lit(True).alias("sealed"), F.lit(None).cast("boolean").alias("lost"))
+    shards = sealed.unionByName(lost_shards.select("shard", F.lit(None).cast("boolean").alias("sealed"), F.lit(True).alias("lost")))
+    rows = stale.join(shards.groupBy("shard").agg(F.max("sealed").alias("sealed"), F.max("lost").alias("lost")), "shard", "left")
     moved = F.lit(False)
     if aliases is not None:
-        # A former name meets the keys strictly below it by equality with a key's own ancestors.
-        ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments(k)) - 1, F.lit(1))), lambda i: F.array_join(F.slice(segments(k), F.lit(1), i), "/"))
-        below = stale.select("key", F.explode(ancestors).alias("former")).filter("former <> key").join(aliases.select("former").filter("former <> ''").distinct(), "former", "left_semi")
-        rows = rows.join(below.select("key", F.lit(True).alias("moved")).distinct(), "key", "left")
+        former = aliases.select("former").filter("former <> ''").distinct()
+        below = _below(stale.filter("known AND eligible"), former)
+        rows = rows.join(below.withColumn("moved", F.lit(True)), "key", "left")
         moved = F.coalesce("moved", F.lit(False))
-    reshaped = F.coalesce("known", F.lit(False)) & (F.coalesce("sealed", F.lit(False)) | moved)
-    kind = F.when(~sync_eligible(k), "ineligible").when(reshaped, "reshaped").when(F.col("lost"), "shard-lost").otherwise("unbacked")
+    reshaped = F.col("known") & (F.coalesce("sealed", F.lit(False)) | moved)
+    kind = F.when(~F.col("eligible"), "ineligible").when(reshaped, "reshaped").when(F.col("lost"), "shard-lost").otherwise("unbacked")
     rows = rows.select("key", kind.alias("class"))
     # Two numbers decide for all rows; they stay in the plan, which broadcasts their one row.
     unbacked = rows.agg(F.count_if(F.col("class") == "unbacked").alias("unbacked"))
-    matched = inventory.select("key").join(kept, "key", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    matched = held.agg(F.count_if(F.col("here").isNotNull() & eligible).alias("matched"))
     guarded = rows.crossJoin(F.broadcast(unbacked)).crossJoin(F.broadcast(matched))
     many = (F.col("unbacked") > limit) & (F.col("unbacked") > F.col("matched"))
     refuse = F.lit(restoring or not resumed) | (F.col("class") == "shard-lost") | ((F.col("class") == "unbacked") & many)
     return guarded.select("key", "class", F.when(refuse, "refuse").otherwise("prune").alias("action"))
 
 
+def prune_plan(inventory: DataFrame, local: DataFrame, ledger: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None, resumed: bool = True, restoring: bool = False, limit: int = 100) -> DataFrame:
+    """key, class, action of mirror keys that no eligible local file backs.
+
+    Bundles, their indexes and tarballs live in the mirror and are never
+    pruned. Classes: ineligible (a mirror mustn't hold it, whether or not a
+    local file has its name: a ledger's own lock, a half-written file, a stub),
+    reshaped (known to the ledger, in a workspace that a local sealed form shows
+    to be sealed, or below a former name in aliases(former)), shard-lost (its
+    shard's records are gone), unbacked. Nothing is pruned during a restore or
+    by a run that didn't resume; unbacked keys are refused if they are more than
+    `limit` and more than the keys that match; keys of lost shards always are.
+    """
+    return _pruned(written(facts(local, ledger, inventory), "facts"), local, lost_shards, aliases, resumed, restoring, limit)
+
+
 def evicted_obligations(index: DataFrame, local: DataFrame) -> DataFrame:
     """path, size of what only the mirror holds: indexed bundles and proven tarballs without a local file."""
     return index.select("path", "size").distinct().join(local.select("path"), "path", "left_anti")
@@ -112,14 +163,70 @@ def verify_evicted(obligations: DataFrame, inventory: DataFrame) -> DataFrame:
     return obligations.join(there, "path", "left").select("path", state.alias("state"))
 
 
-def alias_rewrites(paths: DataFrame, aliases: DataFrame) -> DataFrame:
-    """path, spelling, depth: every former spelling of a path under renames of directories (current, former).
-
-    aliases is a short list of prefixes; each round meets it by equality with a
-    path's own ancestors. Rounds go on until one finds no new spelling, at most
-    as many as there are renames.
+#: Renames up to which every task carries their trie; more are followed round by round.
+RENAMES = 20_000
+
+
+class Renames:
+    """Renames of directories as a trie of their current names, segment by segment."""
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.root: dict = {}
+        self.most = len(pairs)
+        for current, former in pairs:
+            node = self.root
+            for part in current.split("/"):
+                node = node.setdefault(part, {})
+            node.setdefault(None, []).append(former)
+
+    def once(self, path: str) -> Iterator[str]:
+        """The spellings one rename away: one descent finds every current name at or above the path."""
+        node, parts = self.root, path.split("/")
+        for i, part in enumerate(parts):
+            node = node.get(part)
+            if node is None:
+                return
+            for former in node.get(None, ()):
+                yield "/".join([former, *parts[i + 1 :]])
+
+    def spellings(self, path: str) -> Iterator[tuple[str, int]]:
+        """Each spelling once, with the least number of renames to it; what a cycle leads back to was found before."""
+        seen, last, depth = {path}, [path], 0
+        yield path, 0
+        while last and depth < self.most:
+            depth += 1
+            last = [s for s in dict.fromkeys(x for p in last for x in self.once(p)) if s not in seen]
+            seen.update(last)
+            for s in last:
+                yield s, depth
+
+
+def alias_rewrites(paths: DataFrame, aliases: DataFrame, most: int = RENAMES) -> DataFrame:
+    """path, spelling, depth: every former spelling of distinct paths under renames of directories (current, former), the path itself with depth 0.
+
+    A spelling has the least number of renames that lead to it, at most as many
+    as there are; renames may stack and form cycles. The list of renames is
+    short: its trie is built once, and every path is followed through it in one
+    pass, so the plan is the same whatever the depth. A list of more than `most`
+    is joined instead, a round for each depth.
     """
-    aliases = aliases.filter("current <> former").distinct()
+    aliases = aliases.select("current", "former").filter("current <> former").distinct()
+    pairs = [(r.current, r.former) for r in aliases.limit(most + 1).collect()]
+    if len(pairs) > most:
+        return _rewrites_by_rounds(paths, aliases)
+    renames = Renames(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, s, d) for p in batch.column(0).to_pylist() if p is not None for s, d in renames.spellings(p)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], ["path", "spelling", "depth"])
+
+    return paths.select("path").mapInArrow(run, "path string, spelling string, depth int")
+
+
+def _rewrites_by_rounds(paths: DataFrame, aliases: DataFrame) -> DataFrame:
+    """alias_rewrites by joins: each round meets the renames by equality with a path's own ancestors, until one finds no new spelling."""
     found = paths.select("path", F.col("path").alias("spelling"), F.lit(0).alias("depth"))
     last = found
     for depth in range(1, aliases.count() + 1):
@@ -167,11 +274,13 @@ def snapshot_conflict(local: DataFrame, mirror: DataFrame) -> DataFrame:
 
 
 def mirror_leftovers(inventory: DataFrame, local: DataFrame) -> DataFrame:
-    """Keys that no restored object accounts for: not restorable ones, and bundles without an index on either side."""
+    """Keys that no restored object accounts for: not restorable ones, and bundles without an index on either side. One exchange."""
     k = F.col("key")
-    indexes = inventory.select(k.alias("path")).unionByName(local.select("path")).filter(is_bundle_sidecar(F.col("path"))).select(F.regexp_replace("path", r"\.sidecar\.ndjson$", "").alias("key")).distinct()
-    bare = inventory.filter(is_bundle_zip(k)).join(indexes, "key", "left_anti").select("key")
-    return inventory.filter(~restorable(k) & ~evicted_surface(k)).select("key").unionByName(bare)
+    paths = inventory.select("key", F.lit(True).alias("held")).unionByName(local.select(F.col("path").alias("key"), F.lit(False).alias("held")))
+    rows = paths.filter("held").select("key", "held", F.lit(False).alias("indexed"))
+    rows = rows.unionByName(paths.filter(is_bundle_sidecar(k)).select(_zip_of(k).alias("key"), F.lit(False).alias("held"), F.lit(True).alias("indexed")))
+    each = rows.groupBy("key").agg(F.max("held").alias("held"), F.max("indexed").alias("indexed")).filter("held")
+    return each.filter((~restorable(k) & ~evicted_surface(k)) | (is_bundle_zip(k) & ~F.col("indexed"))).select("key")
 
 
 def stub_plan(inventory: DataFrame, local: DataFrame) -> DataFrame:
@@ -238,8 +347,14 @@ def eviction_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame) ->
     return confirm_copy(local.join(able, "path", "left_semi"), inventory).select("path", (F.col("state") == "ok").alias("safe_to_drop"))
 
 
-def sync_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """path, action of a whole synchronisation: upload, evict, suspect, skip, keep; and prune or refuse for the mirror's own keys."""
-    kinds = classify_sync(local, ledger).join(upload_needed(local, inventory), "path")
-    action = F.when(F.col("action").isin("skip", "suspect"), F.col("action")).when(F.col("reason") != "equal", "upload").when(F.col("action") == "evict", "evict").otherwise("keep")
-    return kinds.select("path", action.alias("action")).unionByName(prune_plan(inventory, local, ledger, lost_shards, aliases).select(F.col("key").alias("path"), "action"))
+def sync_plan(local: DataFrame, ledger: DataFrame, inventory: DataFrame, lost_shards: DataFrame, aliases: DataFrame | None = None, resumed: bool = True, restoring: bool = False, limit: int = 100) -> DataFrame:
+    """path, action of a whole synchronisation: upload, evict, suspect, skip, keep for local files; and prune or refuse for the mirror's own keys.
+
+    All tables meet in one exchange by path (see facts); the flags are prune_plan's.
+    """
+    found = written(facts(local, ledger, inventory), "facts")
+    own = _local_action()
+    changed = F.col("there").isNull() | (F.col("here.size") != F.col("there.size")) | _differ(F.col("here.md5"), F.col("there.md5"))
+    action = F.when(own.isin("skip", "suspect"), own).when(changed, "upload").when(own == "evict", "evict").otherwise("keep")
+    mine = found.filter("here IS NOT NULL").select("path", action.alias("action"))
+    return mine.unionByName(_pruned(found, local, lost_shards, aliases, resumed, restoring, limit).select(F.col("key").alias("path"), "action"))

@@ -88,7 +88,7 @@ def jn04_classify_sync(spark, d):
 
 _PRUNED = f"""WITH a AS ({ARCHIVE}), kept AS (SELECT * FROM a WHERE {_LOCAL}), sealed AS (SELECT DISTINCT b FROM kept WHERE {_SEALED}),
   stale AS (SELECT path AS key, CASE WHEN NOT ({_ELIGIBLE}) THEN 'ineligible' WHEN m IN (5, 6, 7) AND g % 2 = 0 AND (b IN (SELECT b FROM sealed) OR g % 3 = 2) THEN 'reshaped'
-    WHEN m NOT IN (3, 8) AND g % 7 = 3 THEN 'shard-lost' ELSE 'unbacked' END AS class FROM a WHERE NOT ({_LOCAL}) AND m NOT IN (0, 2) AND NOT (m = 1 AND g % 2 = 0)),
+    WHEN m NOT IN (3, 8) AND g % 7 = 3 THEN 'shard-lost' ELSE 'unbacked' END AS class FROM a WHERE (NOT ({_LOCAL}) OR NOT ({_ELIGIBLE})) AND m NOT IN (0, 2) AND NOT (m = 1 AND g % 2 = 0)),
   counts AS (SELECT (SELECT count(*) FROM stale WHERE class = 'unbacked') AS unbacked, (SELECT count(*) FROM kept WHERE {_ELIGIBLE}) AS matched),
   pruned AS (SELECT key, class, CASE WHEN class = 'shard-lost' OR (class = 'unbacked' AND unbacked > 100 AND unbacked > matched) THEN 'refuse' ELSE 'prune' END AS action FROM stale, counts)"""
 
