@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, gates, history, ledger, listing, reconcile, refs, scan, sealing, walk
 from tidemark.plans import reports
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, snapshots, writers
 from tidemark.streaming import feeds
 
 
@@ -334,7 +334,7 @@ def test_sources_and_sinks(spark, rows, tmp_path):
     (root / "projects/p/workspaces/w/.identity.json").write_text("{}")
     (root / ".remote.json").write_text("{}")
     (root / ".ledger").mkdir()
-    (root / ".ledger/s.json").write_text(json.dumps({"entries": {"a": {"status": "done", "attempts": 2, "signature": {"hash": "h", "size": 1}}}, "completed": {"runs": True}, "watermarks": {"runs": "2024-01-01T00:00:00Z"}}))
+    (root / ".ledger/s.json").write_text(json.dumps({"entries": {"a": {"status": "done", "attempts": 2, "signature": {"hash": "h", "size": 1}}}, "completedCollections": {"runs": True}, "highWaterMarks": {"runs": "2024-01-01T00:00:00Z"}}))
     assert got(readers.read_loose(spark, str(root)), "path", "form") == [("config-versions/x.tar.gz.remote.json", "stub"), ("projects/p/workspaces/w/runs/r/run.json", "loose")]
     entries, cols = readers.read_ledger(spark, str(root / ".ledger/*.json"))
     assert got(entries, "path", "status", "attempts") == [("a", "done", 2)] and got(cols, "prefix", "complete", "settled") == [("runs", True, False)]
@@ -347,15 +347,97 @@ def test_sources_and_sinks(spark, rows, tmp_path):
     assert got(readers.read_bundle_members(spark, str(root / "b.zip"), 5), "name", "size", "content") == [("m1", 3, bytearray(b"abc")), ("m2", 7, None)]
     members = rows([("a", "1", b"x"), ("b", "2", b"y")], "name string, sha256 string, content binary")
     where = writers.write_generation(members, str(tmp_path / "g"), "logs", 1)
-    assert got(spark.read.parquet(where + ".index"), "name") == [("a",), ("b",)]
+    assert [got(x, "name") for x in writers.read_generation(spark, where)] == [[("a",), ("b",)]] * 2
     with pytest.raises(Exception, match="exist"):
         writers.write_generation(members, str(tmp_path / "g"), "logs", 1)
     with pytest.raises(ValueError):
-        writers.append_rollup(rows([("a", "1", b"\xff")], "path string, sha256 string, content binary"), str(tmp_path / "r"))
+        writers.append_rollup(rows([("a", "1", b"\xff")], "path string, sha256 string, content binary"), str(tmp_path / "r"), 1)
     out = writers.extract_objects(rows([("d/ok", b"12"), ("../no", b"3")], "path string, content binary"), str(tmp_path / "t"))
     assert got(out, "path", "bytes") == [("../no", 0), ("d/ok", 2)] and (tmp_path / "t/d/ok").read_bytes() == b"12"
 
 
+def snapshot_document(rng, shard, n):
+    """(document, its entries, its collections' flags) of a shard with odd strings."""
+    entries, keys = {}, [f"{shard}/k{i}" for i in range(9)]
+    for i in range(n):
+        e = {"firstSeen": "2024-01-01T00:00:00Z", "status": rng.choice(["done", "errored"]), "attempts": i}
+        if i % 3 == 0:
+            e["signature"] = {"hash": f"h{i}", "size": i}
+        if i % 5 == 0:
+            e["lastError"] = 'odd }, {"x": [\n    "y": {' + "\u2028\u00e9" * (i % 7)
+        if i % 4 == 0:
+            e["derivedChildren"] = [f"c{k}" for k in range(i % 9)]
+        entries[f'{shard}/{i}"{{'] = e
+    doc = {"lastRun": {"startedAt": "2024-01-01T00:00:00Z", "totals": {"done": 1}}, "highWaterMarks": {k: "2024-01-02T00:00:00Z" for k in keys}, "entries": entries}
+    doc |= {"completedCollections": {k: i % 2 == 0 for i, k in enumerate(keys)}, "settledCollections": {k: True for k in keys[::3]}, "version": 2}
+    return doc, {p: (e["status"], e["attempts"], (e.get("signature") or {}).get("hash"), e.get("lastError"), e.get("derivedChildren")) for p, e in entries.items()}, {k: (i % 2 == 0, i % 3 == 0) for i, k in enumerate(keys)}
+
+
+def test_members_of_a_snapshot_whatever_its_splits(rows):
+    rng, flat, want = random.Random(42), [], []
+    for size in (1, 2, 3, 5, 8, 13, 10_000):
+        doc, _, _ = snapshot_document(rng, f"s{size}", 14)
+        lines = json.dumps(doc, indent=2, ensure_ascii=False).split("\n")
+        flat += snapshots.pieces((f"f{size}", i - i % size, line) for i, line in enumerate(lines))
+        want += [(k, {m: v}) for k, ms in doc.items() if isinstance(ms, dict) for m, v in ms.items()]
+    found = [(r.section, json.loads("{" + r.text.rstrip().rstrip(",") + "}")) for r in snapshots.stitched(rows(flat, snapshots.PIECE)).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_snapshots_are_read_by_splits(spark, tmp_path):
+    want, flags, rng = {}, {}, random.Random(41)
+    for n, (shard, size) in enumerate((("projects/p/workspaces/w", 60), ("config-versions", 1))):
+        doc, entries, marks = snapshot_document(rng, shard, size)
+        want |= entries
+        flags |= marks
+        (tmp_path / f"{n}.json").write_text(json.dumps(doc, indent=2, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "torn.json").write_text('{\n  "entries": {\n    "p": {\n      "sta')
+    (tmp_path / "empty.json").write_text('{\n  "entries": {},\n  "version": 2\n}')
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "3000")
+        entries, cols = readers.read_ledger(spark, str(tmp_path / "*.json"))
+        assert spark.read.text(str(tmp_path / "0.json")).rdd.getNumPartitions() > 3
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert {r.path: (r.status, r.attempts, r.signature and r.signature.hash, r.last_error, r.derived_children) for r in entries.collect()} == want
+    assert {r.prefix: (r.complete, r.settled) for r in cols.collect()} == flags and cols.filter("high_water_mark IS NULL").count() == 0
+
+
+def test_a_generation_is_committed_by_its_index(spark, rows, tmp_path, monkeypatch):
+    members = rows([("a", "1", b"x"), ("b", "2", b"y")], "name string, sha256 string, content binary")
+    folder = str(tmp_path / "g")
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_index", crash)
+        with pytest.raises(KeyboardInterrupt):
+            writers.write_generation(members, folder, "logs", 1)
+    with pytest.raises(FileNotFoundError):
+        writers.read_generation(spark, f"{folder}/logs.gen0001")
+    (tmp_path / "g/logs.gen0001.index").mkdir()  # the crash may come while the index is written, too
+    where = writers.write_generation(members, folder, "logs", 1)
+    assert [got(x, "name", "sha256") for x in writers.read_generation(spark, where)] == [[("a", "1"), ("b", "2")]] * 2
+    assert len(writers.reclaim_attempts(spark, folder, "logs")) == 1 and writers.reclaim_attempts(spark, folder, "logs") == []
+    assert got(writers.read_generation(spark, where)[0], "content") == [(bytearray(b"x"),), (bytearray(b"y"),)]
+    with pytest.raises(FileExistsError):
+        writers.write_generation(members, folder, "logs", 1)
+
+
+def test_a_batch_appended_again_adds_and_hides_nothing(spark, rows, tmp_path):
+    schema, folder = "path string, sha256 string, content string", str(tmp_path / "r")
+    writers.append_rollup(rows([("a", "1", "x"), ("b", "1", "y")], schema), folder, 1)
+    writers.append_rollup(rows([("a", "2", "z")], schema), folder, 2)
+    writers.append_rollup(rows([("a", "1", "x"), ("b", "1", "y")], schema), folder, 1)
+    rolled = readers.read_rollups(spark, folder)
+    assert rolled.count() == 3 and got(history.newest_per_path(rolled), "path", "sha256") == [("a", "2"), ("b", "1")]
+
+
 def test_seal_round_trip(spark, rows, tmp_path):
     plan = rows([("a", "s", "logs"), ("b", "s", "logs")], "path string, shard string, target string")
     assert got(sealing.seal_workspaces(plan, rows([("a", b"1"), ("b", b"2")], "path string, content binary"), str(tmp_path), 1), "path", "state") == [("a", "ok"), ("b", "ok")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.content import signature
 from tidemark.functions.paths import artifact_class, bundle_generation, leaf, parse_path, shard_key
 from tidemark.functions.status import is_terminal
+from tidemark.sources.scratch import written
 
 
 def seal_plan(objects: DataFrame, ledger: DataFrame, collections: DataFrame, runs: DataFrame) -> DataFrame:
@@ -15,18 +16,19 @@ def seal_plan(objects: DataFrame, ledger: DataFrame, collections: DataFrame, run
 
     Only done entries of complete collections (shard, kind, complete); a run's own document
     only once that run (run_id, status) is final.
+
+    What is told by a path is worked out once and written; the rest are joins on its columns.
     """
-    done = ledger.filter("status = 'done'").select("path")
-    complete = collections.filter("complete").select("shard", "kind")
-    p = parse_path(F.col("path"))
-    rows = objects.select("path").join(done, "path", "left_semi").select("path", shard_key(F.col("path")).alias("shard"), p["kind"].alias("kind"), p["run_id"].alias("run_id"), artifact_class(F.col("path")).alias("class"), leaf(F.col("path")).alias("leaf"))
-    rows = rows.join(complete, ["shard", "kind"], "left_semi")
-    own = (F.col("leaf") == "run.json") & F.col("run_id").isNotNull()
-    # Only runs' own documents meet the runs; all else is told by its path.
+    p, name = parse_path(F.col("path")), leaf(F.col("path"))
+    kind = artifact_class(F.col("path"))
+    target = F.when(kind == "heavy", "logs").when(kind == "state_blob", "state").when(kind == "state_meta", "state-versions.ndjson").when(kind.endswith(".ndjson"), kind)
+    done = objects.select("path").join(ledger.filter("status = 'done'").select("path"), "path", "left_semi")
+    own = F.when(name == "run.json", p["run_id"])  # a run's own document waits for its run
+    told = written(done.select("path", shard_key(F.col("path")).alias("shard"), p["kind"].alias("kind"), own.alias("run_id"), target.alias("target")), "seal")
+    rows = told.filter("run_id IS NOT NULL OR target IS NOT NULL").join(collections.filter("complete").select("shard", "kind"), ["shard", "kind"], "left_semi")
     final = runs.filter(is_terminal(F.lit("run"), F.col("status"))).select("run_id")
-    ended = rows.filter(own).join(final, "run_id", "left_semi").select("path", "shard", F.lit("runs.ndjson").alias("target"))
-    target = F.when(F.col("class") == "heavy", "logs").when(F.col("class") == "state_blob", "state").when(F.col("class") == "state_meta", "state-versions.ndjson").when(F.col("class").endswith(".ndjson"), F.col("class"))
-    return rows.filter(~own).select("path", "shard", target.alias("target")).filter("target IS NOT NULL").unionByName(ended)
+    ended = rows.filter("run_id IS NOT NULL").join(final, "run_id", "left_semi").select("path", "shard", F.lit("runs.ndjson").alias("target"))
+    return rows.filter("run_id IS NULL").select("path", "shard", "target").unionByName(ended)
 
 
 def next_generation(names: DataFrame, prefix: str) -> DataFrame:
@@ -44,11 +46,12 @@ def verify_members(members: DataFrame, index: DataFrame) -> DataFrame:
 def seal_workspaces(plan: DataFrame, objects: DataFrame, path: str, generation: int) -> DataFrame:
     """Write the planned objects' bytes (path, content) as one generation, read it back, and return path, state of each.
 
-    All workspaces are one job, dealt by shard and a hash of the path, so a large workspace is spread too.
+    All workspaces are one job, dealt by shard and a hash of the path, so a
+    large workspace is spread too. A run that a crash ended is run again as it was.
     """
-    from tidemark.sources.writers import write_generation
+    from tidemark.sources.writers import read_generation, write_generation
 
     rows = plan.join(objects, "path").select("shard", "target", F.col("path").alias("name"), "content", signature(F.col("content"))["hash"].alias("sha256"))
     where = write_generation(rows.repartition("shard", F.pmod(F.xxhash64("name"), F.lit(16))), path, "seal", generation)
-    spark = plan.sparkSession
-    return verify_members(spark.read.parquet(where).select("name", "content"), spark.read.parquet(f"{where}.index")).select(F.col("name").alias("path"), "state")
+    members, index = read_generation(plan.sparkSession, where)
+    return verify_members(members.select("name", "content"), index).select(F.col("name").alias("path"), "state")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import bundle_generation, is_machinery, leaf, shard_key, stub_target
+from tidemark.sources import snapshots
 
 ENTRY = "status string, firstSeen timestamp, fetchedAt timestamp, updatedAt timestamp, lastErrorAt timestamp, lastError string, signature struct<hash:string,size:bigint>, attempts int, transient boolean, derivedChildren array<string>"
 
@@ -30,15 +31,17 @@ def read_loose(spark: SparkSession, root: str) -> DataFrame:
 def _lines(spark: SparkSession, path: str, schema: str, names: str | None = None) -> DataFrame:
     """JSON lines with `file` and `ord`; torn and malformed lines are dropped.
 
-    ord puts lines in the order of their files' modification, then of their
-    names, then of their place, so the newest line is defined across files.
+    ord puts lines in the order of their batches (see append_rollup; lines of
+    none come first), then of their files' modification, then of their names,
+    then of their place, so the newest line is defined across files.
     """
     reader = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
     if names:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names)
     m = F.col("_metadata")
-    rows = reader.json(path).select("*", m["file_path"].alias("file"), m["file_modification_time"].alias("__time"), m["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__line"))
-    return rows.filter("_corrupt_record IS NULL").withColumn("ord", F.struct("__time", "file", "__block", "__line")).drop("_corrupt_record", "__time", "__block", "__line")
+    batch = F.regexp_extract(m["file_path"], r"/batch=(\d+)/[^/]*\z", 1).try_cast("long")
+    rows = reader.json(path).select(*[f.split()[0] for f in schema.split(", ")], "_corrupt_record", batch.alias("__batch"), m["file_path"].alias("file"), m["file_modification_time"].alias("__time"), m["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    return rows.filter("_corrupt_record IS NULL").withColumn("ord", F.struct("__batch", "__time", "file", "__block", "__line")).drop("_corrupt_record", "__batch", "__time", "__block", "__line")
 
 
 def read_rollups(spark: SparkSession, glob: str) -> DataFrame:
@@ -63,19 +66,33 @@ def read_history(spark: SparkSession, root: str, glob: str = "*.history.ndjson")
     return rows.filter("fetchedAt IS NOT NULL").select(path.alias("path"), "ord", F.col("fetchedAt").alias("fetched_at"), "sha256", "content", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
+#: The sections of a snapshot that say something of collections, by what they say.
+_COLLECTIONS = {"high_water_mark": "highWaterMarks", "complete": "completedCollections", "settled": "settledCollections"}
+
+
 def read_ledger(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, collections) of shard snapshots, each one JSON document."""
-    schema = f"entries map<string,struct<{', '.join(f.strip().replace(' ', ':', 1) for f in ENTRY.split(', '))}>>, watermarks map<string,timestamp>, completed map<string,boolean>, settled map<string,boolean>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(glob)
-    entries = docs.select(F.explode("entries").alias("path", "e")).select(
+    """(entries, collections) of shard snapshots, each one JSON document.
+
+    An indented document is read by splits, entry by entry, in one pass; one
+    without indentation is a line, which a task parses whole. What isn't JSON is left out.
+    """
+    entry = ", ".join(f.strip().replace(" ", ":", 1) for f in ENTRY.split(", "))
+    held, documents = snapshots.members(spark, glob)
+    alone = F.concat(F.lit("{"), F.regexp_replace("text", r",\s*\z", ""), F.lit("}"))
+    maps = F.from_json("text", f"entries map<string,struct<{entry}>>, " + ", ".join(f"{c} map<string,string>" for c in _COLLECTIONS.values()))
+    whole = documents.select(maps.alias("d"))
+    rows = held.filter("section = 'entries'").select(F.explode(F.from_json(alone, f"map<string,struct<{entry}>>")).alias("path", "e")).unionByName(whole.select(F.explode("d.entries").alias("path", "e")))
+    entries = rows.filter("e IS NOT NULL").select(
         shard_key(F.col("path")).alias("shard"), "path", "e.status", F.col("e.firstSeen").alias("first_seen"), F.col("e.fetchedAt").alias("fetched_at"), F.col("e.updatedAt").alias("updated_at"),
         F.col("e.lastErrorAt").alias("last_error_at"), F.col("e.lastError").alias("last_error"), "e.signature", "e.attempts", "e.transient", F.col("e.derivedChildren").alias("derived_children"),
     )
-    prefixes = F.explode(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), F.array().cast("array<string>")) for c in ("watermarks", "completed", "settled")]))).alias("prefix")
-    at = lambda c: F.try_element_at(c, F.col("prefix"))
-    rows = docs.select("watermarks", "completed", "settled", prefixes)
-    collections = rows.select(shard_key(F.col("prefix")).alias("shard"), "prefix", F.coalesce(at(F.col("completed")), F.lit(False)).alias("complete"), F.coalesce(at(F.col("settled")), F.lit(False)).alias("settled"), at(F.col("watermarks")).alias("high_water_mark"))
-    return entries, collections
+    told = held.filter(F.col("section").isin(*_COLLECTIONS.values())).select("section", F.explode(F.from_json(alone, "map<string,string>")).alias("prefix", "value"))
+    for c in _COLLECTIONS.values():
+        told = told.unionByName(whole.select(F.lit(c).alias("section"), F.explode(f"d.{c}").alias("prefix", "value")))
+    value = lambda c: F.max(F.when(F.col("section") == _COLLECTIONS[c], F.col("value")))
+    flag = lambda c: F.coalesce(value(c) == "true", F.lit(False)).alias(c)
+    collections = told.groupBy("prefix").agg(flag("complete"), flag("settled"), F.try_to_timestamp(value("high_water_mark")).alias("high_water_mark"))
+    return entries, collections.select(shard_key(F.col("prefix")).alias("shard"), "prefix", "complete", "settled", "high_water_mark")
 
 
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:

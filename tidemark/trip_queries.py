@@ -56,11 +56,11 @@ def src02_read_rollups(spark, d):
 
 @query(f"SELECT path, content FROM ({OBJECTS})")
 def snk02_append_rollup(spark, d):
-    """Two appends to one roll-up."""
+    """Two appends to one roll-up, the first of which is tried twice."""
     where = fresh_path(spark, "rollup")
     rows = objects(spark, d).select("doc_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.col("content").cast("binary").alias("content"))
-    for half in (0, 1):
-        writers.append_rollup(rows.filter(F.col("doc_id") % 2 == half), where)
+    for half in (0, 1, 0):
+        writers.append_rollup(rows.filter(F.col("doc_id") % 2 == half), where, half)
     return readers.read_rollups(spark, where).select("path", "content")
 
 
@@ -88,11 +88,13 @@ def src04_read_history(spark, d):
 
 @query("SELECT 'projects/p/workspaces/w' || user_id AS shard, 'projects/p/workspaces/w' || user_id || '/' || event_id AS path, event_type AS status, sha256(props) AS hash, event_id AS size FROM events")
 def src05_read_ledger(spark, d):
-    """One snapshot document per shard."""
+    """One snapshot document per shard, indented or not."""
     folder = F.concat(F.lit("projects/p/workspaces/w"), "user_id")
     entry = F.struct(F.col("event_type").alias("status"), F.struct(F.sha2(F.col("props").cast("binary"), 256).alias("hash"), F.col("event_id").alias("size")).alias("signature"), F.lit(1).alias("attempts"))
     docs = t(spark, d, "events").groupBy(folder.alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(folder, F.lit("/"), "event_id").alias("path"), entry.alias("e")))).alias("entries"))
-    files = docs.select(F.concat("shard", F.lit("/.ledger/snapshot.json")).alias("path"), F.to_json(F.struct("entries", F.create_map(F.lit("runs"), F.lit(True)).alias("completed"))).alias("content"))
+    doc = F.struct("entries", F.create_map(F.lit("runs"), F.lit(True)).alias("completedCollections"))
+    text = F.when(F.length("shard") % 2 == 0, F.to_json(doc)).otherwise(F.to_json(doc, {"pretty": "true"}))
+    files = docs.select(F.concat("shard", F.lit("/.ledger/snapshot.json")).alias("path"), text.alias("content"))
     entries, _ = readers.read_ledger(spark, _files(spark, files, "ledger") + "/projects/p/workspaces/*/.ledger/*.json")
     return entries.select("shard", "path", "status", F.col("signature.hash").alias("hash"), F.col("signature.size").alias("size"))
 
@@ -112,8 +114,8 @@ def snk01_write_generation(spark, d):
     """The index of a generation, joined with the bytes it was written with."""
     docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").cast("binary").alias("content"))
     where = writers.write_generation(docs, fresh_path(spark, "generation"), "logs", 1)
-    written = spark.read.parquet(where).select("name", F.octet_length("content").cast("long").alias("size"))
-    return spark.read.parquet(f"{where}.index").select("name", "sha256").join(written, "name")
+    members, index = writers.read_generation(spark, where)
+    return index.select("name", "sha256").join(members.select("name", F.octet_length("content").cast("long").alias("size")), "name")
 
 
 @query(f"SELECT path, org, 'loose' AS form, size, doc_id % 2 = 0 AS offloaded FROM ({OBJECTS})")
