@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import content
 from tidemark.operators import audit, gates, history, ledger, listing, reconcile, refs, scan, sealing, walk
 from tidemark.plans import reports
 from tidemark.sources import readers, snapshots, writers
@@ -193,6 +194,30 @@ def test_a_sync_meets_its_tables_in_one_exchange(spark, rows):
     assert plan._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(path") == 0
 
 
+def test_revisions_keep_the_names_a_retry_waits_for(rows):
+    day = lambda n: dt.datetime(2024, 1, n)
+    led = rows(
+        [("p/a.rego", "done", day(2), day(9)), ("p/b.rego", "done", None, day(2)), ("p/c.rego", "errored", day(2), None), ("p/d.rego", "done", day(8), day(2)), ("p/d.20240105T000000Z.rego", "errored", None, None), ("p/e.rego", "done", day(8), None), ("p/e.20240105T000000Z.rego", "done", None, None), ("p/f.rego", "done", day(1), None)],
+        "path string, status string, updated_at timestamp, fetched_at timestamp",
+    )
+    listed = rows([(f"p/{x}.rego", day(5)) for x in "abcdeg"] + [("p/f.rego", None)], "path string, updated_at timestamp")
+    stamped = "p/{}.20240105T000000Z.rego".format
+    want = {"a": stamped("a"), "b": stamped("b"), "c": "p/c.rego", "d": stamped("d"), "e": "p/e.rego", "f": "p/f.rego", "g": "p/g.rego"}
+    assert dict(got(ledger.revision_key(listed, led), "path", "key")) == {f"p/{k}.rego": v for k, v in want.items()}
+    errored = [stamped("a"), "p/a.20240104T235959Z.rego", "p/a.rego", "p/a.json", "p/a.20241399T000000Z.rego", "p/b.20240101T000000Z.rego", "p/z.20240101T000000Z.rego"]
+    table = rows([(p, "errored") for p in errored] + [("p/a.20240101T000000Z.rego", "done")], "path string, status string")
+    gone = ledger.superseded_revisions(table, rows([("p/a.rego", day(5)), ("p/b.rego", None)], "path string, updated_at timestamp"))
+    assert gone.filter("status = 'absent'").select("path").collect() == [("p/a.20240104T235959Z.rego",)] and gone.count() == 8
+
+
+def test_versions_beyond_64_bits(rows):
+    big = "9" * 25
+    versions = ["1.2.3", f"1.{big}.0", f"{big}.0.0", "1.2.3.4", "1.2", "1.2.0", f"1.2.3-{big}", "1.2.3-5", "1.2.3-a", "0", "v2", "x"]
+    t = rows([(v,) for v in versions], "v string")
+    parsed = [r.v for r in t.filter(content.semver_key(F.col("v")).isNotNull()).orderBy(content.semver_key(F.col("v")), "v").collect()]
+    assert parsed == ["0", "1.2", "1.2.0", "1.2.3-5", f"1.2.3-{big}", "1.2.3-a", "1.2.3", "1.2.3.4", "v2"]
+
+
 def test_sync_ladder(rows):
     b = "projects/p/workspaces/w/bundles/"
     tarball = "config-versions/{}.tar.gz".format

@@ -125,15 +125,21 @@ def display_form(form: Column, offloaded: Column) -> Column:
 def semver_key(version: Column) -> Column:
     """STRUCT that sorts by semantic-version precedence, or null if unparseable: numbers, then release over prerelease, then identifiers.
 
-    Numeric identifiers sort as numbers and before others; build metadata doesn't count.
+    A version has any number of numbers, and zeros at the end don't count; one
+    beyond 64 bits makes it unparseable. Numeric identifiers sort as numbers and
+    before others, those beyond 64 bits as words; build metadata doesn't count.
     """
-    m = r"\Av?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\z"
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(version, m, i), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
-    pre = F.regexp_extract(version, m, 4)
+    m = r"\Av?(\d+(?:\.\d+)*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?\z"
+    numbers = F.transform(F.split(F.regexp_extract(version, m, 1), r"\."), lambda x: x.try_cast("long"))
+    # The last number that isn't 0 ends the array, so that 1.2 and 1.2.0 are one.
+    used = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    pre = F.regexp_extract(version, m, 2)
+    number = lambda x: F.when(x.rlike(r"\A\d+\z"), x.try_cast("bigint"))
     idents = F.when(pre == "", F.array().cast("array<struct<word:boolean,number:bigint,text:string>>")).otherwise(
-        F.transform(F.split(pre, r"\."), lambda x: F.struct((~x.rlike(r"\A\d+\z")).alias("word"), F.when(x.rlike(r"\A\d+\z"), x.try_cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("number"), F.when(x.rlike(r"\A\d+\z"), "").otherwise(x).alias("text")))
+        F.transform(F.split(pre, r"\."), lambda x: F.struct(number(x).isNull().alias("word"), F.coalesce(number(x), F.lit(0).cast("bigint")).alias("number"), F.when(number(x).isNull(), x).otherwise("").alias("text")))
     )
-    return F.when(version.rlike(m), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("release"), idents.alias("idents")))
+    whole = version.rlike(m) & ~F.exists(numbers, lambda x: x.isNull())
+    return F.when(whole, F.struct(F.slice(numbers, F.lit(1), used).alias("numbers"), (pre == "").alias("release"), idents.alias("idents")))
 
 
 def is_prerelease(version: Column) -> Column:

@@ -207,3 +207,25 @@ def policy_source_id(name: Column) -> Column:
     """The id of a policy source file without a revision stamp, or null."""
     own = F.regexp_replace(name, r"\.(?:sentinel|rego|tf|policy)$", "")
     return F.when(name.rlike(r"\.(?:sentinel|rego|tf|policy)\z") & ~own.rlike(r"\.[0-9]{8}T[0-9]{6}Z\z"), own)
+
+
+# How a revision's stamp is written.
+_STAMP = "yyyyMMdd'T'HHmmss"
+_STAMPED = r"\.([0-9]{8}T[0-9]{6})Z(\.[^./]*)\z"
+
+
+def revision_stamp(at: Column) -> Column:
+    """The stamp of a revision: its time to the second."""
+    return F.concat(F.date_format(at, _STAMP), F.lit("Z"))
+
+
+def revision_path(path: Column, at: Column) -> Column:
+    """Where a later revision of a source stands: `<id>.<stamp>Z.<ext>` beside `<id>.<ext>`; null if the time is unknown."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*\z", ""), F.lit("."), revision_stamp(at), F.regexp_extract(path, r"\.[^./]*\z", 0))
+
+
+def revision_of(path: Column) -> Column:
+    """STRUCT<path, stamp> of a stamped revision: the plain path and the stamp; null for any other path, as where the stamp is no time."""
+    bare = F.regexp_extract(path, _STAMPED, 1)
+    there = (bare != "") & F.try_to_timestamp(bare, F.lit(_STAMP)).isNotNull()
+    return F.when(there, F.struct(F.regexp_replace(path, _STAMPED, "$2").alias("path"), F.concat(bare, F.lit("Z")).alias("stamp")))

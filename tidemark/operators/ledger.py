@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import shard_key, under_prefix
+from tidemark.functions.paths import revision_of, revision_path, revision_stamp, shard_key, under_prefix
 from tidemark.functions.status import classify_error, status_gate, status_settled
 
 
@@ -195,16 +195,28 @@ def migrate_entries(ledger: DataFrame, policies: DataFrame | None = None) -> Dat
 
 
 def revision_key(listed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """path, key of listed (path, updated_at): stamped only if settled already and changed since it was recorded."""
-    old = ledger.select("path", F.col("status").alias("status"), F.coalesce("updated_at", "fetched_at").alias("seen"))
-    stale = status_settled(F.col("status")) & (F.col("updated_at") > F.col("seen"))
-    stamped = F.concat(F.col("path"), F.lit("@"), F.date_format("updated_at", "yyyyMMdd'T'HHmmss"))
-    return listed.join(old, "path", "left").select("path", F.when(F.coalesce(stale, F.lit(False)), stamped).otherwise(F.col("path")).alias("key"))
+    """path, key of listed (path, updated_at): where the listed revision is captured, at the plain path or at revision_path.
+
+    Plain while that isn't settled, or the listed time is unknown; stamped where
+    that very name still has to be fetched, or the listed time is later than the
+    plain entry's updated_at (fetched_at where that is unknown).
+    """
+    old = ledger.select("path", "status", F.coalesce("updated_at", "fetched_at").alias("seen"))
+    again = ledger.filter(~status_settled(F.col("status")) & revision_of(F.col("path")).isNotNull()).select(F.col("path").alias("stamped"), F.lit(True).alias("again")).distinct()
+    rows = listed.select("path", "updated_at", revision_path(F.col("path"), F.col("updated_at")).alias("stamped"))
+    rows = rows.join(old, "path", "left").join(again, "stamped", "left")
+    stamped = status_settled(F.col("status")) & F.col("updated_at").isNotNull() & (F.coalesce("again", F.lit(False)) | (F.col("updated_at") > F.col("seen")))
+    return rows.select("path", F.when(F.coalesce(stamped, F.lit(False)), F.col("stamped")).otherwise(F.col("path")).alias("key"))
 
 
 def superseded_revisions(ledger: DataFrame, active: DataFrame) -> DataFrame:
-    """Errored revisions `path@stamp` before the active stamp of (path, stamp) become absent; all else stays."""
-    base, stamp = F.substring_index("path", "@", 1), F.when(F.contains(F.col("path"), F.lit("@")), F.substring_index("path", "@", -1))
-    rows = ledger.withColumn("base", base).withColumn("own", stamp).join(active.select(F.col("path").alias("base"), F.col("stamp").alias("current")), "base", "left")
-    gone = (F.col("status") == "errored") & (F.col("own") < F.col("current"))
-    return rows.withColumn("status", F.when(F.coalesce(gone, F.lit(False)), "absent").otherwise(F.col("status"))).select(ledger.columns)
+    """Errored revisions of sources whose stamp is before the current one's, of active (path, updated_at: plain path and time), become absent; all else stays.
+
+    What isn't stamped is never touched, nor is anything of a source whose time is unknown.
+    """
+    current = active.filter("updated_at IS NOT NULL").groupBy(F.col("path").alias("base")).agg(F.max(revision_stamp(F.col("updated_at"))).alias("current"))
+    # Only the few errored revisions meet the sources.
+    marked = ledger.withColumn("revision", F.when(F.col("status") == "errored", revision_of(F.col("path"))))
+    met = marked.filter("revision IS NOT NULL").withColumn("base", F.col("revision.path")).join(current, "base", "left")
+    settled = met.withColumn("status", F.when(F.col("revision.stamp") < F.col("current"), "absent").otherwise(F.col("status")))
+    return marked.filter("revision IS NULL").select(ledger.columns).unionByName(settled.select(ledger.columns))

@@ -376,11 +376,23 @@ def cdc08_compact(spark, d):
     return ledger.compact(before, rows.filter(~old).drop("at")).select("path", "status")
 
 
-@query(f"SELECT path, CASE WHEN doc_id % 3 = 0 AND status = 'done' THEN path || '@20240201T000000' ELSE path END AS key FROM ({ENTRIES})")
+_SOURCE = "'policies/pol-' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.sentinel' ELSE '.rego' END"
+_REVISION = "'policies/pol-' || doc_id || '.20240201T000000Z' || CASE doc_id % 2 WHEN 0 THEN '.sentinel' ELSE '.rego' END"
+
+
+@query(f"""SELECT path, CASE WHEN NOT settled OR updated IS NULL THEN path WHEN errored_again OR updated > seen THEN revision ELSE path END AS key FROM (SELECT {_SOURCE} AS path, {_REVISION} AS revision,
+  doc_id % 3 <> 0 AS settled, CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-02-01' END AS updated, doc_id % 5 = 0 AS errored_again,
+  CASE doc_id % 4 WHEN 0 THEN TIMESTAMP '2024-01-15' WHEN 1 THEN TIMESTAMP '2024-03-01' WHEN 2 THEN TIMESTAMP '2024-02-01' END AS seen FROM documents)""")
 def cdc10_revision_key(spark, d):
-    e, at = entries(spark, d), lambda s: F.lit(s).cast("timestamp_ntz")
-    led = e.select("path", "status", at("2024-01-15").alias("updated_at"), at("2024-01-15").alias("fetched_at"))
-    return ledger.revision_key(e.select("path", F.when(F.col("doc_id") % 3 == 0, at("2024-02-01")).otherwise(at("2024-01-01")).alias("updated_at")), led)
+    """Sources that are settled or not, listed as newer, older or of unknown time, some with a revision that failed."""
+    i, at = F.col("doc_id"), lambda s: F.lit(s).cast("timestamp_ntz")
+    docs = t(spark, d, "documents").select("doc_id", F.expr(_SOURCE).alias("path"), F.expr(_REVISION).alias("revision"))
+    # Of four, one knows no time of the source but that of its fetch, and one knows neither.
+    updated = F.when(i % 4 == 0, at("2024-01-15")).when(i % 4 == 1, at("2024-03-01"))
+    fetched = F.when(i % 4 == 2, at("2024-02-01")).when(i % 4 == 0, at("2024-03-01"))
+    led = docs.select("path", F.when(i % 3 == 0, "errored").otherwise("done").alias("status"), updated.alias("updated_at"), fetched.alias("fetched_at"))
+    failed = docs.select(F.col("revision").alias("path"), F.when(i % 5 == 0, "errored").otherwise("done").alias("status"), at(None).alias("updated_at"), at(None).alias("fetched_at"))
+    return ledger.revision_key(docs.select("path", F.when(i % 11 != 0, at("2024-02-01")).alias("updated_at")), led.unionByName(failed))
 
 
 @query(f"SELECT status, count(*) AS n FROM ({ENTRIES}) GROUP BY status")
@@ -613,11 +625,17 @@ def cdc06_fold_gates(spark, d):
     return gates.fold_gates(rows).select("path", "status")
 
 
-@query("SELECT 'p' || user_id || '@' || strftime(ts, '%Y%m%dT%H%M%S') AS path, event_id, CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-10' THEN 'absent' WHEN event_type = 'error' THEN 'errored' ELSE 'done' END AS status FROM events")
+_REVISIONS = "'policies/pol-' || user_id || CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '.99999999T999999Z' WHEN 2 THEN '.json' ELSE '.{stamp}Z' END || '.rego'"
+
+
+@query(f"""SELECT {_REVISIONS.format(stamp="' || strftime(ts, '%Y%m%dT%H%M%S') || '")} AS path, event_id, CASE WHEN event_type = 'error' AND event_id % 7 > 2 AND user_id % 4 <> 0 AND ts < TIMESTAMP '2024-01-10' THEN 'absent'
+  WHEN event_type = 'error' THEN 'errored' ELSE 'done' END AS status FROM events""")
 def cdc11_superseded_revisions(spark, d):
-    base = F.concat(F.lit("p"), F.col("user_id"))
-    e = t(spark, d, "events").select(F.concat(base, F.lit("@"), F.date_format("ts", "yyyyMMdd'T'HHmmss")).alias("path"), "event_id", F.when(F.col("event_type") == "error", "errored").otherwise("done").alias("status"))
-    return ledger.superseded_revisions(e, t(spark, d, "events").select(base.alias("path"), F.lit("20240110T000000").alias("stamp")).distinct())
+    """Revisions of every user's source, and names that only look like them; one source in four has no known time."""
+    path = F.expr(_REVISIONS.format(stamp="' || date_format(ts, \"yyyyMMdd'T'HHmmss\") || '"))
+    e = t(spark, d, "events").select(path.alias("path"), "event_id", F.when(F.col("event_type") == "error", "errored").otherwise("done").alias("status"))
+    at = F.when(F.col("user_id") % 4 != 0, F.lit("2024-01-10").cast("timestamp_ntz"))
+    return ledger.superseded_revisions(e, t(spark, d, "events").select(F.concat(F.lit("policies/pol-"), "user_id", F.lit(".rego")).alias("path"), at.alias("updated_at")).distinct())
 
 
 @query(f"""SELECT path, arg_max(status, seq) AS status, count(*) AS attempts FROM (SELECT * FROM ({OUTCOMES}) WHERE seq < 4000 OR path NOT IN (SELECT path FROM ({OUTCOMES}) WHERE seq < 4000 AND status IN ('done', 'absent') AND CAST(split_part(path, '/', 2) AS BIGINT) % 2 = 0)) GROUP BY path""")
