@@ -17,9 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
+
 from .common import id_and_text, if_small, written
 
 Q = 8
@@ -27,8 +29,8 @@ Q = 8
 SEGMENT, STRIDE = 80, 20
 #: Edits allowed per character of a segment.
 EDIT_RATE = 0.08
-#: Characters of benchmark text handled in one pass over the documents: the size bound of what is broadcast.
-BLOCK_CHARS = 1 << 20
+#: Segments handled in one pass over the documents, which bounds what is collected and broadcast: about a mebichar of benchmark text.
+BLOCK_SEGMENTS = 50_000
 #: Meetings of a text's q-grams with the block's that are held at once; a text that has more is looked at in parts.
 MEETINGS = 1 << 20
 MATCH = "doc_id long, item_id long, start long, end long, edits long"
@@ -37,9 +39,9 @@ _BITS = 21
 
 @lru_cache(maxsize=1)
 def _tables() -> np.ndarray:
-    """For each code point of the basic plane: its lower case if a letter or digit, else a space."""
-    table = np.full(0x10000, 32, np.uint32)
-    for i in range(0x10000):
+    """For each code point: its lower case if a letter or digit, else a space."""
+    table = np.full(0x110000, 32, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
         if c.isalnum():
             low = c.lower()
@@ -50,7 +52,7 @@ def _tables() -> np.ndarray:
 def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points compared, and where each stands in the text."""
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    points = np.where(raw < 0x10000, _tables()[np.minimum(raw, 0xFFFF)], raw)
+    points = _tables()[raw]
     space = points == 32
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -95,32 +97,34 @@ def banded_alignment(segment: np.ndarray, text: np.ndarray, low: int, high: int,
     return cost[d], begin[d], m + low + d
 
 
+def segments(text: str, q: int = Q) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, code points) of the overlapping segments of an item's compared text; the last ends with it."""
+    points, _ = normalize(text)
+    points = points[(points != 32).argmax() :] if len(points) and (points != 32).any() else points[:0]
+    points = points[:-1] if len(points) and points[-1] == 32 else points
+    if len(points) >= q:
+        for s in dict.fromkeys([*range(0, max(1, len(points) - SEGMENT), STRIDE), max(0, len(points) - SEGMENT)]):
+            yield s, points[s : s + SEGMENT]
+
+
 class SegmentIndex:
-    """q-grams of a block of benchmark segments."""
+    """q-grams of benchmark segments, given as (item, code points)."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, held: list[tuple[int, np.ndarray]], q: int, rate: float):
         self.q, keys, owner, offset = q, [], [], []
         self.item, self.segments, self.budget, self.least = [], [], [], []
-        for item, text in items:
-            points, _ = normalize(text or "")
-            points = points[(points != 32).argmax() :] if len(points) and (points != 32).any() else points[:0]
-            points = points[:-1] if len(points) and points[-1] == 32 else points
-            if len(points) < q:
-                continue
-            starts = [*range(0, max(1, len(points) - SEGMENT), STRIDE), max(0, len(points) - SEGMENT)]
-            for s in dict.fromkeys(starts):
-                part = points[s : s + SEGMENT]
-                edits = int(rate * len(part))
-                while edits and len(part) - q + 1 - edits * q < 1:
-                    edits -= 1
-                g = grams(part, q)
-                keys.append(g)
-                owner.append(np.full(len(g), len(self.segments)))
-                offset.append(np.arange(len(g)))
-                self.item.append(item)
-                self.segments.append(part)
-                self.budget.append(edits)
-                self.least.append(len(part) - q + 1 - edits * q)
+        for item, part in held:
+            edits = int(rate * len(part))
+            while edits and len(part) - q + 1 - edits * q < 1:
+                edits -= 1
+            g = grams(part, q)
+            keys.append(g)
+            owner.append(np.full(len(g), len(self.segments)))
+            offset.append(np.arange(len(g)))
+            self.item.append(item)
+            self.segments.append(part)
+            self.budget.append(edits)
+            self.least.append(len(part) - q + 1 - edits * q)
         none = np.empty(0, np.int64)
         keys = np.concatenate([np.empty(0, np.uint64), *keys])
         order = np.argsort(keys, kind="stable")
@@ -190,30 +194,64 @@ class SegmentIndex:
         return found
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _cut(benchmark: DataFrame, q: int) -> DataFrame:
+    """item_id, place, points of every segment; points as text of the compared code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(place, part.astype("<u4").tobytes().decode("utf-32-le")) for place, part in segments(text or "", q)]
+                if rows:
+                    places, texts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], ["item_id", "place", "points"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "item_id long, place long, points string")
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
     """doc_id, item_id, start, end, edits: every region of a document that holds a segment of a benchmark item.
 
     start and end are code points of the whole text; edits are those of the
     region's worst segment. An item shorter than a segment is one segment; one
     with fewer than q letters, digits and spaces can't be told apart and is
-    never found. A null text holds nothing; repeated rows give repeated
-    regions; null ids are kept; other columns are left out; empty tables give
-    no rows. The benchmark is handled in blocks of at most `block_chars`
-    characters, each broadcast against all documents; no shuffle.
+    never found. A null text holds nothing; repeated rows of documents give
+    repeated regions; rows that repeat an item_id are one item of all their
+    texts; null ids are kept; other columns are left out; empty tables give no rows.
+
+    The benchmark's segments are a query set that is held against all documents
+    in blocks of `block_segments`, one after the other: each block is one pass
+    without a shuffle, and its index leaves memory before the next is made. With
+    more than one block, regions of an item are merged over blocks, and repeated
+    rows of documents give one region.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * chars // block_chars)) if chars > block_chars else 1
-    out = None
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = _against(docs, [(r.item_id, r.text) for r in block.orderBy("item_id").toLocalIterator()], q, rate)
-        out = found if out is None else out.unionByName(found)
-    return out
+    cut = written(_cut(benchmark, q), "segments")
+    total = cut.count()
+    if total <= block_segments:
+        return _against(docs, cut.orderBy("item_id", "place"), q, rate)[0]
+    numbered = written(scan.positions(cut, [], [F.asc("item_id"), F.asc("place"), F.asc("points")], "number"), "numbered")
+    found = None
+    for first in range(0, total, block_segments):
+        block = numbered.filter((F.col("number") >= first) & (F.col("number") < first + block_segments)).orderBy("number")
+        rows, shared = _against(docs, block, q, rate)
+        rows = written(rows, "matches")
+        shared.destroy()
+        found = rows if found is None else found.unionByName(rows)
+    return _merged(found)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """MATCH rows of which those of one document and item that meet are one."""
+    along = Window.partitionBy("doc_id", "item_id").orderBy("start", "end")
+    begins = F.coalesce(F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    regions = found.withColumn("begins", begins.cast("int")).withColumn("region", F.sum("begins").over(along))
+    return regions.groupBy("doc_id", "item_id", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("edits").alias("edits")).drop("region")
 
 
-def _against(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(SegmentIndex(items, q, rate))
+def _against(docs: DataFrame, block: DataFrame, q: int, rate: float):
+    """(MATCH rows of all documents, the broadcast index) for a block of segments, a bounded number of rows."""
+    held = [(r.item_id, np.frombuffer(r.points.encode("utf-32-le"), "<u4")) for r in block.toLocalIterator()]
+    shared = docs.sparkSession.sparkContext.broadcast(SegmentIndex(held, q, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -222,14 +260,17 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], q: int, rate: float)
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in MATCH.split(", ")])
 
-    return id_and_text(docs).mapInArrow(run, MATCH)
+    return id_and_text(docs).mapInArrow(run, MATCH), shared
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with their own columns.
 
-    Documents without doc_id or text stay, as do all rows of a doc_id in none
-    of which an item is found; an empty table stays empty.
+    A row is judged by its own text: rows that share a doc_id with a row that
+    goes may stay, and rows without doc_id may go. Rows without text stay; an
+    empty table stays empty. Rows are told apart by a 64-bit hash of id and text.
     """
-    found = written(benchmark_matches(docs, benchmark).select("doc_id").distinct(), "found")
-    return docs.join(if_small(found), "doc_id", "left_anti").select(docs.columns)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = written(benchmark_matches(docs.select(key.alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "found")
+    told = if_small(found.select(F.col("doc_id").alias("__found")))
+    return docs.join(told, key == F.col("__found"), "left_anti").select(docs.columns)
