@@ -137,9 +137,9 @@ def test_near_duplicates_equal_brute_force(rows):
             texts.append(" ".join(w))
     texts += [" ".join(common + prose(200 + i, 40)) for i in range(12)] + ["", None, "  ", "one", "ONE", "one two", "one two"]
     docs = [(i, t) for i, t in enumerate(texts)]
-    for k, percent in ((3, 85), (5, 80)):
+    for k, percent, spread in ((3, 85, 2), (5, 80, op06_minhash_dedup.SPREAD)):
         sets = sets_of(docs, k)
-        out = {r.doc_id: r for r in op06_minhash_dedup.near_duplicates(rows(docs, "doc_id bigint, text string").withColumn("bands", F.lit(1)), k, percent).collect()}
+        out = {r.doc_id: r for r in op06_minhash_dedup.near_duplicates(rows(docs, "doc_id bigint, text string").withColumn("bands", F.lit(1)), k, percent, spread).collect()}
         assert {i: r.component_id for i, r in out.items()} == brute_components(sets, percent)
         assert {i: r.n_shingles for i, r in out.items()} == {i: len(s) for i, s in sets.items()}
         assert all(r.kept == (r.doc_id == r.component_id) for r in out.values())

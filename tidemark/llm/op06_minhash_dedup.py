@@ -115,14 +115,35 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Rows of one node that meet one copy of its set; a node with more (a centre) has its set copied.
+SPREAD = 500
+
+
+def with_sets(rows: DataFrame, counted: DataFrame, sets: DataFrame, node: str, name: str, spread: int) -> DataFrame:
+    """`rows` with the set of `node` as `name`: rows of a hot node are dealt to as many tasks as there are copies of its set, one for each `spread` rows.
+
+    counted: the same rows as they are written, to find hot nodes in.
+    """
+    each = counted.groupBy(node).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > spread)
+    hot = written(each.select(node, F.ceil(F.col("rows") / spread).cast("int").alias("copies")), "hot")
+    n = hot.count()
+    held = sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+    if not n:
+        return rows.join(held, node)
+    hot = if_small(hot, n)
+    salt = F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c in rows.columns if c in ("a", "b", "node", "centre")]), F.col("copies"))).cast("int")
+    dealt = rows.join(hot, node, "left").withColumn("salt", salt).drop("copies")
+    copied = held.join(hot, node, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("copies") - 1, F.lit(0))))).drop("copies")
+    return dealt.join(copied, [node, "salt"]).drop("salt")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """a, b, na, nb, common for pairs (a, b): the sizes of both full sets and of what they share."""
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_sets(with_sets(pairs.select("a", "b"), pairs, sets, "a", "sa", spread), pairs, sets, "b", "sb", spread)
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased;
@@ -152,11 +173,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     seen = None
     while True:  # each round verifies pairs not seen before, of which there are only so many
-        found = written(verified(sets, pairs), "verified")
+        found = written(verified(sets, pairs, spread), "verified")
         seen = found if seen is None else written(seen.unionByName(found), "seen")
         links = seen.filter(_similar(F.col("common"), F.col("na"), F.col("nb"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
         reached = written(components(links), "components")
-        pairs = written(_unseen(sets, spokes, reached, seen, percent), "pairs")
+        pairs = written(_unseen(sets, spokes, reached, seen, percent, spread), "pairs")
         if pairs.isEmpty():
             break
     # Rows that repeat a doc_id with another text join their classes; a copy's link to its class changes nothing else.
@@ -170,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return full.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFrame, percent: int, spread: int) -> DataFrame:
     """Pairs around one centre that are in different components, may be links and haven't been verified."""
     q = percent / (100 + percent)
     placed = spokes.select("node", "centre").distinct().join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -184,7 +205,7 @@ def _unseen(sets: DataFrame, spokes: DataFrame, reached: DataFrame, seen: DataFr
     need = F.greatest(F.lit(1), F.ceil(F.when(short <= 0, q * adds + (1 - q) * lacks).otherwise(short / (1 - q)) - 1e-9))
     placed = placed.select("centre", "node", "component", "n", "n_centre", lacks.alias("lacks"), adds.alias("adds"), short.alias("short"), (lacks + adds - need + 1).cast("int").alias("most"))
     placed = written(placed.filter("most > 0"), "placed")
-    pairs = placed.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("of_centre")), "centre")
+    pairs = with_sets(placed.join(sets.select("node", "shingles"), "node"), placed, sets, "centre", "of_centre", spread)
     sides = [F.transform(F.array_except(x, y), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))) for kind, x, y in ((0, "of_centre", "shingles"), (1, "shingles", "of_centre"))]
     each = written(pairs.select("centre", "node", F.explode(F.concat(*sides)).alias("x")).select("centre", "node", "x.*"), "differences")
     held = each.groupBy("centre", "kind", "s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
