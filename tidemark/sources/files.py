@@ -26,3 +26,10 @@ def remove(spark: SparkSession, path: str) -> bool:
     """Remove a file or a folder with all it holds; whether there was one."""
     fs, where = _at(spark, path)
     return fs.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, name: str) -> None:
+    """Give a file another name in its folder."""
+    fs, where = _at(spark, path)
+    if not fs.rename(where, _at(spark, f"{path.rpartition('/')[0]}/{name}")[1]):
+        raise OSError(f"{path} can't be renamed to {name}")
