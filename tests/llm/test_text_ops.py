@@ -7,6 +7,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -407,8 +408,17 @@ def test_warc_records(spark, rows, tmp_path):
         assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(r.block.encode()).digest()).decode() and r.content_length == len(r.block.encode())
     assert len({r.record_id for r in [*out.values(), *source.values()]}) == 9
     op07_warc.write_warc(sources.unionByName(op07_warc.derivatives(sources)), str(tmp_path / "w"))
-    read = {r.record_id: r for r in op07_warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert {i: r.block for i, r in read.items()} == {r.record_id: r.block for r in [*out.values(), *source.values()]}
+    read = op07_warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(map(tuple, read), key=str) == sorted(map(tuple, [*out.values(), *source.values()]), key=str)
+    # Standard files: nothing but members, each one whole record.
+    for f in (tmp_path / "w").glob("*.warc.gz"):
+        data = f.read_bytes()
+        while data:
+            stream = zlib.decompressobj(31)
+            record = stream.decompress(data)
+            assert stream.eof and record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            data = stream.unused_data
+    assert list((tmp_path / "w").glob("*.warc.gz")) and not list((tmp_path / "w").glob("*.txt"))
     assert op07_warc.derivatives(op07_warc.responses(pages.limit(0))).count() == 0
 
 
@@ -493,19 +503,34 @@ def test_warc_reading_survives_damage(spark, rows, tmp_path):
     records = op07_warc.responses(pages)
     assert op07_warc.derivatives(records).count() == 8
     whole = [bytes(r.record, "utf-8") for r in op07_warc.serialized(records).collect()]
-    assert [r[0] for r in op07_warc.parsed(b"".join(whole))] == ["response"] * 4
+    assert [r[1] for r in op07_warc.parsed([b"".join(whole)])] == ["response"] * 4
     broken = [whole[0].replace(b"Content-Length: ", b"Content-Length: x", 1), whole[1], whole[0].replace(b"WARC-Type", b"WARC-Tape"), b"WARC/1.1\r\nno colon here\r\n\r\n", whole[2], whole[0][:-30]]
-    assert [r[6] for r in op07_warc.parsed(b"junk" + b"".join(broken))] == [r[6] for r in op07_warc.parsed(whole[1] + whole[2])]
+    bad = b"junk" + b"".join(broken)
+    for size in (len(bad), 7, 1000):
+        assert list(op07_warc.parsed(bad[i : i + size] for i in range(0, len(bad), size))) == list(op07_warc.parsed([whole[1] + whole[2]]))
     members = b"".join(gzip.compress(w) for w in whole)
     assert len(list(op07_warc.parsed(op07_warc.inflated(members)))) == 4
     torn = op07_warc.inflated(members[: len(members) - 40])
     assert len(list(op07_warc.parsed(torn))) == 3
+    large = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 17000000\r\n\r\n" + b"x" * 17_000_000 + b"\r\n\r\n"
+    assert [r[7] for r in op07_warc.parsed(op07_warc.inflated(op07_warc.member(large) + b"\0" + op07_warc.member(whole[0]) + b"\0"))] == [17_000_000, len(whole[0].split(b"\r\n\r\n", 1)[1]) - 4]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.warc.gz").write_bytes(members)
     (tmp_path / "in/b.warc").write_bytes(b"".join(broken))
     assert op07_warc.read_warc(spark, str(tmp_path / "in")).count() == 6
 
 
+def test_damaged_pages_take_linear_time():
+    for piece in ("<a ", "<meta ", "<html ", "<title ", "<p ", "<script ", "<a href=", "<a '", '<a "', "<!--", "</script ", "<a href=\"x\" ", "<", "&", "<title>"):
+        began = time.process_time()
+        for html in (piece * (400_000 // len(piece)), "<p>" + piece * (200_000 // len(piece)) + "</p>"):
+            seen = op07_warc.shown(html)
+            op07_warc.told(html), op07_warc.outlinks(seen), op07_warc.plain_text(seen)
+        assert time.process_time() - began < 3, piece
+    page = "<HTML class=x Lang='de-AT'><meta content=\"text/html; charset=utf-8\"><title lang=en>a<b</title><a class='>' href=/1>x</a><a\nHREF = '/2'><a name=x><A href=\"/3?a<b\">"
+    assert op07_warc.told(page) == [("title", "a<b"), ("language", "de-AT"), ("charset", "utf-8")] and op07_warc.outlinks(op07_warc.shown(page)) == ["/1", "/2", "/3?a<b"]
+
+
 def test_chat_keeps_repeated_rows_and_long_texts(rows):
     long = "<|im_end|> word " * 40_000
     turns = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, 1, "assistant", long), (2, 0, "assistant", "<\\|a <|b")]

@@ -125,8 +125,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page's response record."""
-    return op07_warc.derivatives(op07_warc.responses(table(spark, sf_dir, "pages")))
+    """Metadata and conversion records of every page's response record, as written to files and read from them."""
+    path = fresh_path(spark, "warc")
+    op07_warc.write_warc(op07_warc.responses(table(spark, sf_dir, "pages")), path)
+    return op07_warc.derivatives(op07_warc.read_warc(spark, path))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
