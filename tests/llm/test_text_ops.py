@@ -453,7 +453,7 @@ def test_licences_on_held_out_notices(rows):
 def test_registered_names():
     from tidemark.llm import queries
 
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert {int(m[1]) for n in queries.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
     assert json.dumps(sorted(queries.queries()))
 
 

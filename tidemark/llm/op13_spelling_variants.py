@@ -117,16 +117,16 @@ def _signatures(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(points)) - np.repeat(starts, lengths)
     powers = odd_numbers(11, int(lengths.max()))
     front, back = (np.concatenate([[np.uint64(0)], np.cumsum(letter * powers[i])]) for i in (place, np.repeat(lengths, lengths) - 1 - place))
-    numbers = odd_numbers(12, 2 * PARTS + 8)
+    numbers = odd_numbers(12, PARTS + 3)
     columns, own = [], []
     for shorter in (0, 1):
         longer = lengths + shorter
         half = longer // 2
         sides = front[starts + half] - front[starts], back[ends] - back[ends - (longer - half)]
         for number, chosen in enumerate(combinations(range(PARTS), SAME)):
-            letters = sum((sums[p] * numbers[p] for p in chosen), np.uint64(number) * numbers[-1])
+            letters = sum((sums[p] * numbers[p] for p in chosen), mix(np.array([number], np.uint64)))
             for side, kept in enumerate(sides):
-                columns.append(mix(letters + kept * numbers[-2 - side] + longer.astype(np.uint64) * numbers[-4]))
+                columns.append(mix(letters + kept * numbers[PARTS + side] + longer.astype(np.uint64) * numbers[-1]))
                 own.append(not shorter)
     return np.stack(columns, axis=1).view(np.int64), np.array(own)
 
