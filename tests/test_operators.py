@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import content
 from tidemark.operators import audit, gates, history, ledger, listing, reconcile, refs, scan, sealing, walk
 from tidemark.plans import reports
-from tidemark.sources import readers, snapshots, writers
+from tidemark.sources import files, readers, scratch, snapshots, writers
 from tidemark.streaming import feeds
 
 
@@ -463,6 +463,13 @@ def test_a_batch_appended_again_adds_and_hides_nothing(spark, rows, tmp_path):
     assert rolled.count() == 3 and got(history.newest_per_path(rolled), "path", "sha256") == [("a", "2"), ("b", "1")]
 
 
+def test_scratch_folders_go_together(spark, rows):
+    kept = scratch.written(rows([(1,)], "x int"), "one")
+    where = scratch.fresh_path(spark, "two").rpartition("/")[0]
+    assert kept.count() == 1 and [n[:3] for n in files.names(spark, where)].count("one") >= 1
+    assert scratch.clear(spark) and not files.exists(spark, where) and not scratch.clear(spark)
+
+
 def test_seal_round_trip(spark, rows, tmp_path):
     plan = rows([("a", "s", "logs"), ("b", "s", "logs")], "path string, shard string, target string")
     assert got(sealing.seal_workspaces(plan, rows([("a", b"1"), ("b", b"2")], "path string, content binary"), str(tmp_path), 1), "path", "state") == [("a", "ok"), ("b", "ok")]
