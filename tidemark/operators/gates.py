@@ -96,4 +96,4 @@ def fold_gates(events: DataFrame) -> DataFrame:
     start = F.struct(F.lit(_NONE).alias("state"), F.lit(0).cast("long").alias("n"))
     step = lambda acc, m: F.struct(F.element_at(m["exits"], acc["state"] + 1).cast("int").alias("state"), (acc["n"] + F.element_at(m["counts"], acc["state"] + 1)).alias("n"))
     end = maps.select("path", F.aggregate("maps", start, step).alias("end")).filter(F.col("end.state") != _NONE)
-    return end.select("path", F.element_at(F.array(*map(F.lit, STATES)), F.col("end.state") + 1).alias("status"), F.col("end.n").alias("attempts"))
+    return end.select(F.col("path").cast(events.schema["path"].dataType).alias("path"), F.element_at(F.array(*map(F.lit, STATES)), F.col("end.state") + 1).alias("status"), F.col("end.n").alias("attempts"))
