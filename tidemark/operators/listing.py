@@ -34,7 +34,10 @@ def bundle_offloaded(members: DataFrame, local_files: DataFrame) -> DataFrame:
 def filter_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Rows whose `column` is in the short list names(name); an empty list admits all."""
     allowed = names.select(F.col("name").alias(column)).distinct()
-    return df if allowed.isEmpty() else df.join(allowed, column, "left_semi")
+    # Whether there is a name at all is one row of the plan.
+    some = F.broadcast(allowed.agg(F.count(F.lit(1)).alias("__names")))
+    rows = df.join(allowed.withColumn("__named", F.lit(True)), column, "left").crossJoin(some)
+    return rows.filter("__named OR __names = 0").select(df.columns)
 
 
 def unmatched_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
