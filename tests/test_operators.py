@@ -91,6 +91,11 @@ def test_history_equals_a_sequential_model(rows):
     assert got(out, "path", "fetched_at", "content") == sorted(((p, *v) for p, cs in data.items() for v in history_model(cs)), key=str)
 
 
+def test_history_leaves_out_what_is_no_version(spark, rows):
+    seen = rows([("a", 0, 0, b"x"), ("a", 1, 1, b""), ("a", 2, 2, None), ("a", 3, 3, b""), ("a", 4, 4, b"\xff"), ("a", 5, 5, None), ("a", 6, 6, b"y"), ("b", 0, 0, b""), ("b", 1, 1, b"z")], "path string, ord int, at int, content binary")
+    assert got(history.build_history(seen), "path", "fetched_at", "content", "deleted") == [("a", 0, bytearray(b"x"), False), ("a", 2, None, True), ("a", 6, bytearray(b"y"), False)]
+
+
 def test_as_of(rows):
     versions = rows([("a", 1, "x", False), ("a", 3, None, True), ("a", 5, "y", False), ("b", 4, "z", False)], "path string, since int, content string, deleted boolean")
     assert [got(history.history_as_of(versions, t), "path", "content") for t in (2, 3, 5)] == [[("a", "x")], [], [("a", "y"), ("b", "z")]]
@@ -432,6 +437,21 @@ def test_snapshots_are_read_by_splits(spark, tmp_path):
     assert {r.prefix: (r.complete, r.settled) for r in cols.collect()} == flags and cols.filter("high_water_mark IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("indent", [2, None])
+def test_runs_of_snapshots(spark, tmp_path, indent):
+    doc, _, _ = snapshot_document(random.Random(43), "s", 5)
+    doc = {"lastRunAt": "2024-01-03T00:00:00Z", **doc, "runCount": 7}
+    for folder, d in (("projects/p/workspaces/w", doc), ("config-versions", {"entries": {}, "version": 2})):
+        (tmp_path / folder / ".ledger").mkdir(parents=True)
+        (tmp_path / folder / ".ledger/snapshot.json").write_text(json.dumps(d, indent=indent, separators=None if indent else (",", ":")))
+    (tmp_path / ".ledger").mkdir()
+    (tmp_path / ".ledger/snapshot.json").write_text(json.dumps({"runCount": 2, "version": 2}, indent=indent, separators=None if indent else (",", ":")))
+    found = {r.shard: r for p in ("/.ledger/*.json", "/*/.ledger/*.json", "/*/*/*/*/.ledger/*.json") for r in readers.read_runs(spark, str(tmp_path) + p).collect()}
+    w = found["projects/p/workspaces/w"]
+    assert (w.run_count, w.last_run_at, w.started_at, w.finished_at, w.totals) == (7, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 1), None, {"done": 1})
+    assert found[""].run_count == 2 and found["config-versions"].run_count == 0 and found[""].last_run_at is None and len(found) == 3
+
+
 def test_a_generation_is_committed_by_its_index(spark, rows, tmp_path, monkeypatch):
     members = rows([("a", "1", b"x"), ("b", "2", b"y")], "name string, sha256 string, content binary")
     folder = str(tmp_path / "g")

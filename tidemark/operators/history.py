@@ -43,7 +43,8 @@ def build_history(observations: DataFrame) -> DataFrame:
     """path, fetched_at, content, deleted: the versions that were superseded and the disappearances.
 
     observations has path, ord, at, content; a null content means that the object was
-    absent. Runs of equal observations are islands; absences before the first content are
+    absent; an empty content, or one that isn't UTF-8, is no version worth keeping and is
+    left out. Runs of equal observations are islands; absences before the first content are
     ignored. An absent island is one tombstone, at its first time. A content island is one
     version: at its first time if it follows an absence, else at its last, and left out if
     it is the current one and follows no absence.
@@ -52,7 +53,8 @@ def build_history(observations: DataFrame) -> DataFrame:
     path: a part of one tells its first and last state, which its neighbours begin and end with.
     """
     by, row = ["path"], F.col(scan.ROW)
-    signed = observations.select("path", "ord", "at", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    worth = F.col("content").isNull() | (F.is_valid_utf8(F.col("content").cast("string")) & (F.octet_length("content") > 0))
+    signed = observations.filter(worth).select("path", "ord", "at", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
     rows = scan.cut(signed, by, [F.asc("ord")], "history")
     state = F.struct("sha")  # without a row it is null, in an absence only its field
     parts = rows.groupBy("path", scan.PART).agg(F.min_by(state, row).alias("first"), F.max_by(state, row).alias("last"), F.min(F.when(F.col("sha").isNotNull(), row)).alias("seen"))

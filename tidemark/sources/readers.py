@@ -95,6 +95,26 @@ def read_ledger(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     return entries, collections.select(shard_key(F.col("prefix")).alias("shard"), "prefix", "complete", "settled", "high_water_mark")
 
 
+def read_runs(spark: SparkSession, glob: str) -> DataFrame:
+    """shard, last_run_at, run_count and started_at, finished_at, totals, bytes_downloaded of the last run, of shard snapshots (see read_ledger); '' is the organisation's own.
+
+    A field that a snapshot lacks is null, but the number of runs is 0.
+    """
+    run = {"startedAt": "timestamp", "finishedAt": "timestamp", "totals": "map<string,bigint>", "bytesDownloaded": "bigint"}
+    own = "lastRunAt timestamp, runCount bigint"
+    schema = f"{own}, lastRun struct<{','.join(f'{k}:{v}' for k, v in run.items())}>"
+    pieces = snapshots.read_pieces(spark, glob)
+    # The last run is written before all entries, so no split but a document's first holds it.
+    held = pieces.filter("kind IN ('field', 'document') OR (kind = 'member' AND section = 'lastRun')")
+    bare = F.regexp_replace("text", r",\s*\z", "")
+    text = F.when(F.col("kind") == "document", F.col("text")).when(F.col("kind") == "field", F.concat(F.lit("{"), bare, F.lit("}"))).otherwise(F.concat(F.lit('{"lastRun":{'), bare, F.lit("}}")))
+    rows = held.select("file", F.from_json(text, schema).alias("d"))
+    first = lambda c, name: F.first(c, True).alias(name)
+    per = rows.groupBy("file").agg(first("d.lastRunAt", "last_run_at"), F.coalesce(F.first("d.runCount", True), F.lit(0)).alias("run_count"), *[first(f"d.lastRun.{k}", re.sub("([A-Z])", r"_\1", k).lower()) for k in run])
+    shard = F.regexp_extract("file", r"((?:projects/[^/]+/(?:workspaces|stacks)/[^/]+)|config-versions)/\.ledger/[^/]+\z", 1)
+    return per.withColumn("shard", shard).select("shard", *[c for c in per.columns if c != "file"])
+
+
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """key, size, md5, sha256 of a mirror's folder; a listing tells no digests."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import written
 
-#: kind is member; head (what goes on from the split before) and tail (what goes on in the next); end (the section at a split's end); or document (one that isn't indented). A section that began in an earlier split is null.
+#: kind is member; head (what goes on from the split before) and tail (what goes on in the next); end (the section at a split's end); field (of the document itself, no section); or document (one that isn't indented). A section that began in an earlier split is null.
 PIECE = "file string, block long, kind string, section string, text string"
 _SECTION = re.compile(r'  ("(?:[^"\\]|\\.)*") ?: ')
 
@@ -49,6 +49,8 @@ def pieces(lines: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
             if head:
                 yield (*at, "head", None, "\n".join(head))
             named = _SECTION.match(line)
+            if named and not line.rstrip().endswith(("{", "[")):
+                yield (*at, "field", None, line)
             section, held, head = json.loads(named[1]) if named else section, None, None
         elif depth == 4 and not closes:
             if head:
@@ -71,7 +73,8 @@ def pieces(lines: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
     yield from rest()
 
 
-def _read(spark: SparkSession, glob: str) -> DataFrame:
+def read_pieces(spark: SparkSession, glob: str) -> DataFrame:
+    """PIECE rows of snapshot documents."""
     lines = spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     names, kinds = [f.split()[0] for f in PIECE.split(", ")], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
@@ -93,7 +96,7 @@ def _read(spark: SparkSession, glob: str) -> DataFrame:
 
 def members(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """(section, text of all members; text of the documents that aren't indented), in one pass over the files."""
-    rows = written(_read(spark, glob), "pieces")
+    rows = written(read_pieces(spark, glob), "pieces")
     return stitched(rows), rows.filter("kind = 'document'").select("text")
 
 

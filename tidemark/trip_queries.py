@@ -99,6 +99,23 @@ def src05_read_ledger(spark, d):
     return entries.select("shard", "path", "status", F.col("signature.hash").alias("hash"), F.col("signature.size").alias("size"))
 
 
+@query("""SELECT 'projects/p/workspaces/w' || user_id AS shard, count(*) AS run_count, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started,
+  CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN count(*) FILTER (event_type = 'error') END AS errored FROM events GROUP BY user_id""")
+def src05_read_runs(spark, d):
+    """The runs that snapshot documents tell of, indented or not."""
+    at, error = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.count_if(F.col("event_type") == "error")
+    per = t(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("runCount"), error.alias("errors"))
+    totals = F.when(F.col("errors") > 0, F.create_map(F.lit("errored"), "errors"))
+    run = F.struct(at(F.col("first")).alias("startedAt"), totals.alias("totals"))
+    entries = F.create_map(F.lit("p"), F.struct(F.lit("done").alias("status"))).alias("entries")
+    doc = F.struct(at(F.col("last")).alias("lastRunAt"), run.alias("lastRun"), entries, F.lit(2).alias("version"), "runCount")
+    text = F.when(F.col("user_id") % 2 == 0, F.to_json(doc)).otherwise(F.to_json(doc, {"pretty": "true"}))
+    files = per.select(F.concat(F.lit("projects/p/workspaces/w"), "user_id", F.lit("/.ledger/snapshot.json")).alias("path"), text.alias("content"))
+    found = readers.read_runs(spark, _files(spark, files, "runs") + "/projects/p/workspaces/*/.ledger/*.json")
+    cell = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select("shard", "run_count", cell("last_run_at").alias("last_run"), cell("started_at").alias("started"), F.try_element_at("totals", F.lit("errored")).alias("errored"))
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS id, event_id // 500 AS page, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, '20240101T000000.000000000Z' AS cursor FROM events")
 def src08_read_audit_pages(spark, d):
     """Pages of 500 events, each a document named by the cursor and its number."""
