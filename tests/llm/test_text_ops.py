@@ -64,6 +64,9 @@ def test_token_counts_of_edge_rows(edge):
     want = sorted(((i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in EDGE), key=str)
     assert sorted((tuple(r) for r in op02_token_counts.token_counts(edge, WORD, chunk_chars=1000).collect()), key=str) == want
     assert op02_token_counts.token_counts(edge.limit(0), WORD).count() == 0
+    for size in (1, 5, 70_000):  # in pieces, those of one text by different tasks
+        assert sorted((tuple(r) for r in op02_token_counts.token_counts(edge, WORD, piece_chars=size).collect()), key=str) == want
+    assert len(op02_token_counts.dealt_pieces("word " * 40_000, 70_000)) == 3 and "".join(op02_token_counts.dealt_pieces("a b  c\nd", 1)) == "a b  c\nd"
 
 
 def test_conversations_round_trip(rows):

@@ -12,7 +12,7 @@ from which a vocabulary token can still reach beyond this place: how far back
 they are, which token ended there, and how many tokens fewer they had. Token
 length bounds them.
 
-A text is cut into chunks, at white space where there is any nearby. A chunk's
+A text is cut into pieces that different tasks count, and these into chunks, at white space where there is any nearby. A chunk's
 state map tells for each entry state the state it ends in and the tokens it
 emits. White space leads every state back to the first, so a chunk that begins
 after it needs one entry; a chunk cut from an unbroken run of letters has the
@@ -292,21 +292,62 @@ def text_counter(path: str) -> TextCounter:
     return TextCounter(path)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: one row per input row, without any shuffle.
+#: Characters of a text after which the next white space ends a piece; pieces of one text are counted by different tasks.
+PIECE_CHARS = 1 << 20
+
+
+def dealt_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+    """A text in pieces that begin at white space, which leads every state back to the first; an unbroken run stays whole."""
+    out, begin = [], 0
+    while len(text) - begin > size:
+        found = _SPACES.search(text, begin + size)
+        if found is None:
+            break
+        out.append(text[begin : found.start()])
+        begin = found.start()
+    out.append(text[begin:])
+    return out
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = CHUNK_CHARS, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit: one row per input row.
 
     n_bytes counts UTF-8 bytes; over_limit is n_tokens > limit. A null text
     counts as empty; a null doc_id is kept; repeated rows stay repeated; other
     columns are left out; an empty table gives an empty result. A text of any
-    length is read whole, chunk by chunk, by the task that has its row.
+    length is read whole, chunk by chunk. A text of one piece is counted where
+    its row is read, and only its numbers are shuffled; the pieces of a longer
+    one are dealt to all tasks.
     """
+    names = ["row", "doc_id", "n_bytes", "number", "n_tokens", "piece"]
+    kinds = [pa.int64()] * 5 + [pa.string()]
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(tokenizer_path)
         for batch in batches:
-            for part in text_slices(batch, 1):
-                counts = [counter.total(text or "", chunk_chars) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = id_and_text(docs).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+            for part in text_slices(batch, 2):
+                rows = []
+                for row, doc, text, size in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    pieces = dealt_pieces(text or "", piece_chars)
+                    if len(pieces) == 1:
+                        rows.append((row, doc, size, 0, counter.total(pieces[0], chunk_chars), None))
+                    else:
+                        rows += [(row, doc, size, i, None, piece) for i, piece in enumerate(pieces)]
+                yield rows_of(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = text_counter(tokenizer_path)
+        for batch in batches:
+            for part in text_slices(batch, 5):
+                found = [n if piece is None else counter.total(piece, chunk_chars) for n, piece in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.int64())], ["row", "doc_id", "n_bytes", "n_tokens"])
+
+    rows = id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    pieces = rows.mapInArrow(cut, "row long, doc_id long, n_bytes long, number long, n_tokens long, piece string").repartition("row", "number")
+    counted = pieces.mapInArrow(count, "row long, doc_id long, n_bytes long, n_tokens long")
+    whole = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
