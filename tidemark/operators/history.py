@@ -42,8 +42,8 @@ def newest_per_path(df: DataFrame, key: str = "path", order: str = "ord") -> Dat
 def build_history(observations: DataFrame) -> DataFrame:
     """path, fetched_at, content, deleted: the versions that were superseded and the disappearances.
 
-    observations has path, ord, at, content; a null content means that the object was
-    absent; an empty content, or one that isn't UTF-8, is no version worth keeping and is
+    observations has path, ord (without ties in a path), at, content; a null content means
+    that the object was absent; an empty content, or one that isn't UTF-8, is no version worth keeping and is
     left out. Runs of equal observations are islands; absences before the first content are
     ignored. An absent island is one tombstone, at its first time. A content island is one
     version: at its first time if it follows an absence, else at its last, and left out if
@@ -51,10 +51,11 @@ def build_history(observations: DataFrame) -> DataFrame:
 
     An island's row comes out where it begins or where it ends, so no task needs a whole
     path: a part of one tells its first and last state, which its neighbours begin and end with.
+    Only digests are put in order; contents are joined to the versions that are left.
     """
     by, row = ["path"], F.col(scan.ROW)
     worth = F.col("content").isNull() | (F.is_valid_utf8(F.col("content").cast("string")) & (F.octet_length("content") > 0))
-    signed = observations.filter(worth).select("path", "ord", "at", "content", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    signed = observations.filter(worth).select("path", "ord", "at", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
     rows = scan.cut(signed, by, [F.asc("ord")], "history")
     state = F.struct("sha")  # without a row it is null, in an absence only its field
     parts = rows.groupBy("path", scan.PART).agg(F.min_by(state, row).alias("first"), F.max_by(state, row).alias("last"), F.min(F.when(F.col("sha").isNotNull(), row)).alias("seen"))
@@ -72,7 +73,9 @@ def build_history(observations: DataFrame) -> DataFrame:
     deleted = F.col("sha").isNull()
     ends = F.col("after").isNotNull() & ~F.col("after.sha").eqNullSafe(F.col("sha"))
     out = rows.filter((F.col("begins") & (deleted | F.col("revived"))) | (ends & ~deleted & ~F.col("kept")))
-    return out.select("path", F.col("at").alias("fetched_at"), "content", deleted.alias("deleted"))
+    gone = out.filter(deleted).select("path", F.col("at").alias("fetched_at"), F.lit(None).cast(observations.schema["content"].dataType).alias("content"), F.lit(True).alias("deleted"))
+    held = out.filter(~deleted).select("path", "ord", F.col("at").alias("fetched_at")).join(observations.filter("content IS NOT NULL").select("path", "ord", "content"), ["path", "ord"])
+    return held.select("path", "fetched_at", "content", F.lit(False).alias("deleted")).unionByName(gone)
 
 
 def history_as_of(versions: DataFrame, at) -> DataFrame:
