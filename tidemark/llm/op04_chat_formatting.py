@@ -96,7 +96,12 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def loss_text(formatted: DataFrame) -> DataFrame:
-    """The rows with loss_text: what stands under the loss spans, unescaped, in order."""
+    """The rows with loss_text: what stands under the loss spans, unescaped, in order.
+
+    Without spans it is empty; a null conversation or null spans give null;
+    repeated rows stay repeated, a null conv_id is kept, an empty table stays
+    empty; a column of that name is replaced.
+    """
     cut = F.transform("loss_spans", lambda s: unescape_text(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.withColumn("loss_text", F.array_join(cut, ""))
 
