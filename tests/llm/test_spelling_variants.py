@@ -58,7 +58,7 @@ def vocabulary(seed, size, letters="abcé÷"):
 
 @pytest.mark.parametrize("bucket", [op13.BUCKET, 3])
 def test_variants_equal_brute_force(rows, bucket):
-    words = vocabulary(1, 700) | {"x" * 300: 40, "x" * 299: 5, "x" * 150 + "y" + "x" * 149: 7, "x": 5, "é": 30}
+    words = vocabulary(1, 700) | {"x" * 300: 40, "x" * 299: 5, "x" * 150 + "y" + "x" * 149: 7, **{"x" * k: k for k in (254, 255, 256, 257, 258)}, **{"x" * 255 + c: 9 for c in "abc"}, "x" * 256 + "d": 8, "x": 5, "é": 30}
     found = op13.spelling_variants(rows(list(words.items()), "word string, n bigint"), bucket=bucket)
     assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     got = [tuple(r) for r in found.collect()]

@@ -174,10 +174,10 @@ def near_words(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
     n_crowded = crowded.count()
     if n_crowded:
         crowded = if_small(crowded, n_crowded)
-        listed = F.length("word") <= LISTED_CHARS
-        many = rows.filter(listed).join(crowded, "signature", "left_semi").select("word", "n").distinct()
-        # A long word goes on under every signature, and meets there what is long as well.
-        rows = rows.filter(~listed).unionByName(rows.filter(listed).join(crowded, "signature", "left_anti"))
+        many = rows.filter(F.length("word") <= LISTED_CHARS).join(crowded, "signature", "left_semi").select("word", "n").distinct()
+        # A long word stays under every signature, and so does the longest that is listed: it may be near to one that isn't.
+        long = F.length("word") >= LISTED_CHARS
+        rows = rows.filter(long).unionByName(rows.filter(~long).join(crowded, "signature", "left_anti"))
     a, b = _side(rows.filter("own").drop("own"), "a"), _side(rows, "b")
     found = a.join(b, "signature").filter((~F.col("own") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
     if n_crowded:
