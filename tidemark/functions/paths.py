@@ -94,6 +94,12 @@ def bundle_generation(name: Column, prefix: str) -> Column:
     return F.when(number == "", 0).otherwise(number.cast("int"))
 
 
+def bundle_name(generation: Column, prefix: str) -> Column:
+    """`<prefix>.genNNNN.zip`: four digits at least, and as many as the number has."""
+    digits = generation.cast("string")
+    return F.concat(F.lit(f"{prefix}.gen"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit(".zip"))
+
+
 # Names of an archive's own files.
 LEDGER_DIR, MARKER, IDENTITY, STUB_SUFFIX, SIDECAR_SUFFIX = ".ledger", ".remote.json", ".identity.json", ".remote.json", ".sidecar.ndjson"
 LEDGER_LOCK, LEDGER_LOG = "lock", "log.ndjson"

@@ -120,9 +120,9 @@ def sc11_stems(spark, d):
     return t(spark, d, "events").select("event_id", fp.state_stem(F.col("ts"), F.col("event_type")).alias("stem"), page.alias("page"), fp.is_page_name(page).alias("is_page"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'logs.gen' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') || '.zip' AS name, l_suppkey AS generation FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, printf('logs.gen%04d.zip', l_suppkey) AS name, l_suppkey AS generation FROM lineitem")
 def sc12_bundle_generation(spark, d):
-    name = F.concat(F.lit("logs.gen"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0"), F.lit(".zip"))
+    name = fp.bundle_name(F.col("l_suppkey"), "logs")
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"), fp.bundle_generation(name, "logs").cast("long").alias("generation"))
 
 
