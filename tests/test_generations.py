@@ -38,3 +38,7 @@ def test_bundle_name(rows):
 
 def test_sc12_beyond_four_digits(spark, check):
     assert {r[3] for r in check(spark, "sc12_bundle_generation")} == set(GENERATIONS)
+
+
+def test_src03_beyond_four_digits(spark, check):
+    assert {r[3] for r in check(spark, "src03_read_sidecars")} == set(GENERATIONS)

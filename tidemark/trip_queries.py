@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import audit_page_name
+from tidemark.functions.paths import audit_page_name, bundle_name
 from tidemark.operators import sealing
 from tidemark.queries import OBJECTS, objects, query, t
 from tidemark.shape_queries import ARCHIVE, archive
@@ -64,10 +64,10 @@ def snk02_append_rollup(spark, d):
     return readers.read_rollups(spark, where).select("path", "content")
 
 
-@query("SELECT name, bundle, size, gen FROM (SELECT 'm' || l_orderkey || '-' || l_linenumber AS name, 'logs.gen' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') || '.zip' AS bundle, l_partkey AS size, l_suppkey AS gen, l_linenumber FROM lineitem) WHERE l_linenumber <> 7")
+@query("SELECT name, bundle, size, gen FROM (SELECT 'm' || l_orderkey || '-' || l_linenumber AS name, printf('logs.gen%04d.zip', l_suppkey) AS bundle, l_partkey AS size, l_suppkey AS gen, l_linenumber FROM lineitem) WHERE l_linenumber <> 7")
 def src03_read_sidecars(spark, d):
     where = fresh_path(spark, "sidecars")
-    bundle = F.concat(F.lit("logs.gen"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0"), F.lit(".zip"))
+    bundle = bundle_name(F.col("l_suppkey"), "logs")
     rows = t(spark, d, "lineitem").select(
         F.concat(F.lit("m"), "l_orderkey", F.lit("-"), "l_linenumber").alias("name"), F.when(F.col("l_linenumber") == 7, "").otherwise(bundle).alias("bundle"), F.lit(8).alias("method"), F.col("l_partkey").alias("size"), F.crc32(F.lit("x").cast("binary")).alias("crc32"), F.lit("h").alias("sha256")
     )
