@@ -42,3 +42,7 @@ def test_sc12_beyond_four_digits(spark, check):
 
 def test_src03_beyond_four_digits(spark, check):
     assert {r[3] for r in check(spark, "src03_read_sidecars")} == set(GENERATIONS)
+
+
+def test_win08_beyond_four_digits(spark, check):
+    assert max(r[1] for r in check(spark, "win08_next_generation")) == 123457

@@ -528,7 +528,7 @@ def win07_newest_first(spark, d):
 
 @query("SELECT l_partkey % 50 AS shard, max(l_suppkey) + 1 AS next FROM lineitem GROUP BY 1")
 def win08_next_generation(spark, d):
-    name = F.concat(F.lit("logs.gen"), F.lpad(F.col("l_suppkey").cast("string"), 4, "0"), F.lit(".zip.sidecar.ndjson"))
+    name = F.concat(fp.bundle_name(F.col("l_suppkey"), "logs"), F.lit(fp.SIDECAR_SUFFIX))
     return sealing.next_generation(t(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("shard"), name.alias("name")), "logs").select("shard", F.col("next").cast("long").alias("next"))
 
 
