@@ -43,6 +43,22 @@ def test_units_encode_as_the_library_does():
             assert [found.of(i).tolist() for i in range(len(some))] == [w.ids for w in (want if some is texts else want[::2] if len(some) > 1 else want[:1])]
 
 
+def test_words_with_runs_of_marks_are_plain():
+    """They are told from words and runs that are asked for once, not each by itself, and encode as the library does."""
+    rng = random.Random(6)
+    marks = ["$$$", "&&&", "%%%", "###", "***", "...", "?!", ",.$", "$" * 40, "<|>", "'", "-"]
+    texts = [" ".join(rng.choice(["the", "Étude", "tion", "x", "Zaß"]) + rng.choice(marks) * rng.randint(0, 2) + rng.choice(["", "\n"]) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    plain = ["x " + " ".join("tion" + m for m in marks[:9])]  # a text's first word is asked for as it is
+    for path, drops in ((WORD, True), (BYTE, False)):
+        encoder, library = TextEncoder(path, drops), Tokenizer.from_file(path)
+        found = encoder.encode(pa.array(texts, pa.string()))
+        assert [found.of(i).tolist() for i in range(len(texts))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        asked, ask = [], encoder._asked
+        encoder._asked = lambda x: asked.extend(x) or ask(x)  # noqa: B023
+        encoder.encode(pa.array(plain, pa.string()))
+        assert not any(m in x and "tion" in x for x in asked for m in marks[:9])
+
+
 def test_transducer_counts_as_the_library_does_however_chunked():
     counter, tokenizer, rng = op02_token_counts.TextCounter(WORD), Tokenizer.from_file(WORD), random.Random(3)
     texts = [t or "" for _, t in EDGE] + ["".join(rng.choice([*"abcdefgh' \n1é", "tion", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]

@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WHITE = "\t-\r\x85\xa0  -     　"
 _SPACE = re.compile(f"[ {_WHITE}]+")
 _RUN = f" [ {_WHITE}\x1c-\x1f]|[{_WHITE}\x1c-\x1f][{_WHITE}\x1c-\x1f]"
-#: A word of Latin letters that have no other normal form, perhaps with one mark after it: two pre-tokens under either tokenizer's pattern.
+#: A word of Latin letters that have no other normal form, perhaps with marks after it: two pre-tokens under either tokenizer's pattern, which takes a run of marks as one.
 _LATIN = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ȶ]"
-_MARKS = ".,;:!?"
+_MARKS = ".,;:!?#$%&*"
 #: Stands before the first unit of a text for tokenizers whose words carry the space before them.
 _FIRST = "\x01"
 
@@ -106,7 +107,7 @@ class TextEncoder:
         for i in range(0, len(texts), 1024):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False)]
             lengths += map(len, ids)
-            flat.append(np.fromiter((x for e in ids for x in e), np.int32))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
         return Table(np.array(lengths, np.int64), np.concatenate(flat))
 
     def _words(self, words: pa.Array, separator: str) -> Table:
@@ -152,7 +153,7 @@ class TextEncoder:
         if not self.drops_space:
             fed = pc.starts_with(units, "\n").to_numpy(zero_copy_only=False)
             body = pc.if_else(pa.array(fed), pc.utf8_slice_codeunits(units, 1), units)
-        plain = pc.match_substring_regex(body, f"^{_LATIN}+[{_MARKS}]?$").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(body, f"^{_LATIN}+[{_MARKS}]*$").to_numpy(zero_copy_only=False)
         marked = plain & pc.match_substring_regex(body, f"[{_MARKS}]$").to_numpy(zero_copy_only=False)
         other = np.flatnonzero(~plain)
         bare = pc.utf8_rtrim(body, _MARKS)
@@ -171,19 +172,19 @@ class TextEncoder:
         tables.append(self._asked(texts))
         row_of[other] = np.arange(len(other)) + base
         base += len(other)
-        marks = [*_MARKS, *([] if self.drops_space else ["\n"])]
-        tables.append(self._asked(marks))
+        tails = pc.replace_substring_regex(body.filter(pa.array(marked)), f"^{_LATIN}+", "").dictionary_encode()
+        tables.append(self._asked([*tails.dictionary.to_pylist(), *([] if self.drops_space else ["\n"])]))
         words = stacked(tables)
-        # A unit is up to three rows: a line feed, a word, a mark.
+        # A unit is up to three rows: a line feed, a word, its marks.
         parts = [row_of[:, None]]
         some = [np.ones((len(units), 1), bool)]
         if not self.drops_space:
-            parts.insert(0, np.full((len(units), 1), base + len(_MARKS)))
+            parts.insert(0, np.full((len(units), 1), base + len(tails.dictionary)))
             some.insert(0, (fed & plain)[:, None])
         if marked.any():
-            last = pc.utf8_slice_codeunits(body, -1, None).dictionary_encode()
-            mark_row = np.array([base + _MARKS.find(c) if c and c in _MARKS else 0 for c in last.dictionary.to_pylist()])
-            parts.append(mark_row[last.indices.to_numpy()][:, None])
+            tail_row = np.zeros(len(units), np.int64)
+            tail_row[marked] = tails.indices.to_numpy() + base
+            parts.append(tail_row[:, None])
             some.append(marked[:, None])
         rows, used = np.hstack(parts), np.hstack(some)
         each = words.take(rows[used])
