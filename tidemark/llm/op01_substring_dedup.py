@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scan
 
-from .common import id_and_text, if_small, written
+from .common import id_and_text, if_small, tidy, written
 from .shingles import mix, row_shingles
 from .tokenizing import gathered, text_slices
 
@@ -243,7 +243,7 @@ def windows(docs: DataFrame, k: int, t: int, hashes: int = HASHES, crowd: int =
             yield _crowds(held, crowd)
 
     rows = id_and_text(docs).filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, WINDOW)
+    return rows.mapInArrow(tidy(run), WINDOW)
 
 
 def _split(docs: DataFrame, members: DataFrame, k: int, t: int, further: int, group: int) -> DataFrame:
@@ -278,7 +278,7 @@ def _split(docs: DataFrame, members: DataFrame, k: int, t: int, further: int, gr
 
     grouped = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("found"))  # at most the document's windows
     rows = _only(docs, members).join(grouped, "doc_id").select("doc_id", F.col("text").cast("binary"), "found")
-    return rows.mapInArrow(run, WINDOW)
+    return rows.mapInArrow(tidy(run), WINDOW)
 
 
 #: Slots of the filter of open keys: its size on every executor is fixed, whatever the data; what it lets through is joined exactly.
@@ -340,7 +340,7 @@ def links(rows: DataFrame, t: int, group: int = 0) -> DataFrame:
                 carry = [x[_kept(key, doc, group)] for x in columns]
             yield _joined(*map(np.concatenate, (a_doc, a_place, c_doc, c_place, a_key)), t)
 
-    return rows.repartition("deal").sortWithinPartitions("deal", "doc_id", "place").mapInArrow(run, LINK)
+    return rows.repartition("deal").sortWithinPartitions("deal", "doc_id", "place").mapInArrow(tidy(run), LINK)
 
 
 def _kept(key: np.ndarray, doc: np.ndarray, group: int) -> np.ndarray:
@@ -385,7 +385,7 @@ def candidates(found: DataFrame) -> DataFrame:
         if len(held[0]):
             yield _intervals(*held)
 
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(run, CANDIDATE)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
 
 
 def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
@@ -459,7 +459,7 @@ def _slices(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     rows = _only(docs, wanted).join(spans, "doc_id").select("doc_id", F.col("text").cast("binary"), "spans")
-    return rows.mapInArrow(run, "doc_id long, begin long, shingles array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, begin long, shingles array<int>")
 
 
 #: Diagonals beside the expected one, nearest first.
@@ -569,7 +569,7 @@ def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int) -
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
-    return both.select("doc_id", "source", "a_begin", "c_begin", "diagonal", "sa", "sc").mapInArrow(run, PASSAGE)
+    return both.select("doc_id", "source", "a_begin", "c_begin", "diagonal", "sa", "sc").mapInArrow(tidy(run), PASSAGE)
 
 
 def _uncovered(wanted: DataFrame, passages: DataFrame, k: int, t: int) -> DataFrame:
@@ -695,7 +695,7 @@ def cut_passages(docs: DataFrame, k: int = 5, min_words: int = 50, percent: int
             texts = [without(t, s) if s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["held", "text"])
 
-    done = marked.mapInArrow(run, f"held {marked.schema['held'].dataType.simpleString()}, text string")
+    done = marked.mapInArrow(tidy(run), f"held {marked.schema['held'].dataType.simpleString()}, text string")
     sized = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[sized[c].alias(c) if c in sized else F.col(f"held.{c}").alias(c) for c in docs.columns])
 

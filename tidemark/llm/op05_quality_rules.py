@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, tidy
 from .tokenizing import text_slices
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"]
@@ -95,7 +95,7 @@ def _measured(docs: DataFrame, rules: tuple[Rule, ...], held: list[str]) -> Data
                 columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["held", "doc_id", *MEASURES])
 
-    return rows.mapInArrow(run, out).withColumn("fail_bits", fail_bits(rules))
+    return rows.mapInArrow(tidy(run), out).withColumn("fail_bits", fail_bits(rules))
 
 
 def quality_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

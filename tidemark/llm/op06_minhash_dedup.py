@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, if_small, written
+from .common import id_and_text, if_small, tidy, written
 from .components import components
 from .shingles import mix, odd_numbers, row_shingles
 from .tokenizing import text_slices
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
 
     rows_in = id_and_text(docs).select("doc_id", F.col("text").cast("binary"))
-    return rows_in.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return rows_in.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -104,7 +104,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     wanted = id_and_text(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
+    return wanted.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def _similar(common: Column, a: Column, b: Column, percent: int) -> Column:

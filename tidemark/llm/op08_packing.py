@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, spare, tidy, written
 from .tokenizing import text_encoder, text_slices
 
 WINDOWS = 32
 #: Room for fewer tokens than this is padded rather than filled by cutting a piece.
 WORTH_A_CUT = 32
+#: Bytes of text encoded at a time: fewer than where encoding is all a task does, as other stages' executors are full.
+PACKED_BYTES = 3 << 20
 #: Partitions whose open windows one merge task takes.
 FAN_IN = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -123,8 +125,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
         packer = Packer(size, windows, close)
         for batch in batches:
-            for some in text_slices(batch, 1):
+            for some in text_slices(batch, 1, PACKED_BYTES):
                 found = encoder.encode(some.column(1))
+                spare()
                 flat, starts, ends = found.flat.astype("<u4"), found.starts.tolist(), (found.starts + found.lengths).tolist()
                 for doc, a, b in zip(some.column(0).to_pylist(), starts, ends, strict=True):
                     packer.document(doc, flat[a:b].tobytes() + end)
@@ -136,7 +139,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             done += 1
         yield _batch(rows)
 
-    table = written(id_and_text(docs).mapInArrow(run, PIECE + ", ids binary, merge long"), tag)
+    table = written(id_and_text(docs).mapInArrow(tidy(run), PIECE + ", ids binary, merge long"), tag)
     out = [table.filter("merge = 0").drop("merge")]
     left, level = table.filter("merge > 0"), 1
     groups = left.agg(F.max("merge")).first()[0] or 0  # one number; it tells how many levels there are

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import scan
 
-from .common import id_and_text, if_small, written
+from .common import id_and_text, if_small, tidy, written
 
 Q = 8
 #: An excerpt of SEGMENT + STRIDE - 1 characters or more holds a whole segment wherever it begins in its item.
@@ -206,7 +206,7 @@ def _cut(benchmark: DataFrame, q: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], ["item_id", "place", "points"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id long, place long, points string")
+    return items.mapInArrow(tidy(run), "item_id long, place long, points string")
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_segments: int = BLOCK_SEGMENTS) -> DataFrame:
@@ -260,7 +260,7 @@ def _against(docs: DataFrame, block: DataFrame, q: int, rate: float):
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in MATCH.split(", ")])
 
-    return id_and_text(docs).mapInArrow(run, MATCH), shared
+    return id_and_text(docs).mapInArrow(tidy(run), MATCH), shared
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
