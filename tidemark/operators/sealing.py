@@ -25,12 +25,25 @@ def seal_plan(objects: DataFrame, ledger: DataFrame, collections: DataFrame, run
     done = objects.select("path").join(ledger.filter("status = 'done'").select("path"), "path", "left_semi")
     own = F.when(name == "run.json", p["run_id"])  # a run's own document waits for its run
     told = written(done.select("path", shard_key(F.col("path")).alias("shard"), p["kind"].alias("kind"), own.alias("run_id"), target.alias("target")), "seal")
-    rows = told.filter("run_id IS NOT NULL OR target IS NOT NULL").join(collections.filter("complete").select("shard", "kind"), ["shard", "kind"], "left_semi")
+    rows = _of_complete(told.filter("run_id IS NOT NULL OR target IS NOT NULL"), written(collections.filter("complete").select("shard", "kind").distinct(), "complete"))
     final = runs.filter(is_terminal(F.lit("run"), F.col("status"))).select("run_id")
     ended = rows.filter("run_id IS NOT NULL").join(final, "run_id", "left_semi").select("path", "shard", F.lit("runs.ndjson").alias("target"))
     return rows.filter("run_id IS NULL").select("path", "shard", "target").unionByName(ended)
 
 
+#: Collections up to which their list is broadcast, and tasks that share one collection's objects where it isn't.
+BROADCAST_ROWS, SHARES = 500_000, 64
+
+
+def _of_complete(rows: DataFrame, complete: DataFrame) -> DataFrame:
+    """The rows of collections in complete(shard, kind), a written table; a collection that holds most rows is spread over tasks."""
+    if complete.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(complete), ["shard", "kind"], "left_semi")
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("path"), F.lit(SHARES)).cast("int"))
+    every = complete.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(every, ["shard", "kind", "share"], "left_semi").drop("share")
+
+
 def next_generation(names: DataFrame, prefix: str) -> DataFrame:
     """shard, next: one more than the highest generation over bundles and their indexes (shard, name)."""
     return names.groupBy("shard").agg((F.coalesce(F.max(bundle_generation(F.col("name"), prefix)), F.lit(0)) + 1).alias("next"))
