@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import written
 
+#: Rows of a batch opened at a time, and rows and code points of pieces held until they go on: a document without indentation is one row.
+OPENED, HELD_ROWS, HELD_CHARS = 32, 4096, 4 << 20
 #: kind is member; head (what goes on from the split before) and tail (what goes on in the next); end (the section at a split's end); field (of the document itself, no section); or document (one that isn't indented). A section that began in an earlier split is null.
 PIECE = "file string, block long, kind string, section string, text string"
 _SECTION = re.compile(r'  ("(?:[^"\\]|\\.)*") ?: ')
@@ -73,9 +75,13 @@ def pieces(lines: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
     yield from rest()
 
 
+def _lines(spark: SparkSession, glob: str) -> DataFrame:
+    """file, block, value of every line."""
+    return spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
 def read_pieces(spark: SparkSession, glob: str) -> DataFrame:
     """PIECE rows of snapshot documents."""
-    lines = spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     names, kinds = [f.split()[0] for f in PIECE.split(", ")], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +89,17 @@ def read_pieces(spark: SparkSession, glob: str) -> DataFrame:
             columns = list(zip(*held, strict=True)) or [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        held = []
-        for row in pieces(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        held, chars = [], 0
+        parts = (batch.slice(i, OPENED) for batch in batches for i in range(0, batch.num_rows, OPENED))
+        for row in pieces(x for part in parts for x in zip(*(c.to_pylist() for c in part.columns), strict=True)):
             held.append(row)
-            if len(held) >= 4096:
+            chars += len(row[-1] or "")
+            if len(held) >= HELD_ROWS or chars >= HELD_CHARS:
                 yield rows(held)
-                held = []
+                held, chars = [], 0
         yield rows(held)
 
-    return lines.mapInArrow(run, PIECE)
+    return _lines(spark, glob).mapInArrow(run, PIECE)
 
 
 def members(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:

@@ -89,7 +89,7 @@ def extract_objects(objects: DataFrame, target: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, content, ok in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):  # one object's bytes at a time
                 try:
                     if not ok or content is None:
                         raise ValueError("unsafe name" if not ok else "no content")
