@@ -222,6 +222,24 @@ def test_passages_of_frequent_lines_are_compared_with_every_document(rows):
         assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(40, 64, 2)}
 
 
+def test_keys_of_many_documents_are_compared_without_further_minima(rows):
+    """What neither neighbours nor further minima link is found by the exact look."""
+    lines = [prose(100 + i, 30) for i in range(2)]
+    texts = [prose(300 + i, 60) + lines[i % 2] + prose(400 + i, 60) for i in range(40)]
+    for half in range(2):  # the two of a pair are no neighbours
+        texts += [prose(5000 + 100 * half + i, 60) + prose(7000 + i, 12) + lines[0] + prose(8000 + i, 12) + prose(6000 + 100 * half + i, 60) for i in range(12)]
+    docs = rows([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = op01_substring_dedup.repeated_passages(docs, hashes=1, group=1, further=0).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 12, i) for i in range(40, 52)}
+
+
+def test_the_fewest_different_shingles_of_a_run():
+    rng, t, bounds = np.random.default_rng(1), 12, np.array([0, 100, 100, 180, 300])
+    flat = rng.integers(0, 9, 300).astype(np.uint64)
+    fewest = op01_substring_dedup._fewest(flat, bounds, t)
+    assert all(fewest[i] == len(set(flat[i : i + t].tolist())) for low, high in zip(bounds[:-1], bounds[1:], strict=True) for i in range(low, high - t + 1))
+
+
 def test_a_document_whose_passage_is_found_stays_a_source(rows):
     texts = []
     for i in range(0, 120, 10):

@@ -23,6 +23,12 @@ others only where the passages found leave much of them.
 The keys of intervals that turned out no passages are looked at once more, with
 all their windows: if few documents share a key, each with every one before it,
 else under keys that further minima of the same side split.
+
+What is still open then under keys of more documents is compared with all documents before it, exactly: windows with
+the same shingles are one class, whose smallest document stands for it, and two
+classes are compared if they share a shingle that, of as many shingles as a
+passage has at least in common, can't be left out (a prefix filter: an open
+window's shingles but its most frequent ones).
 """
 
 from __future__ import annotations
@@ -281,6 +287,118 @@ def _split(docs: DataFrame, members: DataFrame, k: int, t: int, further: int, gr
     return rows.mapInArrow(tidy(run), WINDOW)
 
 
+TAGGED = "key long, doc_id long, place long, kind int, content long, least int, tags array<long>"
+
+
+def _fewest(flat: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:
+    """The number of different shingles in every run of t from each place on, within its text (beyond its last run: of what follows)."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((flat, text))  # stable: equal shingles of a text stay in order
+    same = np.flatnonzero((flat[order][1:] == flat[order][:-1]) & (text[order][1:] == text[order][:-1]))
+    before = bounds[text] - 1
+    before[order[same + 1]] = order[same]
+    # A place is its shingle's first in the runs that begin after the one before it.
+    place = np.arange(len(flat))
+    steps = np.bincount(np.maximum(before + 1, place - t + 1), minlength=len(flat) + 1) - np.bincount(place + 1, minlength=len(flat) + 1)
+    return np.cumsum(steps)[: len(flat)]
+
+
+def _tagged(docs: DataFrame, members: DataFrame, k: int, t: int, percent: int) -> DataFrame:
+    """TAGGED rows of members(key, doc_id, place, kind).
+
+    content tells what the window and the margin that is compared with it hold,
+    tags its distinct shingles, each mixed with the key. Whatever passage lies
+    in there has `least` of them in common with its source: `percent` of what
+    the run of t shingles with the fewest different ones has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1, HASHED_BYTES):
+                flat, bounds = row_shingles(part.column(1), k)
+                found = part.column(2)
+                of = found.offsets.to_numpy()
+                key, place, kind = (found.flatten().field(i).to_numpy() for i in range(3))
+                of = of - of[0]
+                fewest = _fewest(flat, bounds, t)
+                weights = mix(np.arange(1 + int(np.diff(bounds).max()), dtype=np.uint64)) | np.uint64(1)
+                held: list[tuple] = []
+                size = 0
+                for doc, base, top, low, high in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
+                    begins, ats, ends = open_place(place[low:high])
+                    begins, ends = base + np.maximum(0, begins - DRIFT), np.minimum(top, base + ends + DRIFT)
+                    for i, b, at, e in zip(range(low, high), begins.tolist(), ats.tolist(), ends.tolist(), strict=True):
+                        own = flat[b:e]
+                        content = mix((own * weights[: len(own)]).sum(dtype=np.uint64, keepdims=True) + weights[len(own)] + np.uint64(base + at - b))
+                        tags = np.unique(own)
+                        least = -(-percent * int(fewest[b : max(b, e - t) + 1].min()) // 100)
+                        tags = mix(tags + mix(key[i : i + 1].view(np.uint64)))
+                        held.append((key[i], doc, place[i], kind[i], content.view(np.int64)[0], least, tags.view(np.int64)))
+                        size += len(tags)
+                        if size >= HELD_WINDOWS:
+                            yield _tagged_rows(held)
+                            held, size = [], 0
+                if held:
+                    yield _tagged_rows(held)
+
+    grouped = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("found"))  # at most the document's windows
+    rows = _only(docs, members).join(grouped, "doc_id").select("doc_id", F.col("text").cast("binary"), "found")
+    return rows.mapInArrow(tidy(run), TAGGED)
+
+
+def _tagged_rows(held: list[tuple]) -> pa.RecordBatch:
+    *plain, tags = zip(*held, strict=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tags)]), pa.int32()), pa.array(np.concatenate(tags)))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(plain, kinds, strict=True)), lists], _names(TAGGED))
+
+
+def _exact(docs: DataFrame, members: DataFrame, k: int, t: int, percent: int) -> DataFrame:
+    """LINK rows of every open member with all classes under its key that have a smaller document and may share a passage with it.
+
+    A class has the same shingles around the key's place. Its smallest document
+    stands for it as a source, and its other documents are linked to that one
+    alone, in which they have a passage. An open member's tags but for the
+    `least` - 1 that most of them have are its prefix: who has none of these
+    shares less than `least` shingles with it. Pairs are made by a join that
+    Spark deals by tags and may split; no task or row holds a key's members.
+    """
+    tagged = written(_tagged(docs, members, k, t, percent), "tagged")
+    classes = tagged.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("head"))
+    light = written(tagged.select("key", "doc_id", "place", "kind", "content").join(classes, ["key", "content"]), "classes")
+    same = light.filter((F.col("kind") >= OPEN) & (F.col("doc_id") > F.col("head.doc_id"))).select("doc_id", "place", F.col("head.doc_id").alias("source"), F.col("head.place").alias("source_place"))
+    first = light.filter(F.col("doc_id") == F.col("head.doc_id")).filter(F.col("kind") >= OPEN).select("key", "doc_id", "place")
+    tags = written(tagged.join(first, ["key", "doc_id", "place"]).select("key", "doc_id", "place", "least", F.explode("tags").alias("tag")), "tags")
+    ranked = tags.join(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag").groupBy("key", "doc_id", "place", "least").agg(F.sort_array(F.collect_list(F.struct("n", "tag"))).alias("tags"))
+    some = ranked.select("doc_id", "place", F.explode(F.slice("tags", F.lit(1), F.size("tags") - F.col("least") + 1)).alias("tag"))
+    prefixes = written(some.select("doc_id", "place", "tag.tag"), "prefixes")
+    told = docs.sparkSession.sparkContext.broadcast(_filter(prefixes.select(F.col("tag").alias("key")).distinct()))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """source, source_place, tag without the tags that are surely in no prefix."""
+        for batch in batches:
+            doc, place, lists = batch.columns
+            of, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            flat, row = flat[of[0] : of[-1]], np.repeat(np.arange(len(doc)), np.diff(of))
+            some = told.value[_slot(flat)]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[some])), place.take(pa.array(row[some])), pa.array(flat[some])], ["source", "source_place", "tag"])
+
+    heads = light.filter((F.col("doc_id") == F.col("head.doc_id")) & (F.col("place") == F.col("head.place"))).select("key", "doc_id", "place")
+    sources = tagged.join(heads, ["key", "doc_id", "place"], "left_semi").select("doc_id", "place", "tags").mapInArrow(tidy(asked), "source long, source_place long, tag long")
+    pairs = prefixes.join(sources, "tag").filter("source < doc_id").select(same.columns).distinct()
+    return _pair_links(same.unionByName(pairs), t)
+
+
+def _pair_links(pairs: DataFrame, t: int) -> DataFrame:
+    """LINK rows of pairs(doc_id, place, source, source_place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _joined(*(c.to_numpy() for c in batch.columns), np.full(batch.num_rows, _NONE), t)
+
+    return pairs.mapInArrow(tidy(run), LINK)
+
+
 #: Slots of the filter of open keys: its size on every executor is fixed, whatever the data; what it lets through is joined exactly.
 SLOT_BITS = 25
 
@@ -365,27 +483,29 @@ def _joined(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place
     return _rows([x[wide] for x in (doc, source, at, begin, end, diagonal, key)], LINK)
 
 
-def candidates(found: DataFrame) -> DataFrame:
+def candidates(found: DataFrame, apart: bool = False) -> DataFrame:
     """CANDIDATE rows: intervals that a pair's links on nearby diagonals cover; `first` marks those of a document that hold the rest.
 
     Rows without a source are no intervals but the places and keys of a document's links under keys with more than two documents.
 
     The links of one document come to one task: at most a few for each of its windows.
+    With `apart` those of one pair do, where a document may have any number of sources; `first` then means nothing.
     """
-    names = _names(LINK)
+    names, by = _names(LINK), ["doc_id", "source"] if apart else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * len(names)
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            last = np.flatnonzero(np.any([h[1:] != h[:-1] for h in held[: len(by)]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield _intervals(*(h[:cut] for h in held))
                 held = [h[cut:] for h in held]
         if len(held[0]):
             yield _intervals(*held)
 
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
+    return found.repartition(*by).sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
 
 
 def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
@@ -540,8 +660,8 @@ def _parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return written(cut.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "shingles")).alias("parts")), "slices")
 
 
-def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int) -> DataFrame:
-    """PASSAGE rows of the candidates that hold; parts: of their documents."""
+def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int, even: int = 0) -> DataFrame:
+    """PASSAGE rows of the candidates that hold; parts: of their documents. even: tasks to which they are dealt, where few documents have most of them."""
 
     def of(parts: str, begin: str, end: str):
         """The shingles begin..end, from the part that holds them."""
@@ -569,7 +689,8 @@ def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int) -
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
-    return both.select("doc_id", "source", "a_begin", "c_begin", "diagonal", "sa", "sc").mapInArrow(tidy(run), PASSAGE)
+    rows = both.select("doc_id", "source", "a_begin", "c_begin", "diagonal", "sa", "sc")
+    return (rows.repartition(even) if even else rows).mapInArrow(tidy(run), PASSAGE)
 
 
 def _uncovered(wanted: DataFrame, passages: DataFrame, k: int, t: int) -> DataFrame:
@@ -617,11 +738,19 @@ def repeated_passages(docs: DataFrame, k: int = 5, min_words: int = 50, percent:
         # Two documents under one key were compared at first.
         more_docs = members.groupBy("key", "doc_id").agg(F.max("kind").alias("kind")).groupBy("key").agg(F.count("*").alias("docs"), F.max("kind").alias("kind")).filter((F.col("docs") > 2) & (F.col("kind") >= OPEN))
         members = members.join(more_docs.select("key"), "key", "left_semi")
-        again = candidates(links(_split(docs, members, k, t, further, group), t, group)).filter("source IS NOT NULL").drop("at", "key")
         tried = every.select("doc_id", "source", "diagonal")
-        more = written(_uncovered(again, found, k, t).join(tried, ["doc_id", "source", "diagonal"], "left_anti"), "candidates")
-        if not more.isEmpty():
-            found = written(found.unionByName(_verify(_parts(docs, more, k), more, k, t, percent)), "passages")
+
+        def look(again: DataFrame, even: int = 0) -> DataFrame:
+            """The passages found, with those of candidates that weren't tried."""
+            nonlocal tried
+            again = written(_uncovered(again.filter("source IS NOT NULL").drop("at", "key"), found, k, t).join(tried, ["doc_id", "source", "diagonal"], "left_anti"), "candidates")
+            tried = tried.unionByName(again.select(tried.columns))
+            return found if again.isEmpty() else written(found.unionByName(_verify(_parts(docs, again, k), again, k, t, percent, even)), "passages")
+
+        found = look(candidates(links(_split(docs, members, k, t, further, group), t, group)))
+        left = written(_large(_opened(members, _spans(failed, found, k)), group), "members")
+        if not left.isEmpty():
+            found = look(candidates(_exact(docs, left, k, t, percent), apart=True), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if numbers is not None:
         names, told = found.columns, numbers.select("number", F.col("doc_id").alias("id"))
         for c in ("doc_id", "source_doc_id"):
@@ -661,7 +790,14 @@ def _opened(members: DataFrame, spans: DataFrame) -> DataFrame:
     holds = lambda s: (s["begin"] <= at) & (at < s["end"])
     seeks = F.coalesce(F.exists("failed", holds) & ~F.exists("found", holds), F.lit(False))
     side = F.col("kind").bitwiseAND(OPEN - 1)
-    return members.join(spans, "doc_id", "left").select("key", "doc_id", "place", F.when(seeks, side + OPEN).otherwise(side).alias("kind"))
+    return members.join(spans, "doc_id", "left").withColumn("kind", F.when(seeks, side + OPEN).otherwise(side)).select(members.columns)
+
+
+def _large(members: DataFrame, group: int) -> DataFrame:
+    """The members of keys under which some still seek a source and weren't linked to all before them: those of more than `group` documents."""
+    per = members.groupBy("key", "doc_id").agg(F.max("kind").alias("kind"))
+    keys = per.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("kind").alias("kind")).filter((F.col("docs") > group) & (F.col("kind") >= OPEN))
+    return members.join(keys.select("key"), "key", "left_semi")
 
 
 def _open_keys(places: DataFrame, spans: DataFrame) -> DataFrame:
