@@ -355,6 +355,23 @@ def test_tree_and_forms(rows):
         listing.list_objects(obj, "a/../b")
 
 
+def test_loose_files_are_listed_in_tasks(spark, tmp_path):
+    """The driver's index holds none of the files; what is told of them is what Spark's reader tells, which leaves out empty files."""
+    for name in ("a/b/c.json", "a/_b/d.json", "a/_k=1/e.json", "a/.f.json", "g h%20.json", "a/empty"):
+        (tmp_path / "org" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "org" / name).write_text(name if "empty" not in name else "")
+    (tmp_path / "org/none").mkdir()
+    root = str(tmp_path / "org")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    for where in (root, f"file://{root}/"):
+        loose, inventory = readers.read_loose(spark, where), readers.read_inventory(spark, where)
+        assert not [f for found in (loose, inventory) for f in found.inputFiles() if f.startswith(f"file://{root}/")]
+        want = {(r.path.split("/org/")[1], r.length, r.modificationTime) for r in read.collect()}
+        assert {(r.path, r.size, r.mtime) for r in loose.filter("size > 0").collect()} == want and len(want) == 3
+        assert {(r.key, r.size) for r in inventory.collect()} == {(path, size) for path, size, _ in want} | {("a/empty", 0)}
+        assert [r.path for r in loose.filter("size = 0").collect()] == ["a/empty"]
+
+
 def test_sources_and_sinks(spark, rows, tmp_path):
     root = tmp_path / "org"
     (root / "projects/p/workspaces/w/runs/r").mkdir(parents=True)

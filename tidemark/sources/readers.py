@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.paths import bundle_generation, is_machinery, leaf, shard_key, stub_target
 from tidemark.sources import snapshots
+from tidemark.sources.scratch import written
 
 ENTRY = "status string, firstSeen timestamp, fetchedAt timestamp, updatedAt timestamp, lastErrorAt timestamp, lastError string, signature struct<hash:string,size:bigint>, attempts int, transient boolean, derivedChildren array<string>"
 
@@ -21,9 +22,50 @@ def _relative(root: str, column: str = "path"):
     return F.regexp_replace(F.regexp_replace(F.col(column), r"\A[a-z0-9]+:/+", "/"), r"\A\Q" + bare + r"\E/", "")
 
 
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, modificationTime of all files below a folder, without names that Spark's readers pass over. No bytes are read.
+
+    A folder that all executors mount is listed in tasks, level by level, so no
+    list comes to the driver; of one in another store Spark's own index is taken, which the driver holds.
+    """
+    import os
+
+    if re.match(r"(?!file:)[a-z0-9]+:/", root):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    fields = "path string, folder boolean, length long, modified long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], [f.split()[0] for f in fields.split(", ")])
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = []
+                with os.scandir(folder) as there:
+                    for e in there:
+                        passed = e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name and not e.name.startswith(("_metadata", "_common_metadata")) or e.name.endswith("._COPYING_")
+                        if not passed:
+                            told = e.stat()
+                            found.append((e.path, e.is_dir(), told.st_size, told.st_mtime_ns // 1_000_000))
+                        if len(found) >= 10_000:
+                            yield rows(found)
+                            found = []
+                yield rows(found)
+
+    tasks = spark.sparkContext.defaultParallelism
+    top = re.sub(r"\Afile:/+", "/", root).rstrip("/") or "/"
+    level = written(spark.range(1).select(F.lit(top).alias("path")).mapInArrow(run, fields), "listed")
+    every = level
+    while not (folders := level.filter("folder").select("path")).isEmpty():
+        level = written(folders.repartition(tasks).mapInArrow(run, fields), "listed")
+        every = every.unionByName(level)
+    return every.filter("NOT folder").select("path", "length", F.timestamp_millis("modified").alias("modificationTime"))
+
+
 def read_loose(spark: SparkSession, root: str) -> DataFrame:
     """path, form, size, mtime of an archive's loose files, machinery left out; stubs have form `stub`. No bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    files = _listed(spark, root)
     rows = files.select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter(~is_machinery(F.col("path")))
     return rows.withColumn("form", F.when(stub_target(F.col("path")).isNotNull(), "stub").otherwise("loose"))
 
@@ -117,7 +159,7 @@ def read_runs(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """key, size, md5, sha256 of a mirror's folder; a listing tells no digests."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    files = _listed(spark, root)
     none = F.lit(None).cast("string")
     return files.select(_relative(root).alias("key"), F.col("length").alias("size"), none.alias("md5"), none.alias("sha256"))
 
