@@ -233,6 +233,35 @@ def test_keys_of_many_documents_are_compared_without_further_minima(rows):
     assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 12, i) for i in range(40, 52)}
 
 
+def test_what_an_open_member_asks_for_is_rare_and_whole():
+    """A source that shares a passage around the place holds a shingle that is asked for; lines that many hold aren't asked for where they are no passage."""
+    rng, t, percent = np.random.default_rng(4), 46, 80
+    for _ in range(40):
+        own = rng.permutation(10**6)[:150].astype(np.uint64)
+        n = rng.choice([1, 2, 30, 900], 150)
+        low, high = 70, 94
+        asked = set(op01_substring_dedup._seekers_needs(own, n, low, high, 37, t, percent).tolist())
+        for _ in range(20):
+            begin, end = rng.integers(30, 71), rng.integers(94, 131)
+            if end - begin >= t:
+                lost = rng.permutation(np.arange(begin, end))[: (end - begin) // 5]
+                assert asked & set(np.delete(own[begin:end], lost - begin).tolist())
+    line = np.where((np.arange(150) >= 76) & (np.arange(150) < 88), 5000, 1)
+    asked = op01_substring_dedup._seekers_needs(own, line, low, high, 37, t, percent)
+    assert not set(asked.tolist()) & set(own[76:88].tolist()) and 0 < len(asked) < 114
+
+
+def test_the_exact_look_makes_no_rows_of_pairs(spark, rows):
+    """Windows of a frequent line that share no passage: rows grow with the documents, not with their pairs."""
+    made, line = {}, prose(100, 14)
+    for n in (60, 120):
+        docs = rows([(i, " ".join(prose(5000 + i, 60) + line + prose(9000 + i, 60))) for i in range(n)], "doc_id bigint, text string")
+        places = op01_substring_dedup.pack_place(np.array([20]), np.array([62]), np.array([120])).tolist()
+        members = rows([(7, i, places[0], op01_substring_dedup.OPEN + 1) for i in range(n)], "key bigint, doc_id bigint, place bigint, kind int")
+        made[n] = op01_substring_dedup._exact(docs, members, 5, 46, 80).count()
+    assert made == {60: 0, 120: 0}
+
+
 def test_the_fewest_different_shingles_of_a_run():
     rng, t, bounds = np.random.default_rng(1), 12, np.array([0, 100, 100, 180, 300])
     flat = rng.integers(0, 9, 300).astype(np.uint64)

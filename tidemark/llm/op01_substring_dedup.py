@@ -24,11 +24,12 @@ The keys of intervals that turned out no passages are looked at once more, with
 all their windows: if few documents share a key, each with every one before it,
 else under keys that further minima of the same side split.
 
-What is still open then under keys of more documents is compared with all documents before it, exactly: windows with
-the same shingles are one class, whose smallest document stands for it, and two
-classes are compared if they share a shingle that, of as many shingles as a
-passage has at least in common, can't be left out (a prefix filter: an open
-window's shingles but its most frequent ones).
+What is still open then under keys of more documents is compared with all
+documents before it, exactly: windows with the same shingles are one class,
+whose smallest document stands for it. An open window is compared with those
+classes whose document holds one of the shingles that a passage around its
+place can't do without: the rarest, such that with all others in common every
+run of t shingles around the place still lacks too many.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import scan
 
 from .common import id_and_text, if_small, tidy, written
-from .shingles import mix, row_shingles
+from .shingles import mix, powers, row_shingles
 from .tokenizing import gathered, text_slices
 
 #: Hash functions whose windows are keyed.
@@ -287,7 +288,7 @@ def _split(docs: DataFrame, members: DataFrame, k: int, t: int, further: int, gr
     return rows.mapInArrow(tidy(run), WINDOW)
 
 
-TAGGED = "key long, doc_id long, place long, kind int, content long, least int, tags array<long>"
+CLASSED = "key long, doc_id long, place long, kind int, content long"
 
 
 def _fewest(flat: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:
@@ -303,100 +304,222 @@ def _fewest(flat: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:
     return np.cumsum(steps)[: len(flat)]
 
 
-def _tagged(docs: DataFrame, members: DataFrame, k: int, t: int, percent: int) -> DataFrame:
-    """TAGGED rows of members(key, doc_id, place, kind).
+def _stretches(place: np.ndarray, base: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, at, end) of windows with the margin that is compared with them, within a slice of texts; base, top: where their text begins and ends there."""
+    begin, at, end = open_place(place)
+    return base + np.maximum(0, begin - DRIFT), base + at, np.minimum(top, base + end + DRIFT)
+
+
+def _found(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, text, found: the members(key, doc_id, place, kind) of a document, at most its windows."""
+    grouped = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("found"))
+    return _only(docs, members).join(grouped, "doc_id").select("doc_id", F.col("text").cast("binary"), "found")
+
+
+def _unpacked(part: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, key, place, kind, begin, at, end) of the windows in a slice of _found."""
+    count = np.diff(part.column(2).offsets.to_numpy())
+    row = np.repeat(np.arange(len(count)), count)
+    key, place, kind = (part.column(2).flatten().field(i).to_numpy() for i in range(3))
+    return row, key, place, kind, *_stretches(place, bounds[row], bounds[row + 1])
+
+
+def _classed(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """CLASSED rows of members(key, doc_id, place, kind); content tells what the window and the margin that is compared with it hold."""
+    base = pow(0x9E3779B97F4A7C15, 3, 1 << 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1, HASHED_BYTES):
+                flat, bounds = row_shingles(part.column(1), k)
+                row, key, place, kind, begin, at, end = _unpacked(part, bounds)
+                # A polynomial of a stretch from those of all that begins where the slice does.
+                upto = np.zeros(len(flat) + 1, np.uint64)
+                np.cumsum(flat * powers(base, len(flat)), out=upto[1:])
+                content = mix((upto[end] - upto[begin]) * powers(pow(base, -1, 1 << 64), len(flat) + 1)[begin])
+                content = mix(content + mix(((end - begin) << 32 | at - begin).view(np.uint64))).view(np.int64)
+                yield _rows([key, part.column(0).to_numpy()[row], place, kind, content], CLASSED)
 
-    content tells what the window and the margin that is compared with it hold,
-    tags its distinct shingles, each mixed with the key. Whatever passage lies
-    in there has `least` of them in common with its source: `percent` of what
-    the run of t shingles with the fewest different ones has.
+    return _found(docs, members).mapInArrow(tidy(run), CLASSED)
+
+
+def _seekers_needs(own: np.ndarray, n: np.ndarray, low: int, high: int, least: int, t: int, percent: int) -> np.ndarray:
+    """Shingles, the rarest by `n`, of which a source has one at least if it shares a passage that holds the places low .. high - 1.
+
+    own: the shingles of a window and its margin, n: how many documents hold
+    each, least: how many different ones such a passage has in common. Who holds
+    none of these shares too few at all; or, counting all others as shared,
+    every run of t places or more around low .. high - 1 still lacks more than
+    a passage may (of shingles that the window holds once).
     """
+    different, first, inverse, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(n[first], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ranks = np.where(count[inverse] == 1, rank[inverse], len(order))
+    begin = np.arange(min(low, len(own) - t) + 1)
+    ends = np.maximum(high, begin + t)
+    upto = np.zeros(len(own) + 1, np.int64)
+
+    def lacks(m: int) -> bool:
+        np.cumsum((100 - percent) - 100 * (ranks < m), out=upto[1:])
+        best = np.maximum.accumulate(upto[::-1])[::-1]
+        return bool((best[ends] < upto[begin]).all())
+
+    few, many = 0, max(0, len(order) - least + 1)
+    if lacks(many):
+        while few < many:  # the fewest that do
+            middle = (few + many) // 2
+            few, many = (few, middle) if lacks(middle) else (middle + 1, many)
+    return different[order[:many]]
+
+
+NEED = "key long, doc_id long, place long, tag long"
+
+
+def _needs(docs: DataFrame, seekers: DataFrame, known: DataFrame, k: int, t: int, percent: int) -> DataFrame:
+    """NEED rows of seekers(key, doc_id, place, kind): tags that a source has one of. known: doc_id, known: an array of (tag, n), in how many documents each is."""
+    half = t // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1, HASHED_BYTES):
                 flat, bounds = row_shingles(part.column(1), k)
-                found = part.column(2)
-                of = found.offsets.to_numpy()
-                key, place, kind = (found.flatten().field(i).to_numpy() for i in range(3))
-                of = of - of[0]
+                row, key, place, kind, begin, at, end = _unpacked(part, bounds)
                 fewest = _fewest(flat, bounds, t)
-                weights = mix(np.arange(1 + int(np.diff(bounds).max()), dtype=np.uint64)) | np.uint64(1)
-                held: list[tuple] = []
-                size = 0
-                for doc, base, top, low, high in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
-                    begins, ats, ends = open_place(place[low:high])
-                    begins, ends = base + np.maximum(0, begins - DRIFT), np.minimum(top, base + ends + DRIFT)
-                    for i, b, at, e in zip(range(low, high), begins.tolist(), ats.tolist(), ends.tolist(), strict=True):
-                        own = flat[b:e]
-                        content = mix((own * weights[: len(own)]).sum(dtype=np.uint64, keepdims=True) + weights[len(own)] + np.uint64(base + at - b))
-                        tags = np.unique(own)
-                        least = -(-percent * int(fewest[b : max(b, e - t) + 1].min()) // 100)
-                        tags = mix(tags + mix(key[i : i + 1].view(np.uint64)))
-                        held.append((key[i], doc, place[i], kind[i], content.view(np.int64)[0], least, tags.view(np.int64)))
-                        size += len(tags)
-                        if size >= HELD_WINDOWS:
-                            yield _tagged_rows(held)
-                            held, size = [], 0
-                if held:
-                    yield _tagged_rows(held)
+                of = part.column(3).offsets.to_numpy()
+                tags, ns = (part.column(3).flatten().field(i).to_numpy() for i in range(2))
+                of = of - of[0]
+                rows, needed = [], []
+                for i, (r, b, p, e) in enumerate(zip(row.tolist(), begin.tolist(), at.tolist(), end.tolist(), strict=True)):
+                    low, high = (p, p + half + 1) if kind[i] & 1 else (p - half, p + 1)
+                    first, last = max(b, high - t), min(low, e - t)  # where runs of t that hold these places begin
+                    if first > last:
+                        continue
+                    own, mine = flat[b:e], slice(of[r], of[r + 1])
+                    spot = np.searchsorted(tags[mine], own.view(np.int64))
+                    least = -(-percent * int(fewest[first : last + 1].min()) // 100)
+                    needs = _seekers_needs(own, ns[mine][spot], low - b, high - b, least, t, percent).view(np.int64)
+                    needs = needs[ns[mine][np.searchsorted(tags[mine], needs)] > 1]  # one is the document itself
+                    rows.append(np.full(len(needs), i))
+                    needed.append(needs)
+                of_row = np.concatenate([np.empty(0, np.int64), *rows])
+                yield _rows([key[of_row], part.column(0).to_numpy()[row[of_row]], place[of_row], np.concatenate([np.empty(0, np.int64), *needed])], NEED)
+
+    return _found(docs, seekers).join(known, "doc_id").select("doc_id", "text", "found", "known").mapInArrow(tidy(run), NEED)
+
+
+def _tags(docs: DataFrame, windows_: DataFrame, k: int, maybe=None) -> DataFrame:
+    """doc_id, tag: the different shingles in windows_(key, doc_id, place, kind) and their margins; maybe: as in `windows`."""
 
-    grouped = members.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("found"))  # at most the document's windows
-    rows = _only(docs, members).join(grouped, "doc_id").select("doc_id", F.col("text").cast("binary"), "found")
-    return rows.mapInArrow(tidy(run), TAGGED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 1, HASHED_BYTES):
+                flat, bounds = row_shingles(part.column(1), k)
+                row, _, _, _, begin, _, end = _unpacked(part, bounds)
+                inside = np.cumsum(np.bincount(begin, minlength=len(flat) + 1) - np.bincount(end, minlength=len(flat) + 1))[:-1] > 0
+                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                tag = flat.view(np.int64)
+                some = np.flatnonzero(inside if maybe is None else inside & maybe.value[_slot(tag)])
+                some = some[np.lexsort((tag[some], text[some]))]
+                new = np.ones(len(some), bool)
+                new[1:] = (tag[some][1:] != tag[some][:-1]) | (text[some][1:] != text[some][:-1])
+                some = some[new]
+                yield _rows([part.column(0).to_numpy()[text[some]], tag[some]], "doc_id long, tag long")
 
+    return _found(docs, windows_).mapInArrow(tidy(run), "doc_id long, tag long")
 
-def _tagged_rows(held: list[tuple]) -> pa.RecordBatch:
-    *plain, tags = zip(*held, strict=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tags)]), pa.int32()), pa.array(np.concatenate(tags)))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(plain, kinds, strict=True)), lists], _names(TAGGED))
+
+#: Documents of one shingle, about, that stand in one row.
+POSTED = 1024
+#: A window and those of smaller documents that it may share a passage with, each (source, source_place), one after the other.
+LINKED = "doc_id long, block long, place long, links array<long>"
 
 
 def _exact(docs: DataFrame, members: DataFrame, k: int, t: int, percent: int) -> DataFrame:
-    """LINK rows of every open member with all classes under its key that have a smaller document and may share a passage with it.
+    """CANDIDATE rows of every open member and all classes under its key that have a smaller document and may share a passage around the key's place.
 
     A class has the same shingles around the key's place. Its smallest document
     stands for it as a source, and its other documents are linked to that one
-    alone, in which they have a passage. An open member's tags but for the
-    `least` - 1 that most of them have are its prefix: who has none of these
-    shares less than `least` shingles with it. Pairs are made by a join that
-    Spark deals by tags and may split; no task or row holds a key's members.
+    alone, in which they have a passage. An open member asks for the documents
+    that hold one of the shingles without which it has no passage there
+    (_seekers_needs), which are as rare as can be: lines that many share are
+    not asked for. Who holds a shingle, or has a window under a key, stands in
+    rows of some POSTED documents each, dealt by blocks of documents, so rows
+    are as many as the members and what they ask for, not as the pairs.
     """
-    tagged = written(_tagged(docs, members, k, t, percent), "tagged")
-    classes = tagged.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("head"))
-    light = written(tagged.select("key", "doc_id", "place", "kind", "content").join(classes, ["key", "content"]), "classes")
-    same = light.filter((F.col("kind") >= OPEN) & (F.col("doc_id") > F.col("head.doc_id"))).select("doc_id", "place", F.col("head.doc_id").alias("source"), F.col("head.place").alias("source_place"))
-    first = light.filter(F.col("doc_id") == F.col("head.doc_id")).filter(F.col("kind") >= OPEN).select("key", "doc_id", "place")
-    tags = written(tagged.join(first, ["key", "doc_id", "place"]).select("key", "doc_id", "place", "least", F.explode("tags").alias("tag")), "tags")
-    ranked = tags.join(tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag").groupBy("key", "doc_id", "place", "least").agg(F.sort_array(F.collect_list(F.struct("n", "tag"))).alias("tags"))
-    some = ranked.select("doc_id", "place", F.explode(F.slice("tags", F.lit(1), F.size("tags") - F.col("least") + 1)).alias("tag"))
-    prefixes = written(some.select("doc_id", "place", "tag.tag"), "prefixes")
-    told = docs.sparkSession.sparkContext.broadcast(_filter(prefixes.select(F.col("tag").alias("key")).distinct()))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """source, source_place, tag without the tags that are surely in no prefix."""
-        for batch in batches:
-            doc, place, lists = batch.columns
-            of, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            flat, row = flat[of[0] : of[-1]], np.repeat(np.arange(len(doc)), np.diff(of))
-            some = told.value[_slot(flat)]
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[some])), place.take(pa.array(row[some])), pa.array(flat[some])], ["source", "source_place", "tag"])
-
-    heads = light.filter((F.col("doc_id") == F.col("head.doc_id")) & (F.col("place") == F.col("head.place"))).select("key", "doc_id", "place")
-    sources = tagged.join(heads, ["key", "doc_id", "place"], "left_semi").select("doc_id", "place", "tags").mapInArrow(tidy(asked), "source long, source_place long, tag long")
-    pairs = prefixes.join(sources, "tag").filter("source < doc_id").select(same.columns).distinct()
-    return _pair_links(same.unionByName(pairs), t)
+    spark = docs.sparkSession
+    classed = written(_classed(docs, members, k), "classed")
+    classes = classed.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("head"))
+    light = written(classed.join(classes, ["key", "content"]).select("key", "doc_id", "place", "kind", "head"), "classes")
+    same = light.filter((F.col("kind") >= OPEN) & (F.col("doc_id") > F.col("head.doc_id"))).select("key", "doc_id", "place", F.array("head").alias("heads"))
+    first = light.filter((F.col("doc_id") == F.col("head.doc_id")) & (F.col("kind") >= OPEN)).select("key", "doc_id", "place", "kind")
+    heads = light.filter((F.col("doc_id") == F.col("head.doc_id")) & (F.col("place") == F.col("head.place"))).select("key", "doc_id", "place", "kind")
+    asked = spark.sparkContext.broadcast(_filter(_tags(docs, first, k).select(F.col("tag").alias("key"))))
+    held = written(_tags(docs, heads.unionByName(first), k, asked), "tags")
+    seeking = held.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = seeking.join(held.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tag", "n"))).alias("known"))  # at most a document's shingles
+    needs = written(_needs(docs, first, known, k, t, percent), "needs")
+    wanted = held.join(needs.groupBy("tag").agg(F.max("doc_id").alias("last")), "tag").filter("doc_id < last")
+    most = wanted.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(1 + most // POSTED))
+    posted = wanted.groupBy("tag", block("doc_id").alias("block")).agg(F.collect_list("doc_id").alias("sources"))
+    smaller = F.filter("sources", lambda source: source < F.col("doc_id"))
+    met = needs.join(posted, "tag").withColumn("sources", smaller).filter(F.size("sources") > 0).groupBy("key", "doc_id", "place", "block").agg(F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"))
+    under = heads.groupBy("key", block("doc_id").alias("block")).agg(F.collect_list(F.struct("doc_id", "place")).alias("heads"))
+    both = met.join(under, ["key", "block"]).select("doc_id", "place", "block", "sources", "heads")
+    own = same.select("doc_id", "place", block(F.col("heads")[0]["doc_id"]).alias("block"), F.transform("heads", lambda h: h["doc_id"]).alias("sources"), "heads")
+    return _chained(_member_links(both, t).unionByName(_member_links(own, t)), t)
+
+
+def _member_links(pairs: DataFrame, t: int) -> DataFrame:
+    """LINKED rows of pairs(doc_id, place, block, sources, heads): with those heads, windows of smaller documents, whose document is one of the sources."""
 
-
-def _pair_links(pairs: DataFrame, t: int) -> DataFrame:
-    """LINK rows of pairs(doc_id, place, source, source_place)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, place, block = (batch.column(i).to_numpy() for i in range(3))
+            asked, asked_at = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_pylist()
+            at = batch.column(4).offsets.to_pylist()
+            head_doc, head_place = (batch.column(4).values.field(i).to_numpy() for i in range(2))
+            rows, links = [], [np.empty(0, np.int64)]
+            for i in range(batch.num_rows):
+                of, there = head_doc[at[i] : at[i + 1]], head_place[at[i] : at[i + 1]]
+                some = (of < doc[i]) & np.isin(of, asked[asked_at[i] : asked_at[i + 1]])
+                _, begin, end, _ = _room(place[i], there)
+                some &= end - begin >= t - t // 4
+                if some.any():
+                    rows.append(i)
+                    links.append(np.stack([of[some], there[some]], axis=1).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in links]), pa.int32()), pa.array(np.concatenate(links)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[np.array(rows, np.int64)].astype(np.int64)) for x in (doc, block, place)), lists], _names(LINKED))
+
+    return pairs.mapInArrow(tidy(run), LINKED)
+
+
+def _chained(linked: DataFrame, t: int) -> DataFrame:
+    """CANDIDATE rows of LINKED rows. Links of a document and one block of sources come to one task; `first` means nothing."""
+
+    def of(doc: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        source, source_place = np.concatenate([x for _, x in held]).reshape(-1, 2).T
+        place = np.repeat([p for p, _ in held], [len(x) // 2 for _, x in held])
+        rows = [c.to_numpy() for c in _joined(np.full(len(place), doc), place, source, source_place, np.full(len(place), _NONE), t).select(_names(LINK)[:-1]).columns]
+        order = np.lexsort((rows[-1], rows[1], rows[0]))
+        return _intervals(*(x[order] for x in rows), np.full(len(order), _NONE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for batch in batches:
-            yield _joined(*(c.to_numpy() for c in batch.columns), np.full(batch.num_rows, _NONE), t)
+            values, at = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_pylist()
+            for i, (doc, block, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if held and (doc, block) != group:
+                    yield of(group[0], held)
+                    held = []
+                group = doc, block
+                held.append((place, values[at[i] : at[i + 1]]))
+        if held:
+            yield of(group[0], held)
 
-    return pairs.mapInArrow(tidy(run), LINK)
+    return linked.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block").mapInArrow(tidy(run), CANDIDATE)
 
 
 #: Slots of the filter of open keys: its size on every executor is fixed, whatever the data; what it lets through is joined exactly.
@@ -470,12 +593,18 @@ def _kept(key: np.ndarray, doc: np.ndarray, group: int) -> np.ndarray:
     return np.unique(np.concatenate([first[runs], last[runs]]))
 
 
-def _joined(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray, key: np.ndarray, t: int) -> pa.RecordBatch:
-    """LINK rows of pairs of windows that have room for a passage in common."""
+def _room(place: np.ndarray, source_place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(at, begin, end, diagonal): what pairs of windows have in common, in the first's places."""
     begin, at, end = open_place(place)
     c_begin, c_at, c_end = open_place(source_place)
     diagonal = at - c_at
-    begin, end = np.maximum(begin, c_begin + diagonal), np.minimum(end, c_end + diagonal)
+    return at, np.maximum(begin, c_begin + diagonal), np.minimum(end, c_end + diagonal), diagonal
+
+
+def _joined(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place: np.ndarray, key: np.ndarray, t: int) -> pa.RecordBatch:
+    """LINK rows of pairs of windows that have room for a passage in common."""
+    at, begin, end, diagonal = _room(place, source_place)
+    c_at = at - diagonal
     wide = (end - begin >= t - t // 4) & (source != doc)
     swap = source > doc  # one that a task linked of its own may be the other way round
     doc, source = np.where(swap, source, doc), np.where(swap, doc, source)
@@ -483,21 +612,20 @@ def _joined(doc: np.ndarray, place: np.ndarray, source: np.ndarray, source_place
     return _rows([x[wide] for x in (doc, source, at, begin, end, diagonal, key)], LINK)
 
 
-def candidates(found: DataFrame, apart: bool = False) -> DataFrame:
+def candidates(found: DataFrame) -> DataFrame:
     """CANDIDATE rows: intervals that a pair's links on nearby diagonals cover; `first` marks those of a document that hold the rest.
 
     Rows without a source are no intervals but the places and keys of a document's links under keys with more than two documents.
 
     The links of one document come to one task: at most a few for each of its windows.
-    With `apart` those of one pair do, where a document may have any number of sources; `first` then means nothing.
     """
-    names, by = _names(LINK), ["doc_id", "source"] if apart else ["doc_id"]
+    names = _names(LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * len(names)
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-            last = np.flatnonzero(np.any([h[1:] != h[:-1] for h in held[: len(by)]], axis=0))
+            last = np.flatnonzero(held[0][1:] != held[0][:-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield _intervals(*(h[:cut] for h in held))
@@ -505,7 +633,7 @@ def candidates(found: DataFrame, apart: bool = False) -> DataFrame:
         if len(held[0]):
             yield _intervals(*held)
 
-    return found.repartition(*by).sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
 
 
 def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
@@ -750,7 +878,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, min_words: int = 50, percent:
         found = look(candidates(links(_split(docs, members, k, t, further, group), t, group)))
         left = written(_large(_opened(members, _spans(failed, found, k)), group), "members")
         if not left.isEmpty():
-            found = look(candidates(_exact(docs, left, k, t, percent), apart=True), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            found = look(_exact(docs, left, k, t, percent), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if numbers is not None:
         names, told = found.columns, numbers.select("number", F.col("doc_id").alias("id"))
         for c in ("doc_id", "source_doc_id"):

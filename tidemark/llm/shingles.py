@@ -25,7 +25,7 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + _U(seed) * _U(1_000_003)) | _U(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     steps = np.full(n, base, np.uint64)
     steps[:1] = 1
@@ -42,7 +42,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     white[[0x20, *range(0x09, 0x0E)]] = True
     number = mix(np.arange(256, dtype=np.uint64) + _U(4242))
     number[65:91] = number[97:123]
-    return white, number, _powers(_BASE, _STEP), _powers(pow(_BASE, -1, 1 << 64), _STEP)
+    return white, number, powers(_BASE, _STEP), powers(pow(_BASE, -1, 1 << 64), _STEP)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         begin = starts[first]
         last = max(first + 1, int(np.searchsorted(ends, begin + _STEP, "right")))
         size = int(ends[last - 1] - begin)
-        up, down = (powers, inverse) if size <= _STEP else (_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size))
+        up, down = (powers, inverse) if size <= _STEP else (powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size))
         upto = np.zeros(size + 1, np.uint64)
         np.cumsum(number.take(data[begin : begin + size]) * up[:size], out=upto[1:])
         a, b = starts[first:last] - begin, ends[first:last] - begin
