@@ -262,6 +262,45 @@ def test_the_exact_look_makes_no_rows_of_pairs(spark, rows):
     assert made == {60: 0, 120: 0}
 
 
+def test_the_exact_look_goes_on_where_passages_leave_places(spark, rows):
+    """Of many sources for one place a round takes few, and none once a passage holds the place; what stays open is compared with all."""
+    pairs = rows([(9, 0, [x for source in range(8) for x in (source, 100, 300, 100, 300, 0, 190, 200)], 1)], "doc_id bigint, block bigint, pairs array<bigint>, turn int")
+    tried = rows([(9, 0, 0)], "doc_id bigint, source bigint, diagonal bigint")
+    for spans, want in (([], (1, 4, 7)), ([(9, 120, 250)], (0, 0, 0)), ([(9, 120, 160)], (1, 4, 7))):
+        found = rows(spans, "doc_id bigint, start bigint, end bigint")
+        made = [op01_substring_dedup._round(pairs, tried, found, 5, 46, deep).collect() for deep in (1, 4, op01_substring_dedup.NO_CROWD)]
+        assert tuple(map(len, made)) == want and all(r.source for m in made for r in m)
+
+
+def test_copies_are_told_without_windows(spark, rows):
+    """Texts that are the same as a smaller document's are one passage, and aren't compared with anything else."""
+    p = prose(1, 60)
+    table = rows([(i, "  " + " ".join(p) + "\t.\n") for i in range(30)] + [(30, " ".join(prose(2, 20) + p)), (31, " ".join(prose(2, 49))), (32, " ".join(prose(2, 49)))], "doc_id bigint, text string")
+    alone, copies = op01_substring_dedup._alone(table, 50)
+    assert {r.doc_id for r in alone.collect()} == {0, 30, 31} and copies.count() == 29
+    found = {(r.doc_id, r.start, r.end, r.source_doc_id, r.similarity) for r in op01_substring_dedup.repeated_passages(table).collect()}
+    assert found == {(i, 0, 61, 0, 1.0) for i in range(1, 30)} | {(30, 20, 80, 0, 1.0)}
+
+
+def test_extents_are_those_of_a_stack():
+    def stack(values, first, last):
+        begin, end, above = {}, {}, []
+        for i in range(first, last):
+            while above and values[above[-1]] > values[i]:
+                end[above.pop()] = i
+            begin[i] = above[-1] + 1 if above else first
+            above.append(i)
+        return begin, end | dict.fromkeys(above, last)
+
+    rng = np.random.default_rng(5)
+    for few in (2, 5, 10**6):
+        h, bounds = rng.integers(0, few, 200).astype(np.uint64), np.array([0, 40, 40, 41, 200])
+        begin, end = op01_substring_dedup._extents(h, bounds)
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            b, e = stack(h.tolist(), first, last)
+            assert all(begin[i] == b[i] and end[i] == e[i] for i in range(first, last))
+
+
 def test_the_fewest_different_shingles_of_a_run():
     rng, t, bounds = np.random.default_rng(1), 12, np.array([0, 100, 100, 180, 300])
     flat = rng.integers(0, 9, 300).astype(np.uint64)

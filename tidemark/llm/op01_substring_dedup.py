@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import scan
@@ -74,19 +74,27 @@ def _names(fields: str) -> list[str]:
 
 
 def _extents(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """begin and end of every place's Cartesian subtree within its stretch bounds[i] .. bounds[i + 1], built from left to right with a stack."""
-    values, begin, end = h.tolist(), [0] * len(h), [0] * len(h)
-    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        above: list[int] = []
-        for i in range(first, last):
-            v = values[i]
-            while above and values[above[-1]] > v:
-                end[above.pop()] = i
-            begin[i] = above[-1] + 1 if above else first
-            above.append(i)
-        for i in above:
-            end[i] = last
-    return np.array(begin, np.int64), np.array(end, np.int64)
+    """begin and end of every place's Cartesian subtree within its stretch bounds[i] .. bounds[i + 1].
+
+    Each place looks for the next one that is less (or before it, not more); what
+    stands there already looks further on, so its own next is where to go from it.
+    """
+    found = []
+    for values, edges, equal in ((h, bounds, True), (h[::-1], len(h) - bounds[::-1], False)):
+        place = np.arange(len(h))
+        edge = np.repeat(edges[:-1], np.diff(edges)) - 1
+        before = place - 1
+        going = place
+        while True:
+            there = before[going]
+            going, there = (x[there > edge[going]] for x in (going, there))
+            past = values[there] > values[going] if equal else values[there] >= values[going]
+            going, there = going[past], there[past]
+            if not len(going):
+                break
+            before[going] = np.maximum(before[there], edge[going])
+        found.append(before)
+    return found[0] + 1, len(h) - 1 - found[1][::-1]
 
 
 def compact_windows(h: np.ndarray, t: int, bounds: np.ndarray | None = None) -> np.ndarray:
@@ -434,10 +442,14 @@ def _tags(docs: DataFrame, windows_: DataFrame, k: int, maybe=None) -> DataFrame
 POSTED = 1024
 #: A window and those of smaller documents that it may share a passage with, each (source, source_place), one after the other.
 LINKED = "doc_id long, block long, place long, links array<long>"
+#: The intervals of a document and a block of sources, the widest first, each (source, a_begin, a_end, c_begin, c_end, diagonal, first, last): the places of its first and last link.
+PAIRED = "doc_id long, block long, pairs array<long>"
+#: How many intervals of a document may cover a place in each round of the exact look; in the last, all that are left.
+ROUNDS = (1, 8, NO_CROWD)
 
 
 def _exact(docs: DataFrame, members: DataFrame, k: int, t: int, percent: int) -> DataFrame:
-    """CANDIDATE rows of every open member and all classes under its key that have a smaller document and may share a passage around the key's place.
+    """PAIRED rows of every open member and all classes under its key that have a smaller document and may share a passage around the key's place.
 
     A class has the same shingles around the key's place. Its smallest document
     stands for it as a source, and its other documents are linked to that one
@@ -497,14 +509,17 @@ def _member_links(pairs: DataFrame, t: int) -> DataFrame:
 
 
 def _chained(linked: DataFrame, t: int) -> DataFrame:
-    """CANDIDATE rows of LINKED rows. Links of a document and one block of sources come to one task; `first` means nothing."""
+    """PAIRED rows of LINKED rows. Links of a document and one block of sources come to one task."""
 
-    def of(doc: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def of(group: tuple[int, int], held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         source, source_place = np.concatenate([x for _, x in held]).reshape(-1, 2).T
         place = np.repeat([p for p, _ in held], [len(x) // 2 for _, x in held])
-        rows = [c.to_numpy() for c in _joined(np.full(len(place), doc), place, source, source_place, np.full(len(place), _NONE), t).select(_names(LINK)[:-1]).columns]
+        rows = [c.to_numpy() for c in _joined(np.full(len(place), group[0]), place, source, source_place, np.full(len(place), _NONE), t).select(_names(LINK)[:-1]).columns]
         order = np.lexsort((rows[-1], rows[1], rows[0]))
-        return _intervals(*(x[order] for x in rows), np.full(len(order), _NONE))
+        _, *told = _covered(*(x[order] for x in rows))
+        pairs = np.stack([told[0], *_margins(*told[1:5]), *told[5:]], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 2]))].ravel()
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in group), pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.array(pairs))], _names(PAIRED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -512,14 +527,63 @@ def _chained(linked: DataFrame, t: int) -> DataFrame:
             values, at = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_pylist()
             for i, (doc, block, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if held and (doc, block) != group:
-                    yield of(group[0], held)
+                    yield of(group, held)
                     held = []
                 group = doc, block
                 held.append((place, values[at[i] : at[i + 1]]))
         if held:
-            yield of(group[0], held)
+            yield of(group, held)
+
+    return linked.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block").mapInArrow(tidy(run), PAIRED)
+
+
+def _picked(rows: np.ndarray, found: list[tuple[int, int]], deep: int, least: int) -> np.ndarray:
+    """Which intervals of PAIRED are to be compared: in some place between their first and last link's, and in `least` places in a row (or all they have), the passages found don't hold them; and fewer than `deep` of those picked before hold some such place."""
+    if not len(rows):
+        return np.empty(0, np.int64)
+    # Without the margin that was added to them.
+    low = np.where(rows[:, 1] > 0, rows[:, 1] + 2 * DRIFT, 0)
+    high, first, last = np.maximum(rows[:, 2] - 2 * DRIFT, low), rows[:, 6], rows[:, 7] + 1
+    over = np.zeros(int(max(high.max(), last.max())) + 1, np.int64)
+    for b, e in found:
+        over[b:e] = NO_CROWD
+    place = np.arange(len(over))
+    run = place - np.maximum.accumulate(np.where(over, place, -1))  # of free places up to each
+    free, wide = (np.concatenate([[0], np.cumsum(x)]) for x in (over == 0, run >= least))
+    room = np.where(high - low < least, free[high] - free[low] == high - low, wide[high] > wide[np.minimum(low + least - 1, high)])
+    some = np.flatnonzero(room & (free[last] > free[first]))
+    if deep == NO_CROWD:
+        return some
+    picked = []
+    for i, b, e, f, g in zip(*(x.tolist() for x in (some, low[some], high[some], first[some], last[some])), strict=True):
+        if over[f:g].min() < deep:
+            picked.append(i)
+            over[min(b, f) : max(e, g)] += 1
+    return np.array(picked, np.int64)
+
+
+def _round(pairs: DataFrame, tried: DataFrame, found: DataFrame, k: int, t: int, deep: int) -> DataFrame:
+    """CANDIDATE rows of those in PAIRED rows (with their `turn` among the document's) that weren't tried and that the passages found leave open; for each place about the `deep` widest. `first` means nothing."""
 
-    return linked.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block").mapInArrow(tidy(run), CANDIDATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.empty((0, 7), np.int64)]
+            values, at = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_pylist()
+            for i, (doc, before, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                rows = values[at[i] : at[i + 1]].reshape(-1, 8)
+                if before:
+                    before = {(x["source"], x["diagonal"]) for x in before}
+                    rows = rows[[x not in before for x in zip(rows[:, 0].tolist(), rows[:, 5].tolist(), strict=True)]]
+                rows = rows[_picked(rows, [(x["begin"], x["end"]) for x in spans or ()], deep, t // 2)]
+                out.append(np.column_stack([np.full(len(rows), doc), rows[:, :6]]))
+            doc, source, a_begin, a_end, c_begin, c_end, diagonal = np.concatenate(out).T
+            none = np.full(len(doc), _NONE)
+            yield _rows([doc, source, a_begin, a_end, c_begin, c_end, diagonal, np.ones(len(doc), bool), none, none], CANDIDATE, ("at", "key"))
+
+    turn = pairs.filter(F.col("turn") <= deep)
+    before = tried.join(turn.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("source", "diagonal")).alias("before"))  # at most a document's intervals
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start").alias("begin"), (F.col("end") - k + 1).alias("end"))).alias("spans"))
+    return turn.join(before, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "pairs", "before", "spans").mapInArrow(tidy(run), CANDIDATE)
 
 
 #: Slots of the filter of open keys: its size on every executor is fixed, whatever the data; what it lets through is joined exactly.
@@ -636,14 +700,10 @@ def candidates(found: DataFrame) -> DataFrame:
     return found.repartition("doc_id").sortWithinPartitions("doc_id", "source", "diagonal").mapInArrow(tidy(run), CANDIDATE)
 
 
-def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
-    """Rows are in the order of (doc, source, diagonal)."""
-    order = np.flatnonzero(key != _NONE)
-    order = order[np.lexsort((key[order], doc[order]))]
-    once = np.ones(len(order), bool)
-    once[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    once = order[once]
-    places = doc[once], at[once], key[once]
+def _covered(doc, source, at, begin, end, diagonal) -> tuple[np.ndarray, ...]:
+    """(doc, source, begin, end, low, high, middle, first, last) of the intervals that links cover: least, greatest and middle diagonal, places of the first and last link. Rows are in the order of (doc, source, diagonal)."""
+    if not len(doc):
+        return (doc,) * 9
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (diagonal[1:] - diagonal[:-1] > DRIFT)
     starts = np.flatnonzero(new)
@@ -651,7 +711,7 @@ def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
     part = (diagonal - diagonal[starts][np.cumsum(new) - 1]) // (2 * DRIFT)
     new[1:] |= part[1:] != part[:-1]
     order = np.lexsort((begin, np.cumsum(new)))  # along the text within a diagonal
-    doc, source, begin, end, diagonal = doc[order], source[order], begin[order], end[order], diagonal[order]
+    doc, source, at, begin, end, diagonal = (x[order] for x in (doc, source, at, begin, end, diagonal))
     run = np.cumsum(new) - 1
     size = int(end.max()) + 2 * DRIFT + 1
     reach = np.maximum.accumulate(end + run * size) - run * size  # of the run so far
@@ -660,14 +720,30 @@ def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
     begin, end = begin[starts], np.maximum.reduceat(end, starts)
     doc, source = doc[starts], source[starts]
     low, high = np.minimum.reduceat(diagonal, starts), np.maximum.reduceat(diagonal, starts)
-    middle = (low + high) // 2
+    return doc, source, begin, end, low, high, (low + high) // 2, np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+
+
+def _margins(begin, end, low, high) -> tuple[np.ndarray, ...]:
+    """a_begin, a_end, c_begin, c_end of intervals: what is compared."""
+    return np.maximum(0, begin - DRIFT), end + DRIFT, np.maximum(0, begin - high - 2 * DRIFT), end - low + 2 * DRIFT
+
+
+def _intervals(doc, source, at, begin, end, diagonal, key) -> pa.RecordBatch:
+    """Rows are in the order of (doc, source, diagonal)."""
+    order = np.flatnonzero(key != _NONE)
+    order = order[np.lexsort((key[order], doc[order]))]
+    once = np.ones(len(order), bool)
+    once[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    once = order[once]
+    places = doc[once], at[once], key[once]
+    doc, source, begin, end, low, high, middle, _, _ = _covered(doc, source, at, begin, end, diagonal)
     # The widest interval of a document, and what reaches beyond it.
     order = np.lexsort((source, begin - end, doc))
     widest = np.zeros(len(doc), np.int64)
     heads, of = _runs(doc[order])
     widest[order] = order[heads][of]
     inside = (begin >= begin[widest] - DRIFT) & (end <= end[widest] + DRIFT) & (np.arange(len(doc)) != widest)
-    columns = [doc, source, np.maximum(0, begin - DRIFT), end + DRIFT, np.maximum(0, begin - high - 2 * DRIFT), end - low + 2 * DRIFT, middle, ~inside]
+    columns = [doc, source, *_margins(begin, end, low, high), middle, ~inside]
     none, nothing = np.full(len(doc), _NONE), np.full(len(once), _NONE)
     columns = [np.concatenate(x) for x in zip([*columns, none, none], [places[0], *[nothing] * 6, np.zeros(len(once), bool), *places[1:]], strict=True)]
     return _rows(columns, CANDIDATE, ("source", "a_begin", "a_end", "c_begin", "c_end", "diagonal", "at", "key"))
@@ -716,11 +792,11 @@ _BESIDE = np.array([s * d for d in range(1, 2 * DRIFT + 1) for s in (-1, 1)])
 
 def _nearest(a: np.ndarray, c: np.ndarray, expected: int) -> np.ndarray:
     """For each place i of a, the place of c nearest to i - expected that holds the same, at most 2 * DRIFT away; -1 if there is none."""
-    straight = np.arange(len(a)) - expected
+    straight = np.arange(-expected, len(a) - expected)
     where = np.full(len(a), -1)
-    inside = np.flatnonzero((straight >= 0) & (straight < len(c)))
-    same = inside[a[inside] == c[straight[inside]]]
-    where[same] = straight[same]
+    first, last = max(0, expected), max(0, expected, min(len(a), len(c) + expected))
+    same = first + np.flatnonzero(a[first:last] == c[first - expected : last - expected])
+    where[same] = same - expected
     rest = np.flatnonzero(where < 0)
     for first in range(0, len(rest), 1 << 14):
         i = rest[first : first + (1 << 14)]
@@ -740,17 +816,19 @@ def shared_passages(a: np.ndarray, c: np.ndarray, expected: int, k: int, t: int,
     both sides. A joined passage that isn't similar enough is parted again.
     A passage has at least t shingles and a similarity of percent.
     """
+    share = 2 * percent / (100 + percent)  # of places that must match for this similarity
     where = _nearest(a, c, expected)
     hit = np.flatnonzero(where >= 0)
-    if not len(hit):
+    if len(hit) < share * t:  # what is joined to t places or more has so many
         return []
-    cuts = np.flatnonzero(np.diff(hit) > 1)
-    runs = list(zip(hit[np.r_[0, cuts + 1]].tolist(), (hit[np.r_[cuts, len(hit) - 1]] + 1).tolist(), strict=True))
-    share = 2 * percent / (100 + percent)  # of places that must match for this similarity
+    new = np.ones(len(hit), bool)
+    new[1:] = hit[1:] - hit[:-1] > 1
+    starts, there = np.flatnonzero(new), where[hit]
+    ends = np.append(starts[1:], len(hit)) - 1
+    runs = zip(hit[starts].tolist(), (hit[ends] + 1).tolist(), np.minimum.reduceat(there, starts).tolist(), (np.maximum.reduceat(there, starts) + 1).tolist(), strict=True)
     merged: list[list[tuple[int, int, int, int]]] = []
     size = low = high = 0
-    for b, e in runs:
-        cb, ce = int(where[b:e].min()), int(where[b:e].max()) + 1
+    for b, e, cb, ce in runs:
         wide = max(e - merged[-1][0][0], max(high, ce) - min(low, cb)) if merged else 0
         if merged and size + e - b >= share * wide:
             merged[-1].append((b, e, cb, ce))
@@ -848,6 +926,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, min_words: int = 50, percent:
     """
     t = min_words - k + 1
     docs, numbers = _texts(id_and_text(docs))
+    docs, copies = _alone(docs, min_words)
     both = written(candidates(links(windows(docs, k, t, hashes), t)), "candidates")
     every, places = both.filter("source IS NOT NULL").drop("at", "key"), both.filter("source IS NULL").select("doc_id", "at", "key")
     parts = _parts(docs, every, k)
@@ -869,16 +948,21 @@ def repeated_passages(docs: DataFrame, k: int = 5, min_words: int = 50, percent:
         tried = every.select("doc_id", "source", "diagonal")
 
         def look(again: DataFrame, even: int = 0) -> DataFrame:
-            """The passages found, with those of candidates that weren't tried."""
+            """The passages found, with those of the candidates."""
             nonlocal tried
-            again = written(_uncovered(again.filter("source IS NOT NULL").drop("at", "key"), found, k, t).join(tried, ["doc_id", "source", "diagonal"], "left_anti"), "candidates")
+            again = written(again, "candidates")
             tried = tried.unionByName(again.select(tried.columns))
             return found if again.isEmpty() else written(found.unionByName(_verify(_parts(docs, again, k), again, k, t, percent, even)), "passages")
 
-        found = look(candidates(links(_split(docs, members, k, t, further, group), t, group)))
+        again = candidates(links(_split(docs, members, k, t, further, group), t, group)).filter("source IS NOT NULL").drop("at", "key")
+        found = look(_uncovered(again, found, k, t).join(tried, ["doc_id", "source", "diagonal"], "left_anti"))
         left = written(_large(_opened(members, _spans(failed, found, k)), group), "members")
         if not left.isEmpty():
-            found = look(_exact(docs, left, k, t, percent), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("block")).alias("turn")
+            pairs = written(_exact(docs, left, k, t, percent).select("*", turn), "pairs")
+            for deep in ROUNDS:
+                found = look(_round(pairs, tried, found, k, t, deep).drop("at", "key"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = found.unionByName(copies)
     if numbers is not None:
         names, told = found.columns, numbers.select("number", F.col("doc_id").alias("id"))
         for c in ("doc_id", "source_doc_id"):
@@ -905,6 +989,18 @@ def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return written(signed.join(numbers, ["doc_id", "digest"]).select(F.col("number").alias("doc_id"), "text"), "texts"), numbers
 
 
+def _alone(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(docs without those whose text a smaller document has as it is, PASSAGE rows of these: all of such a text is one passage)."""
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
+    digests = written(texts.select("doc_id", F.unhex(_digest()).alias("digest")), "digests")
+    heads = digests.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    copies = written(digests.join(heads, "digest").filter("doc_id > head").select("doc_id", "head"), "copies")
+    rows = copies.count()
+    zero, words = F.lit(0).cast("long"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("end")
+    same = texts.join(if_small(copies, rows), "doc_id").select("doc_id", zero.alias("start"), words, F.col("head").alias("source_doc_id"), zero.alias("source_start"), words.alias("source_end"), F.lit(1.0).alias("similarity")).filter(F.col("end") >= min_words)
+    return docs.join(if_small(copies.select("doc_id"), rows), "doc_id", "left_anti") if rows else docs, same
+
+
 def _spans(failed: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """doc_id, failed, found: arrays of (begin, end) in shingles, of the intervals that turned out no passages and of the passages."""
     tried = failed.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("a_begin").alias("begin"), F.col("a_end").alias("end"))).alias("failed"))
