@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import listing
 from tidemark.sources.scratch import written
 
 #: Rows of a batch opened at a time, and rows and code points of pieces held until they go on: a document without indentation is one row.
@@ -76,7 +77,10 @@ def pieces(lines: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
 
 
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
-    """file, block, value of every line."""
+    """file, block, value: every line; or, where all executors mount the files, every split's length, whose lines the task that gets it reads."""
+    found = listing.matching(spark, glob)
+    if found is not None:
+        return listing.splits(found).withColumnRenamed("length", "value")
     return spark.read.option("lineSep", "\n").text(glob).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
@@ -91,7 +95,8 @@ def read_pieces(spark: SparkSession, glob: str) -> DataFrame:
 
         held, chars = [], 0
         parts = (batch.slice(i, OPENED) for batch in batches for i in range(0, batch.num_rows, OPENED))
-        for row in pieces(x for part in parts for x in zip(*(c.to_pylist() for c in part.columns), strict=True)):
+        given = (x for part in parts for x in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        for row in pieces(line for x in given for line in ([x] if isinstance(x[2], str) else listing.split_lines(*x))):
             held.append(row)
             chars += len(row[-1] or "")
             if len(held) >= HELD_ROWS or chars >= HELD_CHARS:
