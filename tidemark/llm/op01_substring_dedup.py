@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import scan
 
 from .common import id_and_text, if_small, tidy, written
-from .shingles import mix, powers, row_shingles
+from .shingles import mix, powers, row_shingles, word_hashes
 from .tokenizing import gathered, text_slices
 
 #: Hash functions whose windows are keyed.
@@ -755,7 +755,7 @@ def _only(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id, begin, shingles: the shingle hashes, cut to 32 bits, of the parts of documents that wanted(doc_id, begin, end) touches, parts that meet made one.
+    """doc_id, parts(begin, shingles): the shingle hashes, cut to 32 bits, of the parts of documents that wanted(doc_id, begin, end) touches, parts that meet made one.
 
     They are only compared within a pair of passages that 64-bit values have brought together.
     """
@@ -765,25 +765,25 @@ def _slices(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for part in text_slices(batch, 1, HASHED_BYTES):
                 flat, bounds = row_shingles(part.column(1), k)
                 cut = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                docs_, begins, pieces = [], [], []
-                for doc, base, top, spans in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), part.column(2).to_pylist(), strict=True):
+                at, begins, pieces = [0], [], []
+                for base, top, spans in zip(bounds[:-1].tolist(), bounds[1:].tolist(), part.column(2).to_pylist(), strict=True):
                     low = high = None
                     for s in [*sorted((s["begin"], s["end"]) for s in spans), (top, top)]:
                         if low is not None and s[0] > high:
-                            docs_.append(doc)
                             begins.append(low)
                             pieces.append(cut[base + low : min(base + high, top)])
                             low = None
                         low, high = (s[0], s[1]) if low is None else (low, max(high, s[1]))
                     if low is not None and low < top - base:
-                        docs_.append(doc)
                         begins.append(low)
                         pieces.append(cut[base + low : min(base + high, top)])
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(begins, pa.int64()), pa.array(pieces, pa.list_(pa.int32()))], ["doc_id", "begin", "shingles"])
+                    at.append(len(begins))
+                parts = pa.StructArray.from_arrays([pa.array(begins, pa.int64()), pa.array(pieces, pa.list_(pa.int32()))], ["begin", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), parts)], ["doc_id", "parts"])
 
     spans = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     rows = _only(docs, wanted).join(spans, "doc_id").select("doc_id", F.col("text").cast("binary"), "spans")
-    return rows.mapInArrow(tidy(run), "doc_id long, begin long, shingles array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, parts array<struct<begin: long, shingles: array<int>>>")
 
 
 #: Diagonals beside the expected one, nearest first.
@@ -862,8 +862,7 @@ def _parts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """doc_id, parts of what candidates touch of any document; at most the document itself."""
     a = wanted.select("doc_id", F.col("a_begin").alias("begin"), F.col("a_end").alias("end"))
     c = wanted.select(F.col("source").alias("doc_id"), F.col("c_begin").alias("begin"), F.col("c_end").alias("end"))
-    cut = _slices(docs, a.unionByName(c), k)
-    return written(cut.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "shingles")).alias("parts")), "slices")
+    return written(_slices(docs, a.unionByName(c), k), "slices")
 
 
 def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int, even: int = 0) -> DataFrame:
@@ -874,9 +873,14 @@ def _verify(parts: DataFrame, wanted: DataFrame, k: int, t: int, percent: int, e
         found = F.filter(parts, lambda p: (p["begin"] <= F.col(begin)) & (F.col(begin) < p["begin"] + F.size(p["shingles"])))
         return F.slice(found[0]["shingles"], (F.col(begin) - found[0]["begin"] + 1).cast("int"), (F.col(end) - F.col(begin)).cast("int"))
 
+    def needed(side: str) -> DataFrame:
+        """The parts of the documents on one side: others needn't be shuffled."""
+        ids = if_small(written(wanted.select(F.col(side).alias("doc_id")).distinct(), "ids"))
+        return parts.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", side)
+
     # Only a candidate's own shingles go on to the next shuffle.
-    left = wanted.join(parts.toDF("doc_id", "sa"), "doc_id").withColumn("sa", of("sa", "a_begin", "a_end"))
-    both = left.join(parts.toDF("source", "sc"), "source").withColumn("sc", of("sc", "c_begin", "c_end"))
+    left = wanted.join(needed("doc_id").withColumnRenamed("parts", "sa"), "doc_id").withColumn("sa", of("sa", "a_begin", "a_end"))
+    both = left.join(needed("source").withColumnRenamed("parts", "sc"), "source").withColumn("sc", of("sc", "c_begin", "c_end"))
     names = _names(PASSAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -996,8 +1000,18 @@ def _alone(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     heads = digests.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     copies = written(digests.join(heads, "digest").filter("doc_id > head").select("doc_id", "head"), "copies")
     rows = copies.count()
-    zero, words = F.lit(0).cast("long"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("end")
-    same = texts.join(if_small(copies, rows), "doc_id").select("doc_id", zero.alias("start"), words, F.col("head").alias("source_doc_id"), zero.alias("source_start"), words.alias("source_end"), F.lit(1.0).alias("similarity")).filter(F.col("end") >= min_words)
+    names = _names(PASSAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, 2, HASHED_BYTES):
+                words = np.diff(word_hashes(part.column(2))[1])
+                some = np.flatnonzero(words >= min_words)
+                doc, head = (part.column(i).to_numpy()[some] for i in range(2))
+                none = np.zeros(len(some), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, none, words[some], head, none, words[some], np.ones(len(some)))], names)
+
+    same = texts.join(if_small(copies, rows), "doc_id").select("doc_id", "head", F.col("text").cast("binary")).mapInArrow(tidy(run), PASSAGE)
     return docs.join(if_small(copies.select("doc_id"), rows), "doc_id", "left_anti") if rows else docs, same
 
 
